@@ -2,10 +2,158 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from policyspark import packs
+from policyspark.functions import score
+from policyspark.functions import text as T
+from policyspark.operators import context, infer, quality, records, report, rules
+from policyspark.plans import oracle
+from policyspark.sources import fixtures, tables
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+P = packs.PARAMS
+KEYS = ["filename", "brand"]
+
+
+def _raw(s, d, shift=0):
+    return fixtures.raw_params(s, d, shift)
+
+
+def _normal(s, d):
+    return rules.normalize_records(_raw(s, d))
+
+
+def _scored(s, d):
+    return rules.score_records(_normal(s, d))
+
+
+def _results(s, d):
+    return rules.results(_raw(s, d)).select(*KEYS, "access_score", *P, "violations")
+
+
+def _tasks_of_orders(s, d, name="Brand#"):
+    return fixtures.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("filename"), F.concat(F.lit(name), (1 + F.col("o_orderkey") % 40).cast("string")).alias("brand"))
+
+
+def _docs(s, d):
+    return fixtures.table(s, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("filename"), "text")
+
+
+def _scored_pages(s, d):
+    return context.scored_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d), oracle.PAGE_PACK)
+
+
+def _expected(s):
+    rows = [(b, c, v, float(p)) for b, cs in oracle.derived_expectations().items() for c, vs in cs.items() for v, p in vs.items()]
+    return s.createDataFrame(rows, "brand string, column string, value string, pct double")
+
+
+def _expected_pairs(s, d):
+    extra = s.createDataFrame([("x1", "A"), ("x2", "B"), ("x3", "C")], "filename string, brand string")
+    return fixtures.submissions(s, d).where("row_no % 5 <> 0").select(*KEYS).unionByName(extra)
+
+
+def _task_texts(s, d):
+    return fixtures.submissions(s, d).join(_docs(s, d).select("filename", "text"), "filename")
+
+
+def _dry_run(s, d):
+    n = F.length("text")
+    return _task_texts(s, d).agg(F.count("*").alias("n_tasks"), F.sum(n).alias("chars"), F.avg(n).alias("mean_chars"), F.floor(F.sum(n) / 4).alias("tokens"))
+
+
+def _answer(prompts):
+    """Stands for a model: answers by the prompt's length, in a fenced block."""
+    return ["```json\n{\"age\": \">=%d\", \"tb_test_required\": \"Yes\", \"reasoning\": \"%d characters\"}\n```" % (6 + 12 * (len(p) % 2), len(p)) for p in prompts]
+
+
+def _infer(s, d):
+    prompts = _task_texts(s, d).select(*KEYS, infer.prompt("Extract the parameters.", F.substring("text", 1, 2000)).alias("prompt"))
+    return infer.parsed(infer.infer(prompts, _answer))
+
+
+def _budget_prefix(s, d):
+    kept = T.prefix_within(F.split("text", "\n"), 1500)
+    return _docs(s, d).select("doc_id", kept.alias("k")).select("doc_id", F.size("k").alias("n_lines"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+def _layout(s, d):
+    """Section texts in the labelled layout, from derived records."""
+    r = _raw(s, d)
+    text = F.concat(F.lit("Products Affected\nPrior Authorization Criteria\nRequired Medical Information "), F.col("step_therapy_requirements"), F.lit(". Trial of two preferred products or phototherapy. Methotrexate was ineffective.\nAge Restrictions "), F.col("age"), F.lit("\nPrescriber Restrictions "), F.col("specialist_types"), F.lit("\nCoverage Duration Initial: 6 months, Renewal: 12 months\nRenewal Criteria "), F.col("reauth_requirements"), F.lit(" reauthorization needs a negative tuberculin test.\nEffective Date 01/01"))
+    return r.select(*KEYS, text.alias("text"))
+
+
+def queries() -> dict[str, Query]:
+    def na_to_null(df):
+        return df.withColumns({p: F.nullif(F.col(p), F.lit("NA")) for p in P})
+
+    return {
+        "raw_params": _raw,
+        "normalized": lambda s, d: _normal(s, d).select(*KEYS, *P),
+        "access_score": lambda s, d: _scored(s, d).select(*KEYS, "access_score"),
+        "business_rules": lambda s, d: _results(s, d).withColumn("violations", F.array_join("violations", ",")),
+        "score_brand_summary": lambda s, d: report.brand_summary(_results(s, d)),
+        "score_histogram": lambda s, d: report.score_histogram(_results(s, d)),
+        "brand_mean_sorted": lambda s, d: report.brand_means(_results(s, d)),
+        "step_burden": lambda s, d: report.step_burden(_results(s, d)),
+        "step_burden_melt": lambda s, d: report.burden_long(report.step_burden(_results(s, d))),
+        "kpi_row": lambda s, d: report.kpis(_results(s, d), _tasks_of_orders(s, d, "BRAND#")),
+        "score_breakdown": lambda s, d: rules.breakdown(_scored(s, d)),
+        "score_confidence": lambda s, d: _scored(s, d).select(*KEYS, score.confidence(F.col("estimated_access_score"), F.col("access_score")).alias("c")).select(*KEYS, "c.*"),
+        "score_sanity": lambda s, d: rules.sanity(_scored(s, d)),
+        "rescore_changes": lambda s, d: rules.rescore(_results(s, d)).where("changed").select(*KEYS, "old_score", "new_score"),
+        "light_validation": lambda s, d: rules.light_validation(_raw(s, d)).select(*KEYS, "reauth_required", "reauth_duration", F.array_join("corrections", ",").alias("corrections")),
+        "cross_row_consistency": lambda s, d: quality.consistency(_results(s, d)),
+        "distribution_drift": lambda s, d: quality.drift(_results(s, d), _expected(s)),
+        "completeness": lambda s, d: quality.completeness(_raw(s, d), P),
+        "expected_vs_actual": lambda s, d: quality.pair_gaps(_expected_pairs(s, d), fixtures.submissions(s, d)),
+        "run_totals": lambda s, d: report.run_totals(_results(s, d), rules.sanity(_scored(s, d))),
+        "completion_by_file": lambda s, d: report.completion(_tasks_of_orders(s, d), fixtures.records(s, d)),
+        "provider_counts": lambda s, d: report.provider_counts(fixtures.records(s, d)),
+        "best_record": lambda s, d: records.best_records(fixtures.records(s, d).select(*KEYS).distinct(), fixtures.records(s, d)).select(*KEYS, "pass_name", "provider", *P),
+        "pending_tasks": lambda s, d: records.pending(_tasks_of_orders(s, d).distinct(), fixtures.records(s, d)),
+        "record_diff": lambda s, d: records.diff(_raw(s, d, 1).select(*KEYS, *P), _raw(s, d).select(*KEYS, *P)),
+        "merge_records": lambda s, d: records.merge_chunks(fixtures.chunk_records(s, d)),
+        "fill_gaps": lambda s, d: records.fill_gaps(_raw(s, d), _raw(s, d, 1)),
+        "rule_priority_merge": lambda s, d: records.rules_over_model(na_to_null(_raw(s, d)), _raw(s, d, 1)),
+        "fallback_chain": lambda s, d: infer.with_fallback(fixtures.submissions(s, d), context.rule_extract(_layout(s, d).limit(0)), infer.parsed(s.createDataFrame([], "filename string, brand string, answer string"))),
+        "first_n_tasks": lambda s, d: tables.first_tasks(fixtures.submissions(s, d), n=50),
+        "page_relevance": lambda s, d: _scored_pages(s, d).select(*KEYS, "page_num", "relevance"),
+        "page_profile": lambda s, d: report.page_profile(_scored_pages(s, d)),
+        "relevance_band": lambda s, d: _scored_pages(s, d).groupBy(report.relevance_band(F.col("relevance")).alias("band")).agg(F.count("*").alias("n")),
+        "context_reduction": lambda s, d: report.context_reduction(_scored_pages(s, d), 1.0),
+        "context_pages_adjacent": lambda s, d: context.tagged_pages(_scored_pages(s, d)).select(*KEYS, "page_num", "tag"),
+        "context_page": lambda s, d: context.page_context(context.tagged_pages(_scored_pages(s, d))),
+        "context_paragraph": lambda s, d: context.kept_paragraphs(_scored_pages(s, d)),
+        "context_sentence": lambda s, d: context.sentence_context(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), ["license", "token"]),
+        "doc_type_counts": lambda s, d: context.document_types(_scored_pages(s, d), fixtures.policy_pages(s, d)).groupBy("document_type").agg(F.count("*").alias("n")),
+        "preferred_status": lambda s, d: context.preferred_status(_scored_pages(s, d)),
+        "universal_boundary": lambda s, d: context.universal_boundary(fixtures.policy_pages(s, d)),
+        "section_span": lambda s, d: context.section_span(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), F.contains("low", F.lit("the")), F.contains("low", F.lit("license"))).select(*KEYS, "page_num"),
+        "literature_flag": lambda s, d: _docs(s, d).select("doc_id", T.count_all(F.lower("text"), packs.STUDY_PATTERNS).cast("long").alias("n_study"), T.count_all(F.lower("text"), packs.POLICY_PATTERNS).cast("long").alias("n_policy")),
+        "connector": lambda s, d: _docs(s, d).select("doc_id", T.connector(F.col("text")).alias("connector")),
+        "token_budget": lambda s, d: _docs(s, d).select("doc_id", T.context_chars(F.length("text"), 6000, 2000).alias("chars")),
+        "sliding_chunks": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.sliding_chunks(F.col("text"))).alias("chunk_no", "chunk")),
+        "topk_chunks": lambda s, d: context.top_chunks(_docs(s, d), ["license", "token", "mail"]),
+        "budget_prefix": _budget_prefix,
+        "dry_run": _dry_run,
+        "paragraphs": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("ord", "para")),
+        "sentences": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("ord", "sentence")),
+        "packed_chunks": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.packed(F.split("text", "\n"), 2000, "\n")).alias("chunk_no", "chunk")),
+        "clean_text": lambda s, d: _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("text")),
+        "brand_window": lambda s, d: _docs(s, d).select("doc_id", T.window_around(F.col("text"), [F.lit("license")], 2000, 1000).alias("text")),
+        "param_snippet": lambda s, d: _docs(s, d).select("doc_id", T.snippet(F.col("text"), ["license", "token"], 500).alias("text")),
+        "routes": lambda s, d: context.routes(_docs(s, d)).groupBy("route").agg(F.count("*").alias("n")),
+        "rule_extract": lambda s, d: context.rule_extract(_layout(s, d)),
+        "step_analysis": lambda s, d: context.step_analysis(_layout(s, d)).select(*KEYS, "branded_steps", "generic_steps", "confidence", "phototherapy_mandatory", "phototherapy_in_or", F.size("requirements").alias("n_requirements"), "reauth_text"),
+        "infer_batch": _infer,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.sql()
