@@ -1,6 +1,9 @@
 """Normalisers of extracted values (N1-N10) and of output values (V1-V8).
 
-All of them are Column -> Column and stay within generated code.
+All are Column -> Column and stay within generated code. They take the stripped
+value, its lower case and its first number, which the caller computes once in
+projections of their own: used in many branches of a CASE, an expression would
+otherwise be compiled anew for each.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ def any_in(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
 
 
-def is_na(c: Column) -> Column:
-    return F.lower(strip(c)).isin(packs.NA_FORMS)
+def is_na(low: Column) -> Column:
+    return low.isin(packs.NA_FORMS)
 
 
-def first_number(c: Column) -> Column:
+def first_number(low: Column) -> Column:
     """Leading digits, or the first number word found anywhere, else null."""
-    low = F.lower(strip(c))
     digits = F.regexp_extract(low, r"^(\d+)", 1)
     words = F.when(F.lit(False), F.lit(0))
     for word, n in packs.NUMBER_WORDS.items():
@@ -36,10 +38,9 @@ def first_number(c: Column) -> Column:
     return F.when(digits != "", digits.try_cast("int")).otherwise(words)
 
 
-def yes_no(c: Column) -> Column:
-    low, own = F.lower(strip(c)), strip(c)
+def yes_no(own: Column, low: Column, n: Column) -> Column:
     return (
-        F.when(is_na(c), "NA")
+        F.when(is_na(low), "NA")
         .when(low.isin(packs.NO_FORMS), "No")
         .when(low.isin(packs.YES_FORMS) | any_in(low, packs.YES_PHRASES), "Yes")
         .when(any_in(low, packs.NO_PHRASES), "No")
@@ -48,13 +49,12 @@ def yes_no(c: Column) -> Column:
     )
 
 
-def step_count(c: Column) -> Column:
-    return F.when(is_na(c), "NA").otherwise(F.coalesce(first_number(c).cast("string"), F.lit("NA")))
+def step_count(own: Column, low: Column, n: Column) -> Column:
+    return F.when(is_na(low), "NA").otherwise(F.coalesce(n.cast("string"), F.lit("NA")))
 
 
-def duration(c: Column) -> Column:
+def duration(own: Column, low: Column, n: Column) -> Column:
     """Whole months as text, or NA."""
-    low, n = F.lower(strip(c)), first_number(c)
     at_least_one = lambda k: F.greatest(F.lit(1), F.floor(n / k)).cast("int")
     months = (
         F.when(F.contains(low, F.lit("year")), n * 12)
@@ -64,24 +64,20 @@ def duration(c: Column) -> Column:
         .when(n <= 400, at_least_one(30))
         .otherwise(n)
     )
-    return F.when(is_na(c) | any_in(low, packs.OPEN_ENDED) | n.isNull(), "NA").otherwise(months.cast("string"))
+    return F.when(is_na(low) | any_in(low, packs.OPEN_ENDED) | n.isNull(), "NA").otherwise(months.cast("string"))
 
 
-def age(c: Column) -> Column:
-    own = strip(c)
-    low = F.lower(own)
-    result = F.when(is_na(c), "NA").when(any_in(low, packs.AGELESS), "No")
+def age(own: Column, low: Column, n: Column) -> Column:
+    result = F.when(is_na(low), "NA").when(any_in(low, packs.AGELESS), "No")
     for pattern in packs.AGE_PATTERNS:
         result = result.when(low.rlike(pattern), F.concat(F.lit(">="), F.regexp_extract(low, pattern, 1)))
     return result.when(F.contains(low, F.lit("adult")) & ~F.contains(low, F.lit("pediatric")), ">=18").when(own.rlike(r"^\d+$"), F.concat(F.lit(">="), own)).otherwise(own)
 
 
-def specialist(c: Column) -> Column:
-    own = strip(c)
-    low = F.lower(own)
+def specialist(own: Column, low: Column, n: Column) -> Column:
     known = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(s)), F.lit(s.capitalize())) for s in packs.SPECIALISTS]))
     return (
-        F.when(is_na(c) | any_in(low, packs.ANY_SPECIALIST), "NA")
+        F.when(is_na(low) | any_in(low, packs.ANY_SPECIALIST), "NA")
         .when(F.size(known) > 0, F.array_join(known, ", "))
         .when(any_in(low, ["specialist", "board-certified"]), "Specialist")
         .when(F.length(own) <= 30, F.initcap(own))
@@ -89,30 +85,26 @@ def specialist(c: Column) -> Column:
     )
 
 
-def step_therapy(c: Column) -> Column:
-    own = strip(c)
-    low = F.lower(own)
-    return F.when(is_na(c), "NA").when(low.isin(packs.STEP_NO), "No").when(low.isin(packs.STEP_YES), "Yes").when(F.length(own) > 20, own).when(any_in(low, packs.STEP_WORDS), "Yes").otherwise(own)
+def step_therapy(own: Column, low: Column, n: Column) -> Column:
+    return F.when(is_na(low), "NA").when(low.isin(packs.STEP_NO), "No").when(low.isin(packs.STEP_YES), "Yes").when(F.length(own) > 20, own).when(any_in(low, packs.STEP_WORDS), "Yes").otherwise(own)
 
 
-def quantity(c: Column) -> Column:
-    own = strip(c)
-    low = F.lower(own)
+def quantity(own: Column, low: Column, n: Column) -> Column:
     dosage, limit = any_in(low, packs.DOSAGE_WORDS), any_in(low, packs.LIMIT_WORDS)
     return (
-        F.when(is_na(c), "NA")
+        F.when(is_na(low), "NA")
         .when(low.isin(packs.LIMIT_NO), "No")
         .when(low.isin("yes", "true"), "Yes")
         .when(dosage & ~limit, "NA")
         .when(limit, "Yes")
-        .when(F.length(own) <= 5, yes_no(c))
+        .when(F.length(own) <= 5, yes_no(own, low, n))
         .when(F.length(own) > 20, "Yes")
         .otherwise(own)
     )
 
 
-def free_text(c: Column) -> Column:
-    return F.when(is_na(c), "NA").otherwise(strip(c))
+def free_text(own: Column, low: Column, n: Column) -> Column:
+    return F.when(is_na(low), "NA").otherwise(own)
 
 
 #: The normaliser of each parameter.
@@ -132,11 +124,9 @@ BY_PARAM = {
 }
 
 
-def output_value(c: Column, param: str) -> Column:
-    """A parameter's value in the vocabulary of the final table."""
-    own = strip(c)
-    low = F.lower(own)
-    first = F.when(c.isNull() | low.isin("", "none"), "NA")
+def output_value(own: Column, low: Column, n: Column, param: str) -> Column:
+    """A parameter's value in the vocabulary of the final table; ``n`` is its whole number."""
+    first = F.when(own.isNull() | low.isin("", "none"), "NA")
     if param == "tb_test_required":
         rest = F.when(low.isin("yes", "y", "true", "1", "required"), "Y").when(low.isin("no", "n", "false", "0", "not required"), "No").when(low.isin("na", "n/a", "not applicable", "not mentioned"), "NA")
     elif param == "reauth_required":
@@ -146,7 +136,6 @@ def output_value(c: Column, param: str) -> Column:
     elif param == "quantity_limits":
         rest = F.when(low.isin("na", "n/a", "not applicable", "not mentioned", "unspecified", "not specified", "none"), "NA").when(low.isin("no", "n", "false", "0", "no quantity limit", "no quantity limits"), "No").when(low.isin("yes", "y", "true", "1"), "Yes")
     elif param in ("steps_through_brands", "steps_through_generic"):
-        n = whole_number(own)
         rest = F.when(low.isin("na", "n/a", "no", "none", "0", "not applicable", "not mentioned") | (n == 0), "NA").when(n.isNotNull(), n.cast("string"))
     elif param in ("initial_auth_duration", "reauth_duration"):
         run = F.regexp_extract(own, r"(\d+)", 1)

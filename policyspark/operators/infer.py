@@ -81,9 +81,9 @@ def two_groups(simple: DataFrame, complex_: DataFrame, simple_params: list[str])
 
 def retry_low_yield(record: DataFrame, second: DataFrame, least: int = 5) -> DataFrame:
     """Gaps of records with few real parameters filled from a second pass; others stay."""
-    from policyspark.functions.score import real_params
+    from policyspark.functions.score import real_params, text_of
 
-    n = real_params({p: F.col(p) for p in packs.PARAMS})
+    n = real_params({p: text_of(F.col(p)) for p in packs.PARAMS})
     cols = ["filename", "brand", *packs.PARAMS]
     low, enough = record.where(n < least).select(*cols), record.where(n >= least).select(*cols)
     return enough.unionByName(records.fill_gaps(low, second))

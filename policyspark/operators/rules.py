@@ -10,13 +10,30 @@ from policyspark.functions import normalize, score
 from policyspark.functions.normalize import whole_number
 
 
+def _staged(df: DataFrame, number) -> tuple[DataFrame, dict]:
+    """``df`` with each parameter stripped, lower-cased and read as a number, in three projections."""
+    names = [p for p in packs.PARAMS if p in df.columns]
+    df = df.withColumns({f"_own_{p}": normalize.strip(F.col(p).cast("string")) for p in names})
+    df = df.withColumns({f"_low_{p}": F.lower(f"_own_{p}") for p in names})
+    df = df.withColumns({f"_n_{p}": number(p) for p in names})
+    return df, {p: (F.col(f"_own_{p}"), F.col(f"_low_{p}"), F.col(f"_n_{p}")) for p in names}
+
+
+def _clean(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
+
+
 def normalize_records(df: DataFrame) -> DataFrame:
-    """Each parameter normalised once; other columns stay."""
-    return df.withColumns({p: f(F.coalesce(F.col(p).cast("string"), F.lit("None"))) for p, f in normalize.BY_PARAM.items() if p in df.columns})
+    """Each parameter normalised once; other columns stay. A null is the text 'None'."""
+    df = df.withColumns({p: F.coalesce(F.col(p).cast("string"), F.lit("None")) for p in packs.PARAMS if p in df.columns})
+    counted = ("steps_through_brands", "steps_through_generic", "initial_auth_duration", "reauth_duration")
+    staged, values = _staged(df, lambda p: normalize.first_number(F.col(f"_low_{p}")) if p in counted else F.lit(None).cast("int"))
+    return _clean(staged.withColumns({p: normalize.BY_PARAM[p](*v) for p, v in values.items()}))
 
 
 def output_values(df: DataFrame) -> DataFrame:
-    return df.withColumns({p: normalize.output_value(F.col(p), p) for p in packs.PARAMS if p in df.columns})
+    staged, values = _staged(df, lambda p: whole_number(F.col(f"_own_{p}")))
+    return _clean(staged.withColumns({p: normalize.output_value(*v, p) for p, v in values.items()}))
 
 
 def enforce_rules(df: DataFrame) -> DataFrame:
@@ -73,12 +90,22 @@ def light_validation(df: DataFrame) -> DataFrame:
     })
 
 
-def params_of(df: DataFrame) -> dict:
-    return {p: F.col(p) for p in packs.PARAMS}
+def with_facts(df: DataFrame) -> tuple[DataFrame, dict, dict]:
+    """``df`` with stripped texts and what scores are made of, and those columns by name."""
+    df = df.withColumns({f"_t_{p}": score.text_of(F.col(p)) for p in packs.PARAMS})
+    t = {p: F.col(f"_t_{p}") for p in packs.PARAMS}
+    df = df.withColumns(score.facts(t, F.col("brand")))
+    return df, t, {n: F.col(n) for n in score.FACTS}
 
 
 def score_records(df: DataFrame) -> DataFrame:
-    return df.withColumn("access_score", score.access_score(params_of(df), F.col("brand")))
+    """Adds access_score: one of 0, 25, 50, 75 and 100."""
+    df, t, f = with_facts(df)
+    df = df.withColumns(score.step_counts(t, f) | {"_held": score.restrictions(t, f), "_real": score.real_params(t)})
+    b, g = F.col("_steps_b"), F.col("_steps_g")
+    df = df.withColumn("_points", score.layered(b, g, F.col("_held"), f))
+    final = F.when(F.col("_real") < 2, 25).when((b >= 4) & (g >= 3), 0).when(b + g >= 7, 0).when(b >= 4, 25).otherwise(score.bucket(F.col("_points")))
+    return _clean(df.withColumn("access_score", final))
 
 
 def results(records: DataFrame) -> DataFrame:
@@ -98,15 +125,16 @@ def rescore(rows: DataFrame) -> DataFrame:
 
 def breakdown(rows: DataFrame) -> DataFrame:
     """A row for each component of the score."""
-    parts = [F.struct(F.lit(n).alias("component"), F.coalesce(v, F.lit("NA")).alias("value"), pts.alias("points"), F.lit(top).alias("max")) for n, v, pts, top in score.components(params_of(rows), F.col("brand"))]
+    rows, t, f = with_facts(rows)
+    own = {p: F.col(p) for p in packs.PARAMS}
+    parts = [F.struct(F.lit(n).alias("component"), F.coalesce(v, F.lit("NA")).alias("value"), pts.alias("points"), F.lit(top).alias("max")) for n, v, pts, top in score.components(own, t, f)]
     return rows.select("filename", "brand", F.explode(F.array(*parts)).alias("c")).select("filename", "brand", "c.*")
 
 
 def sanity(rows: DataFrame) -> DataFrame:
     """A row for each warning about a score that its parameters contradict."""
-    p = params_of(rows)
-    t = {k: score.text_of(v) for k, v in p.items()}
-    b, g = (F.coalesce(score.numeric(p[k]), F.lit(0)) for k in ("steps_through_brands", "steps_through_generic"))
+    rows, t, f = with_facts(rows)
+    b, g = F.coalesce(f["_b"], F.lit(0)), F.coalesce(f["_g0"], F.lit(0))
     s, total = F.col("access_score"), b + g
     none = t["step_therapy_requirements"].isin("No", "NA", "N/A", "")
     held = sum((x.cast("int") for x in (t["step_through_phototherapy"] == "Yes", t["tb_test_required"].isin("Yes", "Y"), t["quantity_limits"] == "Yes", ~t["specialist_types"].isin("NA", "N/A", "No", ""), t["reauth_required"] == "Yes")), F.lit(0))

@@ -280,7 +280,7 @@ def sql() -> dict[str, str]:
         "score_breakdown": components(),
         "score_confidence": SCORED + ", c AS (SELECT s.filename, s.brand, least(100, greatest(0, estimated_access_score)) AS e, access_score FROM scored s JOIN raw USING (filename, brand)) SELECT filename, brand, CASE WHEN estimated THEN e END AS llm_estimate, access_score AS deterministic, CASE WHEN estimated THEN abs(e - access_score) END AS diff, CASE WHEN NOT estimated THEN 'N/A' WHEN abs(e - access_score) <= 15 THEN 'High' WHEN abs(e - access_score) <= 30 THEN 'Medium' ELSE 'Low' END AS level FROM (SELECT c.*, raw.estimated_access_score IS NOT NULL AS estimated FROM c JOIN raw USING (filename, brand))",
         "score_sanity": sanity(),
-        "rescore_changes": RESULTS + ", " + scored("(SELECT * RENAME (access_score AS old_score) FROM ruled)", "again", "filename, brand, old_score") + " SELECT filename, brand, old_score, access_score AS new_score FROM again WHERE old_score IS DISTINCT FROM access_score",
+        "rescore_changes": RESULTS + ", " + scored("(SELECT * RENAME (access_score AS old_score) FROM ruled)", "again", "filename, brand, old_score") + " SELECT filename, brand, old_score, access_score AS new_score, old_score IS DISTINCT FROM access_score AS changed FROM again",
         "cross_row_consistency": consistency(),
         "distribution_drift": RESULTS + f", {expected_values()}, long AS ({unpivot('ruled')}), t AS (SELECT brand, count(*) AS n FROM ruled GROUP BY 1 HAVING count(*) >= 5), c AS (SELECT brand, \"column\", value, count(*) AS k FROM long GROUP BY 1, 2, 3) SELECT brand, \"column\", value, pct, coalesce(k, 0) * 100.0 / n AS actual_pct FROM expected JOIN t USING (brand) LEFT JOIN c USING (brand, \"column\", value) WHERE abs(coalesce(k, 0) * 100.0 / n - pct) > 25",
         "completeness": f"WITH {raw()} " + " UNION ALL ".join(f"SELECT filename, brand, '{p}' AS \"column\", 'empty' AS kind FROM raw WHERE {p} IS NULL OR trim({p}) = ''" for p in P),

@@ -106,7 +106,7 @@ def queries() -> dict[str, Query]:
         "score_breakdown": lambda s, d: rules.breakdown(_scored(s, d)),
         "score_confidence": lambda s, d: _scored(s, d).select(*KEYS, score.confidence(F.col("estimated_access_score"), F.col("access_score")).alias("c")).select(*KEYS, "c.*"),
         "score_sanity": lambda s, d: rules.sanity(_scored(s, d)),
-        "rescore_changes": lambda s, d: rules.rescore(_results(s, d)).where("changed").select(*KEYS, "old_score", "new_score"),
+        "rescore_changes": lambda s, d: rules.rescore(_results(s, d)).select(*KEYS, "old_score", "new_score", "changed"),
         "light_validation": lambda s, d: rules.light_validation(_raw(s, d)).select(*KEYS, "reauth_required", "reauth_duration", F.array_join("corrections", ",").alias("corrections")),
         "cross_row_consistency": lambda s, d: quality.consistency(_results(s, d)),
         "distribution_drift": lambda s, d: quality.drift(_results(s, d), _expected(s)),
@@ -121,7 +121,7 @@ def queries() -> dict[str, Query]:
         "merge_records": lambda s, d: records.merge_chunks(fixtures.chunk_records(s, d)),
         "fill_gaps": lambda s, d: records.fill_gaps(_raw(s, d), _raw(s, d, 1)),
         "rule_priority_merge": lambda s, d: records.rules_over_model(na_to_null(_raw(s, d)), _raw(s, d, 1)),
-        "fallback_chain": lambda s, d: infer.with_fallback(fixtures.submissions(s, d), context.rule_extract(_layout(s, d).limit(0)), infer.parsed(s.createDataFrame([], "filename string, brand string, answer string"))),
+        "fallback_chain": lambda s, d: infer.with_fallback(_layout(s, d), infer.readable(context.rule_extract(_layout(s, d)), P)),
         "first_n_tasks": lambda s, d: tables.first_tasks(fixtures.submissions(s, d), n=50),
         "page_relevance": lambda s, d: _scored_pages(s, d).select(*KEYS, "page_num", "relevance"),
         "page_profile": lambda s, d: report.page_profile(_scored_pages(s, d)),
