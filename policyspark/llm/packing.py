@@ -35,13 +35,13 @@ class InvertedIndex:
         lens = np.array([len(d) for d in docs], np.int64)
         doc = np.repeat(np.arange(len(docs), dtype=np.int64), lens)
         key, tf = np.unique(np.concatenate(docs).astype(np.int64) << 32 | doc, return_counts=True)
-        term, self.doc = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+        term, self.doc = key >> 32, key & 0xFFFFFFFF
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first = np.append(first, len(key))
         idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lens[self.doc] / max(1.0, lens.mean()))
         which = np.repeat(np.arange(len(self.terms)), df)
-        self.weight = (idf[which] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+        self.weight = idf[which] * tf * (K1 + 1) / (tf + norm)
         order = np.lexsort((-self.weight, self.doc))
         starts = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
         which = which[order]
@@ -50,11 +50,8 @@ class InvertedIndex:
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:
-        total = np.zeros(self.n, np.float32)
-        for t in self.query[seed].tolist():
-            a, b = self.first[t], self.first[t + 1]
-            total[self.doc[a:b]] += self.weight[a:b]
-        return total
+        lists = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed].tolist()]
+        return np.bincount(np.concatenate([self.doc[p] for p in lists]), np.concatenate([self.weight[p] for p in lists]), self.n)
 
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
