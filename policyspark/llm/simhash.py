@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policyspark.llm import resemblance
 from policyspark.llm.bpe import slices
 from policyspark.llm.common import bound_batches, materialize, shuffle_partitions
 
@@ -301,7 +302,15 @@ def hex_fingerprint(column: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def drop_near_copies(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id."""
-    kept = simhash_components(docs, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def drop_near_copies(docs: DataFrame, bits: int = 3, size: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
+
+    Components of fingerprints go first. Of what is left, texts whose sets of
+    ``words``-word shingles have at least ``similarity`` form groups too, since
+    their fingerprints are often further apart than a tree can prune.
+    """
+    alone = simhash_components(docs, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    alone = materialize(alone, "alone")
+    left = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc_id"]), "left_semi")
+    copies = contract(resemblance.similar_pairs(left, words, similarity)).select(F.col("u").alias("doc_id")).distinct()
+    return left.join(copies, "doc_id", "left_anti").select(*docs.columns)
