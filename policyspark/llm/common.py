@@ -53,6 +53,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(rows: DataFrame, by_key: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``by_key``, a row a key with the number of its rows in ``size``.
+
+    Keys with over 1/``share`` of all rows, of which there are at most
+    ``share``, are broadcast, so no task gets a hot key; others meet by a shuffle.
+    """
+    total = by_key.agg(F.sum(size)).first()[0] or 0
+    hot = by_key.where(F.col(size) * share > total).drop(size)
+    rest = by_key.where(F.col(size) * share <= total).drop(size)
+    calm = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(calm)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, materialize
+from policyspark.llm.common import bound_batches, join_hot, materialize
 
 BUCKETS = 1 << 14
 #: Trigrams beyond which further ones add nothing to the text's weight.
@@ -112,7 +112,7 @@ def fuse(rows: DataFrame, languages: list[str], kappa_host: float = 10.0, kappa_
     rows = rows.withColumn("q", soft)
     each = [F.col("q")[i].alias(n) for i, n in enumerate(names)]
     sums = [F.sum(n).alias(n) for n in names]
-    host = rows.select("host", "domain", "suffix", *each).groupBy("host", "domain", "suffix").agg(*sums)
+    host = rows.select("host", "domain", "suffix", *each).groupBy("host", "domain", "suffix").agg(*sums, F.count("*").alias("size"))
     domain = host.groupBy("domain").agg(*sums)
     whole = domain.agg(*sums).first()  # one row
     mass = [float(whole[n] or 0.0) for n in names]
@@ -128,7 +128,8 @@ def fuse(rows: DataFrame, languages: list[str], kappa_host: float = 10.0, kappa_
     suffix = suffix.select("suffix", *[((F.col(n) + kappa_domain * p) / (sum((F.col(m) for m in names), F.lit(0.0)) + kappa_domain) / p).alias(f"s{i}") for i, (n, p) in enumerate(zip(names, overall))])
     domain = domain.select("domain", *smooth(domain, "d", kappa_domain, [F.lit(p) for p in overall]))
     host = host.join(domain, "domain").join(suffix, "suffix")
-    host = host.select("host", "domain", "suffix", F.array(*[F.log(c) for c in smooth(host, "h", kappa_host, [F.col(f"d{i}") for i in range(k)])]).alias("prior"), F.array(*[F.log(f"s{i}") for i in range(k)]).alias("by_suffix"))
+    host = host.select("host", "domain", "suffix", "size", F.array(*[F.log(c) for c in smooth(host, "h", kappa_host, [F.col(f"d{i}") for i in range(k)])]).alias("prior"), F.array(*[F.log(f"s{i}") for i in range(k)]).alias("by_suffix"))
+    host = materialize(host, "hosts")
 
     declared = rows.select("declared", *each).groupBy("declared").agg(*sums).collect()  # known languages, other, none
     seen = {r["declared"]: [r[n] for n in names] for r in declared}
@@ -137,7 +138,7 @@ def fuse(rows: DataFrame, languages: list[str], kappa_host: float = 10.0, kappa_
         if tag != "none":
             logs = [float(np.log((row[i] + alpha) / (mass[i] + alpha * (k + 1)))) for i in range(k)]
             by_declared = F.when(F.col("declared") == tag, F.array(*[F.lit(x) for x in logs])).otherwise(by_declared)
-    joined = rows.join(host, ["host", "domain", "suffix"])
+    joined = join_hot(rows, host, ["host", "domain", "suffix"], "size")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     post = _softmax(add(add(F.col("ll"), by_declared), add(F.col("prior"), F.col("by_suffix"))))
     named = F.array(*[F.lit(x) for x in languages])
