@@ -16,10 +16,14 @@ import regex
 
 from policyspark.llm.common import CHUNK, WHITE
 
-#: Pieces that a worker's memo holds; then it starts anew.
-MEMO = 600_000
+#: Pieces, and their characters, that a worker's memo holds; then it starts anew.
+MEMO, MEMO_CHARS = 600_000, 1 << 25
 #: Characters that Python's split() takes for white space, unlike tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Where it is absent, every blank begins a piece of its own.
+_BLANK_AFTER_WHITE = re.compile(f"[{WHITE}] ")
+#: A word, after one blank at most.
+_PLAIN = re.compile(f" ?[^{WHITE}\x1c-\x1f]+").fullmatch
 _WORDS = re.compile(f"[^{WHITE}]+")
 _workers: dict[str, "MemoEncoder"] = {}
 
@@ -44,7 +48,7 @@ class MemoEncoder:
         self.lib.no_truncation()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.kind, self.memo = "whole", {}
+        self.kind, self.memo, self.after_blank, self.held = "whole", {}, {}, 0
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind = "byte"
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -53,10 +57,34 @@ class MemoEncoder:
             if pattern["behavior"] == "Removed" and pattern["invert"]:
                 self.kind = "word"
                 self.split = regex.compile(pattern["pattern"]["Regex"]).findall
+        vocab = self.lib.get_vocab()
+        self.between, self.ends = "\n" if self.kind == "byte" else " ", np.zeros(max(vocab.values()) + 1, bool)
+        suffix = spec["model"].get("end_of_word_suffix")
+        if self.kind == "byte":
+            self.ends[self.lib.encode("\n", add_special_tokens=False).ids] = True
+        elif suffix:
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
+    def _library_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens: in one text, parted so that the ids of each can be told."""
+        plain = [w for w in words if _PLAIN(w)]
+        if len(plain) < 4:
+            return self._library(words)
+        ids = np.array(self.lib.encode_batch_fast([self.between.join(plain) + self.between], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(plain):
+            return self._library(words)
+        raw, stops = ids.tobytes(), (4 * last).tolist()
+        gap = 4 if self.kind == "byte" else 0  # the parting line feed's own id goes
+        stops = stops if gap else [s + 4 for s in stops]
+        found = {w: raw[a:b] for w, a, b in zip(plain, [0, *[s + gap for s in stops[:-1]]], stops)}
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._library(others) if others else []))
+        return [found[w] for w in words]
+
     def _cut(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
@@ -69,22 +97,39 @@ class MemoEncoder:
         text = text.lower()
         return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
+    def _learn(self, memo: dict[str, bytes], pieces: list[str], before: str) -> None:
+        """Puts the ids of ``before`` plus each piece into ``memo``."""
+        new = {c for c in pieces if c not in memo}
+        parts = {c: [before + c] if c.isalpha() else self.split(before + c) for c in new}
+        fresh = list({p for ps in parts.values() for p in ps})
+        ids = dict(zip(fresh, self._library_words(fresh)))
+        memo.update((c, b"".join([ids[p] for p in ps])) for c, ps in parts.items())
+        self.held += sum(map(len, new))
+
+    def _joined(self, memo: dict[str, bytes], pieces: list[str], before: str = "") -> bytes:
+        try:
+            return b"".join(map(memo.__getitem__, pieces))
+        except KeyError:
+            self._learn(memo, pieces, before)
+            return b"".join(map(memo.__getitem__, pieces))
+
+    def _one(self, text: str) -> bytes | None:
+        if self.kind == "byte" and not _BLANK_AFTER_WHITE.search(text) and not any(s in text for s in self.special):
+            first, *rest = text.split(" ")
+            return self._joined(self.memo, [first]) + self._joined(self.after_blank, rest, " ")
+        pieces = self._cut(text)
+        return None if pieces is None else self._joined(self.memo, pieces)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._library(texts)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        cut = [self._cut(t) for t in texts]
-        new = {c for pieces in cut if pieces is not None for c in pieces if c not in memo}
-        if new:
-            parts = {c: self.split(c) for c in new}
-            fresh = list({p for ps in parts.values() for p in ps if p not in memo})
-            memo.update(zip(fresh, self._library(fresh)))
-            memo.update((c, b"".join([memo[p] for p in ps])) for c, ps in parts.items())
-        get = memo.__getitem__
-        out = [b"" if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
-        whole = [i for i, pieces in enumerate(cut) if pieces is None]
+        out: list[bytes | None] = []
+        for t in texts:
+            if len(self.memo) + len(self.after_blank) > MEMO or self.held > MEMO_CHARS:
+                self.memo.clear(), self.after_blank.clear()
+                self.held = 0
+            out.append(self._one(t))
+        whole = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
             out[i] = ids
         return out
