@@ -17,7 +17,7 @@ import regex
 from policyspark.llm.common import CHUNK, WHITE
 
 #: Pieces, and their characters, that a worker's memo holds; then it starts anew.
-MEMO, MEMO_CHARS = 600_000, 1 << 25
+MEMO, MEMO_CHARS = 1_200_000, 1 << 25
 #: Characters that Python's split() takes for white space, unlike tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Where it is absent, every blank begins a piece of its own.
