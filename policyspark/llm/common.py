@@ -66,6 +66,27 @@ def join_hot(rows: DataFrame, by_key: DataFrame, keys: list[str], size: str, sha
     return rows.join(F.broadcast(hot), keys).unionByName(calm)
 
 
+def contract(edges: DataFrame) -> DataFrame:
+    """Alternating large and small stars: (u, root) for every u that isn't a root."""
+
+    def lowest(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m"))
+
+    edges = materialize(edges.where("u <> v"), "edges")
+    before = None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges
+        before = state
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(lowest(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = lowest(down)
+        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialize(small, "edges")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -9,8 +9,11 @@ is left at a similarity of 0.8.
    over 0.999.
 2. Rows of a key are dealt into ``SALTS`` parts. A part's rows are paired with
    its lowest doc_id, and those with the key's lowest, so a group of any size
-   gives one pair a row and key, and no task gets a whole hot group.
-3. The exact similarity of each distinct pair decides.
+   gives one pair a row and key, and no task gets a whole hot group. The exact
+   similarity of each distinct pair decides.
+3. These links join most of a group. Keys whose rows are still in several
+   components are compared in full: all pairs of rows that aren't joined yet, in
+   tasks of two blocks of about ``BLOCK`` rows.
 """
 
 from __future__ import annotations
@@ -22,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, materialize
+from policyspark.llm.common import bound_batches, contract, join_hot, materialize
 
 BANDS, ROWS = 20, 5
 SALTS = 64
+BLOCK = 128
 _STEP = 1 << 13
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(42)
@@ -61,8 +65,13 @@ def band_keys(shingles: np.ndarray) -> list[int] | None:
     return key.view(np.int64).tolist()
 
 
-def candidates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """Distinct pairs (u, v), u > v, of doc_ids that share a key."""
+def alike(x: int, y: int, common: np.ndarray | int, similarity: float) -> np.ndarray | bool:
+    """Whether sets of sizes x and y with so many common elements have at least ``similarity``."""
+    return (common > 0) & (common >= similarity * (x + y - common))
+
+
+def keyed(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id and key of every row with a doc_id and words, a row for each of its bands."""
     bound_batches(docs.sparkSession)
 
     def stage(batches):
@@ -72,8 +81,17 @@ def candidates(docs: DataFrame, size: int = 5) -> DataFrame:
                 keys = [band_keys(shingle_set(t, size)) for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(stage, "doc_id long, keys array<long>")
-    rows = materialize(keyed, "keys").select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(stage, "doc_id long, keys array<long>")
+    return materialize(found, "keys").select("doc_id", F.explode("keys").alias("key"))
+
+
+def candidates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """Distinct pairs (u, v), u > v, of doc_ids that share a key, of which v is the lowest of its part or key."""
+    return _stars(keyed(docs, size))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     parts = materialize(rows.withColumn("v", F.min("doc_id").over(Window.partitionBy("key", "salt"))).where("doc_id > v").select("doc_id", "v").union(_tops(rows)).distinct(), "candidates")
     return parts.select(F.col("doc_id").alias("u"), "v")
 
@@ -83,13 +101,105 @@ def _tops(rows: DataFrame) -> DataFrame:
     return tops.withColumn("v", F.min("doc_id").over(Window.partitionBy("key"))).where("doc_id > v").select("doc_id", "v")
 
 
+def _open_groups(placed: DataFrame) -> DataFrame:
+    """key, rows m, largest component and its rows g, of keys with rows in several components; one key of those that hold the same rows."""
+    mark = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("mark")
+    each = placed.groupBy("key", "component").agg(F.count("*").alias("n"), mark, F.min("doc_id").alias("low"))
+    whole = each.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("m"), F.sum("mark").alias("mark"), F.min("low").alias("low"), F.max(F.struct("n", "component")).alias("top")).where("c > 1")
+    return whole.groupBy("m", "mark", "low").agg(F.min(F.struct("key", F.col("top.n").alias("g"), F.col("top.component").alias("largest"))).alias("k")).select("k.*", "m")
+
+
+def _blocks(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row of doc_id, component, key, a, b, side for each task (key, a, b) that a row takes part in.
+
+    Blocks from 0 hold the rows outside the key's largest component; each of
+    them meets itself, the others, and the blocks after them, which hold the
+    largest component's rows and needn't meet one another.
+    """
+    outer, inner = F.ceil((F.col("m") - F.col("g")) / BLOCK), F.ceil(F.col("g") / BLOCK)
+    rows = join_hot(placed, groups.withColumn("size", F.col("m")), ["key"], "size").withColumns({"outer": outer, "inner": inner})
+    mine = F.col("component") == F.col("largest")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.when(mine, F.col("inner")).otherwise(F.col("outer"))) + F.when(mine, F.col("outer")).otherwise(0))
+    last = F.when(mine, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    other = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other")
+    return rows.select("doc_id", "component", "key", "own", other).select("doc_id", "component", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def block_links(ids: list[int], components: list[int], sets: list[np.ndarray], sides: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all alike rows of different components: within side 0 if there is no side 1, else between both."""
+    root: dict[int, int] = {c: c for c in components}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left, right = [i for i, s in enumerate(sides) if not s], [i for i, s in enumerate(sides) if s]
+    alone, found = not right, []
+    right = right or left
+    sizes = np.array([len(sets[i]) for i in right], np.int64)
+    every = np.concatenate([sets[i] for i in right]) if right else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(right)), sizes)
+    for k, i in enumerate(left):
+        x = sets[i]
+        if alone and k == 0 or all(find(components[j]) == find(components[i]) for j in right):
+            continue
+        common = np.zeros(len(right), np.int64)
+        if len(x):
+            at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+            common = np.bincount(owner[x[at] == every], minlength=len(right))
+        for at in np.flatnonzero(alike(len(x), sizes, common, similarity)).tolist():
+            j = right[at]
+            p, q = find(components[i]), find(components[j])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return found
+
+
+def _rest(rows: DataFrame, texts: DataFrame, roots: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links between rows that share a key and that ``roots`` doesn't join, from all their pairs."""
+    placed = rows.join(roots.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("doc_id", "key", F.coalesce("v", "doc_id").alias("component"))
+    placed = materialize(placed, "placed")
+    dealt = _blocks(placed, materialize(_open_groups(placed), "groups")).join(texts, "doc_id")
+
+    def stage(batches):
+        now, held = None, []
+        memo: dict[str, np.ndarray] = {}
+
+        def close():
+            memo.clear()
+            for _, _, _, text in held:
+                if text not in memo:
+                    memo[text] = shingle_set(text, size)
+            found = block_links([h[0] for h in held], [h[1] for h in held], [memo[h[3]] for h in held], [h[2] for h in held], similarity)
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            names = ["key", "a", "b", "doc_id", "component", "side", "text"]
+            for key, a, b, *row in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names)):
+                if (key, a, b) != now:
+                    yield from close()
+                    now, held = (key, a, b), []
+                held.append(row)
+        yield from close()
+
+    order = ["key", "a", "b", "side"]
+    return dealt.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(stage, "u long, v long")
+
+
 def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (u, v) between doc_ids whose shingle sets have at least ``similarity``.
+    """Links (u, v) that join doc_ids whose shingle sets have at least ``similarity``.
 
     Texts without words and rows without doc_id have no links; equal texts do.
-    Of a group, enough links to join its members are returned, not all pairs.
+    Of a group, enough links to join its members are returned, not all pairs;
+    every pair that shares a key is compared unless others join it already.
     """
-    pairs = candidates(docs, size)
+    rows = keyed(docs, size)
+    pairs = _stars(rows)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
@@ -103,9 +213,9 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Da
                     seen.clear()  # one lowest document at a time
                     seen[text] = shingle_set(text, size)
                 y = seen[text]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(common > 0 and common >= similarity * (len(x) + len(y) - common))
+                kept.append(bool(alike(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), similarity)))
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
-    return both.mapInArrow(stage, "u long, v long")
+    roots = contract(both.mapInArrow(stage, "u long, v long"))
+    return roots.union(_rest(rows, texts, roots, size, similarity))

@@ -76,3 +76,21 @@ def test_odd_rows(spark):
     assert kept.where("doc_id is null").count() == 1
     assert simhash.drop_near_copies(odd.limit(0)).count() == 0
     assert resemblance.similar_pairs(odd.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("block", [128, 16])
+def test_original_amid_its_copies_ids(spark, block, monkeypatch):
+    """Copies are like the original only, which is neither the lowest of its keys nor of their parts."""
+    monkeypatch.setattr(resemblance, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(11)
+    for n in (11, 31, 101):
+        base, group = [f"w{i}" for i in range(400)], []
+        for k in range(n):
+            some = list(base)
+            for at in range(5, 395, 56) if k != n // 2 else ():
+                some[at + int(rng.integers(0, 50))] = f"c{k}x{at}"
+            group.append(" ".join(some))
+        sets = [words_of(t) for t in group]
+        assert all(alike(sets[k], sets[n // 2]) for k in range(n)) and not alike(sets[0], sets[1])
+        links = resemblance.similar_pairs(made(spark, group))
+        assert simhash.contract(links).where("v = 0").select("u").distinct().count() == n - 1
