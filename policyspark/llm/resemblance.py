@@ -66,8 +66,8 @@ def band_keys(shingles: np.ndarray) -> list[int] | None:
 
 
 def alike(x: int, y: int, common: np.ndarray | int, similarity: float) -> np.ndarray | bool:
-    """Whether sets of sizes x and y with so many common elements have at least ``similarity``."""
-    return (common > 0) & (common >= similarity * (x + y - common))
+    """Whether sets of sizes x and y with so many common elements have at least ``similarity``; empty sets are equal."""
+    return ((common > 0) | (x + y == 0)) & (common >= similarity * (x + y - common))
 
 
 def keyed(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -191,14 +191,18 @@ def _rest(rows: DataFrame, texts: DataFrame, roots: DataFrame, size: int, simila
     return dealt.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(stage, "u long, v long")
 
 
-def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, groups: DataFrame | None = None) -> DataFrame:
     """Links (u, v) that join doc_ids whose shingle sets have at least ``similarity``.
 
     Texts without words and rows without doc_id have no links; equal texts do.
     Of a group, enough links to join its members are returned, not all pairs;
     every pair that shares a key is compared unless others join it already.
+    ``groups`` (doc_id, key) holds further keys; by them, texts without words
+    link as well.
     """
     rows = keyed(docs, size)
+    if groups is not None:
+        rows = materialize(rows.union(groups.select("doc_id", "key")), "rows")
     pairs = _stars(rows)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")

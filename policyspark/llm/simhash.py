@@ -284,12 +284,11 @@ def hex_fingerprint(column: str = "fp") -> Column:
 def drop_near_copies(docs: DataFrame, bits: int = 3, size: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Components of fingerprints go first. Of what is left, texts whose sets of
-    ``words``-word shingles have at least ``similarity`` form groups too, since
-    their fingerprints are often further apart than a tree can prune.
+    Components of fingerprints and keys of bands propose; only texts whose sets
+    of ``words``-word shingles have at least ``similarity`` are linked. Texts
+    without words are copies of one another, and rows without doc_id stay.
     """
-    alone = simhash_components(docs, bits, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    alone = materialize(alone, "alone")
-    left = docs.join(alone, docs["doc_id"].eqNullSafe(alone["doc_id"]), "left_semi")
-    copies = contract(resemblance.similar_pairs(left, words, similarity)).select(F.col("u").alias("doc_id")).distinct()
-    return left.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    members = materialize(simhash_components(docs, bits, size).where("doc_id <> component_id"), "members").withColumn("key", F.xxhash64("component_id", F.lit("fingerprint")))
+    groups = members.select("doc_id", "key").union(members.select("component_id", "key")).distinct()
+    copies = contract(resemblance.similar_pairs(docs, words, similarity, groups)).select(F.col("u").alias("_copy")).distinct()
+    return docs.join(copies, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti").select(*docs.columns)

@@ -94,3 +94,13 @@ def test_original_amid_its_copies_ids(spark, block, monkeypatch):
         assert all(alike(sets[k], sets[n // 2]) for k in range(n)) and not alike(sets[0], sets[1])
         links = resemblance.similar_pairs(made(spark, group))
         assert simhash.contract(links).where("v = 0").select("u").distinct().count() == n - 1
+
+
+def test_close_fingerprints_alone_are_no_copies(spark):
+    """One repeated line rules the fingerprints of texts that share nothing else."""
+    line = " same menu line of every single page" * 200
+    group = [" ".join(f"d{k}x{i}" for i in range(300)) + line for k in range(3)]
+    prints = simhash.simhash_texts(group).view(np.uint64)
+    assert all(np.bitwise_count(prints[k] ^ prints[0]) <= 3 for k in range(3))
+    group.append(group[1] + " end")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(made(spark, group)).collect()) == [0, 1, 2]
