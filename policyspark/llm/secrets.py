@@ -27,30 +27,42 @@ DICTIONARY = 400
 _PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|-----BEGIN)"
 
 
+def _places(pattern: str, group: int = 0) -> Column:
+    """(start, candidate) of every match in ``text``; a group must end one character before its match does.
+
+    The text is parted at its matches, and the lengths of parts and matches add up to the places.
+    """
+    whole, value = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    matches = F.zip_with(whole, value, lambda w, c: F.struct(F.length(w).alias("n"), c.alias("c"))) if group else F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("c")))
+    parts = F.zip_with(F.split("text", pattern, -1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,candidate:string>>").alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        end = a["at"] + x["gap"] + F.coalesce(x["m"]["n"], F.lit(0))
+        start = end - F.length(x["m"]["c"]) - (1 if group else 0)
+        place = F.struct(start.alias("start"), x["m"]["c"].alias("candidate"))
+        return F.struct(end.alias("at"), F.when(x["m"].isNull(), a["found"]).otherwise(F.array_append(a["found"], place)).alias("found"))
+
+    return F.aggregate(parts, none, step, lambda a: a["found"])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, candidate, start (0-based code point), before, after and path, once per text and string.
+    """doc_id, candidate, start (0-based code point), before, after and path, once per text, string and place.
 
     Only texts in which a pattern matches are taken apart. A null text has no
     candidates; ``path`` is the document's source.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
     rows = rows.where(has_candidate(F.col("text")))
-    found = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(PEM), F.lit(0)), F.regexp_extract_all("text", F.lit(RUN), F.lit(0)), F.regexp_extract_all("text", F.lit(GIVEN), F.lit(1))))
-
-    def around(c: Column) -> Column:
-        at = F.instr(F.col("text"), c)
-        # evaluated once for each candidate
-        return F.element_at(
-            F.transform(
-                F.array(at),
-                lambda p: F.struct(
-                    c.alias("candidate"),
-                    (p - 1).cast("long").alias("start"),
-                    F.substring("text", F.greatest(p - BEFORE, F.lit(1)), F.least(p - 1, F.lit(BEFORE))).alias("before"),
-                    F.substring("text", p + F.length(c), F.lit(AFTER)).alias("after"),
-                ),
-            ),
-            1,
+    found = F.array_distinct(F.concat(_places(PEM), _places(RUN), _places(GIVEN, 1)))
+
+    def around(f: Column) -> Column:
+        at, c = f["start"], f["candidate"]
+        return F.struct(
+            c.alias("candidate"),
+            at.cast("long").alias("start"),
+            F.substring("text", F.greatest(at + 1 - BEFORE, F.lit(1)), F.least(at, F.lit(BEFORE))).alias("before"),
+            F.substring("text", at + 1 + F.length(c), F.lit(AFTER)).alias("after"),
         )
 
     return rows.select("doc_id", "path", F.explode(F.transform(found, around)).alias("f")).select("doc_id", "path", "f.*")
@@ -177,8 +189,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5)
 
     doc_id, start, length, kind, candidate, score, is_secret. Null and empty
     texts and empty tables have none; repeated rows are reported once each; a
-    string that a text repeats is reported at its first place. Columns besides
-    doc_id, source and text are ignored.
+    string that a text repeats is reported and judged at each of its places.
+    Columns besides doc_id, source and text are ignored.
     """
     words = dictionary(docs)
     model = train(findings if findings is not None else labelled_findings(docs.sparkSession, words), words)
@@ -190,6 +202,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5)
 def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by ``MARK``; rows, columns and order of columns stay.
 
+    A string that is a secret at any of its places is replaced at all of them.
     n_chars, where there is one, follows the new text. Texts without candidates
     are not shuffled.
     """

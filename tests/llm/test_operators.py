@@ -223,6 +223,25 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_secrets_at_every_place(spark):
+    """Each place has its own offset and verdict, and a string that is once a secret goes everywhere."""
+    import re
+
+    s, p = "04dbebab91ab85687d33eeaaf9ac699e1188f962", 'Tr0ub4dor&3'
+    pem = "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----"
+    texts = [f'été 😀 commit {s} and then token = "{s}" end {s}', f'x{s}z {s} password: "{p}" or PWD = \'{p}\' {pem} {pem}', s, f"{s}\n{s}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = secrets.candidates(docs).collect()
+    want = {(i, m.start(g), m[g]) for i, t in enumerate(texts) for q, g in ((secrets.PEM, 0), (secrets.RUN, 0), (secrets.GIVEN, 1)) for m in re.finditer(q, t)}
+    assert len(rows) == len(want) and {(r["doc_id"], r["start"], r["candidate"]) for r in rows} == want
+    for r in rows:
+        t, a, b = texts[r["doc_id"]], r["start"], r["start"] + len(r["candidate"])
+        assert (r["before"], r["after"]) == (t[max(0, a - secrets.BEFORE) : a], t[b : b + secrets.AFTER])
+    said = {r["start"]: r["is_secret"] for r in secrets.scan(docs).where("doc_id = 0").collect()}
+    assert not said[texts[0].index(s)] and any(said.values())
+    assert secrets.redact(docs).where("doc_id = 0").where(F.col("text").contains(s)).count() == 0
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
