@@ -6,7 +6,10 @@ of a document) / low terms can lie in it, whatever the number of documents, so
 it is a single bounded array. Each document keeps its distinct terms of that
 lexicon, sorted, and hashes them in several randomised subsets of the lexicon:
 ``SUBSETS`` subsets that hold each term with a chance of 1 in ``RATES``. A term
-is known by its 64-bit hash.
+is known by its 64-bit hash. Shares are those of distinct texts, so copies don't
+move a term out of the band. A text with fewer than ``FEW`` terms of the lexicon
+is known by subsets of all its own terms instead: for each, the term that comes
+first in a random order.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from policyspark.llm.common import materialize, shuffle_partitions, text_or_empt
 RATES = ((8, 8), (32, 12), (128, 12))
 SUBSETS = [r for r, n in RATES for _ in range(n)]
 LOW, HIGH = 0.005, 0.2
+FEW = 8
 _EMPTY = "--------"
 _LEAST = -(2**63)
 
@@ -31,9 +35,12 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with ``terms``: the sorted hashes of all terms in the band."""
+    """One row with ``terms``: the sorted hashes of all terms in the band, counted over distinct texts."""
+    text = text_or_empty()
+    docs = docs.select(text.alias("text")).groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text"))
+    docs = materialize(docs.select(term_hashes(F.col("text")).alias("own")), "distinct")
     n = docs.count()
-    terms = docs.select(F.explode(term_hashes(text_or_empty())).alias("term"))
+    terms = docs.select(F.explode("own").alias("term"))
     band = terms.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= max(2, low * n)) & (F.col("df") <= high * n))
     return band.agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
@@ -46,8 +53,7 @@ def within(text: Column, terms: Column) -> Column:
 def fingerprint(text: Column, kept: Column) -> Column:
     """Eight hex digits for each subset, or ``_EMPTY`` where it has no term of ``kept``.
 
-    A text without any term of the lexicon is known by all its terms: 'x' and a
-    hash of them, sorted.
+    A text with few terms of the lexicon has 'x' and its ``marks``.
     """
     rates = F.array(*[F.lit(r) for r in SUBSETS])
 
@@ -57,20 +63,31 @@ def fingerprint(text: Column, kept: Column) -> Column:
         return F.element_at(F.transform(F.array(chosen), lambda c: F.when(F.size(c) == 0, _EMPTY).otherwise(F.right(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit(8)))), 1)
 
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1)), part), "")
-    return F.when(F.size(kept) > 0, whole).otherwise(F.concat(F.lit("x"), F.lower(F.hex(F.xxhash64(F.array_sort(term_hashes(text)))))))
+    return F.when(F.size(kept) >= FEW, whole).otherwise(marks(text))
+
+
+def marks(text: Column) -> Column:
+    """'x' and for each of as many random orders eight hex digits of the text's first term; 'x' alone of a text without terms."""
+
+    def of(terms: Column) -> Column:
+        first = lambda k: F.array_min(F.transform(terms, lambda t: F.xxhash64(t, k)))
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1)), lambda k: F.right(F.lpad(F.hex(first(k)), 16, "0"), F.lit(8))), "")
+
+    return F.concat(F.lit("x"), F.element_at(F.transform(F.array(term_hashes(text)), of), 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that are not empty for both."""
+    """Share of equal hashes among the subsets that are not empty for both; of one kind of fingerprint with the other, 0."""
 
     def part(x: Column, k: Column) -> Column:
         return F.substring(x, k * 8 + 1, F.lit(8))
 
     places = F.sequence(F.lit(0), F.lit(len(SUBSETS) - 1))
-    used = F.size(F.filter(places, lambda k: (part(a, k) != _EMPTY) | (part(b, k) != _EMPTY)))
-    same = F.size(F.filter(places, lambda k: (part(a, k) == part(b, k)) & (part(a, k) != _EMPTY)))
-    whole = a.startswith("x") | b.startswith("x")
-    return F.when(a == b, 1.0).when(whole | (used == 0), 0.0).otherwise(same / used)
+    x, y = F.ltrim(a, F.lit("x")), F.ltrim(b, F.lit("x"))
+    used = F.size(F.filter(places, lambda k: (part(x, k) != _EMPTY) | (part(y, k) != _EMPTY)))
+    same = F.size(F.filter(places, lambda k: (part(x, k) == part(y, k)) & (part(x, k) != _EMPTY)))
+    apart = (a.startswith("x") != b.startswith("x")) | (x == "") | (y == "")
+    return F.when(a == b, 1.0).when(apart | (used == 0), 0.0).otherwise(same / used)
 
 
 def following(docs: DataFrame) -> DataFrame:
@@ -113,6 +130,8 @@ def imatch(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text"), F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited"), F.col("edited_kept")).alias("edited_fingerprint"),
+        # where the edit changes the kind of fingerprint, both texts are compared by all their terms
+        F.when((F.size("kept") < FEW) != (F.size("edited_kept") < FEW), likeness(marks(F.col("text")), marks(F.col("edited")))).alias("mixed"),
     )
     done = materialize(done, "fingerprints")
     after = done.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("key", "next_key")
@@ -123,6 +142,6 @@ def imatch(docs: DataFrame) -> DataFrame:
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        F.coalesce("mixed", likeness(F.col("fingerprint"), F.col("edited_fingerprint"))).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

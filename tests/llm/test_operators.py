@@ -188,6 +188,19 @@ def test_imatch(spark, docs, odd):
             assert np.mean([r["near_edited"] for r in got.values()]) > 5 * np.mean([r["near_next"] for r in got.values()])
 
 
+def test_imatch_of_hot_and_rare_texts(spark):
+    """Copies don't move terms out of the band, and texts without terms of the band keep a graded likeness."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 120)) for _ in range(300)] + [" ".join(f"rare{k}x{i}" for i in range(90)) for k in range(5)]
+    texts += [texts[0]] * 150
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = imatch.lexicon(table.where("doc_id < 305")).first()["terms"]
+    assert imatch.lexicon(table).first()["terms"] == once
+    got = {r["doc_id"]: r for r in imatch.imatch(table).collect()}
+    assert got[0]["near_edited"] > 0 and all(got[i]["near_edited"] > 0 for i in range(301, 305))
+    assert all(r["near_edited"] < 1 for i, r in got.items() if i < 305) and got[302]["near_next"] == 0
+
+
 def test_chat_folds_events(spark):
     ev = [
         (1, 0, 0, "message", "user", "hi <|im_end|>"),
