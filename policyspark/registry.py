@@ -72,7 +72,7 @@ def _answer(prompts):
 
 
 def _infer(s, d):
-    prompts = _task_texts(s, d).select(*KEYS, infer.prompt("Extract the parameters.", F.substring("text", 1, 2000)).alias("prompt"))
+    prompts = _task_texts(s, d).select(*KEYS, infer.prompt("Extract the parameters.", F.col("text")).alias("prompt"))
     return infer.parsed(infer.infer(prompts, _answer))
 
 

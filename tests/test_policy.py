@@ -91,3 +91,9 @@ def test_query_equals_sql(spark, name):
     rows = sorted(map(str, (tuple(r) for r in want.fetchall())))
     got = registry.queries()[name](spark, SF).select(*cols)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == rows
+
+
+def test_inference_gets_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("string").alias("filename"), F.length("text").alias("n"))
+    rows = registry.queries()["infer_batch"](spark, SF).select("filename", F.regexp_extract("reasoning", r"\d+", 0).cast("int").alias("said")).join(docs, "filename").collect()
+    assert max(r["n"] for r in rows) > 2000 and len({r["said"] - r["n"] for r in rows}) == 1
