@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python. Documents can be long, so a batch
-#: of the default 10,000 rows could exceed a worker's memory.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch handed to Python. Documents can be long, so
+#: a batch of the default 10,000 rows could exceed a worker's memory.
+ARROW_ROWS, ARROW_BYTES = 2048, 16 << 20
 #: Bytes of results after which a Python stage hands a batch back.
 OUT_BYTES = 8 << 20
 
@@ -21,18 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by rows, since texts can be long."""
+    """Limit Arrow batches by rows and bytes, since texts can be long.
+
+    These are settings of the session, read when a query runs, so they stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests in local mode) a temporary one is used.
+    Only in local mode, where all are one process, a temporary one will do.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="policyspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,12 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts lineage in a way that survives the loss of executors.
+    Cuts lineage in a way that survives the loss of executors. What only later
+    tables were made from can go by :func:`discard`; the rest is the caller's
+    to clear with the folder, since results that read it are lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -78,13 +96,14 @@ def contract(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges
-        before = state
+        before, last = state, edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(lowest(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = lowest(down)
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "edges")
+        discard(last)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -6,13 +6,17 @@ is left at a similarity of 0.8.
 
 1. A Python stage gives each text ``BANDS`` keys, each of ``ROWS`` min-hashes;
    texts of similarity 0.8 share a key with probability 1 - (1 - 0.8^5)^20,
-   over 0.999.
+   over 0.999. The low bits of all its min-hashes are the text's sketch.
 2. Rows of a key are dealt into ``SALTS`` parts. A part's rows are paired with
    its lowest doc_id, and those with the key's lowest, so a group of any size
-   gives one pair a row and key, and no task gets a whole hot group. The exact
-   similarity of each distinct pair decides.
-3. These links join most of a group. Keys whose rows are still in several
-   components are compared in full: all pairs of rows that aren't joined yet, in
+   gives one pair a row and key, and no task gets a whole hot group. Sketches,
+   a fixed number of bytes each, meet first: pairs whose sketches agree in under
+   ``LEAST`` of the min-hashes go no further (a pair of similarity 0.8 does so
+   with a chance of about one in a million). The texts of the rest meet, and
+   their exact similarity decides.
+3. These links join most of a group. Of keys whose rows are still in several
+   components, the rows that by their sketches may be alike to a row of another
+   component are compared in full: all pairs of rows that aren't joined yet, in
    tasks of two blocks of about ``BLOCK`` rows.
 """
 
@@ -25,11 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, contract, join_hot, materialize
+from policyspark.llm.common import bound_batches, contract, discard, join_hot, materialize
 
 BANDS, ROWS = 20, 5
 SALTS = 64
 BLOCK = 128
+#: Share of min-hashes, of 16 bits each, in which sketches must agree.
+LEAST = 0.6
+#: Documents whose texts are picked out by a broadcast of their ids (8 bytes each); more meet by a shuffle.
+WANTED = 1 << 20
 _STEP = 1 << 13
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(42)
@@ -51,13 +59,15 @@ def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
-def band_keys(shingles: np.ndarray) -> list[int] | None:
-    """One key a band, or None of an empty set."""
-    if not len(shingles):
-        return None
+def minhashes(shingles: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, ~np.uint64(0))
     for a in range(0, len(shingles), _STEP):
         low = np.minimum(low, ((shingles[a : a + _STEP, None] ^ _FLIP) * _ODD).min(axis=0))
+    return low
+
+
+def band_keys(low: np.ndarray) -> list[int]:
+    """One key a band."""
     key = np.arange(BANDS, dtype=np.uint64)
     for column in low.reshape(BANDS, ROWS).T:
         key = (key ^ column) * _PRIME
@@ -65,24 +75,44 @@ def band_keys(shingles: np.ndarray) -> list[int] | None:
     return key.view(np.int64).tolist()
 
 
+def sketch(low: np.ndarray) -> bytes:
+    """16 bits of each min-hash, mixed so that they don't only show how low it is."""
+    return ((low * _PRIME) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+
+
 def alike(x: int, y: int, common: np.ndarray | int, similarity: float) -> np.ndarray | bool:
     """Whether sets of sizes x and y with so many common elements have at least ``similarity``; empty sets are equal."""
     return ((common > 0) | (x + y == 0)) & (common >= similarity * (x + y - common))
 
 
-def keyed(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id and key of every row with a doc_id and words, a row for each of its bands."""
+def hashed(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, keys and sketch of every row with a doc_id; a text without words has no keys."""
     bound_batches(docs.sparkSession)
+    blank = sketch(minhashes(np.zeros(0, np.uint64)))
 
     def stage(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                keys = [band_keys(shingle_set(t, size)) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+                keys, marks = [], []
+                for t in texts[a:b]:
+                    own = shingle_set(t, size)
+                    low = minhashes(own) if len(own) else None
+                    keys.append([] if low is None else band_keys(low))
+                    marks.append(blank if low is None else sketch(low))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "keys", "sketch"])
 
-    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(stage, "doc_id long, keys array<long>")
-    return materialize(found, "keys").select("doc_id", F.explode("keys").alias("key"))
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(stage, "doc_id long, keys array<long>, sketch binary")
+    return materialize(found, "keys")
+
+
+def keyed(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id and key of every row with a doc_id and words, a row for each of its bands."""
+    return hashed(docs, size).select("doc_id", F.explode("keys").alias("key"))
 
 
 def candidates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -158,11 +188,55 @@ def block_links(ids: list[int], components: list[int], sets: list[np.ndarray], s
     return found
 
 
-def _rest(rows: DataFrame, texts: DataFrame, roots: DataFrame, size: int, similarity: float) -> DataFrame:
+def _may_link(dealt: DataFrame) -> DataFrame:
+    """key and doc_id of the rows of block tasks whose sketch may be alike to one of another component."""
+
+    def stage(batches):
+        now, held, marks = None, [], []
+
+        def close():
+            if not held:
+                return
+            ids, comps, sides = (np.array(c) for c in zip(*held))
+            each = np.frombuffer(b"".join(marks), "<u2").reshape(-1, BANDS * ROWS)
+            left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+            right = right if len(right) else left
+            hit = np.zeros(len(ids), bool)
+            for i in left.tolist():
+                near = ((each[right] == each[i]).sum(axis=1) >= LEAST * BANDS * ROWS) & (comps[right] != comps[i])
+                hit[i] |= near.any()
+                hit[right[near]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * int(hit.sum()), pa.int64()), pa.array(ids[hit], pa.int64())], ["key", "doc_id"])
+
+        for batch in batches:
+            names = ["key", "a", "b", "doc_id", "component", "side", "sketch"]
+            for key, a, b, doc, comp, side, mark in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in names)):
+                if (key, a, b) != now:
+                    yield from close()
+                    now, held, marks = (key, a, b), [], []
+                held.append((doc, comp, side))
+                marks.append(mark)
+        yield from close()
+
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(stage, "key long, doc_id long").distinct()
+
+
+def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose doc_id is in ``ids`` (materialised, distinct)."""
+    if ids.count() <= WANTED:
+        return texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    return texts.join(ids, "doc_id", "left_semi")
+
+
+def _rest(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links between rows that share a key and that ``roots`` doesn't join, from all their pairs."""
     placed = rows.join(roots.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("doc_id", "key", F.coalesce("v", "doc_id").alias("component"))
     placed = materialize(placed, "placed")
-    dealt = _blocks(placed, materialize(_open_groups(placed), "groups")).join(texts, "doc_id")
+    groups = materialize(_open_groups(placed), "groups")
+    near = materialize(_may_link(_blocks(placed, groups).join(marks, "doc_id")), "near")
+    some = materialize(placed.join(near, ["key", "doc_id"], "left_semi"), "some")
+    dealt = _blocks(some, materialize(_open_groups(some), "groups")).join(_picked(texts, materialize(some.select("doc_id").distinct(), "wanted")), "doc_id")
 
     def stage(batches):
         now, held = None, []
@@ -187,8 +261,21 @@ def _rest(rows: DataFrame, texts: DataFrame, roots: DataFrame, size: int, simila
                 held.append(row)
         yield from close()
 
-    order = ["key", "a", "b", "side"]
-    return dealt.repartition("key", "a", "b").sortWithinPartitions(*order).mapInArrow(stage, "u long, v long")
+    links = materialize(dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(stage, "u long, v long"), "links")
+    discard(placed, groups, near, some)
+    return links
+
+
+def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in at least ``LEAST`` of the min-hashes."""
+    both = pairs.join(marks.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), "u").join(marks.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
+
+    def stage(batches):
+        for batch in batches:
+            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1) >= LEAST * BANDS * ROWS
+            yield batch.select([0, 1]).filter(pa.array(same))
+
+    return materialize(both.mapInArrow(stage, "u long, v long"), "pairs")
 
 
 def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, groups: DataFrame | None = None) -> DataFrame:
@@ -200,12 +287,16 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, group
     ``groups`` (doc_id, key) holds further keys; by them, texts without words
     link as well.
     """
-    rows = keyed(docs, size)
+    prints = hashed(docs, size)
+    marks = prints.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    rows = prints.select("doc_id", F.explode("keys").alias("key"))
     if groups is not None:
         rows = materialize(rows.union(groups.select("doc_id", "key")), "rows")
-    pairs = _stars(rows)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    pairs = _sketched(_stars(rows), marks)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null")
+    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")
+    some = _picked(texts, wanted)
+    both = pairs.join(some.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
     def stage(batches):
         for batch in batches:
@@ -222,4 +313,6 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, group
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
     roots = contract(both.mapInArrow(stage, "u long, v long"))
-    return roots.union(_rest(rows, texts, roots, size, similarity))
+    links = _rest(rows, marks, texts, roots, size, similarity)
+    discard(prints, pairs, wanted, *([rows] if groups is not None else []))
+    return roots.union(links)

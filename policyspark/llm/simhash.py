@@ -5,7 +5,10 @@
 2. A bounded sample of fingerprints gives the upper levels of a vantage-point
    tree: inner nodes with a point and a median distance, leaves that are shards.
    Each fingerprint goes to its home leaf, and as a query to every later leaf
-   that the triangle inequality can't rule out within ``bits``.
+   that the triangle inequality can't rule out within ``bits``. Beyond
+   ``TOP_LEVELS`` each leaf gets a tree of its own, grown in a task from the
+   leaf's sample and joined to the leaf's rows, so neither the driver's sample
+   nor a shard grows with the data.
 3. Each shard builds a tree of its own over its residents, answers its queries
    exactly and joins what it finds by union-find, so that it hands on at most
    one link a row, never all pairs of a group.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,8 +33,8 @@ from policyspark.llm.common import bound_batches, contract, materialize, shuffle
 
 #: Distinct fingerprints of a shard, on average, and its local tree's leaves.
 SHARD, LEAF = 8192, 128
-#: Sampled fingerprints for each shard, and the most levels above the shards.
-SAMPLE_PER_SHARD, MOST_LEVELS = 48, 12
+#: Sampled fingerprints for each shard, and the levels that the driver grows.
+SAMPLE_PER_SHARD, TOP_LEVELS = 48, 12
 _STEP = 1 << 17
 
 
@@ -119,10 +123,13 @@ def grow(points: np.ndarray, levels: int) -> list[tuple[int, int]]:
     return heap
 
 
-def assign(fps: np.ndarray, heap: list[tuple[int, int]], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf, index of fingerprint and 0 (resident) or 1 (query) of each entry."""
+def assign(fps: np.ndarray, heap: list[tuple[int, int]], bits: int, resident: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf, index of fingerprint and 0 (resident) or 1 (query) of each entry.
+
+    Rows that aren't ``resident`` only ask, at every leaf within reach.
+    """
     leaves: list[tuple[int, np.ndarray, np.ndarray]] = []
-    todo, inner = [(0, np.arange(len(fps)), np.ones(len(fps), bool))], len(heap)
+    todo, inner = [(0, np.arange(len(fps)), np.ones(len(fps), bool) if resident is None else resident)], len(heap)
     while todo:
         node, rows, home = todo.pop()
         if not len(rows):
@@ -139,7 +146,7 @@ def assign(fps: np.ndarray, heap: list[tuple[int, int]], bits: int) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     leaf = np.concatenate([np.full(len(r), k) for k, r, _ in leaves])
     rows, home = np.concatenate([r for _, r, _ in leaves]), np.concatenate([h for _, _, h in leaves])
-    own = np.zeros(len(fps), np.int64)
+    own = np.full(len(fps), -1, np.int64)
     own[rows[home]] = leaf[home]
     keep = home | (leaf > own[rows])  # a pair's earlier resident asks at the later one's leaf
     return leaf[keep], rows[keep], (~home[keep]).astype(np.int64)
@@ -217,21 +224,64 @@ def shard_links(residents: np.ndarray, queries: np.ndarray, bits: int) -> list[t
     return list(zip(every[linked].view(np.int64).tolist(), every[roots].view(np.int64).tolist()))
 
 
+def _entries(leaf: np.ndarray, role: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(role, pa.int64()), pa.array(fps.view(np.int64))], ["leaf", "role", "fp"])
+
+
+def _deeper(dealt: DataFrame, levels: int, bits: int) -> DataFrame:
+    """Entries of leaves dealt on by a tree of each leaf's own, of ``levels`` levels."""
+    dealt = materialize(dealt, "leaves")
+    some = dealt.where((F.col("role") == 0) & (F.pmod(F.xxhash64("fp"), F.lit(max(1, SHARD // SAMPLE_PER_SHARD))) == 0))
+
+    def tree(frame):
+        heap = grow(np.sort(frame["fp"].to_numpy()).view(np.uint64), levels)
+        raw = np.array([v for v, _ in heap], "<u8").tobytes() + np.array([r for _, r in heap], "<u8").tobytes()
+        return pd.DataFrame({"leaf": [int(frame["leaf"].iloc[0])], "tree": [raw]})
+
+    trees = materialize(some.groupBy("leaf").applyInPandas(tree, "leaf long, tree binary"), "trees")
+
+    # a leaf's tree is a row that comes before the leaf's own rows
+    rows = dealt.select("leaf", F.lit(1).alias("turn"), "role", "fp", F.lit(None).cast("binary").alias("tree"))
+    rows = rows.unionByName(trees.select("leaf", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("role"), F.lit(0).cast("long").alias("fp"), "tree"))
+
+    def deal(batches):
+        now, heap = None, [(0, 0)] * ((1 << levels) - 1)
+        for batch in batches:
+            leaf, turn, role, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cuts = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if leaf[a] != now:
+                    now, heap = leaf[a], [(0, 0)] * ((1 << levels) - 1)
+                if turn[a] == 0:
+                    heap = [(int(v), int(r)) for v, r in np.frombuffer(batch.column(4)[a].as_py(), "<u8").reshape(2, -1).T]
+                    a += 1
+                for k in range(a, b, 512):
+                    part = fps[k : min(b, k + 512)].view(np.uint64)
+                    below, where, asks = assign(part, heap, bits, role[k : min(b, k + 512)] == 0)
+                    yield _entries((int(now) << levels) + below, asks, part[where])
+
+    parts = shuffle_partitions(dealt.sparkSession)
+    return rows.repartition(parts, "leaf").sortWithinPartitions("leaf", "turn").mapInArrow(deal, "leaf long, role long, fp long")
+
+
 def links(classes: DataFrame, bits: int = 3) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints ``fp`` within ``bits``."""
     spark = classes.sparkSession
     n = classes.count()
-    levels = min(MOST_LEVELS, max(0, math.ceil(math.log2(max(1, n) / SHARD))))
-    bound = SAMPLE_PER_SHARD << levels  # a bounded sample of fingerprints, for vantage points only
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("fp")).limit(bound).collect()] if levels else []
-    heap = grow(np.array(sample, np.int64).view(np.uint64), levels)
+    levels = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
+    top = min(TOP_LEVELS, levels)
+    bound = SAMPLE_PER_SHARD << top  # a bounded sample of fingerprints, for vantage points only
+    sample = [r[0] for r in classes.orderBy(F.xxhash64("fp")).limit(bound).collect()] if top else []
+    heap = grow(np.array(sample, np.int64).view(np.uint64), top)
 
     def deal(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             for a in range(0, len(fps), 512):
                 leaf, rows, role = assign(fps[a : a + 512], heap, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(role), pa.array(fps[a : a + 512][rows].view(np.int64))], ["leaf", "role", "fp"])
+                yield _entries(leaf, role, fps[a : a + 512][rows])
 
     def search(batches):
         now, residents, queries = None, [], []
@@ -256,6 +306,8 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
         yield from close()
 
     dealt = classes.select("fp").mapInArrow(deal, "leaf long, role long, fp long")
+    if levels > top:
+        dealt = _deeper(dealt, levels - top, bits)
     parts = max(1 << levels, shuffle_partitions(spark))
     return dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(search, "u long, v long")
 
@@ -285,8 +337,11 @@ def drop_near_copies(docs: DataFrame, bits: int = 3, size: int = 3, words: int =
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
     Components of fingerprints and keys of bands propose; only texts whose sets
-    of ``words``-word shingles have at least ``similarity`` are linked. Texts
-    without words are copies of one another, and rows without doc_id stay.
+    of ``words``-word shingles have at least ``similarity`` are linked. Null
+    and empty texts and texts of white space are copies of one another; texts of
+    fewer words than a shingle are copies if all their words are equal. Rows
+    without doc_id stay; rows that repeat a doc_id stay or go together. Other
+    columns come along unchanged; an empty table gives an empty one.
     """
     members = materialize(simhash_components(docs, bits, size).where("doc_id <> component_id"), "members").withColumn("key", F.xxhash64("component_id", F.lit("fingerprint")))
     groups = members.select("doc_id", "key").union(members.select("component_id", "key")).distinct()

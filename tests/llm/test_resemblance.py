@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, u
 
 
 def words_of(text, size=5):
-    words = (text or "").lower().split()
+    words = (text or "").encode().lower().split()  # A-Z and ASCII white space only
     return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
@@ -19,12 +19,11 @@ def alike(a, b):
 
 
 def survivors(rows):
-    """Smallest doc_id of each group of texts of similarity 0.8 or close fingerprints, by all pairs."""
+    """Smallest doc_id of each group of texts of similarity 0.8, by all pairs; close fingerprints alone don't count."""
     low, sets = list(range(len(rows))), [words_of(t) for _, t in rows]
-    prints = simhash.simhash_texts([t for _, t in rows]).view(np.uint64)
     for i in range(len(rows)):
         for j in range(i):
-            if (alike(sets[i], sets[j]) or np.bitwise_count(prints[i] ^ prints[j]) <= 3) and low[i] != low[j]:
+            if alike(sets[i], sets[j]) and low[i] != low[j]:
                 a, b = max(low[i], low[j]), min(low[i], low[j])
                 low = [b if x == a else x for x in low]
     return {rows[i][0] for i in range(len(rows)) if low[i] == i}
