@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python. Documents can be long, so
 #: a batch of the default 10,000 rows could exceed a worker's memory.
-ARROW_ROWS, ARROW_BYTES = 2048, 16 << 20
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: Bytes of results after which a Python stage hands a batch back.
 OUT_BYTES = 8 << 20
 

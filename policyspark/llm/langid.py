@@ -8,15 +8,18 @@ P(suffix | lang) P(lang | host):
   drowning every other kind of evidence;
 * declared: the lang attribute of the page's html element;
 * suffix: the last label of the address's host name;
-* host: its own mean text posterior, smoothed towards its registered domain's,
-  and that towards all rows', by grouped aggregation.
+* host: the mean text posterior of its other rows, smoothed towards its
+  registered domain's, and that towards all rows', by grouped aggregation.
 
 The tables of evidence come from text posteriors alone, so they need no labels.
+A row's own posterior is taken out of every table before it is judged, so its
+text counts once.
 """
 
 from __future__ import annotations
 
 import re
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,31 @@ from policyspark.llm.common import bound_batches, join_hot, materialize
 BUCKETS = 1 << 14
 #: Trigrams beyond which further ones add nothing to the text's weight.
 EVIDENCE = 200.0
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};")
+#: Numbers of a table of languages and buckets, which every task holds (8 bytes each).
+MOST_CELLS = 1 << 26
+_MARKUP = re.compile(r"(?i)<(script|style|noscript)\b|<!--|<[^>]*>")
 
 
 def visible_text(html: str) -> str:
-    """A page's text without scripts, styles, comments, tags and entities."""
-    return _HIDDEN.sub(" ", html)
+    """A page's text without scripts, styles, comments and tags; entities stand for their characters.
+
+    One pass: what a script, style or comment opens and nothing closes is
+    hidden to the end, so no part of the page is read twice.
+    """
+    out, at, low = [], 0, None
+    while m := _MARKUP.search(html, at):
+        out.append(html[at : m.start()])
+        at = m.end()
+        if m[0] == "<!--" or m[1]:
+            low = html.lower() if low is None else low
+            close = "-->" if m[0] == "<!--" else f"</{m[1].lower()}"
+            end = low.find(close, at)
+            at = len(html) if end < 0 else end + len(close)
+            if m[1] and end >= 0:
+                end = html.find(">", at)
+                at = len(html) if end < 0 else end + 1
+    out.append(html[at:])
+    return unescape(" ".join(out))
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -46,14 +68,18 @@ def trigrams(text: str) -> np.ndarray:
     return np.bincount(h[~blank], minlength=BUCKETS)
 
 
-def train(docs: DataFrame, languages: int = 64) -> tuple[list[str], np.ndarray]:
-    """Languages (the ``languages`` most frequent at most) and log P(bucket | language).
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All languages of ``docs`` and log P(bucket | language).
 
-    Counts every row of ``docs`` with a language; what reaches the driver is
-    one number for each language and bucket.
+    Counts every row with a language; what reaches the driver is one number for
+    each language and bucket. More languages than ``MOST_CELLS`` allows raise
+    ValueError rather than being left out.
     """
     bound_batches(docs.sparkSession)
-    known = [r["lang"] for r in docs.where("lang is not null and lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    known = [r["lang"] for r in docs.where("lang is not null and lang <> ''").select("lang").distinct().limit(MOST_CELLS // BUCKETS + 1).collect()]
+    if len(known) * BUCKETS > MOST_CELLS:
+        raise ValueError(f"over {MOST_CELLS // BUCKETS} languages: lower BUCKETS or raise MOST_CELLS")
+    known.sort()
     if not known:
         return ["und"], np.full((1, BUCKETS), -np.log(BUCKETS))
 
@@ -70,8 +96,7 @@ def train(docs: DataFrame, languages: int = 64) -> tuple[list[str], np.ndarray]:
     rows = docs.select("lang", "text").mapInArrow(stage, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(known), BUCKETS), 0.5)
     table[rows["lang"].to_numpy(int), rows["bucket"].to_numpy(int)] += rows["n"].to_numpy(float)
-    order = np.argsort(known)
-    return [known[i] for i in order], np.log(table / table.sum(axis=1, keepdims=True))[order]
+    return known, np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def text_evidence(rows: DataFrame, logp: np.ndarray, html: bool) -> DataFrame:
@@ -105,45 +130,51 @@ def _softmax(logs: Column) -> Column:
 
 
 def fuse(rows: DataFrame, languages: list[str], kappa_host: float = 10.0, kappa_domain: float = 20.0, alpha: float = 0.5) -> DataFrame:
-    """Adds lang, confidence, text_lang to rows with host, domain, suffix, declared and ll."""
+    """Adds lang, confidence, text_lang to rows with host, domain, suffix, declared and ll.
+
+    Sums of posteriors come from grouped aggregation as one array each; a row's
+    prior is built from them less the row's own posterior.
+    """
     k = len(languages)
-    names = [f"q{i}" for i in range(k)]
-    soft = _softmax(F.col("ll"))
-    rows = rows.withColumn("q", soft)
-    each = [F.col("q")[i].alias(n) for i, n in enumerate(names)]
-    sums = [F.sum(n).alias(n) for n in names]
-    host = rows.select("host", "domain", "suffix", *each).groupBy("host", "domain", "suffix").agg(*sums, F.count("*").alias("size"))
-    domain = host.groupBy("domain").agg(*sums)
-    whole = domain.agg(*sums).first()  # one row
-    mass = [float(whole[n] or 0.0) for n in names]
-    total = sum(mass) or 1.0
-    overall = [(m + alpha) / (total + alpha * k) for m in mass]
-
-    def smooth(own: DataFrame, prefix: str, kappa: float, above: list[Column]) -> list[Column]:
-        weight = sum((F.col(n) for n in names), F.lit(0.0))
-        return [((F.col(n) + F.lit(kappa) * a) / (weight + kappa)).alias(f"{prefix}{i}") for i, (n, a) in enumerate(zip(names, above))]
-
-    suffix = host.groupBy("suffix").agg(*sums)
-    # P(suffix | lang) up to a factor that all languages share: its posterior over the overall one
-    suffix = suffix.select("suffix", *[((F.col(n) + kappa_domain * p) / (sum((F.col(m) for m in names), F.lit(0.0)) + kappa_domain) / p).alias(f"s{i}") for i, (n, p) in enumerate(zip(names, overall))])
-    domain = domain.select("domain", *smooth(domain, "d", kappa_domain, [F.lit(p) for p in overall]))
-    host = host.join(domain, "domain").join(suffix, "suffix")
-    host = host.select("host", "domain", "suffix", "size", F.array(*[F.log(c) for c in smooth(host, "h", kappa_host, [F.col(f"d{i}") for i in range(k)])]).alias("prior"), F.array(*[F.log(f"s{i}") for i in range(k)]).alias("by_suffix"))
-    host = materialize(host, "hosts")
-
-    declared = rows.select("declared", *each).groupBy("declared").agg(*sums).collect()  # known languages, other, none
-    seen = {r["declared"]: [r[n] for n in names] for r in declared}
-    by_declared = F.array(*[F.lit(0.0)] * k)
-    for tag, row in sorted(seen.items()):
+    rows = rows.withColumn("q", _softmax(F.col("ll")))
+    each = [F.sum(F.col("q")[i]) for i in range(k)]
+    summed = lambda name: F.array(*each).alias(name)
+    host = rows.groupBy("host", "domain", "suffix").agg(summed("h"), F.count("*").alias("size"))
+    over = lambda df, key, name: df.groupBy(key).agg(F.array(*[F.sum(F.col("h")[i]) for i in range(k)]).alias(name))
+    domain, suffix = over(host, "domain", "d"), over(host, "suffix", "s")
+    host = materialize(host.join(domain, "domain").join(suffix, "suffix"), "hosts")
+    whole = host.agg(*[F.sum(F.col("h")[i]) for i in range(k)]).first()  # one row
+    mass = F.array(*[F.lit(float(m or 0.0)) for m in whole])
+    declared = {r[0]: [float(x) for x in r[1]] for r in rows.groupBy("declared").agg(summed("m")).collect()}  # known languages, other, none
+    by_tag = F.lit(None).cast("array<double>")
+    for tag, m in sorted(declared.items()):
         if tag != "none":
-            logs = [float(np.log((row[i] + alpha) / (mass[i] + alpha * (k + 1)))) for i in range(k)]
-            by_declared = F.when(F.col("declared") == tag, F.array(*[F.lit(x) for x in logs])).otherwise(by_declared)
+            by_tag = F.when(F.col("declared") == tag, F.array(*[F.lit(x) for x in m])).otherwise(by_tag)
+
+    def plus(a: Column, b: Column, sign: float = 1.0) -> Column:
+        return F.zip_with(a, b, lambda x, y: x + F.lit(sign) * y)
+
+    def less(a: Column) -> Column:
+        return F.transform(plus(a, F.col("q"), -1.0), lambda x: F.greatest(x, F.lit(0.0)))
+
+    def weight(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda n, x: n + x)
+
+    def smooth(a: Column, above: Column, kappa: float) -> Column:
+        return F.zip_with(a, above, lambda x, y: (x + F.lit(kappa) * y) / (weight(a) + F.lit(kappa)))
+
     joined = join_hot(rows, host, ["host", "domain", "suffix"], "size")
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    post = _softmax(add(add(F.col("ll"), by_declared), add(F.col("prior"), F.col("by_suffix"))))
+    joined = joined.select("*", *[less(c).alias(f"_{n}") for n, c in (("h", F.col("h")), ("d", F.col("d")), ("s", F.col("s")), ("m", mass), ("t", by_tag))])
+    joined = joined.withColumn("_all", F.transform("_m", lambda x: (x + F.lit(alpha)) / (weight(F.col("_m")) + F.lit(alpha * k))))
+    joined = joined.withColumn("_dom", smooth(F.col("_d"), F.col("_all"), kappa_domain))
+    joined = joined.select("*", smooth(F.col("_h"), F.col("_dom"), kappa_host).alias("_prior"), smooth(F.col("_s"), F.col("_all"), kappa_domain).alias("_suf"))
+    # P(suffix | lang) and P(declared | lang), up to factors that all languages share
+    evidence = F.zip_with(F.transform("_prior", lambda x: F.log(x)), F.zip_with("_suf", "_all", lambda x, y: F.log(x / y)), lambda x, y: x + y)
+    told = F.coalesce(F.zip_with("_t", "_m", lambda x, y: F.log((x + F.lit(alpha)) / (y + F.lit(alpha * (k + 1))))), F.array(*[F.lit(0.0)] * k))
+    post = _softmax(plus(plus(F.col("ll"), told), evidence))
     named = F.array(*[F.lit(x) for x in languages])
     best = lambda p: F.element_at(named, F.array_position(p, F.array_max(p)).cast("int"))
-    return joined.withColumn("p", post).select("*", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), best(F.col("q")).alias("text_lang")).drop("p", "q", "ll", "prior", "by_suffix")
+    return joined.withColumn("p", post).select("*", best(F.col("p")).alias("lang"), F.array_max("p").alias("confidence"), best(F.col("q")).alias("text_lang"))
 
 
 def page_rows(pages: DataFrame, languages: list[str]) -> DataFrame:

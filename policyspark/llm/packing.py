@@ -23,8 +23,6 @@ from policyspark.llm.common import OUT_BYTES, bound_batches
 
 SHARD = 1 << 20
 K1, B = 1.2, 0.75
-#: Terms of a seed that the index is asked for: those of most weight.
-QUERY_TERMS = 48
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -42,11 +40,11 @@ class InvertedIndex:
         norm = K1 * (1 - B + B * lens[self.doc] / max(1.0, lens.mean()))
         which = np.repeat(np.arange(len(self.terms)), df)
         self.weight = idf[which] * tf * (K1 + 1) / (tf + norm)
-        order = np.lexsort((-self.weight, self.doc))
+        order = np.argsort(self.doc, kind="stable")
         starts = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
         which = which[order]
-        # each document's terms of most weight, as numbers of posting lists
-        self.query = [which[a : min(b, a + QUERY_TERMS)] for a, b in zip(starts[:-1], starts[1:])]
+        # each document's terms, as numbers of posting lists
+        self.query = [which[a:b] for a, b in zip(starts[:-1], starts[1:])]
         self.n = len(docs)
 
     def scores(self, seed: int) -> np.ndarray:

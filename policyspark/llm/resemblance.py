@@ -315,4 +315,4 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, group
     roots = contract(both.mapInArrow(stage, "u long, v long"))
     links = _rest(rows, marks, texts, roots, size, similarity)
     discard(prints, pairs, wanted, *([rows] if groups is not None else []))
-    return roots.union(links)
+    return roots if links.isEmpty() else roots.union(links)

@@ -22,8 +22,10 @@ GIVEN = r"(?i)(?:password|passwd|pwd|secret|token|credential|api[_\-]?key|access
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 BEFORE, AFTER = 48, 24
 MARK = "[SECRET]"
-#: Words of the dictionary: the most frequent ones of the whole table.
-DICTIONARY = 400
+#: Rows in which a run of letters stands as a word before it counts as one of the dictionary's.
+LEAST_ROWS = 3
+#: Words from which made-up findings take their prose.
+PROSE = 400
 _PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|-----BEGIN)"
 
 
@@ -46,15 +48,23 @@ def _places(pattern: str, group: int = 0) -> Column:
     return F.aggregate(parts, none, step, lambda a: a["found"])
 
 
+def places(text: Column) -> Column:
+    """(start, candidate) of every candidate of the column ``text``, or null where there is none; patterns run once."""
+    return F.when(has_candidate(text), F.array_distinct(F.concat(_places(PEM), _places(RUN), _places(GIVEN, 1))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, candidate, start (0-based code point), before, after and path, once per text, string and place.
+    """doc_id, text_key, candidate, start (0-based code point), before, after and path, once per row, string and place.
 
-    Only texts in which a pattern matches are taken apart. A null text has no
-    candidates; ``path`` is the document's source.
+    A null text has no candidates; ``path`` is the document's source, and
+    ``text_key`` a hash that tells apart texts of rows that repeat a doc_id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
-    rows = rows.where(has_candidate(F.col("text")))
-    found = F.array_distinct(F.concat(_places(PEM), _places(RUN), _places(GIVEN, 1)))
+    return _around(rows.withColumn("found", places(F.col("text"))))
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Candidates of rows with doc_id, path, text and ``found``, each with what stands around it."""
 
     def around(f: Column) -> Column:
         at, c = f["start"], f["candidate"]
@@ -65,27 +75,37 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.substring("text", at + 1 + F.length(c), F.lit(AFTER)).alias("after"),
         )
 
-    return rows.select("doc_id", "path", F.explode(F.transform(found, around)).alias("f")).select("doc_id", "path", "f.*")
+    rows = rows.where("found is not null").select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.explode(F.transform("found", around)).alias("f"))
+    return rows.select("doc_id", "text_key", "path", "f.*")
 
 
 def has_candidate(text: Column) -> Column:
     return text.rlike(RUN) | text.rlike(GIVEN) | text.rlike("-----BEGIN ")
 
 
-def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of four to twelve letters, counted over all texts."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty()), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(4, 12))
-    return [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
+def dictionary(docs: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
+    """w and n: all words of four letters or more that stand in at least ``least`` rows, counted over all texts."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty()), r"[^\p{L}]+"))).alias("w")).where(F.length("w") >= 4)
+    return materialize(words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least), "dictionary")
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with ``cover``, the letters of each candidate that lie in runs which are words of the dictionary.
+
+    Runs of letters don't overlap, so no letter counts twice. Distinct
+    candidates meet the dictionary by a shuffle, whatever its size.
+    """
+    runs = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w"))
+    known = runs.join(words.select("w"), "w").groupBy("candidate").agg(F.sum(F.length("w")).alias("cover"))
+    return found.join(known, "candidate", "left").withColumn("cover", F.coalesce("cover", F.lit(0)))
 
 
-def features(words: list[str]) -> Column:
-    """Feature array of a row with candidate, before, after and path."""
+def features() -> Column:
+    """Feature array of a row with candidate, before, after, path and cover."""
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     low, before, after = F.lower("candidate"), F.lower("before"), F.lower("after")
     flag = lambda x: x.cast("double")
     share = lambda p: F.regexp_count(c, F.lit(p)) / n
-    known = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    cover = F.aggregate(F.filter(known, lambda w: F.contains(low, w)), F.lit(0), lambda a, w: a + F.length(w))
     values = [
         F.log1p(n.cast("double")),
         share("[0-9]"),
@@ -104,8 +124,9 @@ def features(words: list[str]) -> Column:
         flag(c.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         flag(c.rlike(r"^[0-9.\-]+$")),
         flag(c.rlike(_PREFIXES)),
+        flag(low.rlike(r"^(password|passwd|pwd|secret|token|credential|api_?key|access_?key)=")),
         flag(low.rlike(r"example|sample|placeholder|your|dummy|changeme|x{6}|0{8}|12345678|(.)\1{7}")),
-        F.least(F.lit(1.0), cover / n),
+        F.least(F.lit(1.0), F.col("cover") / n),
         # path
         flag(F.contains(c, F.lit("/"))),
         flag(before.rlike(r"(/|https?:\S*|\\)$")),
@@ -125,6 +146,9 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
     """Default training table: labelled findings of common forms among the corpus' own words.
 
     ``n`` bounds it. A caller with findings of its own passes those instead.
+    Random strings given to a secret's name are secrets, the same strings after
+    neutral words are not; no finding assigns 40 hex digits to a ``token``, so
+    that pairing is left for the forest to infer.
     """
     i = F.col("id")
     salted = lambda s: F.concat(i.cast("string"), F.lit(s))
@@ -143,9 +167,12 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
         return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(F.xxhash64(salted(s)), F.lit(len(texts))) + 1).cast("int"))
 
     given = pick("g", ' token = "', ' api_key = "', ' secret: "', ' TOKEN = "', ' access_key="', ' auth_token: "', ' password = "')
+    named = pick("g", ' api_key = "', ' secret: "', ' access_key="', ' credential: "', ' password = "')
     forms = [
-        (1, hex40, given, '"'),
-        (1, F.upper(hex40), given, '"'),
+        (1, hex40, named, '"'),
+        (1, F.upper(hex40), named, '"'),
+        (1, hex32, given, '"'),
+        (1, hex64, given, '"'),
         (1, cut(mixed, 32), given, '"'),
         (1, F.concat(F.lit("AKIA"), upper), pick("h", " aws_access_key_id = ", " key ", " "), ""),
         (1, cut(base64, 40), pick("i", " aws_secret_access_key = ", ' secret_access_key = "'), ""),
@@ -153,6 +180,9 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
         (1, F.concat(F.lit("sk_live_"), cut(mixed, 24)), pick("k", ' api_key = "', " "), ""),
         (1, F.concat(F.initcap(word("l")), cut(digits, 3), F.lit("!"), cut(mixed, 4)), pick("m", ' password = "', ' passwd: "'), '"'),
         (1, F.concat(F.lit("eyJ"), cut(mixed, 30), F.lit("."), cut(base64, 43)), pick("n", " bearer ", ' token = "'), ""),
+        (1, F.concat(pick("A", "passwd=", "secret=", "api_key=", "access_key=", "password="), cut(hex32, 20)), F.lit(" "), ""),
+        (1, F.concat(pick("B", "pwd=", "credential=", "token=", "password="), cut(mixed, 16)), F.lit(" "), ""),
+        (0, F.concat(pick("C", "page=", "ref=", "version=", "id=", "size="), cut(hex32, 18)), pick("D", " ", " /?", " "), ""),
         (0, hex40, pick("o", " commit ", " sha1 ", " revision ", ' digest = "', " checksum: "), ""),
         (0, hex64, pick("s", " sha256 ", " digest ", " hash: "), ""),
         (0, hex32, pick("t", " md5 ", " ", " checksum "), ""),
@@ -165,23 +195,34 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
         (0, F.concat(F.lit("xxxxxxxxxxxx"), cut(digits, 8)), given, '"'),
         (0, F.concat(word("8"), word("9"), word("0"), cut(digits, 2)), pick("!", " ", ".", "-"), ""),
     ]
-    built = F.lit(None).cast("struct<candidate:string,before:string,after:string,label:double>")
+    built = F.when(F.lit(False), F.lit(None).cast("struct<candidate:string,before:string,after:string,label:double>"))
     for k, (label, candidate, before, after) in enumerate(forms):
-        built = F.when(F.pmod(i, F.lit(len(forms))) == k, F.struct(candidate.alias("candidate"), F.concat(prose, before).alias("before"), F.concat(F.lit(after), F.lit(" "), word("=")).alias("after"), F.lit(float(label)).alias("label"))).otherwise(built)
+        made = F.struct(candidate.alias("candidate"), F.concat(prose, before).alias("before"), F.concat(F.lit(after), F.lit(" "), word("=")).alias("after"), F.lit(float(label)).alias("label"))
+        built = built.when(F.pmod(i, F.lit(len(forms))) == k, made)
     found = spark.range(0, n, 1, 1).select(built.alias("f"), F.concat(F.lit("src"), F.pmod(i, F.lit(20))).alias("path")).select("path", "f.*")
     return materialize(found, "findings")  # cuts the plan, which would grow with every feature
 
 
-def train(findings: DataFrame, words: list[str], trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
-    rows = findings.where(F.col("candidate").isNotNull() & F.col("label").isNotNull()).select(array_to_vector(features(words)).alias("x"), F.col("label").cast("double").alias("y")).coalesce(1)
+def train(findings: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
+    rows = findings.where(F.col("candidate").isNotNull() & F.col("label").isNotNull())
+    rows = materialize(covered(rows, words).select(features().alias("x"), F.col("label").cast("double").alias("y")), "training")
+    rows = rows.select(array_to_vector("x").alias("x"), "y").repartition(1).sortWithinPartitions("y", vector_to_array("x"))  # a bounded table, in an order of its own
     return RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=64).fit(rows)
 
 
-def judge(found: DataFrame, model: RandomForestClassificationModel, words: list[str], least: float = 0.5) -> DataFrame:
+def judge(found: DataFrame, model: RandomForestClassificationModel, words: DataFrame, least: float = 0.5) -> DataFrame:
     """``found`` with score and is_secret."""
     model.setFeaturesCol("x").setPredictionCol("").setRawPredictionCol("").setProbabilityCol("prob")
-    scored = model.transform(found.withColumn("x", array_to_vector(features(words))))
-    return scored.withColumn("score", vector_to_array("prob")[1]).withColumn("is_secret", F.col("score") >= least).drop("x", "prob")
+    scored = model.transform(covered(found, words).withColumn("x", array_to_vector(features())))
+    return scored.withColumn("score", vector_to_array("prob")[1]).withColumn("is_secret", F.col("score") >= least).drop("x", "prob", "cover")
+
+
+def _taught(docs: DataFrame, findings: DataFrame | None) -> tuple[DataFrame, RandomForestClassificationModel]:
+    words = dictionary(docs)
+    if findings is None:
+        prose = [r["w"] for r in words.where("length(w) <= 12").orderBy(F.desc("n"), "w").limit(PROSE).collect()]
+        findings = labelled_findings(docs.sparkSession, prose)
+    return words, train(findings, words)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
@@ -192,26 +233,45 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5)
     string that a text repeats is reported and judged at each of its places.
     Columns besides doc_id, source and text are ignored.
     """
-    words = dictionary(docs)
-    model = train(findings if findings is not None else labelled_findings(docs.sparkSession, words), words)
+    words, model = _taught(docs, findings)
     c = F.col("candidate")
     kind = F.when(c.startswith("-----BEGIN"), "private_key").when(c.rlike("^(AKIA|ASIA)"), "cloud_key").when(c.rlike("^(gh[pos]_|glpat-)"), "forge_token").when(c.rlike("^eyJ"), "jwt").when(c.rlike("(?i)^[0-9a-f]+$"), "hex").otherwise("generic")
-    return judge(candidates(docs), model, words, least).select("doc_id", "start", F.length("candidate").cast("long").alias("length"), kind.alias("kind"), "candidate", "score", "is_secret")
+    return judge(materialize(candidates(docs), "candidates"), model, words, least).select("doc_id", "start", F.length("candidate").cast("long").alias("length"), kind.alias("kind"), "candidate", "score", "is_secret")
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by ``MARK``; rows, columns and order of columns stay.
 
-    A string that is a secret at any of its places is replaced at all of them.
-    n_chars, where there is one, follows the new text. Texts without candidates
-    are not shuffled.
+    A string that is a secret at one place of a text is replaced at all places
+    where it stands as a candidate, but not inside longer ones. Rows that repeat
+    a doc_id are told apart by their texts. n_chars, where there is one, follows
+    a changed text. Null texts stay null, an empty table stays empty, and other
+    columns are untouched, whatever their names. Patterns run once over a text,
+    and texts without candidates are not shuffled.
     """
-    found = scan(docs, findings, least).where("is_secret")
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct((-F.col("length")).alias("l"), "candidate"))).alias("_secrets")).withColumnRenamed("doc_id", "_id")
-    suspect = has_candidate(text_or_empty())
-    joined = docs.where(suspect).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate(F.coalesce("_secrets", F.array().cast("array<struct<l:bigint,candidate:string>>")), F.col("text"), lambda t, s: F.replace(t, s["candidate"], F.lit(MARK)))
-    changed = joined.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_secrets").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return docs.where(~suspect).unionByName(changed.select(*docs.columns))
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
+    rows = materialize(rows.withColumn("found", places(F.col("text"))).drop("text").withColumn("text", F.col(own["text"])), "located")
+    words, model = _taught(docs, findings)
+    judged = judge(materialize(_around(rows), "candidates"), model, words, least)
+    key = ["doc_id", "text_key"]
+    strings = judged.where("is_secret").groupBy(*key).agg(F.collect_set("candidate").alias("secrets"))
+    strings = strings.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "secrets")
+    some = rows.where("found is not null").withColumn("text_key", F.xxhash64("text"))
+    some = some.join(strings, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    spans = F.array_sort(F.filter("found", lambda f: F.array_contains("secrets", f["candidate"])))
+
+    def step(a: Column, f: Column) -> Column:
+        end = f["start"] + F.length(f["candidate"])
+        before = F.when(f["start"] >= a["at"], F.concat(F.substring("text", a["at"] + 1, f["start"] - a["at"]), F.lit(MARK))).otherwise("")
+        return F.struct(F.greatest(a["at"], end).alias("at"), F.concat(a["out"], before).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
+    hit = F.col("secrets").isNotNull()
+    some = some.withColumn(own["text"], F.when(hit, clean).otherwise(F.col("text")))
+    if "n_chars" in own:
+        size = own["n_chars"]
+        some = some.withColumn(size, F.when(hit, F.length(own["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(size)))
+    names = list(own.values())
+    return rows.where("found is null").select(*names).unionByName(some.select(*names)).toDF(*docs.columns)

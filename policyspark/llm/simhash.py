@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from policyspark.llm import resemblance
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, contract, materialize, shuffle_partitions
+from policyspark.llm.common import bound_batches, contract, discard, materialize, shuffle_partitions
 
 #: Distinct fingerprints of a shard, on average, and its local tree's leaves.
 SHARD, LEAF = 8192, 128
@@ -336,14 +336,21 @@ def hex_fingerprint(column: str = "fp") -> Column:
 def drop_near_copies(docs: DataFrame, bits: int = 3, size: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id.
 
-    Components of fingerprints and keys of bands propose; only texts whose sets
+    Fingerprints within ``bits`` and keys of bands propose; only texts whose sets
     of ``words``-word shingles have at least ``similarity`` are linked. Null
     and empty texts and texts of white space are copies of one another; texts of
     fewer words than a shingle are copies if all their words are equal. Rows
     without doc_id stay; rows that repeat a doc_id stay or go together. Other
     columns come along unchanged; an empty table gives an empty one.
     """
-    members = materialize(simhash_components(docs, bits, size).where("doc_id <> component_id"), "members").withColumn("key", F.xxhash64("component_id", F.lit("fingerprint")))
-    groups = members.select("doc_id", "key").union(members.select("component_id", "key")).distinct()
-    copies = contract(resemblance.similar_pairs(docs, words, similarity, groups)).select(F.col("u").alias("_copy")).distinct()
-    return docs.join(copies, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti").select(*docs.columns)
+    prints = materialize(fingerprints(docs, size).where("doc_id is not null"), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.count("*").alias("n"))
+    near = materialize(links(classes.select("fp"), bits), "near")
+    # any two fingerprints within reach met in a shard, where both have the same root
+    keys = near.select(F.col("u").alias("fp"), "v").union(near.select(F.col("v").alias("fp"), "v")).union(classes.where("n > 1").select("fp", F.col("fp").alias("v"))).distinct()
+    groups = materialize(prints.join(keys, "fp").select("doc_id", F.xxhash64("v", F.lit("fingerprint")).alias("key")).distinct(), "groups")
+    discard(prints, near)
+    found = resemblance.similar_pairs(docs, words, similarity, groups)
+    copies = contract(found).select(F.col("u").alias("_copy")).distinct()
+    discard(groups)
+    return docs.join(copies, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])

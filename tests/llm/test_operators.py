@@ -255,6 +255,8 @@ def test_secrets_at_every_place(spark):
         assert (r["before"], r["after"]) == (t[max(0, a - secrets.BEFORE) : a], t[b : b + secrets.AFTER])
     said = {r["start"]: r["is_secret"] for r in secrets.scan(docs).where("doc_id = 0").collect()}
     assert not said[texts[0].index(s)] and any(said.values())
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs.union(docs.where("doc_id = 2").selectExpr("0L", "text", "lang", "source", "n_chars"))).collect() if r["n_chars"] != 40}
+    assert clean[0] == texts[0].replace(s, secrets.MARK) and f"x{s}z" in clean[1]  # not inside a longer run
     assert secrets.redact(docs).where("doc_id = 0").where(F.col("text").contains(s)).count() == 0
 
 
