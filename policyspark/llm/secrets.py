@@ -8,6 +8,8 @@ table with candidate, before, after, path and label.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -195,12 +197,13 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
         (0, F.concat(F.lit("xxxxxxxxxxxx"), cut(digits, 8)), given, '"'),
         (0, F.concat(word("8"), word("9"), word("0"), cut(digits, 2)), pick("!", " ", ".", "-"), ""),
     ]
-    built = F.when(F.lit(False), F.lit(None).cast("struct<candidate:string,before:string,after:string,label:double>"))
-    for k, (label, candidate, before, after) in enumerate(forms):
-        made = F.struct(candidate.alias("candidate"), F.concat(prose, before).alias("before"), F.concat(F.lit(after), F.lit(" "), word("=")).alias("after"), F.lit(float(label)).alias("label"))
-        built = built.when(F.pmod(i, F.lit(len(forms))) == k, made)
-    found = spark.range(0, n, 1, 1).select(built.alias("f"), F.concat(F.lit("src"), F.pmod(i, F.lit(20))).alias("path")).select("path", "f.*")
-    return materialize(found, "findings")  # cuts the plan, which would grow with every feature
+    path = F.concat(F.lit("src"), F.pmod(i, F.lit(20))).alias("path")
+    parts = []
+    for k, (label, candidate, before, after) in enumerate(forms):  # each form in a small projection of its own
+        rows = spark.range(k, n, len(forms), 1)
+        parts.append(rows.select(path, candidate.alias("candidate"), F.concat(prose, before).alias("before"), F.concat(F.lit(after), F.lit(" "), word("=")).alias("after"), F.lit(float(label)).alias("label")))
+    found = reduce(DataFrame.union, parts)
+    return materialize(found, "findings")
 
 
 def train(findings: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
