@@ -1,14 +1,16 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Every block is coded on its own: its model starts empty and its header carries
-a checksum, so blocks can be read, lost or checked singly. Many blocks are
-coded side by side, one numpy lane each.
-
-Order-2 and order-1 contexts each predict one id. Which of them is right is an
-event (order-2, order-1, neither) whose probability mixes the event counts seen
-at the confidence of either context. An id that neither foresaw is coded by the
-adaptive order-0 model, byte by byte, the lower byte in the context of the upper
-one's top bits.
+a checksum, so blocks can be read, lost or checked singly. Up to ``LANES``
+blocks are coded side by side, one numpy lane each.
+
+Order-2 and order-1 contexts, with as many slots as a block has ids, each
+predict one id. Which of them is right is an event (order-2, order-1, neither).
+Both contexts give it a distribution, from the events seen at their confidence,
+and the two are mixed by weights that are learned: a weight, one for each pair
+of confidences, is multiplied by what its model gave to the event that came. An
+id that neither foresaw is coded by the adaptive order-0 model: its upper byte,
+then its lower one in the context of the upper.
 """
 
 from __future__ import annotations
@@ -18,25 +20,38 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1 << 13
+#: Blocks coded side by side; about 200 KB of tables and buffers each, at the default block.
+LANES = 512
 MAGIC = b"PSID"
 _PREC = 16
 _TOTAL = 1 << _PREC
-_CTX = 1 << 11
-_HEAD = struct.Struct("<4sIIIII")
+#: Contexts of the lower byte: upper bytes below _OWN have one each, others share one for 32.
+_OWN = 24
+_BELOW = _OWN + 8
+_HEAD = struct.Struct("<4sIIIIII")
 _U, _MASK = np.uint64, np.uint64((1 << 48) - 1)
 
 
+#: Confidence after a miss, by the confidence before, then after a hit.
+_SURE = np.array([0, 0, 0, 1, 1, 2, 3, 3], np.int8)
+
+
 class _Model:
     """Predictions and counts of all lanes, in flat arrays of lane after lane."""
 
-    def __init__(self, lanes: int, planes: int):
-        self.guess = [np.zeros(lanes * _CTX, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _CTX, np.int8) for _ in range(2)]
-        self.events = [[np.full(lanes * 4, n, np.int32) for n in (8, 4, 12)] for _ in range(2)]
-        self.count = [np.ones((lanes, 1 if p == 0 else 16, 256), np.int32) for p in range(planes)]
+    def __init__(self, lanes: int, planes: int, block: int):
+        self.slots = 1 << max(8, (block - 1).bit_length())
+        self.guess = [np.zeros(lanes * self.slots, np.int32) for _ in range(2)]
+        self.sure = [np.zeros(lanes * self.slots, np.int8) for _ in range(2)]
+        self.events = [np.repeat(np.array(start, np.float64)[:, None], lanes * 4, axis=1) for start in ((6, 2, 16), (2, 6, 16))]
+        self.weight = np.full(lanes * 16, 0.5)
+        self.count = [np.ones((lanes, 1 if p == 0 else _BELOW, 256), np.int32) for p in range(planes)]
         self.cum = [np.zeros((*n.shape[:2], 257), np.int32) for n in self.count]
         self.prev, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.base = np.arange(0, lanes * self.slots, self.slots)
+        self.lane = np.arange(lanes)
+        self.quad, self.pair = np.arange(0, lanes * 4, 4), np.arange(0, lanes * 16, 16)
         self.due, self.step = 0, 0
 
     def refresh(self) -> None:
@@ -52,40 +67,46 @@ class _Model:
 
     def contexts(self, n: int):
         """Ids that both contexts of the first ``n`` lanes foresee, and the bounds between the events."""
-        one = self.prev[:n]
+        one, mask = self.prev[:n], self.slots - 1
         mix = one * 40503
-        base = np.arange(0, n * _CTX, _CTX)
-        self.at = (base + ((mix + self.before[:n] * 30011 + (one >> 5)) & (_CTX - 1)), base + ((mix + (one >> 7)) & (_CTX - 1)))
+        self.at = (self.base[:n] + ((mix + self.before[:n] * 30011 + (one >> 5)) & mask), self.base[:n] + ((mix + (one >> 7)) & mask))
         self.saw = [g.take(i) for g, i in zip(self.guess, self.at)]
         self.conf = [c.take(i) for c, i in zip(self.sure, self.at)]
-        quad = np.arange(0, n * 4, 4)
-        self.slot = [quad + c for c in self.conf]
-        a, b, c = (x.take(self.slot[0]) + y.take(self.slot[1]) for x, y in zip(*self.events))
-        scale = (_TOTAL - 3) / (a + b + c)
-        first, second = (a * scale).astype(np.int64) + 1, ((a + b) * scale).astype(np.int64) + 2
+        self.slot = [self.quad[:n] + c for c in self.conf]
+        self.seen = [events.take(i, axis=1) for events, i in zip(self.events, self.slot)]
+        self.odds = [x / (x[0] + x[1] + x[2]) for x in self.seen]
+        self.which = self.pair[:n] + 4 * self.conf[0] + self.conf[1]
+        self.w = self.weight.take(self.which)
+        self.mixed = (self.odds[0] - self.odds[1]) * self.w + self.odds[1]
+        bounds = (self.mixed[:2] * (_TOTAL - 3)).astype(np.int64) + 1
+        first, second = bounds[0], bounds[0] + bounds[1]
         return self.saw[0], self.saw[1], first, second
 
     def learn(self, ids: np.ndarray, event: np.ndarray) -> None:
         n = len(ids)
+        at = event * n + self.lane[:n]
+        post = self.w * self.odds[0].take(at) / self.mixed.take(at)
+        self.weight[self.which] = 0.01 + 0.98 * post
         for k in range(2):
             slot, at, sure = self.slot[k], self.at[k], self.conf[k]
-            for e, counts in enumerate(self.events[k]):
-                counts[slot] += (event == e) * np.int32(12)
+            self.seen[k] *= 0.995
+            self.events[k][:, slot] = self.seen[k]
+            self.events[k].ravel()[event * self.events[k].shape[1] + slot] += 1
             right = self.saw[k] == ids
             self.guess[k][at] = np.where(right | (sure > 1), self.saw[k], ids)
-            self.sure[k][at] = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 2, 0))
-        if self.step % 128 == 0:
-            for counts in (c for three in self.events for c in three):
-                counts[counts > 2000] >>= 1
+            self.sure[k][at] = _SURE.take(sure + 4 * right)
         self.before[:n] = self.prev[:n]
         self.prev[:n] = ids
 
+    def _place(self, plane: int, above: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        return lanes * _BELOW + np.where(above < _OWN, above, _OWN + (above >> 5)) if plane else lanes
+
     def order0(self, plane: int, above: np.ndarray, lanes: np.ndarray):
         """The flat table of interval bounds, and where each lane's begins."""
-        return self.cum[plane].ravel(), (lanes * 16 + (above >> 4) if plane else lanes) * 257
+        return self.cum[plane].ravel(), self._place(plane, above, lanes) * 257
 
     def count0(self, plane: int, above: np.ndarray, lanes: np.ndarray, symbol: np.ndarray) -> None:
-        self.count[plane].ravel()[(lanes * 16 + (above >> 4) if plane else lanes) * 256 + symbol] += 24
+        self.count[plane].ravel()[self._place(plane, above, lanes) * 256 + symbol] += 24
 
 
 class _Encoder:
@@ -148,17 +169,22 @@ def _planes(ids: np.ndarray) -> int:
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """Coded blocks of ``ids`` (unsigned, below 2**31), ``block`` ids in each but the last."""
-    ids = np.asarray(ids, np.int64)
-    if not len(ids):
-        return []
+    """Coded blocks of ``ids`` (unsigned, below 2**31), ``block`` ids in each but the last.
+
+    A stream of any length takes the memory of ``LANES`` blocks.
+    """
+    room = block * LANES
+    return [b for a in range(0, len(ids), room) for b in _encode_lanes(np.asarray(ids[a : a + room], np.int64), block)]
+
+
+def _encode_lanes(ids: np.ndarray, block: int) -> list[bytes]:
     cuts = [ids[i : i + block] for i in range(0, len(ids), block)]
     lens, planes = np.array([len(c) for c in cuts]), _planes(ids)
     grid = np.zeros((len(cuts), int(lens[0])), np.int64)
     for i, c in enumerate(cuts):
         grid[i, : len(c)] = c
     grid = np.ascontiguousarray(grid.T)
-    model, coder = _Model(len(cuts), planes), _Encoder(len(cuts), int(lens[0]) * (planes + 2) + 16)
+    model, coder = _Model(len(cuts), planes, int(lens[0])), _Encoder(len(cuts), int(lens[0]) * (planes + 2) + 16)
     every = np.arange(len(cuts))
     for t in range(len(grid)):
         lanes = every if t < lens[-1] else every[:-1]
@@ -176,25 +202,28 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
                 model.count0(p, above, miss, symbol)
                 above = symbol
         model.learn(x, event)
-    return [_HEAD.pack(MAGIC, len(c), planes, zlib.crc32(c.astype("<u4").tobytes()), len(b), zlib.crc32(b)) + b for c, b in zip(cuts, coder.finish())]
+    return [_HEAD.pack(MAGIC, len(c), planes, zlib.crc32(c.astype("<u4").tobytes()), len(b), zlib.crc32(b), int(lens[0])) + b for c, b in zip(cuts, coder.finish())]
 
 
 def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     """Ids of each block; a block that isn't as it was written raises ValueError."""
-    if not blocks:
-        return []
+    return [x for a in range(0, len(blocks), LANES) for x in _decode_lanes(blocks[a : a + LANES])]
+
+
+def _decode_lanes(blocks: list[bytes]) -> list[np.ndarray]:
     heads = [_HEAD.unpack_from(b) for b in blocks]
     bodies = [b[_HEAD.size :] for b in blocks]
     for h, b in zip(heads, bodies):
         if h[0] != MAGIC or h[4] != len(b) or h[5] != zlib.crc32(b):
             raise ValueError("a block of ids is damaged")
     lens, out = np.array([h[1] for h in heads]), [np.zeros(0, np.int64)] * len(blocks)
-    for planes in sorted({h[2] for h in heads}):
-        own = np.array([i for i, h in enumerate(heads) if h[2] == planes])
+    # a model's tables are sized by the first block of its frame, which is the longest
+    for planes, block in sorted({(h[2], h[6]) for h in heads}):
+        own = np.array([i for i, h in enumerate(heads) if (h[2], h[6]) == (planes, block)])
         own = own[np.argsort(-lens[own], kind="stable")]
         n = lens[own]
         grid = np.zeros((int(n[0]), len(own)), np.int64)
-        model, coder = _Model(len(own), planes), _Decoder([bodies[i] for i in own])
+        model, coder = _Model(len(own), planes, block), _Decoder([bodies[i] for i in own])
         every = np.arange(len(own))
         for t in range(len(grid)):
             lanes = every if t < n[-1] else every[: int(np.searchsorted(-n, -t, side="left"))]

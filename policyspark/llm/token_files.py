@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm import codec, memo
-from policyspark.llm.common import bound_batches, shared_dir, shuffle_partitions
+from policyspark.llm.common import bound_batches, materialize, shared_dir, shuffle_partitions
 
 #: Ids after which a frame closes; a longer document makes a longer frame.
 FRAME = 1 << 22
 _SIZES = struct.Struct("<III")
+#: Frames up to which their first positions are broadcast; more meet them by a shuffle.
+STARTS = 1 << 20
 FRAMES = "part long, frame long, n_ids long, body binary"
 
 
@@ -55,7 +57,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are
     written once each, side by side, in the order of their texts; a null doc_id
-    comes first.
+    comes first. A text of any length lies in one frame and is coded in groups
+    of blocks of bounded memory. An empty table gives files without frames;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -86,27 +90,27 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (binary) of each document in the files at ``path``."""
+    """doc_id, start, n_tokens and ids (binary) of each document in the files at ``path``; no rows if they hold none."""
     bound_batches(spark)
     frames = spark.read.schema(FRAMES).parquet(path)
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = frames.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("part_start"))  # a row for each range
     own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = frames.select("part", "frame", own.alias("own")).join(parts, "part").select("part", "frame", (F.col("own") + F.col("part_start")).alias("base"))
+    starts = materialize(frames.select("part", "frame", own.alias("own")).join(parts, "part").select("part", "frame", (F.col("own") + F.col("part_start")).alias("base")), "starts")
+    # a row of 24 bytes for each frame of some four million ids; frames meet it before they are decoded
+    few = F.broadcast(starts) if starts.count() <= STARTS else starts
 
     def stage(batches):
         for batch in batches:
-            for part, frame, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for base, body in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 keys, ids = unpack_frame(body)
                 n = np.array([len(x) // 4 for x in ids], np.int64)
-                at = np.cumsum(n) - n
+                at = base + np.cumsum(n) - n
                 for i in range(0, len(keys), 256):
-                    m = len(keys[i : i + 256])
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int64()), pa.array([frame] * m, pa.int64()), pa.array(keys[i : i + 256], pa.int64()), pa.array(at[i : i + 256], pa.int64()), pa.array(n[i : i + 256], pa.int64()), pa.array(ids[i : i + 256], pa.binary())], ["part", "frame", "doc_id", "at", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 256], pa.int64()), pa.array(at[i : i + 256], pa.int64()), pa.array(n[i : i + 256], pa.int64()), pa.array(ids[i : i + 256], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    rows = frames.select("part", "frame", "body").mapInArrow(stage, "part long, frame long, doc_id long, at long, n_tokens long, ids binary")
-    # one small row a frame (four million ids), so this side is broadcast only where Spark's own size check allows it
-    return rows.join(starts, ["part", "frame"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    placed = frames.select("part", "frame", "body").join(few, ["part", "frame"]).select("base", "body")
+    return placed.mapInArrow(stage, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_path(spark: SparkSession) -> str:

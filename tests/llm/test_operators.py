@@ -63,6 +63,18 @@ def test_codec_round_trip(ids):
             codec.decode_blocks([bytes(broken)])
 
 
+def test_codec_beats_zlib(spark, monkeypatch):
+    """Blocks of the default size are smaller than zlib's, and a long stream is coded in groups of lanes."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(300).collect()]
+    ids = np.frombuffer(b"".join(memo.encoder(queries.vocabulary("word_bpe_49k.json")).encode(texts)), "<u4")
+    monkeypatch.setattr(codec, "LANES", 7)
+    blocks = codec.encode_blocks(ids)
+    assert len(blocks) > 7 and np.array_equal(np.concatenate(codec.decode_blocks(blocks)), ids)
+    parts = [ids[i : i + codec.BLOCK] for i in range(0, len(ids), codec.BLOCK)]
+    assert sum(map(len, blocks)) < 0.93 * sum(len(zlib.compress(p.astype("<u2").tobytes(), 9)) for p in parts)
+    assert codec.decode_blocks(blocks[3:5])[1].tolist() == parts[4].tolist()  # a block needs no other
+
+
 def test_token_files(spark, docs, odd):
     lib = tokenizer("word_bpe_49k.json")
     for table in (docs, odd, docs.limit(0)):
