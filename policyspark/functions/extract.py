@@ -85,31 +85,71 @@ def parameters(section: Column, b: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+def drug_classes() -> dict[str, str]:
+    """every drug name of at least four letters and the class that its steps count for.
+
+    Biosimilars and their generic names count as generic; generic names of
+    originator brands as branded, also where they are in the list of generics.
+    """
+    found = {d: "branded" for d in packs.BIOLOGICS} | {d: "generic" for d in [*packs.BIOSIMILARS, *packs.GENERICS]}
+    found |= {g: "generic" if b.lower() in packs.BIOSIMILARS else "branded" for b, g in packs.BRAND_GENERIC.items()}
+    return {d: k for d, k in found.items() if len(d) >= 4}
+
+
 def mentions(text: Column) -> Column:
-    """Names of drugs in a text and their class; word-bounded, at least four letters."""
+    """Every place where a drug's name stands as a word, with its class and 100 characters around it."""
     low = F.lower(text)
-    classes = {d: "generic" for d in [*packs.GENERICS, *packs.BIOSIMILARS]} | {d: "branded" for d in packs.BIOLOGICS} | {v: "branded" for v in packs.BRAND_GENERIC.values()}
 
-    def one(name: str, kind: str) -> Column:
-        at = F.regexp_instr(low, F.lit(rf"\b{name}\b"))
-        return F.when(at > 0, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("classification"), F.substring(text, F.greatest(at - 100, F.lit(1)), F.least(at - 1, F.lit(100)) + len(name) + 100).alias("context")))
+    def all_of(name: str, kind: str) -> Column:
+        parts = F.split(low, rf"\b{name}\b")  # names are plain words
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+        places = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + len(name)).alias("at"), F.array_append(a["found"], a["at"] + F.length(p)).alias("found")), lambda a: F.slice(a["found"], 1, F.size(a["found"]) - 1))
 
-    return F.array_compact(F.array(*[one(n, k) for n, k in sorted(classes.items()) if len(n) >= 4]))
+        def one(at: Column) -> Column:
+            around = F.substring(text, F.greatest(at - 99, F.lit(1)), F.least(at, F.lit(100)) + len(name) + 100)
+            return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("classification"), strip(F.translate(around, "\n", " ")).alias("context"))
+
+        return F.when(F.contains(low, F.lit(name)), F.transform(places, one)).otherwise(F.array().cast("array<struct<name:string,classification:string,context:string>>"))
+
+    return F.flatten(F.array(*[all_of(n, k) for n, k in drug_classes().items()]))
 
 
 def requirements(text: Column) -> Column:
-    """The first match of each step pattern, with its count, kind, source and connector."""
+    """The first match of each step pattern, with its count, kind, source and connector.
+
+    The source reaches from 50 characters before the match to 100 after it, the
+    connector is sought from 300 before to 300 after. "ALL" counts as two.
+    """
 
     def one(pattern: str, kind: str) -> Column:
-        at = F.regexp_instr(text, F.lit(pattern))
-        n = F.lit(1) if kind != "branded" and kind != "generic" else T.count_word(F.regexp_extract(text, pattern, 1))
-        around = F.substring(text, F.greatest(at - 300, F.lit(1)), F.lit(600))
-        source = F.substring(text, F.greatest(at - 50, F.lit(1)), F.lit(150))
-        return F.when(at > 0, F.struct(n.alias("count"), F.lit(kind.split("_")[0]).alias("drug_type"), T.connector(around).alias("connector"), source.alias("source_text")))
+        at, n = F.regexp_instr(text, F.lit(pattern)), F.length(F.regexp_extract(text, pattern, 0))
+        count = F.lit(2 if kind == "branded_all" else 1) if kind not in ("branded", "generic") else T.count_word(F.regexp_extract(text, pattern, 1))
+
+        def cut(before: int, after: int) -> Column:
+            return F.substring(text, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)) + n + after)
+
+        return F.when(at > 0, F.struct(count.alias("count"), F.lit(kind.split("_")[0]).alias("drug_type"), T.connector(cut(300, 300)).alias("connector"), cut(50, 100).alias("source_text")))
 
     return F.array_compact(F.array(*[one(p, k) for p, k in STEP_PATTERNS]))
 
 
+def laid_out(section: Column) -> Column:
+    """S13f: whether the first 500 characters have two of the marks of the labelled layout."""
+    head = F.lower(F.substring(section, 1, 500))
+    return sum((F.contains(head, F.lit(m)).cast("int") for m in packs.LAYOUT_MARKS), F.lit(0)) >= 2
+
+
+def plain_value(param: str, c: Column) -> Column:
+    """S13g: whether a simple parameter's value has a form that needs no second look."""
+    own = strip(F.coalesce(c, F.lit("")))
+    allowed = {"tb_test_required": ["Y", "No", "NA"], "reauth_required": ["Yes", "No", "NA"]}
+    if param in allowed:
+        return own.isin(allowed[param])
+    if param in ("initial_auth_duration", "reauth_duration"):
+        return own.rlike(r"^[0-9]+$") | own.isin("NA", "Unspecified", "No")
+    return own != ""
+
+
 def phototherapy(text: Column) -> Column:
     """P5: struct of mandatory (null if never named) and in_or; once in an OR, later sentences stay so."""
     parts = F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: any_in(F.lower(s), PHOTO))

@@ -75,10 +75,17 @@ def sliding_chunks(c: Column, size: int = 3000, overlap: int = 250) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(c, k * step + 1, F.lit(size)))
 
 
-def marked_sections(c: Column, marks: str) -> Column:
-    """A section from each place where ``marks`` (a regex) begins; paragraphs where there is none."""
+def marked_sections(c: Column, marks: str, most: int) -> Column:
+    """Sections from each place where ``marks`` (a regex) begins, or else paragraphs, packed up to ``most`` characters.
+
+    Only a text without paragraphs is cut hard, into pieces of ``most``; a
+    paragraph that is too long stays whole.
+    """
     parts = _nonblank(F.split(c, f"(?={marks})"))
-    return F.when(F.size(parts) > 1, parts).otherwise(paragraphs(c))
+    pieces = packed(F.when(F.size(parts) > 1, parts).otherwise(paragraphs(c)), most, "\n\n")
+    n = F.ceil(F.length(c) / most).cast("int")
+    hard = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.substring(c, k * most + 1, F.lit(most)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(pieces) > 0, pieces).otherwise(hard)
 
 
 def compact(c: Column) -> Column:
@@ -113,6 +120,42 @@ def window_around(c: Column, names: list[Column], size: int = 24000, small: int
     return F.when(F.length(c) <= small, c).otherwise(F.substring(c, at, F.lit(size)))
 
 
+def places_of(low: Column, word: Column) -> Column:
+    """Places (from 0) of all occurrences of a literal in a text."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    parts = F.split(low, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")))
+    ends = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + F.length(word)).alias("at"), F.array_append(a["found"], a["at"] + F.length(p)).alias("found")), lambda a: a["found"])
+    return F.when(F.contains(low, word), F.slice(ends, 1, F.size(ends) - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def brand_section(c: Column, names: list[Column], size: int = 24000, small: int = 10000) -> Column:
+    """The part of a long text that is about a brand; a text of at most ``small`` characters stays whole.
+
+    In this order: where an approval phrase names the brand, 500 characters
+    before it; where a criteria mark has a name within 3000 characters, 500
+    before it; where a name has a word of criteria within 1000 characters, 1000
+    before it; at a section mark; at the head. Names that are '' are skipped.
+    """
+    low = F.lower(c)
+    none = F.lit(None).cast("int")
+    before = lambda at, back: F.when(at.isNotNull(), F.greatest(at - back, F.lit(0)))
+    phrases = [F.when(n != "", F.nullif(F.instr(low, F.concat(F.lit(p.split("{}")[0]), n, F.lit(p.split("{}")[1]))), F.lit(0)) - 1) for n in names for p in packs.APPROVAL_PHRASES]
+
+    def near_name(at: Column) -> Column:
+        back, ahead = F.substring(low, before(at, 3000) + 1, F.least(at, F.lit(3000))), F.substring(low, at + 1, F.lit(3000))
+        return reduce(lambda a, b: a | b, [(n != "") & (F.contains(back, n) | F.contains(ahead, n)) for n in names])
+
+    def near_criteria(at: Column, n: Column) -> Column:
+        from_ = before(at, 1000)
+        return any_in(F.substring(low, from_ + 1, at - from_ + F.length(n) + 1000), packs.NEAR_WORDS)
+
+    marks = [F.element_at(F.filter(places_of(low, F.lit(m)), near_name), 1) for m in packs.CRITERIA_MARKS]
+    named = [F.when(n != "", F.element_at(F.filter(places_of(low, n), lambda at, n=n: near_criteria(at, n)), 1)).otherwise(none) for n in names]
+    first = lambda xs: F.coalesce(*xs)
+    start = F.coalesce(before(first(phrases), 500), before(first(marks), 500), before(first(named), 1000), F.nullif(F.instr(low, "[pso section"), F.lit(0)) - 1, F.lit(0))
+    return F.when(F.length(c) <= small, c).otherwise(F.substring(c, start + 1, F.lit(size)))
+
+
 def prefix_within(parts: Column, budget: int) -> Column:
     """Parts until their running length reaches the budget; the one that crosses it stays."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))

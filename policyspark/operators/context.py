@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyspark import packs
 from policyspark.functions import extract
 from policyspark.functions import text as T
-from policyspark.functions.normalize import any_in
+from policyspark.functions.normalize import any_in, strip
 
 TASK = ["filename", "brand"]
 
@@ -32,10 +34,6 @@ def scored_pages(tasks: DataFrame, pages: DataFrame, keywords: dict | None = Non
     return task_pages(tasks, pages).select(*TASK, "page_num", "text", points.alias("relevance"), cats.alias("categories"))
 
 
-def missing_files(tasks: DataFrame, pages: DataFrame) -> DataFrame:
-    return tasks.select("filename").distinct().join(pages.select("filename"), "filename", "left_anti")
-
-
 def tagged_pages(scored: DataFrame, least: float = 3.0) -> DataFrame:
     """Relevant pages, and as context the pages right before and after them.
 
@@ -59,51 +57,60 @@ def page_context(tagged: DataFrame) -> DataFrame:
     return by.withColumn("text", T.clean(F.col("text")))
 
 
-def kept_paragraphs(scored: DataFrame) -> DataFrame:
-    """S13i, S13l: paragraphs with two of signal, brand and parameter words that aren't about another indication.
-
-    A task without any keeps its paragraphs with a signal.
-    """
-    paras = scored.where("relevance > 0").select(*TASK, "page_num", F.posexplode(T.paragraphs(F.col("text"))).alias("ord", "para"))
-    low, brand = F.lower("para"), F.lower("brand")
-    secondary = packs.PAGE_KEYWORDS["secondary"][0]
-    named = F.contains(low, brand) | F.coalesce(F.contains(low, generic_of(F.col("brand"))), F.lit(False))
-    signal, param = T.has_signal(low), any_in(low, secondary)
-    good = (F.length("para") >= 30) & ((signal & named) | (signal & param) | (named & param)) & T.on_indication(low)
-    marked = paras.withColumn("good", good & ~T.is_literature(F.col("para"), F.col("brand"), generic_of(F.col("brand")))).withColumn("signal", signal)
-    some = F.max("good").over(Window.partitionBy(*TASK))
-    return marked.withColumn("some", some).where(F.when(F.col("some"), F.col("good")).otherwise(F.col("signal"))).select(*TASK, "page_num", "ord", "para")
-
-
-def sentence_context(pages: DataFrame, words: list[str], per_task: int = 5) -> DataFrame:
-    """S13j, S13m: sentences with a word, each with its neighbours; repeats by their first 100 characters go.
+def sentence_context(pages: DataFrame, words: dict[str, list[str]], per_param: int = 5) -> DataFrame:
+    """Sentences with a parameter's words, each with its neighbours.
 
-    ``pages`` has filename, brand, page_num and text.
+    ``pages`` has filename, brand, page_num and text; ``words`` each parameter's
+    keywords. Snippets that begin with the same 100 characters as an earlier
+    one, in the order of page, parameter and sentence, go; then each parameter
+    of a task keeps its first ``per_param``.
     """
     rows = pages.select(*TASK, "page_num", F.posexplode(T.sentences(F.col("text"))).alias("sent", "s"))
     w = Window.partitionBy(*TASK, "page_num").orderBy("sent")
-    rows = rows.withColumn("around", F.concat_ws(" ", F.lag("s").over(w), F.col("s"), F.lead("s").over(w))).where(any_in(F.lower("s"), words))
-    first = F.row_number().over(Window.partitionBy(*TASK, F.substring("around", 1, 100)).orderBy("page_num", "sent"))
-    rows = rows.withColumn("f", first).where("f = 1").drop("f")
-    n = F.row_number().over(Window.partitionBy(*TASK).orderBy("page_num", "sent"))
-    return rows.withColumn("n", n).where(F.col("n") <= per_task).select(*TASK, "page_num", "sent", "around")
+    hits = F.array_compact(F.array(*[F.when(any_in(F.lower("s"), ws), F.struct(F.lit(k).alias("ord"), F.lit(p).alias("param"))) for k, (p, ws) in enumerate(words.items())]))
+    rows = rows.withColumn("around", F.concat_ws(" ", F.lag("s").over(w), F.col("s"), F.lead("s").over(w))).select(*TASK, "page_num", "sent", "around", F.explode(hits).alias("h")).select(*TASK, "page_num", "sent", "around", "h.*")
+    once = F.row_number().over(Window.partitionBy(*TASK, F.substring("around", 1, 100)).orderBy("page_num", "ord", "sent"))
+    rows = rows.withColumn("n", once).where("n = 1")
+    place = F.row_number().over(Window.partitionBy(*TASK, "param").orderBy("page_num", "sent"))
+    return rows.withColumn("n", place).where(F.col("n") <= per_param).select(*TASK, "param", "page_num", "sent", "around")
 
 
-def document_types(scored: DataFrame, pages: DataFrame) -> DataFrame:
-    """S13e, D14, D15: the layout that a document has."""
+def document_types(pages: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """S13e, D14, D15: filename, n_pages, n_brands, catalog, jumps and the type of each document.
+
+    ``names``: what a page can call a brand, and the brand that each name stands
+    for. Catalog pages are counted among the first ten pages, pages with a jump
+    among the first 30.
+    """
     low = F.lower("text")
-    brands = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(b.lower())) | F.contains(low, F.lit(g)), F.lit(b)) for b, g in packs.BRAND_GENERIC.items()]))
-    marks = pages.select("filename", "page_num", brands.alias("brands"), (F.regexp_count(low, F.lit(r"\n")) > 20).alias("catalog"), F.regexp_count(low, F.lit(r"go to #?\d+")).alias("jumps"))
-    counts = marks.groupBy("filename").agg(F.count("*").alias("n_pages"), F.sum(F.when(F.col("page_num") < 10, F.col("catalog").cast("int")).otherwise(0)).alias("catalog"), F.sum(F.when(F.col("page_num") < 30, F.col("jumps")).otherwise(0)).alias("jumps"), F.size(F.array_distinct(F.flatten(F.collect_set("brands")))).alias("n_brands"))
-    kind = F.when(F.col("n_brands") <= 1, "single-drug").when(F.col("n_pages") <= 10, "single-drug").when((F.col("catalog") >= 3) & (F.col("n_pages") > 50), "flat-catalog").when(F.col("jumps") >= 5, "decision-tree").otherwise("multi-drug")
+    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(b)) for w, b in (names or packs.CANONICAL).items()]))
+    catalog = F.contains(low, F.lit(packs.CATALOG_MARKS[0])) & F.contains(low, F.lit(packs.CATALOG_MARKS[1])) & (F.col("page_num") < 10)
+    jump = low.rlike(packs.JUMP_PATTERN) & (F.col("page_num") < 30)
+    marks = pages.select("filename", F.array_distinct(found).alias("brands"), catalog.cast("int").alias("catalog"), jump.cast("int").alias("jumps"))
+    # at most as many brands as ``names`` has are in a set
+    counts = marks.groupBy("filename").agg(F.count("*").alias("n_pages"), F.size(F.array_distinct(F.flatten(F.collect_set("brands")))).alias("n_brands"), F.sum("catalog").alias("catalog"), F.sum("jumps").alias("jumps"))
+    kind = F.when((F.col("n_brands") <= 1) | (F.col("n_pages") <= 10), "single-drug").when((F.col("catalog") >= 3) & (F.col("n_pages") > 50), "flat-catalog").when(F.col("jumps") >= 5, "decision-tree").otherwise("multi-drug")
     return counts.withColumn("document_type", kind)
 
 
-def preferred_status(scored: DataFrame) -> DataFrame:
-    """The status that the first of 15 pages states."""
-    low = F.lower("text")
-    status = F.when(F.contains(low, F.lit("non-preferred")), "non-preferred").when(F.contains(low, F.lit("preferred")), "preferred")
-    return scored.where("page_num < 15").withColumn("status", status).groupBy(*TASK).agg(F.coalesce(F.min_by("status", F.when(F.col("status").isNotNull(), F.col("page_num"))), F.lit("unknown")).alias("preferred_status"))
+def preferred_status(pages: DataFrame) -> DataFrame:
+    """The status that the first of 15 pages states of the task's brand or its generic, within 200 characters.
+
+    ``pages``: filename, brand, page_num, text.
+    """
+    low, brand, generic = F.lower("text"), F.lower("brand"), generic_of(F.col("brand"))
+    quoted = lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))
+    near = F.lit(".{0,200}")
+    out, good = F.lit(False), F.lit(False)
+    for name in (brand, generic):
+        known = name != ""
+        out = out | (known & (F.rlike(low, F.concat(F.lit("non-preferred"), near, quoted(name))) | F.rlike(low, F.concat(quoted(name), near, F.lit("non-preferred")))))
+        at = F.regexp_instr(low, F.concat(F.lit("preferred"), near, quoted(name)))
+        before = F.substring(low, F.greatest(at - 15, F.lit(1)), F.least(at - 1, F.lit(15)))
+        good = good | (known & (at > 0) & ~F.contains(before, F.lit("non-preferred")))
+    status = F.when((F.contains(low, F.lit("non-preferred")) | F.contains(low, F.lit("non preferred"))) & out, "non-preferred").when(good, "preferred")
+    stated = pages.withColumn("status", F.when(F.col("page_num") < 15, status))
+    return stated.groupBy(*TASK).agg(F.coalesce(F.min_by("status", F.when(F.col("status").isNotNull(), F.col("page_num"))), F.lit("unknown")).alias("preferred_status"))
 
 
 def section_span(pages: DataFrame, start: Column, opens: Column) -> DataFrame:
@@ -113,11 +120,17 @@ def section_span(pages: DataFrame, start: Column, opens: Column) -> DataFrame:
     return rows.withColumn("e", F.min(F.when(F.col("o") & (F.col("page_num") > F.col("b")), F.col("page_num"))).over(whole)).where((F.col("page_num") >= F.col("b")) & (F.col("e").isNull() | (F.col("page_num") < F.col("e")))).drop("b", "e", "o")
 
 
-def universal_boundary(pages: DataFrame, header: str = r"(?i)(prior authorization|coverage|approval)\s+criteria") -> DataFrame:
-    """First of ten pages of at least 100 characters that begins a section."""
-    hit = (F.col("page_num") < 10) & (F.length("text") >= 100) & F.substring("text", 1, 500).rlike(header)
+def universal_boundary(pages: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """Filename and boundary, the first of ten pages of at least 100 characters that begins a drug's section.
+
+    At least 1; without such a page 3, or all pages if there are fewer.
+    """
+    low = strip(F.lower("text"))
+    head = F.substring(low, 1, 500)
+    begins = reduce(lambda a, b: a | b, [head.rlike(f"(?m){p}") for p in patterns or packs.SECTION_PATTERNS])
+    hit = (F.col("page_num") < 10) & (F.length(low) >= 100) & begins
     by = pages.groupBy("filename").agg(F.min(F.when(hit, F.col("page_num"))).alias("at"), F.count("*").alias("n"))
-    return by.select("filename", F.coalesce(F.greatest("at", F.lit(1)), F.least(F.lit(3), F.col("n").cast("int"))).alias("boundary"))
+    return by.select("filename", F.when(F.col("at").isNull(), F.least(F.lit(3), F.col("n").cast("int"))).otherwise(F.greatest("at", F.lit(1))).cast("int").alias("boundary"))
 
 
 def top_chunks(docs: DataFrame, words: list[str], most: int = 8) -> DataFrame:

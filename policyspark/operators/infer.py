@@ -42,6 +42,49 @@ def short_example(c: Column, most: int = 80) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
 
 
+def example_text(example: dict[str, Column], compact: bool = False) -> Column:
+    """A worked example as JSON; compact ones lose their reasoning and cut long fields."""
+    kept = {k: v for k, v in example.items() if not (compact and k.endswith("_reasoning"))}
+    return F.to_json(F.struct(*[(short_example(v) if compact else v).alias(k) for k, v in kept.items()]))
+
+
+def full_prompt(header: str, examples: Column, text: Column, universal: Column | None = None, tree: Column | None = None) -> Column:
+    """U8: worked examples before the task's own prompt."""
+    shown = F.when(F.coalesce(examples, F.lit("")) != "", F.concat(F.lit("EXAMPLES:\n"), examples, F.lit("\n\n"))).otherwise("")
+    return F.concat(shown, prompt(header, text, universal, tree))
+
+
+def field_hints(fields: dict[str, str], missing: Column) -> Column:
+    """U8: a line of advice for each field in the array ``missing``, in the order of ``fields``."""
+    lines = F.array(*[F.when(F.array_contains(missing, k), F.lit(f"- {k}: {v}")) for k, v in fields.items()])
+    return F.array_join(F.array_compact(lines), "\n")
+
+
+def chunk_budgets(overhead: Column, universal: Column, tokens: int = 12000, out: int = 2000) -> tuple[Column, Column]:
+    """Characters of a chunk with the universal text before it, and of one without."""
+    return T.context_chars(overhead + F.length(universal), tokens, out), T.context_chars(overhead, tokens, out)
+
+
+def validation_prompts(found: DataFrame, contexts: DataFrame, header: str) -> DataFrame:
+    """A prompt for each record that has a context, showing both."""
+    said = F.to_json(F.struct(*packs.PARAMS))
+    rows = found.join(contexts.select("filename", "brand", "text"), ["filename", "brand"])
+    return rows.select("filename", "brand", F.concat(F.lit(header), F.lit("\n\nEXTRACTED:\n"), said, F.lit("\n\nPOLICY TEXT:\n"), F.col("text")).alias("prompt"))
+
+
+def validate_all(found: DataFrame, contexts: DataFrame, header: str, call: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Records corrected by a second look at their source, with ``corrections``, the fields that changed.
+
+    A field that the answer leaves out stays as it was; a record whose answer
+    can't be read, or that has no context, stays whole.
+    """
+    answers = parsed(infer(validation_prompts(found, contexts, header), call)).select("filename", "brand", F.struct(*packs.PARAMS).alias("new"))
+    rows = found.join(answers, ["filename", "brand"], "left")
+    new = {p: F.coalesce(F.col("new")[p], F.col(p)) for p in packs.PARAMS}
+    changed = F.array_compact(F.array(*[F.when(~new[p].eqNullSafe(F.col(p)), F.lit(p)) for p in packs.PARAMS]))
+    return rows.select("filename", "brand", *[v.alias(p) for p, v in new.items()], changed.alias("corrections"))
+
+
 def analysis_block(requirements: Column, branded: Column, generic: Column) -> Column:
     """A step analysis as text."""
     lines = F.transform(requirements, lambda r: F.concat(F.lit("- "), r["count"].cast("string"), F.lit(" "), r["drug_type"], F.lit(" ("), r["connector"], F.lit("): "), r["source_text"]))
@@ -102,8 +145,8 @@ def with_fallback(tasks: DataFrame, *stages: DataFrame) -> DataFrame:
 def split_failed(chunks: DataFrame, failed: Column, most: int = 3) -> DataFrame:
     """Halves of chunks that were too large, cut at a line end near the middle; ``depth`` counts cuts."""
     mid = (F.length("text") / 2).cast("int")
-    line = F.locate("\n", F.col("text"), mid)
-    at = F.when(line > 0, line).otherwise(mid)
+    line = F.instr(F.substring(F.col("text"), mid, F.length("text")), "\n")
+    at = F.when(line > 0, mid - 1 + line).otherwise(mid)
     halves = F.array(F.substring("text", F.lit(1), at), F.substring("text", at + 1, F.length("text")))
     cut = chunks.where(failed & (F.col("depth") < most)).withColumn("half", F.explode(halves)).withColumn("text", F.col("half")).withColumn("depth", F.col("depth") + 1).drop("half")
     return chunks.where(~failed | (F.col("depth") >= most)).unionByName(cut)

@@ -11,7 +11,8 @@ from policyspark import packs
 from policyspark.functions.normalize import strip
 
 PASSES, PROVIDERS = ["validate", "extract"], ["groq-optimized", "groq", ""]
-RULES_FIRST = ["age", "step_therapy_requirements", "steps_through_brands", "steps_through_generic", "step_through_phototherapy", "tb_test_required", "specialist_types", "initial_auth_duration", "reauth_duration", "reauth_required"]
+# Fields in which a rule's value wins over a model's.
+RULES_FIRST = ["age", "steps_through_brands", "steps_through_generic", "step_through_phototherapy", "tb_test_required", "quantity_limits", "specialist_types", "initial_auth_duration", "reauth_duration", "reauth_required"]
 
 
 def rank_of(c: str, order: list[str]) -> Column:
@@ -117,12 +118,6 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("filename", "brand").agg(*aggs)
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """E1 in its general form: the first row of each key by ``order``."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_n", n).where("_n = 1").drop("_n")
-
-
 def with_defaults(tasks: DataFrame) -> DataFrame:
     """U4, last stage: default parameters of each task's brand."""
     def value(p: str) -> Column:

@@ -69,3 +69,31 @@ def run_totals(rows: DataFrame, findings: DataFrame) -> DataFrame:
 
 def provider_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("provider").agg(F.count("*").alias("n"))
+
+
+def confidence_counts(rows: DataFrame) -> DataFrame:
+    """One row with the number of High, Medium and Low rows; others count for nothing."""
+    return rows.agg(*[F.count(F.when(F.col("level") == n, 1)).alias(n.lower()) for n in ("High", "Medium", "Low")])
+
+
+def not_high(rows: DataFrame) -> DataFrame:
+    """Rows whose confidence is not High, for review."""
+    return rows.where(F.col("level") != "High")
+
+
+def file_brands(tasks: DataFrame) -> DataFrame:
+    """Each file's distinct brands, in the order of their first row."""
+    first = tasks.groupBy("filename", "brand").agg(F.min("row_no").alias("at"))
+    brands = F.transform(F.array_sort(F.collect_list(F.struct("at", "brand"))), lambda x: x["brand"])
+    return first.groupBy("filename").agg(F.count("*").alias("n_brands"), F.array_join(brands, ", ").alias("brands"))
+
+
+def run_statistics(calls: DataFrame) -> DataFrame:
+    """Calls, hits and tokens (a quarter of the characters) by provider, from a log of calls."""
+    return calls.groupBy("provider").agg(F.count("*").alias("calls"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.floor(F.sum("chars") / 4).cast("long").alias("tokens"))
+
+
+def dry_run_by_type(packages: DataFrame) -> DataFrame:
+    """Tasks, characters and tokens by document type and preferred status."""
+    n = F.length("full_text")
+    return packages.groupBy("document_type", "preferred_status").agg(F.count("*").alias("n_tasks"), F.sum(n).alias("chars"), F.floor(F.sum(n) / 4).cast("long").alias("tokens"))

@@ -70,6 +70,31 @@ PAGE_KEYWORDS = {
     "quantity_limit": (["quantity limit", "quantity level limit"], 2.0),
 }
 TARGET_WEIGHT = 5.0
+# Keywords of each parameter, for paragraphs, sentences and snippets.
+PARAM_KEYWORDS = {
+    "age": ["years of age", "age of", ">=18", ">=6", ">=4", "pediatric", "adolescent", "adult patient", "years or older", "age restriction"],
+    "step_therapy": ["step therapy", "tried and failed", "inadequate response", "prior treatment", "failed to respond", "intolerance", "contraindication", "conventional", "prerequisite", "trial and failure", "trial of", "failed", "must have tried", "documented failure", "treatment history", "previous therapy", "prior use"],
+    "branded_steps": ["preferred agent", "non-preferred", "biologic", "biosimilar", "targeted immune", "targeted synthetic", "preferred alternative", "formulary alternative"],
+    "generic_steps": ["methotrexate", "cyclosporine", "acitretin", "topical", "conventional synthetic", "non-biologic", "leflunomide", "conventional therapy", "first-line"],
+    "phototherapy": ["phototherapy", "puva", "uvb", "psoralen", "light therapy", "light treatment", "narrowband"],
+    "tb_test": ["tuberculosis", "tb test", "tb screen", "quantiferon", "latent tb", "tb testing", "ppd"],
+    "quantity_limit": ["quantity limit", "quantity level limit", "supply limit", "day supply"],
+    "specialist": ["dermatologist", "specialist", "prescriber type", "prescribed by", "in consultation with", "board-certified", "treating physician"],
+    "auth_duration": ["authorization duration", "approval period", "authorized for", "approve for", "approved for", "length of authorization", "initial authorization", "valid for", "12 months", "6 months", "one year", "365 days"],
+    "reauth": ["reauthorization", "renewal", "continuation criteria", "continuation of therapy", "re-authorization", "continued approval", "renewal criteria", "subsequent authorization", "follow-up approval", "recertification"],
+}
+# Section headers, and marks of layouts and criteria.
+SECTION_PATTERNS = [r"^products?\s+affected", r"^drug\s+name\s*:", r"^\s*(?:brand|generic)\s+name\s*:", r"(?:plaque\s+psoriasis|psoriatic\s+arthritis|crohn|ulcerative\s+colitis)"]
+UNIVERSAL_PATTERNS = [r"general\s+authorization\s+guidelines", r"general\s+criteria", r"criteria\s+for\s+all", r"applies?\s+to\s+all", r"for\s+all\s+(medications|indications|requests|diagnoses)", r"documentation\s+for\s+all\s+indications"]
+TIER_PATTERNS = [r"non-preferred.*require.*trial.*(?:preferred|formulary)", r"non-preferred.*(?:agents?|products?).*require"]
+CATALOG_MARKS = ["products affected", "pa criteria"]
+JUMP_PATTERN = r"go\s+to\s+#?\s*\d+"
+REAUTH_WORDS = ["reauthorization", "renewal criteria", "continuation criteria", "continuation of therapy", "renewal approval", "re-authorization"]
+LIMIT_PHRASES = ["quantity limit", "quantity level limit"]
+LAYOUT_MARKS = ["products affected", "prior authorization criteria", "criteria details", "required medical information"]
+APPROVAL_PHRASES = ["coverage of {}", "{} may be approved", "{} is considered"]
+CRITERIA_MARKS = ["all of the following criteria", "criteria are met", "criteria for initial approval", "approval criteria"]
+NEAR_WORDS = ["criteria", "authorization", "approval", "trial", "failed", "all of the following"]
 SIGNAL_WORDS = ["plaque psoriasis", "psoriasis", "body surface area", "moderate-to-severe", "moderate to severe", "plaque pso"]
 SIGNAL_PATTERN = r"\bbsa\b|\bplaque\b"
 OTHER_INDICATIONS = ["psoriatic arthritis", "ulcerative colitis", "crohn", "rheumatoid arthritis", "ankylosing spondylitis", "hidradenitis suppurativa"]
@@ -86,6 +111,11 @@ EXPECTED = {
     "STELARA": {"age": {"No": 45, ">=6": 40}, "steps_through_generic": {"1": 70, "2": 20, "NA": 10}, "steps_through_brands": {"NA": 85}, "step_through_phototherapy": {"No": 95}, "tb_test_required": {"Yes": 55, "No": 45}, "initial_auth_duration": {"12": 65, "6": 30}, "reauth_required": {"Yes": 65, "No": 35}, "specialist_types": {"Dermatologist": 40, "NA": 35}, "quantity_limits": {"No": 85}},
     "TREMFYA": {"age": {"No": 81, ">=18": 14}, "steps_through_generic": {"NA": 52, "1": 48}, "steps_through_brands": {"NA": 76}, "step_through_phototherapy": {"No": 100}, "tb_test_required": {"Yes": 52, "No": 48}, "initial_auth_duration": {"12": 57, "Unspecified": 24, "6": 19}, "reauth_required": {"Yes": 57, "No": 43}, "specialist_types": {"NA": 62, "Dermatologist": 33}, "quantity_limits": {"No": 86}},
 }
+# Parameters whose values have a simple form.
+SIMPLE_PARAMS = ["age", "tb_test_required", "quantity_limits", "specialist_types", "initial_auth_duration", "reauth_duration", "reauth_required"]
 # What a task gets when nothing could be extracted.
 DEFAULTS = {"age": "No", "step_therapy_requirements": "Unspecified", "steps_through_brands": "NA", "steps_through_generic": "1", "step_through_phototherapy": "No", "tb_test_required": "Y", "quantity_limits": "NA", "specialist_types": "NA", "initial_auth_duration": "12", "reauth_duration": "Unspecified", "reauth_required": "Yes", "reauth_requirements": "Unspecified"}
 BRAND_DEFAULTS = {"STELARA": {"age": ">=6"}}
+
+#: Names under which a page can mention a brand, and the brand that each stands for.
+CANONICAL = {w: next((b.lower() for b, g in BRAND_GENERIC.items() if w in (b.lower(), g)), w) for w in PAGE_KEYWORDS["other_brands"][0]}

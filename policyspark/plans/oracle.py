@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from policyspark import packs
-from policyspark.sources.fixtures import WORDING
+from policyspark.sources.fixtures import PAGE_WORDING, WORDING
 
 P = packs.PARAMS
 
@@ -261,7 +261,160 @@ def sanity() -> str:
     return base + " UNION ALL ".join(f"SELECT filename, brand, access_score, '{n}' AS finding FROM scored WHERE {c}" for n, c in checks.items())
 
 
+def worded() -> str:
+    """Pages wp and tasks wt in the pack's vocabulary, dt: their documents' types, tp: tasks by pages."""
+    part = {n: f"([{', '.join(lit(v) for v in vs)}])[1 + (o_orderkey // {p}) % {len(vs)}]" for n, (p, vs) in PAGE_WORDING.items()}
+    blank = "chr(10) || chr(10)"
+    text = f"{part['head']} || {blank} || {part['rule']} || ' ' || {part['brand']} || {blank} || {part['step']} || ' ' || {part['renew']}"
+    pairs = ", ".join(f"({lit(b)}, {lit(g)})" for b, g in packs.BRAND_GENERIC.items())
+    words = ", ".join(f"({lit(w)})" for w in packs.PAGE_KEYWORDS["other_brands"][0])
+    return f"""WITH wp AS (SELECT 'f' || (o_custkey % 400) AS filename, row_number() OVER (PARTITION BY o_custkey % 400 ORDER BY o_orderkey) - 1 AS page_num, {text} AS text FROM orders),
+  wt AS (SELECT DISTINCT 'f' || (o_custkey % 400) AS filename, unnest(['STELARA', CASE WHEN o_custkey % 2 = 0 THEN 'TREMFYA' ELSE 'COSENTYX' END]) AS brand FROM orders),
+  pairs(b, g) AS (VALUES {pairs}), names(w) AS (VALUES {words}),
+  own AS (SELECT w, coalesce(min(lower(b)), w) AS c FROM names LEFT JOIN pairs ON w = lower(b) OR w = g GROUP BY w),
+  nb AS (SELECT filename, count(DISTINCT c) AS n_brands FROM wp JOIN own ON contains(lower(text), w) GROUP BY 1),
+  pc AS (SELECT filename, count(*) AS n_pages, sum((page_num < 10 AND contains(lower(text), 'products affected') AND contains(lower(text), 'pa criteria'))::INT)::BIGINT AS catalog,
+    sum((page_num < 30 AND regexp_matches(lower(text), 'go\\s+to\\s+#?\\s*[0-9]+'))::INT)::BIGINT AS jumps FROM wp GROUP BY 1),
+  dt AS (SELECT filename, n_pages, coalesce(n_brands, 0)::INT AS n_brands, catalog, jumps, CASE WHEN coalesce(n_brands, 0) <= 1 OR n_pages <= 10 THEN 'single-drug' WHEN catalog >= 3 AND n_pages > 50 THEN 'flat-catalog' WHEN jumps >= 5 THEN 'decision-tree' ELSE 'multi-drug' END AS document_type FROM pc LEFT JOIN nb USING (filename)),
+  tp AS (SELECT wt.filename, brand, page_num, text, lower(text) AS low, lower(brand) AS b, g FROM wt JOIN wp USING (filename) JOIN pairs ON pairs.b = brand)"""
+
+
+def signal(c: str) -> str:
+    return f"({has(c, packs.SIGNAL_WORDS)} OR regexp_matches({c}, {lit(packs.SIGNAL_PATTERN)}))"
+
+
+def on_topic(c: str) -> str:
+    return f"(NOT {has(c, packs.OTHER_INDICATIONS)} OR {signal(c)})"
+
+
+def study(c: str) -> str:
+    n, m = (" + ".join(f"len(regexp_extract_all(lower({c}), {lit(p)}))" for p in ps) for ps in (packs.STUDY_PATTERNS, packs.POLICY_PATTERNS))
+    return f"(NOT (contains(lower({c}), b) OR contains(lower({c}), g)) AND ((({n}) > 10 AND ({m}) <= 2) OR (({n}) > 5 AND ({m}) = 0) OR (({n}) >= 8 AND ({n}) / greatest({m}, 1)::DOUBLE > 5)))"
+
+
+def boundary() -> str:
+    begins = " OR ".join(f"regexp_matches(substring(lower(trim(text)), 1, 500), {lit('(?m)' + p)})" for p in packs.SECTION_PATTERNS)
+    return f"bd AS (SELECT filename, (CASE WHEN pos IS NULL THEN least(3, n) ELSE greatest(1, pos) END)::INT AS boundary FROM (SELECT filename, count(*) AS n, min(CASE WHEN page_num < 10 AND length(trim(text)) >= 100 AND ({begins}) THEN page_num END) AS pos FROM wp GROUP BY 1))"
+
+
+def paras() -> str:
+    words = [w for ws in packs.PARAM_KEYWORDS.values() for w in ws]
+    return f"""pa AS (SELECT *, lower(para) AS pl FROM (SELECT filename, brand, page_num, b, g, (unnest(range(len(s))))::INT AS ord, unnest(s) AS para FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS s FROM tp WHERE NOT {study('text')})) WHERE length(para) >= 30),
+  pk AS (SELECT *, ({signal('pl')})::INT + (contains(pl, b) OR contains(pl, g))::INT + ({has('pl', words)})::INT >= 2 AND {on_topic('pl')} AND NOT (length(para) > 300 AND {study('para')}) AS good FROM pa)"""
+
+
+def snippets() -> str:
+    hits = " UNION ALL ".join(f"SELECT *, {k} AS o, '{p}' AS param FROM se WHERE {has('lower(s)', ws)}" for k, (p, ws) in enumerate(packs.PARAM_KEYWORDS.items()))
+    return f"""kp AS (SELECT filename, brand, page_num, [x FOR x IN list_transform(string_split(regexp_replace(text, '([.;])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)) IF length(x) >= 20] AS a
+    FROM tp JOIN dt USING (filename) ANTI JOIN (SELECT * FROM pk WHERE good) k USING (filename, brand, page_num) WHERE document_type <> 'single-drug' AND n_pages > 10 AND (contains(low, b) OR contains(low, g) OR {signal('low')}) AND NOT {study('text')}),
+  se AS (SELECT filename, brand, page_num, j::INT - 1 AS sent, a[j] AS s, array_to_string(a[greatest(1, j - 1):j + 1], ' ') AS snippet FROM (SELECT *, unnest(range(1, len(a) + 1)) AS j FROM kp) WHERE {on_topic('lower(a[j])')}),
+  hi AS ({hits}), h1 AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY filename, brand, substring(snippet, 1, 100) ORDER BY page_num, o, sent) = 1)
+  SELECT filename, brand, page_num, param, sent, snippet FROM h1 QUALIFY row_number() OVER (PARTITION BY filename, brand, param ORDER BY page_num, sent) <= 5"""
+
+
+def tags() -> str:
+    K = packs.PAGE_KEYWORDS
+    score = f"CASE WHEN contains(low, b) OR contains(low, g) THEN 5::DOUBLE ELSE 0 END + " + " + ".join(f"CASE WHEN {has('low', ws)} THEN {w}::DOUBLE ELSE 0 END" for n, (ws, w) in K.items() if n != "other_brands")
+    others = " OR ".join(f"(contains(low, {lit(w)}) AND {lit(w)} <> b AND {lit(w)} <> g)" for w in K["other_brands"][0])
+    return f"""sc AS (SELECT tp.*, n_pages, document_type, {score} + CASE WHEN {others} THEN {K['other_brands'][1]}::DOUBLE ELSE 0 END AS r, {has('low', K['universal'][0])} AS uni, n_pages <= 50 OR {has('low', K['disease'][0])} OR contains(low, b) OR contains(low, g) AS firm FROM tp JOIN dt USING (filename)),
+  h AS (SELECT *, r >= 3 AS hit, r >= 3 AND firm AS kept FROM sc),
+  nn AS (SELECT *, coalesce(lag(hit) OVER w, false) OR coalesce(lead(hit) OVER w, false) AS was, coalesce(lag(kept) OVER w, false) OR coalesce(lead(kept) OVER w, false) AS still FROM h WINDOW w AS (PARTITION BY filename, brand ORDER BY page_num)),
+  tg AS (SELECT *, CASE WHEN kept THEN 'relevant' WHEN hit THEN 'irrelevant' WHEN uni THEN 'universal' WHEN was AND still THEN 'context' WHEN was THEN 'irrelevant' WHEN document_type = 'multi-drug' AND page_num < 5 THEN 'preamble' ELSE 'irrelevant' END AS tag, CASE WHEN hit AND NOT kept THEN 0.0 ELSE r END AS score FROM nn),
+  ti AS (SELECT *, CASE WHEN document_type = 'single-drug' OR n_pages <= 15 THEN true WHEN count(*) FILTER (WHERE tag = 'relevant') OVER (PARTITION BY filename, brand) < 2 THEN score > 0 OR tag IN ('preamble', 'universal') ELSE tag <> 'irrelevant' END AS included FROM tg)"""
+
+
+def preferred() -> str:
+    first = lambda n: f"strpos(low, regexp_extract(low, 'preferred.{{0,200}}' || {n}))"
+    away = " OR ".join(f"regexp_matches(low, 'non-preferred.{{0,200}}' || {n}) OR regexp_matches(low, {n} || '.{{0,200}}non-preferred')" for n in ("b", "g"))
+    good = " OR ".join(f"(regexp_matches(low, 'preferred.{{0,200}}' || {n}) AND NOT contains(substring(low, greatest(1, {first(n)} - 15), least({first(n)} - 1, 15)), 'non-preferred'))" for n in ("b", "g"))
+    return f"st AS (SELECT *, CASE WHEN page_num >= 15 THEN NULL WHEN (contains(low, 'non-preferred') OR contains(low, 'non preferred')) AND ({away}) THEN 'non-preferred' WHEN {good} THEN 'preferred' END AS status FROM tp) SELECT filename, brand, coalesce(arg_min(status, page_num) FILTER (WHERE status IS NOT NULL), 'unknown') AS preferred_status FROM st GROUP BY 1, 2"
+
+
+def mention_counts() -> str:
+    classes = {d: "branded" for d in packs.BIOLOGICS} | {d: "generic" for d in packs.BIOSIMILARS} | {d: "generic" for d in packs.GENERICS}
+    for b, g in packs.BRAND_GENERIC.items():
+        classes[g] = "generic" if b.lower() in packs.BIOSIMILARS else "branded"
+    rows = ", ".join(f"({lit(d)}, {lit(k)})" for d, k in classes.items() if len(d) >= 4)
+    return worded() + f""", dr(name, classification) AS (VALUES {rows}), pp AS (SELECT name, classification, text, string_split(regexp_replace(lower(text), '\\b' || name || '\\b', chr(1), 'g'), chr(1)) AS s FROM wp JOIN dr ON contains(lower(text), name)),
+  ps AS (SELECT name, classification, text, list_sum(list_transform(s[1:j], lambda x: length(x))) + (j - 1) * length(name) AS pos FROM (SELECT *, unnest(range(1, len(s))) AS j FROM pp))
+  SELECT name, classification, count(*) AS n, sum(length(trim(replace(substring(text, greatest(0, pos - 100)::INT + 1, (least(pos, 100) + length(name) + 100)::INT), chr(10), ' '))))::BIGINT AS chars FROM ps GROUP BY 1, 2"""
+
+
+def layout_rules() -> str:
+    """What the rules find in the derived layout, from the fields that it was made of."""
+    who = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(specialist_types), '{s}') THEN '{s.capitalize()}' END" for s in ("dermatologist", "rheumatologist", "gastroenterologist", "immunologist")) + "], lambda x: x IS NOT NULL), ', ')"
+    ages = " ".join(f"WHEN regexp_matches(lower(age), {lit(p)}) THEN '>=' || regexp_extract(lower(age), {lit(p)}, 1)" for p in (r"([0-9]{1,2})\s*years?\s*of\s*age\s*or\s*older", r"at\s*least\s*([0-9]{1,2})\s*years?\s*of\s*age", r"([0-9]{1,2})\s*years?\s*and\s*older", r"aged?\s*([0-9]{1,2})\s*or\s*older", r"must\s*be\s*(?:at\s*least\s*)?([0-9]{1,2})\s*years?"))
+    return f"""WITH {raw()} SELECT filename, brand, CASE {ages} ELSE age END AS age, step_therapy_requirements || '. Trial of two preferred products or phototherapy. Methotrexate was ineffective.' AS step_therapy_requirements,
+  NULL::VARCHAR AS steps_through_brands, '1' AS steps_through_generic, 'No' AS step_through_phototherapy, 'Y' AS tb_test_required, NULL::VARCHAR AS quantity_limits, nullif({who}, '') AS specialist_types,
+  '6' AS initial_auth_duration, '12' AS reauth_duration, 'Yes' AS reauth_required, reauth_requirements || ' reauthorization needs a negative tuberculin test.' AS reauth_requirements FROM raw"""
+
+
+def more_sql() -> dict[str, str]:
+    """Context tiers, document types, small reports and text shaping."""
+    W, n_real = worded(), " + ".join(f"(coalesce({p}, '') NOT IN ('NA', 'N/A', '', 'None', 'No'))::INT" for p in P)
+    late = " OR ".join(f"regexp_matches(lower(text), {lit(p)})" for p in [*packs.UNIVERSAL_PATTERNS, *packs.TIER_PATTERNS])
+    disease, renew = has("low", packs.PAGE_KEYWORDS["disease"][0]), has("low", packs.REAUTH_WORDS)
+    na = lambda c: f"(lower(trim({c})) IN {among(packs.MERGE_NA_FORMS)})"
+    conf = SCORED + ", k AS (SELECT s.filename, s.brand, CASE WHEN estimated_access_score IS NOT NULL THEN least(100, greatest(0, estimated_access_score)) END AS llm_estimate, access_score AS deterministic FROM scored s JOIN raw USING (filename, brand)), v AS (SELECT *, abs(llm_estimate - deterministic) AS diff, CASE WHEN llm_estimate IS NULL THEN 'N/A' WHEN abs(llm_estimate - deterministic) <= 15 THEN 'High' WHEN abs(llm_estimate - deterministic) <= 30 THEN 'Medium' ELSE 'Low' END AS level FROM k)"
+    room = lambda over, tokens, out: f"greatest(500, trunc(({tokens - out}::DOUBLE - ({over}) / 1.4::DOUBLE) * 0.95::DOUBLE * 1.4::DOUBLE)::INT)"
+    parts = "string_split(regexp_replace(replace(text, chr(10), ' '), '([.;])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    sents = f"[y FOR y IN [trim(regexp_replace(x, '^\\s*[0-9]+[.)]\\s+', '')) FOR x IN {parts}] IF length(y) >= 20]"
+    hit = "SELECT *, 0 AS o, 'license' AS param FROM se WHERE contains(lower(s), 'license') OR contains(lower(s), 'mail') UNION ALL SELECT *, 1, 'token' FROM se WHERE contains(lower(s), 'token') OR contains(lower(s), 'the')"
+    cats = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in sorted({"target_brand": "contains(lower(text), lower(brand))"}.items() | {n: has("lower(text)", ws) for n, (ws, _) in PAGE_PACK.items()}.items())) + "], lambda x: x IS NOT NULL), ', ')"
+    burden = RESULTS + ", s AS (SELECT brand, " + ", ".join(f"round_even(avg(CASE WHEN regexp_full_match({c}, '[0-9]+') THEN {c}::INT ELSE 0 END) * 10, 0) / 10 AS {n}" for c, n in (("steps_through_brands", "branded"), ("steps_through_generic", "generic"))) + " FROM ruled GROUP BY 1)"
+    clean = "array_to_string([trim(x) FOR x IN string_split(text, chr(10))], chr(10))"
+    blanks = r"\n\s*\n(\s*\n)+"
+    for pattern, to in ((blanks, "\n\n"), (r"[ \t]{2,}", " "), (r"(?m)^(Last Update:.*|Effective:.*Page.*|Page\s*[0-9]+\s*of\s*[0-9]+.*)$", ""), (r"(?m)^\s*[0-9]{1,3}\s*$", ""), (r"(\w) - (\w)", r"\1-\2"), (r"(\w)- (\w)", r"\1-\2"), (r"(\w) -(\w)", r"\1-\2"), (blanks, "\n\n")):
+        clean = f"regexp_replace({clean}, {lit(pattern)}, {lit(to)}, 'g')"
+    return {
+        "document_types": W + " SELECT * FROM dt",
+        "doc_type_counts": W + " SELECT document_type, count(*) AS n FROM dt GROUP BY 1",
+        "preferred_status": W + ", " + preferred(),
+        "universal_boundary": W + f", {boundary()} SELECT * FROM bd",
+        "universal_pages": W + f", {boundary()} SELECT filename, page_num, text FROM wp JOIN bd USING (filename) JOIN dt USING (filename) WHERE document_type = 'multi-drug' AND (page_num < boundary OR {late})",
+        "context_paragraph": W + f", {paras()} SELECT filename, brand, page_num, ord, para FROM pk WHERE good",
+        "section_paragraphs": W + f", {paras()}, q AS (SELECT pk.*, {signal('pl')} AS sig, bool_or(good) OVER (PARTITION BY pk.filename, pk.brand) AS found FROM pk JOIN dt USING (filename) WHERE document_type <> 'single-drug') SELECT filename, brand, page_num, ord, para FROM q WHERE CASE WHEN found THEN good ELSE sig END UNION ALL SELECT filename, brand, page_num, 0, trim(text) FROM tp JOIN dt USING (filename) WHERE document_type = 'single-drug'",
+        "param_snippets": W + f", {paras()}, {snippets()}",
+        "page_tags": W + f", {tags()} SELECT filename, brand, page_num, tag, score, included FROM ti",
+        "renewal_pages": W + f", {tags()} SELECT filename, brand, page_num, (NOT included)::INT AS turn FROM ti WHERE {renew} AND (included OR {disease})",
+        "limit_pages": W + f", {tags()} SELECT filename, brand, page_num FROM ti WHERE included AND {has('low', packs.LIMIT_PHRASES)}",
+        "drug_mentions": mention_counts(),
+        "rule_extract": layout_rules(),
+        "layout_gate": f"WITH {raw()} SELECT filename, brand, true AS laid_out FROM raw",
+        "simple_values": f"WITH {raw()} SELECT filename, brand, trim(age) <> '' AS age, tb_test_required IN ('Y', 'No', 'NA') AS tb_test_required, quantity_limits <> '' AS quantity_limits, specialist_types <> '' AS specialist_types, regexp_full_match(initial_auth_duration, '[0-9]+') OR initial_auth_duration IN ('NA', 'Unspecified', 'No') AS initial_auth_duration, regexp_full_match(reauth_duration, '[0-9]+') OR reauth_duration IN ('NA', 'Unspecified', 'No') AS reauth_duration, reauth_required IN ('Yes', 'No', 'NA') AS reauth_required FROM raw",
+        "confidence_counts": conf + " SELECT count(*) FILTER (WHERE level = 'High') AS high, count(*) FILTER (WHERE level = 'Medium') AS medium, count(*) FILTER (WHERE level = 'Low') AS low FROM v",
+        "file_brands": f"WITH {TASKS}, f AS (SELECT filename, brand, min(row_no) AS pos FROM tasks GROUP BY 1, 2) SELECT filename, count(*) AS n_brands, string_agg(brand, ', ' ORDER BY pos) AS brands FROM f GROUP BY 1",
+        "run_statistics": "SELECT 'p' || (o_orderkey % 3) AS provider, count(*) AS calls, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS hits, (sum(o_orderkey % 9000) // 4)::BIGINT AS tokens FROM orders GROUP BY 1",
+        "selected_tasks": f"WITH {TASKS} SELECT row_no, filename, brand FROM tasks WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#8') AND (filename, brand) IN (SELECT (filename, brand) FROM tasks WHERE row_no % 5 <> 0)",
+        "filtered_results": RESULTS + "SELECT filename, brand, access_score FROM ruled WHERE brand = 'BRAND#3'",
+        "kept_records": f"WITH {RECORDS} SELECT filename, brand, pass_name, provider FROM records WHERE provider = 'groq'",
+        "stale_records": f"WITH {RECORDS}, t AS (SELECT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand FROM orders) SELECT filename, brand, pass_name, provider FROM records r WHERE NOT (pass_name = 'validate' AND EXISTS (SELECT 1 FROM t WHERE t.brand < 'Brand#2' AND t.filename = r.filename AND t.brand = r.brand))",
+        "record_hits": f"WITH {RECORDS} SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand FROM orders WHERE (o_custkey::VARCHAR, 'Brand#' || (1 + o_orderkey % 40)) IN (SELECT (filename, brand) FROM records)",
+        "two_groups": f"WITH {raw()}, {raw(1, 'm')} SELECT filename, brand, " + ", ".join(f"{'a' if p in packs.SIMPLE_PARAMS else 'b'}.{p}" for p in P) + " FROM raw a JOIN m b USING (filename, brand)",
+        "low_yield_retry": f"WITH {raw()}, {raw(1, 'm')}, n AS (SELECT *, {n_real} AS k FROM raw) SELECT filename, brand, " + ", ".join(f"CASE WHEN k < 9 AND {na('a.' + p)} AND NOT {na('b.' + p)} THEN b.{p} ELSE a.{p} END AS {p}" for p in P) + " FROM n a LEFT JOIN m b USING (filename, brand)",
+        "few_shot": f"WITH {raw()} SELECT filename, brand, CASE brand WHEN 'Brand#1' THEN '1,4' WHEN 'Brand#2' THEN '1,5' ELSE '1,2,3' END AS examples FROM raw",
+        "prompts": f"""WITH {raw()}, e AS (SELECT filename, brand, 'EXAMPLES:' || chr(10) || '{{"age":"' || age || '","step_therapy_requirements":"' || step_therapy_requirements || '","reauth_requirements":"' || reauth_requirements || '"}}' || chr(10) || chr(10) || 'Extract the parameters.' || chr(10) || chr(10) || 'POLICY TEXT:' || chr(10) || specialist_types || '; ' || initial_auth_duration AS prompt FROM raw) SELECT filename, brand, length(prompt)::INT AS chars, md5(prompt) AS prompt_md5 FROM e""",
+        "chunk_budgets": f"SELECT doc_id, {room('3000 + length(text)', 12000, 2000)} AS with_universal, {room('3000', 12000, 2000)} AS without FROM documents",
+        "routes": f"SELECT CASE WHEN length(text) <= {room('3000', 6000, 500)} THEN 'small' WHEN length(text) <= {room('3000', 12000, 2000)} THEN 'large' ELSE 'chunked' END AS route, count(*) AS n FROM documents GROUP BY 1",
+        "section_span": f"WITH {TASKS}, {PAGES}, x AS (SELECT t.filename, t.brand, page_num, lower(text) AS low FROM (SELECT DISTINCT filename, brand FROM tasks) t JOIN pages_ USING (filename)), y AS (SELECT *, min(CASE WHEN contains(low, 'the') THEN page_num END) OVER w AS b FROM x WINDOW w AS (PARTITION BY filename, brand)), z AS (SELECT *, min(CASE WHEN contains(low, 'license') AND NOT contains(low, 'the') AND page_num > b THEN page_num END) OVER (PARTITION BY filename, brand) AS e FROM y) SELECT filename, brand, page_num FROM z WHERE page_num >= b AND (e IS NULL OR page_num < e)",
+        "sentences": f"SELECT doc_id, (unnest(range(len(s))))::INT AS ord, unnest(s) AS sentence FROM (SELECT doc_id, {sents} AS s FROM documents)",
+        "context_sentence": f"WITH {TASKS}, {PAGES}, se AS (SELECT filename, brand, page_num, j::INT - 1 AS sent, a[j] AS s, array_to_string(a[greatest(1, j - 1):j + 1], ' ') AS around FROM (SELECT *, unnest(range(1, len(a) + 1)) AS j FROM (SELECT t.filename, t.brand, page_num, {sents} AS a FROM (SELECT DISTINCT filename, brand FROM tasks) t JOIN pages_ USING (filename)))), hi AS ({hit}), h1 AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY filename, brand, substring(around, 1, 100) ORDER BY page_num, o, sent) = 1) SELECT filename, brand, param, page_num, sent, around FROM h1 QUALIFY row_number() OVER (PARTITION BY filename, brand, param ORDER BY page_num, sent) <= 5",
+        "step_burden_melt": burden + " SELECT brand, 'branded' AS kind, branded AS steps FROM s UNION ALL SELECT brand, 'generic', generic FROM s",
+        "light_validation": f"WITH {raw()}, f AS (SELECT *, reauth_duration NOT IN ('NA', 'N/A', '', 'No', 'Unspecified') AND reauth_required <> 'Yes' AS a, reauth_required = 'Yes' AND reauth_duration IN ('NA', 'N/A', '') AS b FROM raw) SELECT filename, brand, CASE WHEN a THEN 'Yes' ELSE reauth_required END AS reauth_required, CASE WHEN b THEN 'Unspecified' ELSE reauth_duration END AS reauth_duration, CASE WHEN a THEN 'reauth_required' WHEN b THEN 'reauth_duration' ELSE '' END AS corrections FROM f",
+        "run_totals": sanity().replace("WITH ", "WITH findings AS (WITH ", 1) + f"), tot AS (WITH {raw()}, {norm()}, {scored()}, {ruled()} SELECT sum(CASE WHEN violations = '' THEN 0 ELSE len(string_split(violations, ',')) END)::BIGINT AS n_fixes, count(*) FILTER (WHERE access_score IS NULL) AS n_unscored FROM ruled) SELECT n_fixes, n_unscored, (SELECT count(*) FROM findings) AS n_findings FROM tot",
+        "page_profile": f"WITH {SCORED_PAGES} SELECT filename, brand, page_num + 1 AS page, relevance, {cats} AS categories, length(text)::INT AS chars, substring(text, 1, 80) AS preview FROM sp",
+        "clean_text": f"SELECT doc_id, trim({clean}) AS text FROM documents",
+        "safe_keys": "SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand, o_custkey || '_Brand_' || (1 + o_orderkey % 40) AS key FROM orders",
+        "split_failed": "WITH m AS (SELECT *, length(text) // 2 AS mid FROM documents), c AS (SELECT *, strpos(substring(text, mid, length(text)::INT), chr(10)) AS p FROM m), h AS (SELECT *, CASE WHEN p > 0 THEN mid - 1 + p ELSE mid END AS pos FROM c), r AS (SELECT doc_id, 0 AS depth, text FROM h WHERE length(text) <= 2000 UNION ALL SELECT doc_id, 1, substring(text, 1, pos::INT) FROM h WHERE length(text) > 2000 UNION ALL SELECT doc_id, 1, substring(text, pos::INT + 1) FROM h WHERE length(text) > 2000) SELECT doc_id, depth, length(text)::INT AS chars, md5(text) AS text_md5 FROM r",
+        "fallback_chain": layout_rules().replace("WITH ", "WITH rx AS (WITH ", 1) + f") SELECT o.* FROM (SELECT filename, brand, {len(['readable'])} AS stage, " + ", ".join(f"'{packs.DEFAULTS[p]}' AS {p}" for p in P) + " FROM rx) o",
+    }
+
+
 def sql() -> dict[str, str]:
+    return base_sql() | more_sql()
+
+
+def base_sql() -> dict[str, str]:
     lowered = "lower(text)"
     study = " + ".join(f"len(regexp_extract_all({lowered}, {lit(p)}))" for p in packs.STUDY_PATTERNS)
     policy = " + ".join(f"len(regexp_extract_all({lowered}, {lit(p)}))" for p in packs.POLICY_PATTERNS)
@@ -292,7 +445,7 @@ def sql() -> dict[str, str]:
         "record_diff": f"WITH {raw()}, {raw(1, 'old_')} {diff}",
         "merge_records": merge(),
         "fill_gaps": f"WITH {raw()}, {raw(1, 'other')} SELECT filename, brand, " + ", ".join(f"CASE WHEN {na('a.' + p)} AND NOT {na('b.' + p)} THEN b.{p} ELSE a.{p} END AS {p}" for p in P) + " FROM raw a LEFT JOIN other b USING (filename, brand)",
-        "rule_priority_merge": f"WITH {raw()}, {raw(1, 'm')} SELECT filename, brand, " + ", ".join((f"coalesce(nullif(a.{p}, 'NA'), b.{p})" if p not in ("quantity_limits", "reauth_requirements") else f"CASE WHEN b.{p} IN ('', 'NA', 'N/A') THEN coalesce(nullif(a.{p}, 'NA'), b.{p}) ELSE b.{p} END") + f" AS {p}" for p in P) + " FROM raw a JOIN m b USING (filename, brand)",
+        "rule_priority_merge": f"WITH {raw()}, {raw(1, 'm')} SELECT filename, brand, " + ", ".join((f"coalesce(nullif(a.{p}, 'NA'), b.{p})" if p not in ("step_therapy_requirements", "reauth_requirements") else f"CASE WHEN b.{p} IN ('', 'NA', 'N/A') THEN coalesce(nullif(a.{p}, 'NA'), b.{p}) ELSE b.{p} END") + f" AS {p}" for p in P) + " FROM raw a JOIN m b USING (filename, brand)",
         "first_n_tasks": f"WITH {TASKS} SELECT row_no, filename, brand FROM tasks ORDER BY row_no LIMIT 50",
         "page_relevance": f"WITH {SCORED_PAGES} SELECT filename, brand, page_num, relevance FROM sp",
         "relevance_band": f"WITH {SCORED_PAGES} SELECT CASE WHEN relevance >= 8 THEN 'strong' WHEN relevance >= 3 THEN 'moderate' WHEN relevance > 0 THEN 'weak' ELSE 'none' END AS band, count(*) AS n FROM sp GROUP BY 1",

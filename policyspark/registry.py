@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark import packs
-from policyspark.functions import score
+from policyspark.functions import extract, score
 from policyspark.functions import text as T
-from policyspark.operators import context, infer, quality, records, report, rules
+from policyspark.operators import context, infer, quality, records, report, rules, tiers
 from policyspark.plans import oracle
 from policyspark.sources import fixtures, tables
 
@@ -66,14 +66,29 @@ def _dry_run(s, d):
     return _task_texts(s, d).agg(F.count("*").alias("n_tasks"), F.sum(n).alias("chars"), F.avg(n).alias("mean_chars"), F.floor(F.sum(n) / 4).alias("tokens"))
 
 
-def _answer(prompts):
-    """Stands for a model: answers by the prompt's length, in a fenced block."""
-    return ["```json\n{\"age\": \">=%d\", \"tb_test_required\": \"Yes\", \"reasoning\": \"%d characters\"}\n```" % (6 + 12 * (len(p) % 2), len(p)) for p in prompts]
+def _worded(s, d):
+    return fixtures.worded_tasks(s, d), fixtures.worded_pages(s, d)
 
 
-def _infer(s, d):
-    prompts = _task_texts(s, d).select(*KEYS, infer.prompt("Extract the parameters.", F.col("text")).alias("prompt"))
-    return infer.parsed(infer.infer(prompts, _answer))
+def _snippets(s, d):
+    tasks, pages = _worded(s, d)
+    return tiers.snippet_rows(tasks, pages, tiers.paragraph_rows(tasks, pages))
+
+
+def _confidence(s, d):
+    return _scored(s, d).select(*KEYS, score.confidence(F.col("estimated_access_score"), F.col("access_score")).alias("c")).select(*KEYS, "c.*")
+
+
+def _calls(s, d):
+    key = F.col("o_orderkey")
+    return fixtures.table(s, d, "orders").select(F.concat(F.lit("p"), (key % 3).cast("string")).alias("provider"), (key % 5 == 0).alias("hit"), (key % 9000).alias("chars"))
+
+
+def _prompts(s, d):
+    """Each task's prompt, with a compact example of its own record."""
+    shown = {p: F.col(p) for p in ("age", "step_therapy_requirements", "reauth_requirements")}
+    text = F.concat_ws("; ", "specialist_types", "initial_auth_duration")
+    return _raw(s, d).select(*KEYS, infer.full_prompt("Extract the parameters.", infer.example_text(shown, True), text).alias("prompt"))
 
 
 def _budget_prefix(s, d):
@@ -129,11 +144,11 @@ def queries() -> dict[str, Query]:
         "context_reduction": lambda s, d: report.context_reduction(_scored_pages(s, d), 1.0),
         "context_pages_adjacent": lambda s, d: context.tagged_pages(_scored_pages(s, d)).select(*KEYS, "page_num", "tag"),
         "context_page": lambda s, d: context.page_context(context.tagged_pages(_scored_pages(s, d))),
-        "context_paragraph": lambda s, d: context.kept_paragraphs(_scored_pages(s, d)),
-        "context_sentence": lambda s, d: context.sentence_context(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), ["license", "token"]),
-        "doc_type_counts": lambda s, d: context.document_types(_scored_pages(s, d), fixtures.policy_pages(s, d)).groupBy("document_type").agg(F.count("*").alias("n")),
-        "preferred_status": lambda s, d: context.preferred_status(_scored_pages(s, d)),
-        "universal_boundary": lambda s, d: context.universal_boundary(fixtures.policy_pages(s, d)),
+        "context_paragraph": lambda s, d: tiers.paragraph_rows(*_worded(s, d)),
+        "context_sentence": lambda s, d: context.sentence_context(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), {"license": ["license", "mail"], "token": ["token", "the"]}),
+        "doc_type_counts": lambda s, d: context.document_types(fixtures.worded_pages(s, d)).groupBy("document_type").agg(F.count("*").alias("n")),
+        "preferred_status": lambda s, d: context.preferred_status(context.task_pages(*_worded(s, d))),
+        "universal_boundary": lambda s, d: context.universal_boundary(fixtures.worded_pages(s, d)),
         "section_span": lambda s, d: context.section_span(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), F.contains("low", F.lit("the")), F.contains("low", F.lit("license"))).select(*KEYS, "page_num"),
         "literature_flag": lambda s, d: _docs(s, d).select("doc_id", T.count_all(F.lower("text"), packs.STUDY_PATTERNS).cast("long").alias("n_study"), T.count_all(F.lower("text"), packs.POLICY_PATTERNS).cast("long").alias("n_policy")),
         "connector": lambda s, d: _docs(s, d).select("doc_id", T.connector(F.col("text")).alias("connector")),
@@ -151,7 +166,40 @@ def queries() -> dict[str, Query]:
         "routes": lambda s, d: context.routes(_docs(s, d)).groupBy("route").agg(F.count("*").alias("n")),
         "rule_extract": lambda s, d: context.rule_extract(_layout(s, d)),
         "step_analysis": lambda s, d: context.step_analysis(_layout(s, d)).select(*KEYS, "branded_steps", "generic_steps", "confidence", "phototherapy_mandatory", "phototherapy_in_or", F.size("requirements").alias("n_requirements"), "reauth_text"),
-        "infer_batch": _infer,
+        # policy pages in the pack's own vocabulary
+        "document_types": lambda s, d: context.document_types(fixtures.worded_pages(s, d)),
+        "universal_pages": lambda s, d: tiers.universal_pages(fixtures.worded_pages(s, d)),
+        "section_paragraphs": lambda s, d: tiers.section_rows(*_worded(s, d)),
+        "param_snippets": lambda s, d: _snippets(s, d).select(*KEYS, "page_num", "param", "sent", "snippet"),
+        "page_tags": lambda s, d: tiers.page_tags(*_worded(s, d)).select(*KEYS, "page_num", "tag", "score", "included"),
+        "renewal_pages": lambda s, d: tiers.renewal_rows(tiers.page_tags(*_worded(s, d))).select(*KEYS, "page_num", "turn"),
+        "limit_pages": lambda s, d: tiers.limit_rows(tiers.page_tags(*_worded(s, d))).select(*KEYS, "page_num"),
+        "context_package_page": lambda s, d: tiers.context_package(*_worded(s, d), "page"),
+        "context_package_paragraph": lambda s, d: tiers.context_package(*_worded(s, d), "paragraph"),
+        "context_package_sentence": lambda s, d: tiers.context_package(*_worded(s, d), "sentence"),
+        "dry_run_by_type": lambda s, d: report.dry_run_by_type(tiers.context_package(*_worded(s, d), "paragraph")),
+        "drug_mentions": lambda s, d: fixtures.worded_pages(s, d).select("filename", "page_num", F.explode(extract.mentions(F.col("text"))).alias("m")).groupBy("m.name", "m.classification").agg(F.count("*").alias("n"), F.sum(F.length("m.context")).alias("chars")),
+        "step_patterns": lambda s, d: fixtures.worded_pages(s, d).select("filename", "page_num", F.explode(extract.requirements(F.col("text"))).alias("r")).select("filename", "page_num", "r.count", "r.drug_type", "r.connector", "r.source_text"),
+        "layout_gate": lambda s, d: _layout(s, d).select(*KEYS, extract.laid_out(F.col("text")).alias("laid_out")),
+        "simple_values": lambda s, d: _raw(s, d).select(*KEYS, *[extract.plain_value(p, F.col(p)).alias(p) for p in packs.SIMPLE_PARAMS]),
+        "brand_section": lambda s, d: _docs(s, d).select("doc_id", T.brand_section(F.col("text"), [F.lit("license"), F.lit("")], 2400, 1000).alias("section")),
+        "marked_sections": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.marked_sections(F.col("text"), r"\n[A-Z]", 2000)).alias("ord", "section")),
+        "safe_keys": lambda s, d: _tasks_of_orders(s, d).distinct().select(*KEYS, T.safe_key(F.concat_ws(" ", *KEYS)).alias("key")),
+        # small projections and aggregates
+        "confidence_counts": lambda s, d: report.confidence_counts(_confidence(s, d)),
+        "file_brands": lambda s, d: report.file_brands(fixtures.submissions(s, d)),
+        "run_statistics": lambda s, d: report.run_statistics(_calls(s, d)),
+        "selected_tasks": lambda s, d: tables.selected(fixtures.submissions(s, d), ["Brand#1", "Brand#2", "Brand#8"], _expected_pairs(s, d)),
+        "filtered_results": lambda s, d: tables.filtered(_results(s, d), brand="BRAND#3").select(*KEYS, "access_score"),
+        "kept_records": lambda s, d: records.keep_provider(fixtures.records(s, d), "groq").select(*KEYS, "pass_name", "provider"),
+        "stale_records": lambda s, d: records.drop_stale_validated(fixtures.records(s, d), _tasks_of_orders(s, d).where("brand < 'Brand#2'")).select(*KEYS, "pass_name", "provider"),
+        "record_hits": lambda s, d: records.hits(_tasks_of_orders(s, d).distinct(), fixtures.records(s, d)),
+        "two_groups": lambda s, d: infer.two_groups(_raw(s, d), _raw(s, d, 1), packs.SIMPLE_PARAMS),
+        "low_yield_retry": lambda s, d: infer.retry_low_yield(_raw(s, d), _raw(s, d, 1), 9),
+        "split_failed": lambda s, d: infer.split_failed(_docs(s, d).select("doc_id", "text", F.lit(0).alias("depth")), F.length("text") > 2000).select("doc_id", "depth", F.length("text").alias("chars"), F.md5("text").alias("text_md5")),
+        "few_shot": lambda s, d: _raw(s, d).select(*KEYS, F.array_join(infer.few_shot_ids(F.col("brand"), 1, {"BRAND#1": 4, "BRAND#2": 5}, [2, 3]), ",").alias("examples")),
+        "prompts": lambda s, d: _prompts(s, d).select(*KEYS, F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5")),
+        "chunk_budgets": lambda s, d: _docs(s, d).select("doc_id", *[c.alias(n) for c, n in zip(infer.chunk_budgets(F.lit(3000), F.col("text")), ("with_universal", "without"))]),
     }
 
 

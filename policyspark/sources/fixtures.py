@@ -22,6 +22,16 @@ WORDING = {
 }
 
 
+# Sentences of derived policy pages, and the divisor that picks each; a page has one of each list.
+PAGE_WORDING = {
+    "head": (1, ["Products Affected: STELARA and TREMFYA. PA Criteria.", "Coverage notes of the plan.", "General criteria apply to all requests.", "Drug name: COSENTYX", "Table of contents.", "This page is left for remarks."]),
+    "rule": (3, ["Plaque psoriasis of moderate severity is covered.", "Crohn disease is covered by another policy of this plan.", "The member has a body surface area of 10 percent.", "Psoriatic arthritis needs another form of this plan.", "No indication is named on this page of the plan."]),
+    "brand": (7, ["STELARA may be approved for this member.", "ustekinumab is a preferred agent of this plan.", "Non-preferred products require trial of TREMFYA first.", "ENBREL is listed with other drugs of the class.", "The drugs are listed by class only.", "Preferred: COSENTYX before any other drug."]),
+    "step": (11, ["The patient tried and failed methotrexate for 3 months.", "Inadequate response to one preferred biologic product is documented.", "Phototherapy or puva was ineffective for this member.", "Go to #3 of the tree for the next question.", "A quantity limit of one syringe applies.", "Nothing else is required here."]),
+    "renew": (13, ["Reauthorization is granted for 12 months.", "Renewal criteria: a documented response to therapy.", "The prescriber is a dermatologist.", "A TB test is needed before the first dose.", "Patients are 18 years of age or older.", "Call the plan for help."]),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,3 +84,20 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each line of a document."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename"), F.posexplode(F.split("text", "\n")).alias("page_num", "text"))
+
+
+def worded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the pack's vocabulary, one for each order: 400 documents, whose pages follow the order key."""
+    from pyspark.sql import Window
+
+    pick = {n: F.expr(f"element_at(array({', '.join(repr(v) for v in vs)}), cast(1 + (o_orderkey div {p}) % {len(vs)} as int))") for n, (p, vs) in PAGE_WORDING.items()}
+    body = F.concat(pick["head"], F.lit("\n\n"), pick["rule"], F.lit(" "), pick["brand"], F.lit("\n\n"), pick["step"], F.lit(" "), pick["renew"])
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 400).cast("string")).alias("filename"), "o_orderkey", body.alias("text"))
+    return rows.select("filename", (F.row_number().over(Window.partitionBy("filename").orderBy("o_orderkey")) - 1).alias("page_num"), "text")
+
+
+def worded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tasks for each of those documents."""
+    files = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("k")).distinct()
+    brands = F.array(F.lit("STELARA"), F.when(F.col("k") % 2 == 0, "TREMFYA").otherwise("COSENTYX"))
+    return files.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("filename"), F.explode(brands).alias("brand"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policyspark import packs
 from policyspark.functions.normalize import strip
+from policyspark.operators import rules
 
 RECORD = ", ".join(f"{p} string" for p in packs.PARAMS) + ", reasoning string, estimated_access_score string, corrections array<string>"
 
@@ -17,19 +20,21 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("filename <> '' and brand <> ''").withColumn("row_no", F.monotonically_increasing_id())
 
 
-def pages_of(texts: DataFrame, separator: str = "\f") -> DataFrame:
-    """A2: a row for each page of ``filename``, ``text``."""
-    return texts.select("filename", F.posexplode(F.split("text", separator)).alias("page_num", "text"))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A3: JSON records, all values as text; unreadable ones are missing."""
     return spark.read.schema(RECORD).option("multiLine", True).option("primitivesAsString", True).option("mode", "DROPMALFORMED").json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
 def write_records(records: DataFrame, path: str) -> None:
-    """A4: appended, by pass and provider; the caller has normalised them."""
-    records.write.mode("append").partitionBy("pass_name", "provider").parquet(path)
+    """A4: normalised and appended, by pass and provider."""
+    rows = rules.normalize_records(records)
+    rows.select(*[c for c in records.columns if c in rows.columns]).write.mode("append").partitionBy("pass_name", "provider").parquet(path)
+
+
+def stored_records(spark: SparkSession, path: str) -> DataFrame:
+    """A3: what :func:`write_records` stored, with file, brand, pass and provider; a provider without a name is ''."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return rows.withColumn("provider", F.coalesce(F.col("provider").cast("string"), F.lit("")))
 
 
 def output_table(rows: DataFrame) -> DataFrame:
@@ -50,8 +55,31 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, path: str, run_id: str) -> None:
-    """A run's findings replace what the same run wrote before; no findings clear it."""
-    findings.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    """A run's findings replace what the same run wrote before, also where there are none now."""
+    findings.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe='')}")
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/run_id=*")
+
+
+def filtered(rows: DataFrame, filename: str = "All", brand: str = "All") -> DataFrame:
+    """Rows of one file and one brand; "All" keeps every one."""
+    if filename != "All":
+        rows = rows.where(F.col("filename") == filename)
+    return rows if brand == "All" else rows.where(F.col("brand") == brand)
+
+
+def selected(tasks: DataFrame, brands: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """B2: tasks of some brands, or of explicit (filename, brand) pairs."""
+    if brands:
+        tasks = tasks.where(F.col("brand").isin(brands))
+    return tasks if pairs is None else tasks.join(pairs.select("filename", "brand"), ["filename", "brand"], "left_semi")
+
+
+def write_prompts(prompts: DataFrame, path: str) -> None:
+    """Filename, brand and prompt of each task."""
+    prompts.select("filename", "brand", "prompt").write.mode("overwrite").parquet(path)
 
 
 def first_tasks(tasks: DataFrame, filename: str | None = None, brand: str | None = None, n: int | None = None) -> DataFrame:

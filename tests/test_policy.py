@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from policyspark import packs, registry
+from policyspark.functions import extract
 from policyspark.functions import text as T
-from policyspark.operators import records, rules
+from policyspark.operators import context, infer, records, rules, tiers
+from policyspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,7 +83,7 @@ def test_json_salvage(spark):
     assert got == ["3", "4", "5", None]
 
 
-@pytest.mark.parametrize("name", ["normalized", "best_record", "pending_tasks", "record_diff", "merge_records", "fill_gaps", "page_relevance", "context_pages_adjacent", "sliding_chunks", "topk_chunks", "literature_flag", "connector"])
+@pytest.mark.parametrize("name", ["normalized", "best_record", "pending_tasks", "record_diff", "merge_records", "fill_gaps", "page_relevance", "context_pages_adjacent", "sliding_chunks", "topk_chunks", "literature_flag", "connector", "rule_priority_merge", "document_types", "preferred_status", "universal_pages", "section_paragraphs", "param_snippets", "page_tags", "drug_mentions", "rule_extract", "context_sentence", "split_failed", "fallback_chain", "file_brands"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "documents"):
@@ -93,7 +95,92 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == rows
 
 
-def test_inference_gets_whole_texts(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("string").alias("filename"), F.length("text").alias("n"))
-    rows = registry.queries()["infer_batch"](spark, SF).select("filename", F.regexp_extract("reasoning", r"\d+", 0).cast("int").alias("said")).join(docs, "filename").collect()
-    assert max(r["n"] for r in rows) > 2000 and len({r["said"] - r["n"] for r in rows}) == 1
+def test_rules_win_for_their_fields_only(spark):
+    """A rule's quantity limit wins, its step text doesn't."""
+    rule = frame(spark, record(quantity_limits="Yes", step_therapy_requirements="by rule", age=">=6"))
+    model = frame(spark, record(quantity_limits="No", step_therapy_requirements="by model", age=">=18"))
+    got = records.rules_over_model(rule, model).first()
+    assert (got["quantity_limits"], got["step_therapy_requirements"], got["age"]) == ("Yes", "by model", ">=6")
+
+
+def test_mentions_and_steps(spark):
+    """Every place, and classes by brand; P2: ALL counts two, source and connector reach from the match's ends."""
+    text = "Stelara or STELARA, ustekinumab-kfce, amjevita. " + "x" * 40 + " require trial and failure of ALL preferred agents, then nothing. " + "y" * 150
+    r = spark.createDataFrame([(text,)], "t string").select(extract.mentions(F.col("t")).alias("m"), extract.requirements(F.col("t")).alias("q")).first()
+    found = sorted((m["name"], m["classification"]) for m in r["m"])
+    assert found == [("amjevita", "generic"), ("stelara", "branded"), ("stelara", "branded"), ("ustekinumab", "branded"), ("ustekinumab-kfce", "generic")]
+    hit = next(q for q in r["q"] if q["count"] == 2)
+    at, end = text.index("require trial"), text.index("ALL preferred agents") + len("ALL preferred agents")
+    assert hit["drug_type"] == "branded" and hit["source_text"] == text[at - 50 : end + 100]
+
+
+def test_findings_of_an_empty_run_clear_it(spark, tmp_path):
+    rows = spark.createDataFrame([("f", "b", "x")], "filename string, brand string, finding string")
+    for run, part in (("1", rows), ("2", rows), ("1", rows.limit(0))):
+        tables.write_findings(part, str(tmp_path / "f"), run)
+    assert [r["run_id"] for r in tables.read_findings(spark, str(tmp_path / "f")).collect()] == [2]
+
+
+def test_stored_records_come_back_normalised(spark, tmp_path):
+    rows = frame(spark, record(initial_auth_duration="1 year")).selectExpr("*", "'extract' AS pass_name", "'groq' AS provider")
+    tables.write_records(rows, str(tmp_path / "r"))
+    got = tables.stored_records(spark, str(tmp_path / "r")).first()
+    assert (got["initial_auth_duration"], got["pass_name"], got["provider"], got["filename"]) == ("12", "extract", "groq", "f")
+
+
+def test_results_come_back(spark, tmp_path):
+    rows = rules.results(frame(spark, record(age=">=18")))
+    tables.write_results(rows, str(tmp_path / "o"))
+    got = tables.read_results(spark, str(tmp_path / "o")).first()
+    assert (got["filename"], got["brand"], got["age"]) == ("f", "TREMFYA", ">=18") and got["access_score"] in (0, 25, 50, 75, 100)
+
+
+def test_brand_section_strategies(spark):
+    fill = "z" * 6000
+    cases = [
+        (f"{fill} coverage of drugx here {fill}", 5503),
+        (f"{fill} approval criteria {fill[:2500]} drugx {fill}", 5501),
+        (f"{fill} drugx {fill[:500]} trial {fill}", 5001),
+        (f"{fill} [pso section {fill}", 6001),
+        (f"{fill}{fill}", 0),
+    ]
+    for text, start in cases:
+        got = spark.createDataFrame([(text,)], "t string").select(T.brand_section(F.col("t"), [F.lit("drugx"), F.lit("")], 300).alias("s")).first()["s"]
+        at = {5503: text.find("coverage of drugx") - 500, 5501: text.find("approval criteria") - 500, 5001: text.find("drugx") - 1000}.get(start, start)
+        assert got == text[at : at + 300]
+    assert spark.createDataFrame([("short drugx",)], "t string").select(T.brand_section(F.col("t"), [F.lit("drugx")]).alias("s")).first()["s"] == "short drugx"
+
+
+def test_second_look_corrects(spark):
+    """Changed fields are named; unreadable answers and records without context change nothing."""
+    found = frame(spark, record(age=">=6"), record(filename="g"), record(filename="h"))
+    texts = spark.createDataFrame([("f", "TREMFYA", "t"), ("g", "TREMFYA", "t")], "filename string, brand string, text string")
+    call = lambda prompts: ['{"age": ">=18"}' if '">=6"' in p or ">=6" in p else "no json" for p in prompts]
+    got = {r["filename"]: r for r in infer.validate_all(found, texts, "Check.", call).collect()}
+    assert got["f"]["age"] == ">=18" and got["f"]["corrections"] == ["age"]
+    assert got["g"]["corrections"] == [] and got["h"]["corrections"] == [] and got["h"]["age"] == "NA"
+
+
+def test_inference_hook_gets_whole_prompts(spark):
+    rows = spark.createDataFrame([("f", "b", "x" * 9000)], "filename string, brand string, prompt string")
+    assert infer.infer(rows, lambda ps: [str(len(p)) for p in ps]).first()["answer"] == "9000"
+
+
+def test_context_levels(spark):
+    """S13h-S13o on one multi-drug document, by hand."""
+    blank = "This page has only general remarks that concern nobody. " * 3
+    pages = [blank] * 12
+    pages[2] = "Drug name: STELARA\n\nPlaque psoriasis is covered for STELARA with step therapy. " + blank
+    pages[6] = "Non-preferred products require trial of preferred drugs.\n\nENBREL and TREMFYA are other drugs."
+    pages[9] = "STELARA is stocked here by the plan. The prescriber type is not limited at all."
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(pages)], "filename string, page_num int, text string")
+    tasks = spark.createDataFrame([("f", "STELARA")], "filename string, brand string")
+    got = {level: tiers.context_package(tasks, rows, level).first() for level in ("page", "paragraph", "sentence")}
+    assert got["page"]["document_type"] == "multi-drug" and got["page"]["total_pages"] == 12 and got["page"]["pages_used"] == 12
+    assert [r["page_num"] for r in tiers.universal_pages(rows).orderBy("page_num").collect()] == [0, 1, 6]
+    assert got["paragraph"]["section_text"].startswith("[Page 3]\nPlaque psoriasis")
+    assert "[PARAMETER-SPECIFIC SNIPPETS]" not in got["paragraph"]["full_text"] and got["sentence"]["full_text"].count("[Universal | Page") == 3
+    plain = rows.where("page_num in (0, 1, 3, 4)")
+    assert context.universal_boundary(plain).first()["boundary"] == 3 and context.universal_boundary(plain.limit(2)).first()["boundary"] == 2
+    with pytest.raises(ValueError):
+        tiers.context_package(tasks, rows, "word")
