@@ -149,8 +149,8 @@ def brand_section(c: Column, names: list[Column], size: int = 24000, small: int
         from_ = before(at, 1000)
         return any_in(F.substring(low, from_ + 1, at - from_ + F.length(n) + 1000), packs.NEAR_WORDS)
 
-    marks = [F.element_at(F.filter(places_of(low, F.lit(m)), near_name), 1) for m in packs.CRITERIA_MARKS]
-    named = [F.when(n != "", F.element_at(F.filter(places_of(low, n), lambda at, n=n: near_criteria(at, n)), 1)).otherwise(none) for n in names]
+    marks = [F.get(F.filter(places_of(low, F.lit(m)), near_name), F.lit(0)) for m in packs.CRITERIA_MARKS]
+    named = [F.when(n != "", F.get(F.filter(places_of(low, n), lambda at, n=n: near_criteria(at, n)), F.lit(0))).otherwise(none) for n in names]
     first = lambda xs: F.coalesce(*xs)
     start = F.coalesce(before(first(phrases), 500), before(first(marks), 500), before(first(named), 1000), F.nullif(F.instr(low, "[pso section"), F.lit(0)) - 1, F.lit(0))
     return F.when(F.length(c) <= small, c).otherwise(F.substring(c, start + 1, F.lit(size)))
