@@ -351,7 +351,7 @@ def test_pipeline_stages_against_brute_force(spark):
         if name == "simhash near-dedup":
             from tests.llm.test_resemblance import survivors
 
-            assert {r["doc_id"] for r in after} == survivors([(r["doc_id"], r["text"]) for r in before])
+            assert {r["doc_id"] for r in after} == survivors(sorted((r["doc_id"], r["text"]) for r in before))
         if name == "secret scans":
             assert len(after) == len(before) and not any('token = "' in r["text"] and "[SECRET]" not in r["text"] for r in after)
         if name == "packing":
