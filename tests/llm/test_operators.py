@@ -107,6 +107,41 @@ def test_packing(spark, docs, odd):
             assert sorted(b"".join(p["ids"] for p in ps) for ps in seen.values()) == want
 
 
+def test_packing_takes_best_neighbours():
+    """Every window leads with its seed; each further document is the unused one of highest BM25 score, by the formula."""
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.6, rng.integers(1, 90)).clip(0, 200).astype("<u4") for _ in range(120)]
+    docs += [docs[7].copy(), np.array([9999], "<u4"), np.arange(300, 700, dtype="<u4")]
+    sets, n = [set(d.tolist()) for d in docs], len(docs)
+    df = {t: sum(t in s for s in sets) for s in sets for t in s}
+    mean = sum(map(len, docs)) / n
+
+    def score(seed, d):
+        norm = 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)
+        tf = {t: int((docs[d] == t).sum()) for t in sets[seed] & sets[d]}
+        return sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + norm) for t, f in tf.items())
+
+    windows = packing.pack_shard(docs, 64)
+    unused, seed, at = set(range(n)), None, {}
+    for w in windows:
+        for i, (d, start, length) in enumerate(w):
+            assert start == at.get(d, 0)
+            at[d] = start + length
+            if start:
+                assert i == 0
+                seed = d
+                continue
+            scores = {e: score(seed, e) for e in unused} if i else {}
+            if max(scores.values(), default=0) > 0:
+                assert scores[d] >= max(scores.values()) - 1e-9
+            else:
+                assert d == min(unused)
+                seed = d
+            unused.remove(d)
+    assert not unused and at == {d: len(x) for d, x in enumerate(docs)}
+    assert all(sum(p[2] for p in w) == 64 for w in windows[:-1])
+
+
 def test_exact_dedup(docs, odd):
     import re
 
