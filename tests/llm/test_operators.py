@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -251,6 +252,40 @@ def test_imatch_of_hot_and_rare_texts(spark):
     assert all(r["near_edited"] < 1 for i, r in got.items() if i < 305) and got[302]["near_next"] == 0
 
 
+def test_imatch_lexicon_and_fingerprints(spark, docs):
+    """Terms of the band and every text's fingerprint, against plain Python."""
+    hashed = lambda raw, seed=42: xxhash.xxh64(raw, seed=seed).intdigest()
+    of_long = lambda v, seed=42: hashed(int(v).to_bytes(8, "little"), seed)
+    salted = lambda t, k: hashed(k.to_bytes(4, "little"), of_long(t))
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+
+    def terms(text):
+        return {hashed(w.encode()) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    own = [terms(t) for t in set(texts.values())]
+    df = {}
+    for t in (t for o in own for t in o):
+        df[t] = df.get(t, 0) + 1
+    band = sorted((t for t, n in df.items() if max(2, imatch.LOW * len(own)) <= n <= imatch.HIGH * len(own)), key=signed)
+    assert [t % 2**64 for t in imatch.lexicon(docs).first()["terms"]] == band
+
+    def fingerprint(text):
+        mine = terms(text)
+        kept, out = [t for t in band if t in mine], ""
+        if len(kept) < imatch.FEW:
+            return "x" + "".join(f"{min((salted(t, k) for t in mine), key=signed):016X}"[8:] for k in range(len(imatch.SUBSETS)) if mine)
+        for k, rate in enumerate(imatch.SUBSETS):
+            chosen, h = [t for t in kept if signed(salted(t, k)) % rate == 0], 42
+            for t in chosen:
+                h = of_long(t, h)
+            out += f"{h:016X}"[8:] if chosen else "--------"
+        return out
+
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.imatch(docs).collect()}
+    assert got == {d: fingerprint(t) for d, t in texts.items()}
+
+
 def test_chat_folds_events(spark):
     ev = [
         (1, 0, 0, "message", "user", "hi <|im_end|>"),
