@@ -30,25 +30,27 @@ class InvertedIndex:
     """BM25 postings of a shard; a posting's weight is computed once."""
 
     def __init__(self, docs: list[np.ndarray]):
+        self.docs, self.n = docs, len(docs)
         lens = np.array([len(d) for d in docs], np.int64)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int64), lens)
-        key, tf = np.unique(np.concatenate(docs).astype(np.int64) << 32 | doc, return_counts=True)
-        term, self.doc = key >> 32, key & 0xFFFFFFFF
-        self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(first, len(key))
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lens[self.doc] / max(1.0, lens.mean()))
-        which = np.repeat(np.arange(len(self.terms)), df)
-        self.weight = idf[which] * tf * (K1 + 1) / (tf + norm)
-        order = np.argsort(self.doc, kind="stable")
-        starts = np.searchsorted(self.doc[order], np.arange(len(docs) + 1))
-        which = which[order]
-        # each document's terms, as numbers of posting lists
-        self.query = [which[a:b] for a, b in zip(starts[:-1], starts[1:])]
-        self.n = len(docs)
+        key = np.concatenate(docs).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= np.repeat(np.arange(self.n, dtype=np.uint32), lens)
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        tf = np.diff(first, append=len(key))
+        key = key[first]
+        self.doc = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        key >>= np.uint64(32)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        self.terms, self.first = key[first], np.append(first, len(key))
+        df = np.diff(self.first)
+        norm = K1 * (1 - B + B * lens / max(1.0, lens.mean()))
+        self.weight = tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight *= np.repeat(np.log1p((self.n - df + 0.5) / (df + 0.5)), df)
 
     def scores(self, seed: int) -> np.ndarray:
-        lists = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed].tolist()]
+        terms = np.searchsorted(self.terms, np.unique(self.docs[seed]).astype(np.uint64))
+        lists = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist())]
         return np.bincount(np.concatenate([self.doc[p] for p in lists]), np.concatenate([self.weight[p] for p in lists]), self.n)
 
 
