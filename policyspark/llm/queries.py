@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyspark.llm import bpe, chat, exact_dedup, imatch, langid, packing, quality, secrets, simhash, token_files
+from policyspark.llm import bpe, chat, exact_dedup, imatch, langid, packing, quality, secrets, simhash, token_files, url_filter, vector_codes, whitening
 from policyspark.llm.common import table
 
 
@@ -71,8 +71,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+#: Host, beginning of the path and verdict of the query's rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(host, path, verdict)")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_files, op4_bpe, op5_imatch, op6_chat_format, op7_exact_dedup, op8_quality, op9_simhash, op10_packing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_token_files, op4_bpe, op5_imatch, op6_chat_format, op7_exact_dedup, op8_quality, op9_simhash, op10_packing, op11_vector_codes, op12_url_filter, op13_whitening)}
 
 
 #: SQL for those queries that it can express.
@@ -89,4 +106,4 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(safe) + length(role) + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
-    return {"op6_chat_format": chats, "op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_chat_format": chats, "op7_exact_dedup": exact_dedup.ORACLE, "op11_vector_codes": vector_codes.oracle(), "op12_url_filter": url_filter.oracle(URL_RULES)}
