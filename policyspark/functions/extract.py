@@ -17,23 +17,25 @@ LABELS = [r"Age\s+Restrictions", r"Prescriber\s+Restrictions", r"Coverage\s+Dura
 AGE_RULES = [r"(\d{1,2})\s*years?\s*of\s*age\s*or\s*older", r"at\s*least\s*(\d{1,2})\s*years?\s*of\s*age", r"(\d{1,2})\s*years?\s*and\s*older", r"aged?\s*(\d{1,2})\s*or\s*older", r"must\s*be\s*(?:at\s*least\s*)?(\d{1,2})\s*years?"]
 GENERIC_TERMS = ["topical corticosteroids", "corticosteroids", "vitamin d analogs", "vitamin d analogues", "tazorac", "tazarotene", "topical tacrolimus", "tacrolimus", "elidel", "pimecrolimus", "methotrexate", "cyclosporine", "acitretin", "conventional therapies", "topical therapies", "non-biologic"]
 SPECIALISTS = {"dermatologist": "Dermatologist", "rheumatologist": "Rheumatologist", "gastroenterologist": "Gastroenterologist", "immunologist": "Immunologist", "infectious disease specialist": "Infectious Disease Specialist"}
-# Step patterns in order, with the kind of step they name.
-COUNT = r"(one|two|three|four|five|\d+)"
+# Step patterns in order, with the kind of step they name and the group of the count (0: no count is stated).
 STEP_PATTERNS = [
-    (rf"(?i)(?:trial|failure|failed|inadequate\s+response)\s+(?:of|to)\s+{COUNT}\s+(?:preferred\s+)?(?:product|agent|biologic|medication)s?", "branded"),
-    (rf"(?i)(?:at\s+least\s+|minimum\s+of\s+)?{COUNT}\s*(?:\(\d+\)\s*)?preferred\s+biologic\s+(?:product|agent|medication)s?", "branded"),
-    (rf"(?i)(?:at\s+least\s+|minimum\s+of\s+)?{COUNT}\s*(?:\(\d+\)\s*)?(?:systemic|conventional|non-biologic)\s+(?:therap(?:y|ies)|agent|medication|DMARD)s?", "generic"),
-    (r"(?i)(one|two|three|\d+)\s+(?:formulary\s+)?conventional\s+prerequisite\s+agent", "generic"),
-    (r"(?i)previously\s+received\s+(?:a|one)\s+()(?:biologic|targeted\s+(?:immune|synthetic)\s+(?:drug|modulator))", "branded_1"),
-    (rf"(?i)unable\s+to\s+take\s+{COUNT}\s+preferred\s+products?", "branded"),
-    (r"(?i)(?:trial|failure)\s+(?:of|and\s+failure\s+(?:of|to))\s+(?:at\s+least\s+)?(one|two|three|\d+)\s*(?:\(\d+\)\s*)?(?:of\s+the\s+following\s+)?(?:topical|conventional)\s+therap(?:y|ies)", "generic"),
-    (r"(?i)()(?:trial|failure|inadequate)\s+(?:of|to|and\s+failure\s+(?:of|to))\s+.*?(?:methotrexate|cyclosporine|acitretin)", "generic_mention"),
-    (r"(?i)()(?:trial\s+and\s+failure|trial|failure|intolerance)\s*(?:,\s*(?:contraindication|intolerance)\s*)*(?:,?\s*or\s+(?:contraindication|intolerance)\s+)?to\s+(?:one|any)\s+of\s+the\s+following\s+(?:topical\s+)?(?:therap(?:y|ies)|medication|agent)", "generic_mention"),
-    (r"(?i)(?:inadequate\s+response|therapeutic\s+failure|intolerance)\s+to\s+(?:at\s+least\s+)?(one|two|three|\d+)\s*(?:\(\d+\)\s*)?(?:of\s+the\s+following\s+)?(?:systemic|topical|conventional)\s+(?:therap(?:y|ies)|agent|medication)", "generic"),
-    (rf"(?i)(?:trial|failure|require)\s+(?:of|and\s+failure\s+(?:of|to))?\s*{COUNT}\s+preferred\s+(?:anti-TNF|anti-tumor|agent|product)", "branded"),
-    (r"(?i)()require\s+(?:trial\s+and\s+failure\s+of\s+)?ALL\s+preferred\s+(?:agent|product)s?", "branded_all"),
-    (r"(?i)previously\s+received\s+a\s+()(?:biologic|targeted\s+synthetic\s+drug)", "branded_1"),
+    (r"(?i)(?:trial|failure|failed|inadequate\s+response)\s+(?:of|to)\s+(ONE|TWO|THREE|FOUR|FIVE|\d+)\s+(?:preferred\s+)?(?:product|agent|biologic|medication)s?", "branded", 1),
+    (r"(?i)(?:at\s+least\s+|minimum\s+of\s+)?(one|two|three|four|five|\d+)\s*(?:\(\d+\)\s*)?preferred\s+biologic\s+(?:product|agent|medication)s?", "branded", 1),
+    (r"(?i)(?:at\s+least\s+|minimum\s+of\s+)?(one|two|three|four|five|\d+)\s*(?:\(\d+\)\s*)?(?:systemic|conventional|non-biologic)\s+(?:therap(?:y|ies)|agent|medication|DMARD)s?", "generic", 1),
+    (r"(?i)(ONE|TWO|THREE|\d+)\s+(?:formulary\s+)?conventional\s+prerequisite\s+agent", "generic", 1),
+    (r"(?i)previously\s+received\s+(?:a|one)\s+(?:biologic|targeted\s+(?:immune|synthetic)\s+(?:drug|modulator))", "branded_1", 0),
+    (r"(?i)unable\s+to\s+take\s+(ONE|TWO|THREE|FOUR|FIVE|\d+)\s+preferred\s+products?", "branded", 1),
+    (r"(?i)(?:trial|failure)\s+(?:of|and\s+failure\s+(?:of|to))\s+(?:at\s+least\s+)?(one|two|three|\d+)\s*(?:\(\d+\)\s*)?(?:of\s+the\s+following\s+)?(?:topical|conventional)\s+therap(?:y|ies)", "generic", 1),
+    (r"(?i)(?:trial|failure|inadequate)\s+(?:of|to|and\s+failure\s+(?:of|to))\s+.*?(?:methotrexate|cyclosporine|acitretin)", "generic_mention", 0),
+    (r"(?i)(?:trial\s+and\s+failure|trial|failure|intolerance)\s*(?:,\s*(?:contraindication|intolerance)\s*)*(?:,?\s*or\s+(?:contraindication|intolerance)\s+)?to\s+(?:one|any)\s+of\s+the\s+following\s+(?:topical\s+)?(?:therap(?:y|ies)|medication|agent)", "generic_mention", 0),
+    (r"(?i)(?:inadequate\s+response|therapeutic\s+failure|intolerance)\s+to\s+(?:at\s+least\s+)?(one|two|three|\d+)\s*(?:\(\d+\)\s*)?(?:of\s+the\s+following\s+)?(?:systemic|topical|conventional)\s+(?:therap(?:y|ies)|agent|medication)", "generic", 1),
+    (r"(?i)(?:trial|failure|require)\s+(?:of|and\s+failure\s+(?:of|to))?\s*(ONE|TWO|THREE|FOUR|FIVE|\d+)\s+preferred\s+(?:anti-TNF|anti-tumor|agent|product)", "branded", 1),
+    (r"(?i)require\s+(?:trial\s+and\s+failure\s+of\s+)?ALL\s+preferred\s+(?:agent|product)s?", "branded_all", 0),
+    (r"(?i)previously\s+received\s+a\s+(?:biologic|targeted\s+synthetic\s+drug)", "branded_1", 0),
 ]
+# What names one or two branded steps.
+TWO_BRANDS = r"trial\s+and\s+failure.*?\b(two|2)\b.*?(biologic|tnf|humira|enbrel|stelara|skyrizi|tremfya|cimzia)"
+ONE_BRAND = r"trial\s+and\s+failure.*?\b(one|1)\b.*?(biologic|tnf|humira|enbrel|stelara|skyrizi|tremfya|cimzia)"
 PHOTO = ["phototherapy", "puva", "uvb", "psoralen", "light therapy"]
 
 
@@ -56,8 +58,8 @@ def parameters(section: Column, b: dict[str, Column]) -> dict[str, Column]:
     for p in AGE_RULES:
         age = age.when(age_text.rlike(p), F.concat(F.lit(">="), F.regexp_extract(age_text, p, 1)))
     age = age.when(any_in(age_text, ["childbearing", "able to bear children", "pregnancy"]), None).otherwise(T.compact(b["age"]))
-    named = r"\b.*?(biologic|tnf|humira|enbrel|stelara|skyrizi|tremfya|cimzia)"
-    branded = F.when(info.rlike(rf"(?d)trial\s+and\s+failure.*?\b(two|2){named}"), 2).when(info.rlike(rf"(?d)trial\s+and\s+failure.*?\b(one|1){named}"), 1).when(F.contains(info, F.lit("biologic as first-line")), 0)
+    lines = "(?d)"  # only a line feed ends a line
+    branded = F.when(info.rlike(lines + TWO_BRANDS), 2).when(info.rlike(lines + ONE_BRAND), 1).when(F.contains(info, F.lit("biologic as first-line")), 0)
     generic = F.when(info.rlike(r"at\s+least\s+(?:2|two)\s+conventional\s+therap|\b(?:2|two)\s+(?:topical|generic|non-biologic|conventional)"), 2).when(any_in(info, GENERIC_TERMS), 1)
     photo = F.when(any_in(info, ["phototherapy", "puva", "uvb"]), F.when(any_in(info, ["one of the following", "conventional therapies", "or "]), "No").otherwise("Yes"))
     who = F.array_compact(F.array(*[F.when(F.contains(F.lower(b["prescriber"]), F.lit(k)), F.lit(v)) for k, v in SPECIALISTS.items()]))
@@ -96,41 +98,24 @@ def drug_classes() -> dict[str, str]:
     return {d: k for d, k in found.items() if len(d) >= 4}
 
 
-def mentions(text: Column) -> Column:
-    """Every place where a drug's name stands as a word, with its class and 100 characters around it."""
-    low = F.lower(text)
-
-    def all_of(name: str, kind: str) -> Column:
-        parts = F.split(low, rf"\b{name}\b")  # names are plain words
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-        places = F.aggregate(parts, start, lambda a, p: F.struct((a["at"] + F.length(p) + len(name)).alias("at"), F.array_append(a["found"], a["at"] + F.length(p)).alias("found")), lambda a: F.slice(a["found"], 1, F.size(a["found"]) - 1))
-
-        def one(at: Column) -> Column:
-            around = F.substring(text, F.greatest(at - 99, F.lit(1)), F.least(at, F.lit(100)) + len(name) + 100)
-            return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("classification"), strip(F.translate(around, "\n", " ")).alias("context"))
-
-        return F.when(F.contains(low, F.lit(name)), F.transform(places, one)).otherwise(F.array().cast("array<struct<name:string,classification:string,context:string>>"))
-
-    return F.flatten(F.array(*[all_of(n, k) for n, k in drug_classes().items()]))
-
-
 def requirements(text: Column) -> Column:
     """The first match of each step pattern, with its count, kind, source and connector.
 
-    The source reaches from 50 characters before the match to 100 after it, the
-    connector is sought from 300 before to 300 after. "ALL" counts as two.
+    The source reaches from 50 characters before the match to 100 after it, and is
+    [start, end) of the text; the connector is sought from 300 before to 300
+    after. "ALL" counts as two.
     """
 
-    def one(pattern: str, kind: str) -> Column:
+    def one(pattern: str, kind: str, group: int) -> Column:
+        pattern = "(?d)" + pattern
         at, n = F.regexp_instr(text, F.lit(pattern)), F.length(F.regexp_extract(text, pattern, 0))
-        count = F.lit(2 if kind == "branded_all" else 1) if kind not in ("branded", "generic") else T.count_word(F.regexp_extract(text, pattern, 1))
-
-        def cut(before: int, after: int) -> Column:
-            return F.substring(text, F.greatest(at - before, F.lit(1)), F.least(at - 1, F.lit(before)) + n + after)
-
-        return F.when(at > 0, F.struct(count.alias("count"), F.lit(kind.split("_")[0]).alias("drug_type"), T.connector(cut(300, 300)).alias("connector"), cut(50, 100).alias("source_text")))
+        count = T.count_word(F.regexp_extract(text, pattern, group)) if group else F.lit(2 if kind == "branded_all" else 1)
+        start, end = F.greatest(at - 51, F.lit(0)), F.least(at - 1 + n + 100, F.length(text))
+        around = F.substring(text, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)) + n + 300)
+        found = F.struct(count.alias("count"), F.lit(kind.split("_")[0]).alias("drug_type"), T.connector(around).alias("connector"), F.substring(text, start + 1, end - start).alias("source_text"), start.alias("start"), end.alias("end"))
+        return F.when(at > 0, found)
 
-    return F.array_compact(F.array(*[one(p, k) for p, k in STEP_PATTERNS]))
+    return F.array_compact(F.array(*[one(*p) for p in STEP_PATTERNS]))
 
 
 def laid_out(section: Column) -> Column:
@@ -166,12 +151,27 @@ def phototherapy(text: Column) -> Column:
     return F.struct(F.when(any_in(F.lower(text), PHOTO), done["m"] & ~done["o"]).alias("mandatory"), done["o"].alias("in_or"))
 
 
-def combine(reqs: Column, found: Column) -> Column:
-    """ANDed counts add up; of ORed paths the least counts, generic before branded."""
-    total = lambda kind: F.aggregate(F.filter(reqs, lambda r: (r["drug_type"] == kind) & (r["connector"] == "AND")), F.lit(0), lambda a, r: a + r["count"])
-    least = lambda kind: F.array_min(F.transform(F.filter(reqs, lambda r: (r["drug_type"] == kind) & (r["connector"] == "OR")), lambda r: r["count"]))
-    generic = total("generic") + F.coalesce(least("generic"), F.lit(0))
-    branded = total("branded") + F.when(least("generic").isNull(), F.coalesce(least("branded"), F.lit(0))).otherwise(0)
+def combine(reqs: Column, n_mentions: Column, universal_chars: Column | None = None) -> Column:
+    """ANDed counts add up; of ORed paths the least counts, generic before branded.
+
+    The struct has both counts, the confidence and the reasoning, a line for each thing that counted.
+    """
+    of = lambda kind, link: F.transform(F.filter(reqs, lambda r: (r["drug_type"] == kind) & (r["connector"] == link)), lambda r: r["count"])
+    total = lambda kind: F.aggregate(of(kind, "AND"), F.lit(0), lambda a, n: a + n)
+    generics, brands = of("generic", "OR"), of("branded", "OR")
     shown = lambda n: F.when(n > 0, n.cast("string")).otherwise("NA")
-    level = F.when(F.size(reqs) >= 2, "high").when((F.size(reqs) == 1) | (F.size(found) > 0), "medium").otherwise("low")
-    return F.struct(shown(branded).alias("branded_steps"), shown(generic).alias("generic_steps"), level.alias("confidence"))
+    listed = lambda a: F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]"))
+    g, b = F.array_min(generics), F.array_min(brands)
+    generic = total("generic") + F.coalesce(g, F.lit(0))
+    branded = total("branded") + F.when(g.isNull(), F.coalesce(b, F.lit(0))).otherwise(0)
+    level = F.when(F.size(reqs) >= 2, "high").when((F.size(reqs) == 1) | (n_mentions > 0), "medium").otherwise("low")
+    least = (
+        F.when(g.isNotNull() & b.isNotNull(), F.concat(F.lit("least of OR: brands "), listed(brands), F.lit(", generics "), listed(generics), F.lit(": "), g.cast("string"), F.lit(" generic")))
+        .when(b.isNotNull(), F.concat(F.lit("least of OR: "), b.cast("string"), F.lit(" branded of "), listed(brands)))
+        .when(g.isNotNull(), F.concat(F.lit("least of OR: "), g.cast("string"), F.lit(" generic of "), listed(generics)))
+    )
+    none = F.when((F.size(reqs) == 0) & (n_mentions > 0), F.concat(F.lit("no pattern, drug mentions: "), n_mentions.cast("string"))).when(F.size(reqs) == 0, F.lit("no pattern, no drug mention"))
+    steps = F.transform(reqs, lambda r: F.concat(r["connector"], F.lit(": "), r["count"].cast("string"), F.lit(" "), r["drug_type"], F.lit(" from "), F.substring(r["source_text"], 1, 80)))
+    shared = F.when(universal_chars > 0, F.concat(F.lit("universal text apart: "), universal_chars.cast("string"))) if universal_chars is not None else F.lit(None).cast("string")
+    why = F.array_join(F.array_compact(F.concat(F.array(shared), steps, F.array(least, none))), " | ")
+    return F.struct(shown(branded).alias("branded_steps"), shown(generic).alias("generic_steps"), level.alias("confidence"), why.alias("reasoning"))

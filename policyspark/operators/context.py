@@ -11,6 +11,7 @@ from policyspark import packs
 from policyspark.functions import extract
 from policyspark.functions import text as T
 from policyspark.functions.normalize import any_in, strip
+from policyspark.operators import dictionary
 
 TASK = ["filename", "brand"]
 
@@ -28,10 +29,33 @@ def task_pages(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     return tasks.select(*TASK).distinct().join(own, "filename")
 
 
-def scored_pages(tasks: DataFrame, pages: DataFrame, keywords: dict | None = None) -> DataFrame:
-    """S13d over all task pages: relevance and categories."""
-    points, cats = T.relevance(F.col("low"), F.col("brand"), generic_of(F.col("brand")), keywords)
-    return task_pages(tasks, pages).select(*TASK, "page_num", "text", points.alias("relevance"), cats.alias("categories"))
+def scored_pages(tasks: DataFrame, pages: DataFrame, keywords: DataFrame | dict | None = None) -> DataFrame:
+    """S13d over all task pages: relevance and categories.
+
+    ``keywords``: a dictionary (category, phrase, weight), or one of lists. Pages meet
+    its phrases and the tasks' brands once each; what was found is a few short rows a page, and the
+    text joins them at the end. Of ``other_brands`` the task's own names don't count.
+    """
+    spark = pages.sparkSession
+    table = keywords if isinstance(keywords, DataFrame) else dictionary.keyword_dim(spark, keywords)
+    page = ["filename", "page_num"]
+    hits = dictionary.phrases_in(pages.select(*page, "text"), table, page).drop("text")
+    other = F.col("category") == "other_brands"
+    found = hits.groupBy(*page).agg(F.collect_set(F.when(~other, F.struct("category", "weight"))).alias("_found"), F.collect_set(F.when(other, F.col("phrase"))).alias("_others"), F.max(F.when(other, F.col("weight"))).alias("_other_weight"))
+    names = tasks.select("brand").distinct().withColumn("phrase", F.explode(F.array(F.lower("brand"), F.coalesce(F.lower(generic_of(F.col("brand"))), F.lit("")))))
+    named = dictionary.phrases_in(pages.select(*page, "text"), names, page).select(*page, "brand").distinct().withColumn("_target", F.lit(True))
+    rows = tasks.select(*TASK).distinct().join(pages.select(*page), "filename").join(found, page, "left").join(named, [*page, "brand"], "left")
+    own = F.array(F.lower("brand"), F.coalesce(F.lower(generic_of(F.col("brand"))), F.lit("")))
+    others = F.coalesce(F.size(F.array_except("_others", own)), F.lit(0)) > 0
+    more = F.when(others, F.array(F.struct(F.lit("other_brands").alias("category"), F.col("_other_weight").alias("weight")))).otherwise(F.array())
+    target = F.when(F.col("_target"), F.array(F.struct(F.lit("target_brand").alias("category"), F.lit(packs.TARGET_WEIGHT).alias("weight")))).otherwise(F.array())
+    kind = "array<struct<category:string,weight:double>>"
+    every = F.concat(F.coalesce(F.col("_found"), F.array()).cast(kind), more.cast(kind), target.cast(kind))
+    rows = rows.withColumn("_all", every)
+    points = F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["weight"])
+    names_of = F.array_sort(F.transform("_all", lambda x: x["category"]))
+    scored = rows.select(*TASK, "page_num", points.alias("relevance"), names_of.alias("categories"))
+    return scored.join(pages.select(*page, "text"), page).select(*TASK, "page_num", "text", "relevance", "categories")
 
 
 def tagged_pages(scored: DataFrame, least: float = 3.0) -> DataFrame:
@@ -83,12 +107,12 @@ def document_types(pages: DataFrame, names: dict[str, str] | None = None) -> Dat
     among the first 30.
     """
     low = F.lower("text")
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(b)) for w, b in (names or packs.CANONICAL).items()]))
     catalog = F.contains(low, F.lit(packs.CATALOG_MARKS[0])) & F.contains(low, F.lit(packs.CATALOG_MARKS[1])) & (F.col("page_num") < 10)
     jump = low.rlike(packs.JUMP_PATTERN) & (F.col("page_num") < 30)
-    marks = pages.select("filename", F.array_distinct(found).alias("brands"), catalog.cast("int").alias("catalog"), jump.cast("int").alias("jumps"))
-    # at most as many brands as ``names`` has are in a set
-    counts = marks.groupBy("filename").agg(F.count("*").alias("n_pages"), F.size(F.array_distinct(F.flatten(F.collect_set("brands")))).alias("n_brands"), F.sum("catalog").alias("catalog"), F.sum("jumps").alias("jumps"))
+    pieces = pages.groupBy("filename").agg(F.count("*").alias("n_pages"), F.count(F.when(catalog, 1)).alias("catalog"), F.count(F.when(jump, 1)).alias("jumps"))
+    hits = dictionary.phrases_in(pages.select("filename", "text"), dictionary.canonical_dim(pages.sparkSession, names), ["filename"])
+    brands = hits.groupBy("filename").agg(F.count_distinct("stands_for").cast("int").alias("n_brands"))
+    counts = pieces.join(brands, "filename", "left").select("filename", "n_pages", F.coalesce("n_brands", F.lit(0)).alias("n_brands"), "catalog", "jumps")
     kind = F.when((F.col("n_brands") <= 1) | (F.col("n_pages") <= 10), "single-drug").when((F.col("catalog") >= 3) & (F.col("n_pages") > 50), "flat-catalog").when(F.col("jumps") >= 5, "decision-tree").otherwise("multi-drug")
     return counts.withColumn("document_type", kind)
 
@@ -155,6 +179,35 @@ def routes(contexts: DataFrame, small: tuple[int, int] = (6000, 500), large: tup
     return contexts.withColumn("route", F.when(n <= a, "small").when(n <= b, "large").otherwise("chunked")).withColumn("chunk_chars", F.when(n <= a, a).otherwise(b))
 
 
+def section_pages(tasks: DataFrame, pages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """E4 with its default predicates: filename, brand, first and last (exclusive, null: the end) page of each task's section.
+
+    A section starts at the first page that names the brand or an alias of it
+    (brand in upper case, phrase) and has a start mark in its first 1200 characters.
+    It ends before the next page that opens a section without naming it.
+    Pages are looked at once, for all brands; windows run over page numbers and flags.
+    """
+    page = ["filename", "page_num"]
+    table = aliases if aliases is not None else dictionary.alias_dim(pages.sparkSession)
+    brands = tasks.select("brand").distinct()
+    names = brands.withColumn("phrase", F.lower("brand")).unionByName(brands.join(table.withColumnRenamed("brand", "_b"), F.upper("brand") == F.col("_b")).select("brand", F.lower("phrase").alias("phrase"))).distinct()
+    named = dictionary.phrases_in(pages.select(*page, "text"), names, page).select(*page, "brand").distinct().withColumn("named", F.lit(True))
+    head, top = F.lower(F.substring("text", 1, 1200)), F.lower(T.compact(F.substring("text", 1, 900)))
+    marks = pages.select(*page, any_in(head, packs.START_MARKS).alias("starts"), (any_in(top, packs.SECTION_MARKS) & any_in(top, packs.SECTION_SECOND_MARKS)).alias("opens"))
+    rows = tasks.select(*TASK).distinct().join(marks, "filename").join(named, [*page, "brand"], "left")
+    begins = rows.where("named and starts").groupBy(*TASK).agg(F.min("page_num").alias("first"))
+    ends = rows.where("named is null and opens").join(begins, TASK).where("page_num > first").groupBy(*TASK).agg(F.min("page_num").alias("last"))
+    return begins.join(ends, TASK, "left")
+
+
+def section_texts(tasks: DataFrame, pages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Filename, brand and the text of each task's section; tasks without one are left out."""
+    spans = section_pages(tasks, pages, aliases)
+    own = pages.select("filename", "page_num", "text").join(spans, "filename").where("page_num >= first and (last is null or page_num < last)")
+    said = F.array_sort(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("text"))))
+    return own.groupBy(*TASK).agg(T.normal_space(F.array_join(F.transform(said, lambda x: x["text"]), "\n")).alias("text")).where("text <> ''")
+
+
 def rule_extract(sections: DataFrame) -> DataFrame:
     """X: filename, brand, text -> the 12 parameters; blocks are computed once, in a projection of their own."""
     b = extract.blocks(F.col("text"))
@@ -163,8 +216,58 @@ def rule_extract(sections: DataFrame) -> DataFrame:
     return with_blocks.select(*TASK, *[v.alias(k) for k, v in p.items()])
 
 
-def step_analysis(sections: DataFrame) -> DataFrame:
-    """P: requirements, mentions, phototherapy, reauthorisation sentences and the combined counts."""
-    reauth = T.prefix_within(F.filter(T.sentences(F.col("text")), lambda s: any_in(F.lower(s), packs.PAGE_KEYWORDS["reauthorization"][0])), 1501)
-    rows = sections.select(*TASK, extract.requirements(F.col("text")).alias("requirements"), extract.mentions(F.col("text")).alias("drug_mentions"), extract.phototherapy(F.col("text")).alias("photo"), F.array_join(reauth, " ").alias("reauth_text"))
-    return rows.withColumn("c", extract.combine(F.col("requirements"), F.col("drug_mentions"))).select("*", "c.*", F.col("photo.mandatory").alias("phototherapy_mandatory"), F.col("photo.in_or").alias("phototherapy_in_or")).drop("c", "photo")
+def rules_of_sections(tasks: DataFrame, pages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """E4 -> S13f -> S7 -> X: what the rules read from each task's section, for sections that have the labelled layout."""
+    return rule_extract(section_texts(tasks, pages, aliases).where(extract.laid_out(F.col("text"))))
+
+
+def _own_text(sections: DataFrame) -> tuple[Column, Column]:
+    """The text that steps are sought in, and where it starts: behind the universal text if the text begins with that."""
+    if "universal_text" not in sections.columns:
+        return F.col("text"), F.lit(0)
+    shared = F.coalesce("universal_text", F.lit(""))
+    cut = F.when((shared != "") & F.startswith("text", F.substring(shared, 1, 100)), F.length(shared)).otherwise(0)
+    return F.substring("text", cut + 1, F.length("text")), cut
+
+
+def requirement_rows(sections: DataFrame, drugs: DataFrame | None = None) -> DataFrame:
+    """A row for each step requirement of a section, with ``drugs``, the names inside its source, in the dictionary's order.
+
+    Requirements and mentions are intervals of one section's text: an equi-join on the section with the interval
+    as its condition. A section has as many requirements as there are step patterns at most, so a mention
+    meets no more. Names count where they stand as words of the section.
+    """
+    text, start = _own_text(sections)
+    rows = sections.select(*TASK, start.alias("_from"), F.posexplode(extract.requirements(text)).alias("no", "r"))
+    rows = rows.select(*TASK, "no", "r.count", "r.drug_type", "r.connector", "r.source_text", (F.col("r.start") + F.col("_from")).alias("start"), (F.col("r.end") + F.col("_from")).alias("end"))
+    found = dictionary.places(sections.select(*TASK, "text"), drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession), TASK)
+    names = found.select(*[F.col(k).alias(f"_{k}") for k in TASK], "ord", F.col("start").alias("_start"), F.col("end").alias("_end"), "phrase")
+    inside = (F.col("filename") == F.col("_filename")) & (F.col("brand") == F.col("_brand")) & (F.col("_start") >= F.col("start")) & (F.col("_end") <= F.col("end"))
+    own = [*TASK, "no", "count", "drug_type", "connector", "source_text", "start", "end"]
+    met = rows.join(names, inside, "left").groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("ord", "_start", "phrase")))).alias("m"))
+    return met.select(*own, F.transform("m", lambda x: x["phrase"]).alias("drugs"))
+
+
+def reauth_sentences(text: Column, budget: int = 1500) -> Column:
+    """The sentences and lines about reauthorisation, up to the one with which they go beyond ``budget`` characters."""
+    about = F.filter(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: any_in(F.lower(s), packs.REAUTH_SENTENCE_WORDS))
+    return F.array_join(F.transform(T.prefix_within(about, budget + 1), strip), "\n")
+
+
+def step_analysis(sections: DataFrame, drugs: DataFrame | None = None) -> DataFrame:
+    """P: requirements, mentions, phototherapy, reauthorisation sentences and the combined counts of each section.
+
+    sections: filename, brand, text and, if apart, universal_text. One row a task.
+    """
+    table = drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession)
+    need = requirement_rows(sections, table)
+    shape = F.struct("no", "count", "drug_type", "drugs", "connector", "source_text")
+    needs = need.groupBy(*TASK).agg(F.transform(F.array_sort(F.collect_list(shape)), lambda x: x.dropFields("no")).alias("requirements"))
+    found = dictionary.places(sections.select(*TASK, "text"), table, TASK)
+    said = found.groupBy(*TASK).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", F.col("phrase").alias("name"), "classification", "context"))), lambda x: x.dropFields("ord", "start")).alias("drug_mentions"))
+    shared = F.length(F.coalesce("universal_text", F.lit(""))) if "universal_text" in sections.columns else F.lit(0)
+    rows = sections.select(*TASK, shared.alias("_shared"), extract.phototherapy(F.col("text")).alias("photo"), reauth_sentences(F.col("text")).alias("reauth_text"))
+    rows = rows.join(needs, TASK, "left").join(said, TASK, "left")
+    rows = rows.withColumns({"requirements": F.coalesce("requirements", F.array().cast(needs.schema["requirements"].dataType)), "drug_mentions": F.coalesce("drug_mentions", F.array().cast(said.schema["drug_mentions"].dataType))})
+    rows = rows.withColumn("c", extract.combine(F.col("requirements"), F.size("drug_mentions"), F.col("_shared")))
+    return rows.select(*TASK, "requirements", "drug_mentions", "reauth_text", "c.*", F.col("photo.mandatory").alias("phototherapy_mandatory"), F.col("photo.in_or").alias("phototherapy_in_or"))

@@ -117,5 +117,22 @@ SIMPLE_PARAMS = ["age", "tb_test_required", "quantity_limits", "specialist_types
 DEFAULTS = {"age": "No", "step_therapy_requirements": "Unspecified", "steps_through_brands": "NA", "steps_through_generic": "1", "step_through_phototherapy": "No", "tb_test_required": "Y", "quantity_limits": "NA", "specialist_types": "NA", "initial_auth_duration": "12", "reauth_duration": "Unspecified", "reauth_required": "Yes", "reauth_requirements": "Unspecified"}
 BRAND_DEFAULTS = {"STELARA": {"age": ">=6"}}
 
+# Names that a section of the labelled layout can have for a drug.
+DRUG_ALIASES = {"ACITRETIN": ["ACITRETIN", "SORIATANE"], "SKYRIZI": ["SKYRIZI", "RISANKIZUMAB"], "TREMFYA": ["TREMFYA", "GUSELKUMAB"], "STELARA": ["STELARA", "USTEKINUMAB"], "ILUMYA": ["ILUMYA", "TILDRAKIZUMAB"], "COSENTYX": ["COSENTYX", "SECUKINUMAB"], "TALTZ": ["TALTZ", "IXEKIZUMAB"], "HUMIRA": ["HUMIRA", "ADALIMUMAB"], "ENBREL": ["ENBREL", "ETANERCEPT"], "CIMZIA": ["CIMZIA", "CERTOLIZUMAB"], "SIMPONI": ["SIMPONI", "GOLIMUMAB"], "OTEZLA": ["OTEZLA", "APREMILAST"], "SOTYKTU": ["SOTYKTU", "DEUCRAVACITINIB"], "RINVOQ": ["RINVOQ", "UPADACITINIB"], "XELJANZ": ["XELJANZ", "TOFACITINIB"], "BIMZELX": ["BIMZELX", "BIMEKIZUMAB"], "SILIQ": ["SILIQ", "BRODALUMAB"]}
+# Marks of the page where a drug's section starts, and of pages that start a section.
+START_MARKS = ["products affected", "drug names", "prior authorization group"]
+SECTION_MARKS = ["products affected"]
+SECTION_SECOND_MARKS = ["prior authorization criteria", "criteria details"]
+# Words of sentences about reauthorisation, for the step analysis.
+REAUTH_SENTENCE_WORDS = ["reauthorization", "renewal", "continuation criteria", "continuation of therapy", "re-authorization", "continued approval", "renewal criteria", "reauthorization requirements"]
+# The keyword list of a parameter's snippet.
+SNIPPET_KEYWORDS = {"tb_test_required": "tb_test", "reauth_required": "reauth", "age": "age", "initial_auth_duration": "auth_duration", "reauth_duration": "reauth", "specialist_types": "specialist", "quantity_limits": "quantity_limit"}
+# Spellings that a second pass may fill.
+GAP_FORMS = ["na", "n/a", "not applicable", "not mentioned", ""]
+# A marker that begins a piece of a context, and parameters of the second of two calls.
+CONTEXT_MARK = r"\[(?:Universal|PsO Section|Tier \d|Page)[^\]]*\]"
+COMPLEX_PARAMS = ["step_therapy_requirements", "steps_through_brands", "steps_through_generic", "step_through_phototherapy", "reauth_requirements"]
+REQUIRED_COMPLEX = ["step_through_phototherapy", "steps_through_brands", "steps_through_generic"]
+
 #: Names under which a page can mention a brand, and the brand that each stands for.
 CANONICAL = {w: next((b.lower() for b, g in BRAND_GENERIC.items() if w in (b.lower(), g)), w) for w in PAGE_KEYWORDS["other_brands"][0]}

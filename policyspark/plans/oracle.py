@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from policyspark import packs
-from policyspark.sources.fixtures import PAGE_WORDING, WORDING
+from policyspark.functions import extract
+from policyspark.sources.fixtures import PAGE_WORDING, SECTION_BRANDS, SECTION_WORDING, WORDING
 
 P = packs.PARAMS
 
@@ -349,6 +350,100 @@ def layout_rules() -> str:
   '6' AS initial_auth_duration, '12' AS reauth_duration, 'Yes' AS reauth_required, reauth_requirements || ' reauthorization needs a negative tuberculin test.' AS reauth_requirements FROM raw"""
 
 
+def sections() -> str:
+    """Pages gp and tasks gt of derived sections, sec: each task's section text."""
+    part = {n: f"([{', '.join(lit(v) for v in vs)}])[1 + (o_orderkey // {p}) % {len(vs)}]" for n, (p, vs) in SECTION_WORDING.items()}
+    nl = "chr(10)"
+    text = f"replace({part['head']}, '{{}}', {part['drug']}) || {nl} || ' Required Medical Information ' || {part['info']} || '. ' || {part['other']} || {nl} || 'Age Restrictions ' || {part['age']} || {nl} || 'Prescriber Restrictions ' || {part['who']} || {nl} || 'Coverage Duration ' || {part['cover']} || {nl} || 'Renewal Criteria ' || {part['renew']} || {nl} || 'Effective Date 01/01' || {nl} || {part['tail']}"
+    names = ", ".join(f"({lit(b)}, {lit(n.lower())})" for b in SECTION_BRANDS for n in {b, *packs.DRUG_ALIASES.get(b.upper(), [])})
+    top = "lower(trim(regexp_replace(substring(text, 1, 900), '\\s+', ' ', 'g')))"
+    return f"""gp AS (SELECT 's' || (o_custkey % 300) AS filename, row_number() OVER (PARTITION BY o_custkey % 300 ORDER BY o_orderkey) - 1 AS page_num, {text} AS text FROM orders),
+  gn(brand, name) AS (VALUES {names}), gt AS (SELECT DISTINCT 's' || (o_custkey % 300) AS filename, unnest([{', '.join(lit(b) for b in SECTION_BRANDS)}]) AS brand FROM orders),
+  gm AS (SELECT t.filename, t.brand, page_num, text, bool_or(contains(lower(text), name)) AS named, {has('lower(substring(text, 1, 1200))', packs.START_MARKS)} AS starts,
+    contains({top}, 'products affected') AND (contains({top}, 'prior authorization criteria') OR contains({top}, 'criteria details')) AS opens FROM gt t JOIN gp USING (filename) JOIN gn USING (brand) GROUP BY ALL),
+  gb AS (SELECT filename, brand, min(page_num) AS first FROM gm WHERE named AND starts GROUP BY 1, 2),
+  ge AS (SELECT filename, brand, first, min(page_num) FILTER (WHERE opens AND NOT named AND page_num > first) AS last FROM gm JOIN gb USING (filename, brand) GROUP BY 1, 2, 3),
+  sec AS (SELECT filename, brand, {spaces("string_agg(text, chr(10) ORDER BY page_num)")} AS text FROM gm JOIN ge USING (filename, brand) WHERE page_num >= first AND (last IS NULL OR page_num < last) GROUP BY 1, 2)"""
+
+
+def spaces(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '[ \t]+', ' ', 'g'), '\n\\s+', chr(10), 'g'), '\\s+\n', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def compacted(c: str) -> str:
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+
+
+def section_rules() -> str:
+    """What stands in each block of a section, and what the wording of the rules makes of it."""
+    def block(start, ends):
+        got = f"regexp_extract(text, '(?is){start}\\s*(.*?)(?:{'|'.join(ends)}|\\z)', 1)"
+        value = spaces(f"regexp_replace({spaces(got)}, '(?i)^(Information|Restrictions|Duration|Criteria)\\s+', '')")
+        return f"CASE WHEN regexp_matches(text, '(?is){start}') AND {value} NOT IN ('', '-', '—') THEN {value} END"
+
+    L = extract.LABELS
+    low_age = f"lower({compacted('age')})"
+    ages = " ".join(f"WHEN regexp_matches({low_age}, {lit(p)}) THEN '>=' || regexp_extract({low_age}, {lit(p)}, 1)" for p in extract.AGE_RULES)
+    who = "nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(who), {lit(k)}) THEN {lit(v)} END" for k, v in extract.SPECIALISTS.items()) + "], lambda x: x IS NOT NULL), ', '), '')"
+    months = lambda label, unit: f"try_cast(nullif(regexp_extract(coalesce(cover, text), '(?i)\\b{label}\\s*:\\s*([0-9]+)\\s*{unit}s?', 1), '') AS INT)"
+    weeks = lambda label: f"round_even({months(label, 'week')} / 4.0, 0)::INT"
+    return f"""WITH {sections()}, bl AS (SELECT filename, brand, text, {block('Required\\s+Medical\\s+Information', L)} AS info, {block(L[0], L[1:])} AS age, {block(L[1], L[2:])} AS who, {block(L[2], L[3:])} AS cover, {block(L[3], L[4:])} AS again FROM sec
+    WHERE {' + '.join(f"contains(lower(substring(text, 1, 500)), {lit(m)})::INT" for m in packs.LAYOUT_MARKS)} >= 2), k AS (SELECT *, lower(info) AS i, coalesce({months('renewal', 'month')}, {months('reauthorization', 'month')}, {weeks('renewal')}) AS renewal FROM bl)
+  SELECT filename, brand, CASE WHEN age IS NULL THEN NULL {ages} WHEN {has(low_age, ['childbearing', 'able to bear children', 'pregnancy'])} THEN NULL ELSE {compacted('age')} END AS age,
+    nullif({compacted(f"replace({compacted('info')}, '• ', '')")}, '') AS step_therapy_requirements,
+    CASE WHEN regexp_matches(i, {lit(extract.TWO_BRANDS)}) THEN '2' WHEN regexp_matches(i, {lit(extract.ONE_BRAND)}) THEN '1' WHEN contains(i, 'biologic as first-line') THEN '0' END AS steps_through_brands,
+    CASE WHEN regexp_matches(i, 'at\\s+least\\s+(?:2|two)\\s+conventional\\s+therap') OR regexp_matches(i, '\\b(?:2|two)\\s+(?:topical|generic|non-biologic|conventional)') THEN '2' WHEN {has('i', extract.GENERIC_TERMS)} THEN '1' END AS steps_through_generic,
+    CASE WHEN {has('i', ['phototherapy', 'puva', 'uvb'])} THEN CASE WHEN {has('i', ['one of the following', 'conventional therapies', 'or '])} THEN 'No' ELSE 'Yes' END END AS step_through_phototherapy,
+    CASE WHEN regexp_matches(lower(text), '\\bnegative\\s+tuberculin\\b|\\btb\\s+test\\b|\\btuberculosis\\b|\\blatent\\s+tb\\b') THEN 'Y' END AS tb_test_required, CASE WHEN contains(lower(text), 'quantity limit') THEN 'Yes' END AS quantity_limits,
+    {who} AS specialist_types, coalesce({months('initial', 'month')}, {weeks('initial')})::VARCHAR AS initial_auth_duration, renewal::VARCHAR AS reauth_duration, CASE WHEN renewal IS NOT NULL OR again IS NOT NULL THEN 'Yes' END AS reauth_required,
+    nullif(trim(regexp_replace({compacted('again')}, '(?i)^Renewal Criteria:\\s*', '')), '') AS reauth_requirements FROM k"""
+
+
+def drug_rows() -> str:
+    """dr: every drug name of at least four letters, its class and its place in the dictionary."""
+    classes = {d: "branded" for d in packs.BIOLOGICS} | {d: "generic" for d in packs.BIOSIMILARS} | {d: "generic" for d in packs.GENERICS}
+    for b, g in packs.BRAND_GENERIC.items():
+        classes[g] = "generic" if b.lower() in packs.BIOSIMILARS else "branded"
+    return "dr(name, classification, ord) AS (VALUES " + ", ".join(f"({lit(d)}, {lit(k)}, {i})" for i, (d, k) in enumerate((d, k) for d, k in classes.items() if len(d) >= 4)) + ")"
+
+
+def linked(c: str) -> str:
+    low = f"lower({c})"
+    n = lambda w: f"len(regexp_extract_all({low}, '\\b{w}\\b'))"
+    return f"CASE WHEN {has(low, packs.AND_MARKERS)} THEN 'AND' WHEN {has(low, packs.OR_MARKERS)} THEN 'OR' WHEN {n('or')} > {n('and')} THEN 'OR' WHEN {n('and')} > 0 THEN 'AND' ELSE 'OR' END"
+
+
+def step_rows(src: str) -> str:
+    """rq: the first match of each step pattern in ``src``'s texts, with the names in its source."""
+    counts = {w: str(n) for n, ws in enumerate((("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5")), 1) for w in ws}
+    word = lambda g: f"CASE lower({g}) {' '.join(f'WHEN {lit(w)} THEN {n}' for w, n in counts.items())} ELSE 1 END"
+    one = []
+    for k, (p, kind, group) in enumerate(extract.STEP_PATTERNS):
+        n = word(f"regexp_extract(text, {lit(p)}, {group})") if group else ("2" if kind == "branded_all" else "1")
+        one.append(f"SELECT filename, brand, text, {k} AS no, {n} AS count, '{kind.split('_')[0]}' AS drug_type, regexp_extract(text, {lit(p)}) AS m FROM {src} WHERE regexp_matches(text, {lit(p)})")
+    return f"""{drug_rows()}, r0 AS (SELECT *, strpos(text, m) - 1 AS a, strpos(text, m) - 1 + length(m) AS z FROM ({' UNION ALL '.join(one)})),
+  r1 AS (SELECT filename, brand, no, count, drug_type, greatest(0, a - 50) AS s, least(length(text), z + 100) AS e, substring(text, greatest(0, a - 50)::INT + 1, (least(length(text), z + 100) - greatest(0, a - 50))::INT) AS source_text, substring(text, greatest(0, a - 300)::INT + 1, (z + 300 - greatest(0, a - 300))::INT) AS wide FROM r0),
+  r2 AS (SELECT filename, brand, no, string_agg(repeat(name || ',', len(regexp_extract_all(lower(source_text), '\\b' || name || '\\b'))::INT), '' ORDER BY ord) AS drugs FROM r1 JOIN dr ON contains(lower(source_text), name) GROUP BY 1, 2, 3),
+  rq AS (SELECT filename, brand, (row_number() OVER (PARTITION BY filename, brand ORDER BY no) - 1)::INT AS no, count, drug_type, {linked('wide')} AS connector, source_text, coalesce(rtrim(drugs, ','), '') AS drugs FROM r1 LEFT JOIN r2 USING (filename, brand, no))"""
+
+
+def steps_found(src: str) -> str:
+    """P7, P5 and P6 over ``src``'s texts."""
+    photo, named = has("lower(x)", extract.PHOTO), "(?:phototherapy|puva|uvb)"
+    pieces = "string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))"
+    return step_rows(src) + f""", ct AS (SELECT filename, brand, count(*) AS n, coalesce(sum(count) FILTER (WHERE drug_type = 'generic' AND connector = 'AND'), 0) AS ga, coalesce(sum(count) FILTER (WHERE drug_type = 'branded' AND connector = 'AND'), 0) AS ba,
+      min(count) FILTER (WHERE drug_type = 'generic' AND connector = 'OR') AS go, min(count) FILTER (WHERE drug_type = 'branded' AND connector = 'OR') AS bo FROM rq GROUP BY 1, 2),
+    dm AS (SELECT filename, brand, sum(len(regexp_extract_all(lower(text), '\\b' || name || '\\b')))::INT AS n_mentions FROM {src} JOIN dr ON contains(lower(text), name) GROUP BY 1, 2),
+    ps AS (SELECT filename, brand, (unnest(range(len(p))))::INT AS j, unnest(p) AS x FROM (SELECT filename, brand, {pieces} AS p FROM {src})),
+    ph AS (SELECT filename, brand, j, lower(x) AS l, bool_or(regexp_matches(lower(x), '{named}.*?\\bor\\b|\\bor\\b.*?{named}') OR {has('lower(x)', ['one of the following', 'any of the following', 'either'])}) OVER (PARTITION BY filename, brand ORDER BY j) AS either FROM ps WHERE {photo}),
+    pq AS (SELECT filename, brand, bool_or(either) AS in_or, bool_or(NOT either AND regexp_matches(l, '{named}\\s+(?:has been|was)\\s+(?:ineffective|inadequate|unsuccessful)|(?:trial|failure)\\s+(?:of|and)\\s+{named}')) AS alone FROM ph GROUP BY 1, 2),
+    re AS (SELECT filename, brand, string_agg(trim(x), chr(10) ORDER BY j) AS reauth_text FROM (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY filename, brand ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ps WHERE {has('lower(x)', packs.REAUTH_SENTENCE_WORDS)}) WHERE before <= 1500 GROUP BY 1, 2)
+  SELECT filename, brand, CASE WHEN coalesce(ba, 0) + CASE WHEN go IS NULL THEN coalesce(bo, 0) ELSE 0 END > 0 THEN (coalesce(ba, 0) + CASE WHEN go IS NULL THEN coalesce(bo, 0) ELSE 0 END)::VARCHAR ELSE 'NA' END AS branded_steps,
+    CASE WHEN coalesce(ga, 0) + coalesce(go, 0) > 0 THEN (coalesce(ga, 0) + coalesce(go, 0))::VARCHAR ELSE 'NA' END AS generic_steps, CASE WHEN coalesce(n, 0) >= 2 THEN 'high' WHEN n = 1 OR coalesce(n_mentions, 0) > 0 THEN 'medium' ELSE 'low' END AS confidence,
+    alone AND NOT in_or AS phototherapy_mandatory, coalesce(in_or, false) AS phototherapy_in_or, coalesce(n, 0)::INT AS n_requirements, coalesce(n_mentions, 0) AS n_mentions, coalesce(reauth_text, '') AS reauth_text
+  FROM {src} LEFT JOIN ct USING (filename, brand) LEFT JOIN dm USING (filename, brand) LEFT JOIN pq USING (filename, brand) LEFT JOIN re USING (filename, brand)"""
+
+
 def more_sql() -> dict[str, str]:
     """Context tiers, document types, small reports and text shaping."""
     W, n_real = worded(), " + ".join(f"(coalesce({p}, '') NOT IN ('NA', 'N/A', '', 'None', 'No'))::INT" for p in P)
@@ -380,7 +475,14 @@ def more_sql() -> dict[str, str]:
         "limit_pages": W + f", {tags()} SELECT filename, brand, page_num FROM ti WHERE included AND {has('low', packs.LIMIT_PHRASES)}",
         "drug_mentions": mention_counts(),
         "rule_extract": layout_rules(),
-        "layout_gate": f"WITH {raw()} SELECT filename, brand, true AS laid_out FROM raw",
+        "layout_gate": f"WITH {sections()} SELECT filename, brand, {' + '.join(f'contains(lower(substring(text, 1, 500)), {lit(m)})::INT' for m in packs.LAYOUT_MARKS)} >= 2 AS laid_out FROM sec",
+        "section_ranges": f"WITH {sections()} SELECT * FROM ge",
+        "section_texts": f"WITH {sections()} SELECT * FROM sec",
+        "section_rules": section_rules(),
+        "section_steps": f"WITH {sections()}, {steps_found('sec')}",
+        "section_requirements": f"WITH {sections()}, {step_rows('sec')} SELECT * FROM rq",
+        "step_patterns": worded() + f", wq AS (SELECT filename, page_num::VARCHAR AS brand, text FROM wp), {step_rows('wq')} SELECT * FROM rq",
+        "step_analysis": worded() + f", wq AS (SELECT filename, page_num::VARCHAR AS brand, text FROM wp), {steps_found('wq')}",
         "simple_values": f"WITH {raw()} SELECT filename, brand, trim(age) <> '' AS age, tb_test_required IN ('Y', 'No', 'NA') AS tb_test_required, quantity_limits <> '' AS quantity_limits, specialist_types <> '' AS specialist_types, regexp_full_match(initial_auth_duration, '[0-9]+') OR initial_auth_duration IN ('NA', 'Unspecified', 'No') AS initial_auth_duration, regexp_full_match(reauth_duration, '[0-9]+') OR reauth_duration IN ('NA', 'Unspecified', 'No') AS reauth_duration, reauth_required IN ('Yes', 'No', 'NA') AS reauth_required FROM raw",
         "confidence_counts": conf + " SELECT count(*) FILTER (WHERE level = 'High') AS high, count(*) FILTER (WHERE level = 'Medium') AS medium, count(*) FILTER (WHERE level = 'Low') AS low FROM v",
         "file_brands": f"WITH {TASKS}, f AS (SELECT filename, brand, min(row_no) AS pos FROM tasks GROUP BY 1, 2) SELECT filename, count(*) AS n_brands, string_agg(brand, ', ' ORDER BY pos) AS brands FROM f GROUP BY 1",

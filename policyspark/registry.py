@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark import packs
 from policyspark.functions import extract, score
 from policyspark.functions import text as T
-from policyspark.operators import context, infer, quality, records, report, rules, tiers
+from policyspark.operators import context, dictionary, infer, quality, records, report, rules, tiers
 from policyspark.plans import oracle
 from policyspark.sources import fixtures, tables
 
@@ -70,6 +70,23 @@ def _worded(s, d):
     return fixtures.worded_tasks(s, d), fixtures.worded_pages(s, d)
 
 
+def _sections(s, d):
+    return fixtures.section_tasks(s, d), fixtures.section_pages(s, d)
+
+
+def _page_sections(s, d):
+    """Each worded page as a section of its own."""
+    return fixtures.worded_pages(s, d).select("filename", F.col("page_num").cast("string").alias("brand"), "text")
+
+
+def _requirements(sections):
+    return context.requirement_rows(sections).select(*KEYS, F.row_number().over(Window.partitionBy(*KEYS).orderBy("no")).alias("no"), "count", "drug_type", "connector", "source_text", F.array_join("drugs", ",").alias("drugs")).withColumn("no", F.col("no") - 1)
+
+
+def _steps(found):
+    return found.select(*KEYS, "branded_steps", "generic_steps", "confidence", "phototherapy_mandatory", "phototherapy_in_or", F.size("requirements").alias("n_requirements"), F.size("drug_mentions").alias("n_mentions"), "reauth_text")
+
+
 def _snippets(s, d):
     tasks, pages = _worded(s, d)
     return tiers.snippet_rows(tasks, pages, tiers.paragraph_rows(tasks, pages))
@@ -165,7 +182,13 @@ def queries() -> dict[str, Query]:
         "param_snippet": lambda s, d: _docs(s, d).select("doc_id", T.snippet(F.col("text"), ["license", "token"], 500).alias("text")),
         "routes": lambda s, d: context.routes(_docs(s, d)).groupBy("route").agg(F.count("*").alias("n")),
         "rule_extract": lambda s, d: context.rule_extract(_layout(s, d)),
-        "step_analysis": lambda s, d: context.step_analysis(_layout(s, d)).select(*KEYS, "branded_steps", "generic_steps", "confidence", "phototherapy_mandatory", "phototherapy_in_or", F.size("requirements").alias("n_requirements"), "reauth_text"),
+        "step_analysis": lambda s, d: _steps(context.step_analysis(_page_sections(s, d))),
+        # sections of several drugs in one document, found by their names
+        "section_ranges": lambda s, d: context.section_pages(*_sections(s, d)),
+        "section_texts": lambda s, d: context.section_texts(*_sections(s, d)),
+        "section_rules": lambda s, d: context.rules_of_sections(*_sections(s, d)),
+        "section_steps": lambda s, d: _steps(context.step_analysis(context.section_texts(*_sections(s, d)))),
+        "section_requirements": lambda s, d: _requirements(context.section_texts(*_sections(s, d))),
         # policy pages in the pack's own vocabulary
         "document_types": lambda s, d: context.document_types(fixtures.worded_pages(s, d)),
         "universal_pages": lambda s, d: tiers.universal_pages(fixtures.worded_pages(s, d)),
@@ -178,9 +201,9 @@ def queries() -> dict[str, Query]:
         "context_package_paragraph": lambda s, d: tiers.context_package(*_worded(s, d), "paragraph"),
         "context_package_sentence": lambda s, d: tiers.context_package(*_worded(s, d), "sentence"),
         "dry_run_by_type": lambda s, d: report.dry_run_by_type(tiers.context_package(*_worded(s, d), "paragraph")),
-        "drug_mentions": lambda s, d: fixtures.worded_pages(s, d).select("filename", "page_num", F.explode(extract.mentions(F.col("text"))).alias("m")).groupBy("m.name", "m.classification").agg(F.count("*").alias("n"), F.sum(F.length("m.context")).alias("chars")),
-        "step_patterns": lambda s, d: fixtures.worded_pages(s, d).select("filename", "page_num", F.explode(extract.requirements(F.col("text"))).alias("r")).select("filename", "page_num", "r.count", "r.drug_type", "r.connector", "r.source_text"),
-        "layout_gate": lambda s, d: _layout(s, d).select(*KEYS, extract.laid_out(F.col("text")).alias("laid_out")),
+        "drug_mentions": lambda s, d: dictionary.places(fixtures.worded_pages(s, d), dictionary.drug_dim(s), ["filename", "page_num"]).groupBy(F.col("phrase").alias("name"), "classification").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("chars")),
+        "step_patterns": lambda s, d: _requirements(_page_sections(s, d)),
+        "layout_gate": lambda s, d: context.section_texts(*_sections(s, d)).select(*KEYS, extract.laid_out(F.col("text")).alias("laid_out")),
         "simple_values": lambda s, d: _raw(s, d).select(*KEYS, *[extract.plain_value(p, F.col(p)).alias(p) for p in packs.SIMPLE_PARAMS]),
         "brand_section": lambda s, d: _docs(s, d).select("doc_id", T.brand_section(F.col("text"), [F.lit("license"), F.lit("")], 2400, 1000).alias("section")),
         "marked_sections": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.marked_sections(F.col("text"), r"\n[A-Z]", 2000)).alias("ord", "section")),

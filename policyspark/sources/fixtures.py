@@ -32,6 +32,21 @@ PAGE_WORDING = {
 }
 
 
+# What stands in each block of a derived section page, and the divisor that picks it.
+SECTION_WORDING = {
+    "head": (1, ["Products Affected\n{}\nPrior Authorization Criteria", "Continued from the page before.", "Products Affected: {}\nCriteria Details", "Drug names: {}\nThe list of the plan.", "Index of drugs: {} and others.", "Prior Authorization Group\n{}"]),
+    "drug": (7, ["STELARA", "Tremfya", "risankizumab", "SORIATANE", "Humira", "OTEZLA"]),
+    "info": (5, ["Trial and failure of two biologic drugs", "Trial and failure of one TNF blocker such as Humira", "Biologic as first-line therapy", "• Body surface area of 10 percent", "At least 2 conventional therapies", "Trial of TWO preferred products, Enbrel and Cimzia"]),
+    "other": (11, ["Phototherapy or methotrexate.", "PUVA has failed", "Topical corticosteroids were tried", "Nothing else", "Phototherapy was ineffective."]),
+    "age": (3, ["18 years of age or older", "at least 6 years of age", "Women of childbearing age", "12 years and older", "-", "adults"]),
+    "who": (13, ["Dermatologist or rheumatologist", "Any prescriber", "Immunologist", "—"]),
+    "cover": (17, ["Initial: 6 months, Renewal: 12 months", "Initial: 26 weeks", "Reauthorization: 24 weeks", "Plan year", "Initial: 3 months. Reauthorization: 6 months"]),
+    "renew": (19, ["Renewal Criteria: documented response", "-", "Chart notes are needed", "Continued approval needs a note."]),
+    "tail": (23, ["A negative tuberculin test is needed.", "A quantity limit applies.", "Nothing else."]),
+}
+SECTION_BRANDS = ["STELARA", "TREMFYA", "SKYRIZI", "Acitretin", "OTEZLA"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,3 +116,20 @@ def worded_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 400).alias("k")).distinct()
     brands = F.array(F.lit("STELARA"), F.when(F.col("k") % 2 == 0, "TREMFYA").otherwise("COSENTYX"))
     return files.select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("filename"), F.explode(brands).alias("brand"))
+
+
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents with a section for each of several drugs, one page for each order: 300 documents."""
+    from pyspark.sql import Window
+
+    pick = {n: F.expr(f"element_at(array({', '.join(repr(v) for v in vs)}), cast(1 + (o_orderkey div {p}) % {len(vs)} as int))") for n, (p, vs) in SECTION_WORDING.items()}
+    head = F.replace(pick["head"], F.lit("{}"), pick["drug"])
+    blocks = [(" Required Medical Information ", "info"), (". ", "other"), ("\nAge Restrictions ", "age"), ("\nPrescriber Restrictions ", "who"), ("\nCoverage Duration ", "cover"), ("\nRenewal Criteria ", "renew")]
+    body = F.concat(head, F.lit("\n"), *[c for label, name in blocks for c in (F.lit(label), pick[name])], F.lit("\nEffective Date 01/01\n"), pick["tail"])
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 300).cast("string")).alias("filename"), "o_orderkey", body.alias("text"))
+    return rows.select("filename", (F.row_number().over(Window.partitionBy("filename").orderBy("o_orderkey")) - 1).alias("page_num"), "text")
+
+
+def section_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 300).cast("string")).alias("filename")).distinct()
+    return files.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in SECTION_BRANDS])))
