@@ -32,7 +32,7 @@ def sentences(c: Column, least: int = 20) -> Column:
     return F.filter(F.transform(items, strip), lambda s: F.length(s) >= least)
 
 
-def packed(parts: Column, most: int, glue: str) -> Column:
+def packed(parts: Column, most: Column | int, glue: str) -> Column:
     """Neighbouring parts joined while they stay within ``most`` characters; no part is cut."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
     joined = lambda s, p: F.concat(s["now"], F.lit(glue), p)
@@ -75,17 +75,48 @@ def sliding_chunks(c: Column, size: int = 3000, overlap: int = 250) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(c, k * step + 1, F.lit(size)))
 
 
-def marked_sections(c: Column, marks: str, most: int) -> Column:
-    """Sections from each place where ``marks`` (a regex) begins, or else paragraphs, packed up to ``most`` characters.
+def hard_cut(parts: Column, most: Column) -> Column:
+    """Parts, with those longer than ``most`` characters cut into pieces of that length."""
+    return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.length(p) / most).cast("int") - 1), lambda k: F.substring(p, k * most + 1, most)))))
 
-    Only a text without paragraphs is cut hard, into pieces of ``most``; a
-    paragraph that is too long stays whole.
+
+def marked_sections(c: Column, marks: str, most: Column | int) -> Column:
+    """Pieces of at most ``most`` characters, in order.
+
+    Parts begin where ``marks`` (a regex) does, or without two such parts are
+    paragraphs; a part that is too long is taken apart into its paragraphs.
+    Neighbouring parts are joined as they are while they fit; what is still too
+    long is cut. Only blank parts and the line ends between paragraphs are lost.
     """
-    parts = _nonblank(F.split(c, f"(?={marks})"))
-    pieces = packed(F.when(F.size(parts) > 1, parts).otherwise(paragraphs(c)), most, "\n\n")
-    n = F.ceil(F.length(c) / most).cast("int")
-    hard = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: F.substring(c, k * most + 1, F.lit(most)))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(pieces) > 0, pieces).otherwise(hard)
+    most = F.lit(most) if isinstance(most, int) else most
+    solid = lambda parts: F.filter(parts, lambda p: strip(p) != "")
+    paras = lambda t: solid(F.split(t, r"\n{2,}"))
+    marked = solid(F.split(c, f"(?={marks})"))
+    parts = F.when(F.size(marked) > 1, marked).otherwise(paras(c))
+    parts = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(paras(p))))
+    pieces = hard_cut(packed(parts, most, ""), most)
+    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.substring(c, F.lit(1), most)))
+
+
+def line_end_near(c: Column, at: Column, reach: int = 200) -> Column:
+    """Characters before the last line end within ``reach`` of ``at``; ``at`` itself if there is none."""
+    low = F.greatest(at - reach, F.lit(0))
+    window = F.substring(c, low + 1, at + reach - low)
+    back = F.instr(F.reverse(window), "\n")
+    found = low + F.length(window) - back
+    return F.when((back > 0) & (found > 0), found).otherwise(at)
+
+
+def focused(c: Column, keywords: Column, most: int = 10_000, size: int = 3000, overlap: int = 250, best: int = 8) -> Column:
+    """E5, U8: a long text's chunks with the most keywords, each with its neighbours, in order, cut at ``most`` characters; its first three if none has one."""
+    chunks = sliding_chunks(c, size, overlap)
+    hits = lambda x: F.size(F.filter(keywords, lambda w: F.contains(F.lower(x), w)))
+    ranked = F.array_sort(F.filter(F.transform(chunks, lambda x, i: F.struct((-hits(x)).alias("s"), i.alias("i"))), lambda x: x["s"] < 0))
+    near = F.flatten(F.transform(F.slice(ranked, 1, best), lambda x: F.array(x["i"] - 1, x["i"], x["i"] + 1)))
+    chosen = F.when(F.size(ranked) > 0, near).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    numbers = F.array_sort(F.array_distinct(F.filter(chosen, lambda i: (i >= 0) & (i < F.size(chunks)))))
+    text = F.array_join(F.transform(numbers, lambda i: F.element_at(chunks, i + 1)), "\n\n")
+    return F.when(F.length(c) <= most, c).otherwise(F.substring(text, 1, most))
 
 
 def compact(c: Column) -> Column:
@@ -156,16 +187,27 @@ def brand_section(c: Column, names: list[Column], size: int = 24000, small: int
     return F.when(F.length(c) <= small, c).otherwise(F.substring(c, start + 1, F.lit(size)))
 
 
-def prefix_within(parts: Column, budget: int) -> Column:
+def prefix_within(parts: Column, budget: Column | int) -> Column:
     """Parts until their running length reaches the budget; the one that crosses it stays."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"))
     return F.aggregate(parts, start, lambda s, p: F.when(s["n"] < budget, F.struct(F.concat(s["kept"], F.array(p)).alias("kept"), (s["n"] + F.length(p)).alias("n"))).otherwise(s), lambda s: s["kept"])
 
 
-def snippet(c: Column, words: list[str], budget: int) -> Column:
-    """Sentences with one of the words up to a budget, else the text's head."""
-    kept = prefix_within(F.filter(sentences(c), lambda s: any_in(F.lower(s), words)), budget)
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.substring(c, 1, budget))
+def snippet(c: Column, words: list[str], budget: Column | int, brand: Column | None = None) -> Column:
+    """Sentences and lines with one of the words or the brand, up to a budget, else the text's head; without words the head."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    head = F.substring(c, F.lit(1), budget)
+    if not words:
+        return head
+    named = lambda low: F.contains(low, F.lower(brand)) if brand is not None else F.lit(False)
+    about = F.filter(F.split(c, r"(?<=[.!?])\s+|\n"), lambda s: any_in(F.lower(s), words) | named(F.lower(s)))
+    kept = prefix_within(about, budget)
+    return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, strip), "\n")).otherwise(head)
+
+
+def param_snippet(c: Column, param: str, budget: Column | int, brand: Column) -> Column:
+    """The snippet of a simple parameter, by its own keywords."""
+    return snippet(c, packs.PARAM_KEYWORDS[packs.SNIPPET_KEYWORDS[param]] if param in packs.SNIPPET_KEYWORDS else [], budget, brand)
 
 
 def safe_key(c: Column) -> Column:

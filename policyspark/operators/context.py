@@ -230,7 +230,7 @@ def _own_text(sections: DataFrame) -> tuple[Column, Column]:
     return F.substring("text", cut + 1, F.length("text")), cut
 
 
-def requirement_rows(sections: DataFrame, drugs: DataFrame | None = None) -> DataFrame:
+def requirement_rows(sections: DataFrame, drugs: DataFrame | None = None, keys: list[str] = TASK) -> DataFrame:
     """A row for each step requirement of a section, with ``drugs``, the names inside its source, in the dictionary's order.
 
     Requirements and mentions are intervals of one section's text: an equi-join on the section with the interval
@@ -238,12 +238,12 @@ def requirement_rows(sections: DataFrame, drugs: DataFrame | None = None) -> Dat
     meets no more. Names count where they stand as words of the section.
     """
     text, start = _own_text(sections)
-    rows = sections.select(*TASK, start.alias("_from"), F.posexplode(extract.requirements(text)).alias("no", "r"))
-    rows = rows.select(*TASK, "no", "r.count", "r.drug_type", "r.connector", "r.source_text", (F.col("r.start") + F.col("_from")).alias("start"), (F.col("r.end") + F.col("_from")).alias("end"))
-    found = dictionary.places(sections.select(*TASK, "text"), drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession), TASK)
-    names = found.select(*[F.col(k).alias(f"_{k}") for k in TASK], "ord", F.col("start").alias("_start"), F.col("end").alias("_end"), "phrase")
-    inside = (F.col("filename") == F.col("_filename")) & (F.col("brand") == F.col("_brand")) & (F.col("_start") >= F.col("start")) & (F.col("_end") <= F.col("end"))
-    own = [*TASK, "no", "count", "drug_type", "connector", "source_text", "start", "end"]
+    rows = sections.select(*keys, start.alias("_from"), F.posexplode(extract.requirements(text)).alias("no", "r"))
+    rows = rows.select(*keys, "no", "r.count", "r.drug_type", "r.connector", "r.source_text", (F.col("r.start") + F.col("_from")).alias("start"), (F.col("r.end") + F.col("_from")).alias("end"))
+    found = dictionary.places(sections.select(*keys, "text"), drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession), keys)
+    names = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "ord", F.col("start").alias("_start"), F.col("end").alias("_end"), "phrase")
+    inside = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys]) & (F.col("_start") >= F.col("start")) & (F.col("_end") <= F.col("end"))
+    own = [*keys, "no", "count", "drug_type", "connector", "source_text", "start", "end"]
     met = rows.join(names, inside, "left").groupBy(*own).agg(F.array_sort(F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("ord", "_start", "phrase")))).alias("m"))
     return met.select(*own, F.transform("m", lambda x: x["phrase"]).alias("drugs"))
 
@@ -254,20 +254,20 @@ def reauth_sentences(text: Column, budget: int = 1500) -> Column:
     return F.array_join(F.transform(T.prefix_within(about, budget + 1), strip), "\n")
 
 
-def step_analysis(sections: DataFrame, drugs: DataFrame | None = None) -> DataFrame:
+def step_analysis(sections: DataFrame, drugs: DataFrame | None = None, keys: list[str] = TASK) -> DataFrame:
     """P: requirements, mentions, phototherapy, reauthorisation sentences and the combined counts of each section.
 
     sections: filename, brand, text and, if apart, universal_text. One row a task.
     """
     table = drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession)
-    need = requirement_rows(sections, table)
+    need = requirement_rows(sections, table, keys)
     shape = F.struct("no", "count", "drug_type", "drugs", "connector", "source_text")
-    needs = need.groupBy(*TASK).agg(F.transform(F.array_sort(F.collect_list(shape)), lambda x: x.dropFields("no")).alias("requirements"))
-    found = dictionary.places(sections.select(*TASK, "text"), table, TASK)
-    said = found.groupBy(*TASK).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", F.col("phrase").alias("name"), "classification", "context"))), lambda x: x.dropFields("ord", "start")).alias("drug_mentions"))
+    needs = need.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(shape)), lambda x: x.dropFields("no")).alias("requirements"))
+    found = dictionary.places(sections.select(*keys, "text"), table, keys)
+    said = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", F.col("phrase").alias("name"), "classification", "context"))), lambda x: x.dropFields("ord", "start")).alias("drug_mentions"))
     shared = F.length(F.coalesce("universal_text", F.lit(""))) if "universal_text" in sections.columns else F.lit(0)
-    rows = sections.select(*TASK, shared.alias("_shared"), extract.phototherapy(F.col("text")).alias("photo"), reauth_sentences(F.col("text")).alias("reauth_text"))
-    rows = rows.join(needs, TASK, "left").join(said, TASK, "left")
+    rows = sections.select(*keys, shared.alias("_shared"), extract.phototherapy(F.col("text")).alias("photo"), reauth_sentences(F.col("text")).alias("reauth_text"))
+    rows = rows.join(needs, keys, "left").join(said, keys, "left")
     rows = rows.withColumns({"requirements": F.coalesce("requirements", F.array().cast(needs.schema["requirements"].dataType)), "drug_mentions": F.coalesce("drug_mentions", F.array().cast(said.schema["drug_mentions"].dataType))})
     rows = rows.withColumn("c", extract.combine(F.col("requirements"), F.size("drug_mentions"), F.col("_shared")))
-    return rows.select(*TASK, "requirements", "drug_mentions", "reauth_text", "c.*", F.col("photo.mandatory").alias("phototherapy_mandatory"), F.col("photo.in_or").alias("phototherapy_in_or"))
+    return rows.select(*keys, "requirements", "drug_mentions", "reauth_text", "c.*", F.col("photo.mandatory").alias("phototherapy_mandatory"), F.col("photo.in_or").alias("phototherapy_in_or"))

@@ -64,6 +64,11 @@ def na_like(c: Column) -> Column:
     return c.isNull() | F.lower(strip(c)).isin(packs.MERGE_NA_FORMS)
 
 
+def gap(c: Column) -> Column:
+    """What a second pass may fill: fewer spellings than a merge takes for missing."""
+    return c.isNull() | F.lower(strip(c)).isin(packs.GAP_FORMS)
+
+
 def rules_over_model(rules: DataFrame, model: DataFrame) -> DataFrame:
     """A rule's value wins for most fields; for the rest it fills gaps."""
     r, m = rules.alias("r"), model.alias("m")
@@ -71,8 +76,8 @@ def rules_over_model(rules: DataFrame, model: DataFrame) -> DataFrame:
     out = []
     for p in packs.PARAMS:
         own, other = F.col(f"r.{p}"), F.col(f"m.{p}")
-        gap = other.isNull() | other.isin("", "NA", "N/A")
-        out.append((F.coalesce(own, other) if p in RULES_FIRST else F.when(gap, F.coalesce(own, other)).otherwise(other)).alias(p))
+        missing = other.isNull() | other.isin("", "NA", "N/A")
+        out.append((F.coalesce(own, other) if p in RULES_FIRST else F.when(missing, F.coalesce(own, other)).otherwise(other)).alias(p))
     return joined.select("r.filename", "r.brand", *out)
 
 
@@ -80,7 +85,7 @@ def fill_gaps(first: DataFrame, second: DataFrame) -> DataFrame:
     """The second record's values only where the first has none."""
     a, b = first.alias("a"), second.alias("b")
     joined = a.join(b, (F.col("a.filename") == F.col("b.filename")) & (F.col("a.brand") == F.col("b.brand")), "left")
-    return joined.select("a.filename", "a.brand", *[F.when(na_like(F.col(f"a.{p}")) & ~na_like(F.col(f"b.{p}")), F.col(f"b.{p}")).otherwise(F.col(f"a.{p}")).alias(p) for p in packs.PARAMS])
+    return joined.select("a.filename", "a.brand", *[F.when(gap(F.col(f"a.{p}")) & ~gap(F.col(f"b.{p}")), F.col(f"b.{p}")).otherwise(F.col(f"a.{p}")).alias(p) for p in packs.PARAMS])
 
 
 def merge_chunks(chunks: DataFrame) -> DataFrame:

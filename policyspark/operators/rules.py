@@ -79,13 +79,17 @@ def enforce_rules(df: DataFrame) -> DataFrame:
 
 
 def light_validation(df: DataFrame) -> DataFrame:
-    """The reauthorisation flag and duration from the original values, with ``corrections``."""
-    need, months = F.col("reauth_required"), F.col("reauth_duration")
-    known = ~score.text_of(months).isin("NA", "N/A", "", "No", "Unspecified")
-    flag, open_ = known & (need != "Yes"), (need == "Yes") & score.text_of(months).isin("NA", "N/A", "")
+    """The reauthorisation flag and duration from the original values, with ``corrections``.
+
+    The flag is set when a duration or a requirement is stated; ``No`` and ``Unspecified`` are statements here.
+    """
+    need, months = score.text_of(F.col("reauth_required")), score.text_of(F.col("reauth_duration"))
+    stated = lambda c: ~score.text_of(F.col(c)).isin("NA", "N/A", "")
+    flag = (stated("reauth_duration") | stated("reauth_requirements")) & (need != "Yes")
+    open_ = (need == "Yes") & months.isin("NA", "N/A", "")
     return df.withColumns({
-        "reauth_required": F.when(flag, "Yes").otherwise(need),
-        "reauth_duration": F.when(open_, "Unspecified").otherwise(months),
+        "reauth_required": F.when(flag, "Yes").otherwise(F.col("reauth_required")),
+        "reauth_duration": F.when(open_, "Unspecified").otherwise(F.col("reauth_duration")),
         "corrections": F.array_compact(F.array(F.when(flag, "reauth_required"), F.when(open_, "reauth_duration"))),
     })
 

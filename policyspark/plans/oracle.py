@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from policyspark import packs
 from policyspark.functions import extract
-from policyspark.sources.fixtures import PAGE_WORDING, SECTION_BRANDS, SECTION_WORDING, WORDING
+from policyspark.sources.fixtures import LARGE_OMITS, LARGE_UNREADABLE, MODEL_RULES, PAGE_WORDING, SECTION_BRANDS, SECTION_WORDING, SMALL_FAILS, SMALL_OMITS, TOO_LARGE_CHARS, TOO_LARGE_WORDS, WORDING
 
 P = packs.PARAMS
 
@@ -220,7 +220,8 @@ def components() -> str:
     return SCORED + " UNION ALL ".join(f"SELECT filename, brand, '{n}' AS component, {c} AS value, ({e})::INT AS points, {m}::INT AS max FROM scored" for n, (c, e, m) in pts.items())
 
 
-def merge() -> str:
+def merged(src: str) -> str:
+    """The record of each task over the chunk records of ``src``."""
     def na(c):
         return f"({c} IS NULL OR lower(trim({c})) IN {among(packs.MERGE_NA_FORMS)})"
 
@@ -241,9 +242,114 @@ def merge() -> str:
         else:
             e = f"CASE WHEN count(*) {good} <= 1 THEN {first} ELSE {longest} END"
         out.append(f"CASE WHEN count(*) = 1 THEN min({p}) ELSE coalesce({e}, 'NA') END AS {p}")
+    return f"SELECT filename, brand, count(*) AS n_chunks, {', '.join(out)}, string_agg(reasoning, ' | ' ORDER BY chunk_no) AS reasoning FROM {src} GROUP BY 1, 2"
+
+
+def merge() -> str:
     return f"""WITH c AS (SELECT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 25) AS brand, row_number() OVER (PARTITION BY o_custkey, 1 + o_orderkey % 25 ORDER BY o_orderkey, l_linenumber) - 1 AS chunk_no,
       'r' || (o_orderkey + l_linenumber) AS reasoning, {picked('(o_orderkey + l_linenumber)')} FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l JOIN orders o ON l.l_orderkey = o.o_orderkey)
-    SELECT filename, brand, count(*) AS n_chunks, {', '.join(out)}, string_agg(reasoning, ' | ' ORDER BY chunk_no) AS reasoning FROM c GROUP BY 1, 2"""
+    {merged('c')}"""
+
+
+def room(over: str, tokens: int, out: int) -> str:
+    return f"greatest(500, trunc(({tokens - out}::DOUBLE - ({over}) / 1.4::DOUBLE) * 0.95::DOUBLE * 1.4::DOUBLE)::INT)"
+
+
+def near_line_end(text: str, at: str) -> str:
+    """Characters before the last line end within 200 of ``at``, or ``at``."""
+    low = f"greatest({at} - 200, 0)"
+    window = f"substring({text}, ({low} + 1)::INT, ({at} + 200 - {low})::INT)"
+    back = f"strpos(reverse({window}), chr(10))"
+    return f"(CASE WHEN {back} > 0 AND {low} + length({window}) - {back} > 0 THEN {low} + length({window}) - {back} ELSE {at} END)::INT"
+
+
+def pieces(text: str, most: str, mark: str = packs.CONTEXT_MARK) -> str:
+    """The splitter's pieces of a text, as a list."""
+    solid = lambda e: f"[p FOR p IN {e} IF trim(p, ' ' || chr(9) || chr(10) || chr(13)) <> '']"
+    paras = lambda t: solid(f"string_split(regexp_replace({t}, '\\n{{2,}}', chr(1), 'g'), chr(1))")
+    marked = solid(f"string_split(regexp_replace({text}, {lit('(' + mark + ')')}, chr(1) || '\\1', 'g'), chr(1))")
+    parts = f"CASE WHEN len({marked}) > 1 THEN {marked} ELSE {paras(text)} END"
+    small = f"flatten([CASE WHEN length(q) <= {most} THEN [q] ELSE {paras('q')} END FOR q IN {parts}])"
+    joined = f"string_split(list_reduce({small}, lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) > {most} THEN acc || chr(1) || x ELSE acc || x END), chr(1))"
+    hard = f"flatten([CASE WHEN length(z) <= {most} THEN [z] ELSE [substring(z, (i * {most} + 1)::INT, ({most})::INT) FOR i IN range(ceil(length(z) / ({most})::DOUBLE)::BIGINT)] END FOR z IN {joined}])"
+    return f"CASE WHEN len({small}) > 0 THEN {hard} ELSE [substring({text}, 1, ({most})::INT)] END"
+
+
+def chunks() -> str:
+    """cx: contexts of the derived sections, ck: their chunks."""
+    nl = "chr(10)"
+    return f"""{sections()}, cx0 AS (SELECT filename, substring(filename, 2)::INT AS k, string_agg('[Page ' || (page_num + 1) || ']' || {nl} || text, {nl} || {nl} ORDER BY page_num) AS text FROM gp WHERE page_num <= substring(filename, 2)::INT % 45 GROUP BY ALL),
+  cx AS (SELECT filename, unnest(['STELARA', 'Acitretin']) AS brand, CASE WHEN k % 3 = 0 THEN repeat('All requests need a diagnosis. ', 1 + k % 7) ELSE '' END AS u, text FROM cx0),
+  cr AS (SELECT *, {room('3500 + length(u)', 12000, 2000)} AS most FROM cx), cc AS (SELECT *, length(text) > most AS chunked, {near_line_end('text', 'most')} AS cut FROM cr),
+  cp AS (SELECT filename, brand, u, chunked, text, cut, substring(text, cut + 1) AS rest FROM cc),
+  cl AS (SELECT filename, brand, u, chunked, CASE WHEN NOT chunked THEN [text] WHEN rest = '' THEN [substring(text, 1, cut)] ELSE [substring(text, 1, cut)] || {pieces('rest', room('3500', 6000, 500))} END AS l FROM cp),
+  ck AS (SELECT filename, brand, (j - 1)::INT AS chunk_no, chunked, CASE WHEN chunked AND j = 1 THEN 'large' ELSE 'small' END AS route, CASE WHEN j = 1 THEN u ELSE '' END AS u, l[j] AS text FROM (SELECT *, unnest(range(1, len(l) + 1)) AS j FROM cl))"""
+
+
+def model_says(text: str, large: bool, omits: str | None) -> str:
+    """The fields that a stand-in for a model reads from a text."""
+    out = []
+    for p in P:
+        cases = " ".join(f"WHEN contains({text}, {lit(w)}) THEN {lit(b if large else a)}" for q, w, a, b in MODEL_RULES if q == p)
+        e = f"length({text}) || ' characters of policy text'" if p == "step_therapy_requirements" else f"CASE {cases} ELSE 'NA' END" if cases else "'NA'"
+        if p == "steps_through_brands" and omits:
+            e = f"CASE WHEN contains({text}, {lit(omits)}) THEN NULL ELSE {e} END"
+        out.append(f"{e} AS {p}")
+    return ", ".join(out) + f", 'read ' || length({text}) AS reasoning"
+
+
+TOO_LARGE = f"(contains(text, '{TOO_LARGE_WORDS}') AND length(text) > {TOO_LARGE_CHARS})"
+LARGE_READS = f"(NOT {TOO_LARGE} AND NOT contains(text, '{LARGE_UNREADABLE}'))"
+
+
+def halved(src: str, keys: str, over: str, least: int = 500, most: int = 3) -> str:
+    """Rows of ``src`` (keys, text) and the pieces that those ``over`` the limit become, with path and depth."""
+    at = near_line_end("text", "length(text) // 2")
+    return f"""(SELECT {keys}, '' AS path, 0 AS depth, text FROM {src} UNION ALL SELECT {keys}, path || side, depth + 1, CASE side WHEN 'a' THEN substring(text, 1, {at}) ELSE substring(text, {at} + 1) END
+    FROM (SELECT *, unnest(['a', 'b']) AS side FROM hv) WHERE {over} AND depth < {most} AND length(text) >= {least})"""
+
+
+def chunk_answers() -> str:
+    """ma: each task's record merged over its chunks' answers."""
+    return f"""sm AS (SELECT filename, brand, chunk_no, '' AS path, {model_says('t', False, SMALL_OMITS)} FROM (SELECT *, CASE WHEN u <> '' THEN u || chr(10) || chr(10) || text ELSE text END AS t FROM ck WHERE route = 'small') WHERE NOT contains(t, '{SMALL_FAILS}')),
+  lf AS (SELECT * FROM ck ANTI JOIN sm USING (filename, brand, chunk_no)), hv AS {halved('lf', 'filename, brand, chunk_no', TOO_LARGE)},
+  lg AS (SELECT filename, brand, chunk_no, path, {model_says('text', True, None)} FROM hv WHERE {LARGE_READS}),
+  an AS (SELECT * RENAME (chunk_no AS piece), row_number() OVER (PARTITION BY filename, brand ORDER BY chunk_no, path) - 1 AS chunk_no FROM (SELECT * FROM sm UNION ALL SELECT * FROM lg)), ma AS ({merged('an')})"""
+
+
+def two_group_answers() -> str:
+    forms = {"tb_test_required": "IN ('Y', 'No', 'NA')", "reauth_required": "IN ('Yes', 'No', 'NA')", "initial_auth_duration": None, "reauth_duration": None}
+    ok = lambda p: f"(regexp_full_match({p}, '[0-9]+') OR {p} IN ('NA', 'Unspecified', 'No'))" if p.endswith("duration") else f"({p} {forms.get(p, '<> ' + lit(''))})"
+    S, C = packs.SIMPLE_PARAMS, [p for p in P if p not in packs.SIMPLE_PARAMS]
+    valid = lambda src, least: f"SELECT filename, brand, chunk_no, {', '.join(f'CASE WHEN {ok(p)} THEN {p} END AS {p}' for p in S)} FROM {src} WHERE {' + '.join(f'{ok(p)}::INT' for p in S)} >= {least}"
+    K = "filename, brand, chunk_no"
+    small, large = f"NOT contains(text, '{SMALL_FAILS}')", LARGE_READS
+    return f"""WITH RECURSIVE {chunks()}, a1 AS (SELECT {K}, {model_says('text', False, SMALL_OMITS)} FROM ck WHERE {small}), a2 AS (SELECT {K}, {model_says('text', True, None)} FROM ck WHERE {large}), a3 AS (SELECT {K}, {model_says('text', True, LARGE_OMITS)} FROM ck WHERE {large}),
+  s1 AS ({valid('a1', 5)}), s2 AS (SELECT * FROM ({valid('a2', 1)}) ANTI JOIN s1 USING ({K})), si AS (SELECT *, 'small' AS simple_stage FROM s1 UNION ALL SELECT *, 'large' FROM s2),
+  c1 AS (SELECT * FROM a1 WHERE steps_through_brands IS NOT NULL), c2 AS (SELECT * FROM a3 ANTI JOIN c1 USING ({K}) WHERE steps_through_brands IS NOT NULL), c3 AS (SELECT * FROM a2 ANTI JOIN c1 USING ({K}) ANTI JOIN c2 USING ({K})),
+  co AS (SELECT *, 'small confirms' AS complex_stage FROM c1 UNION ALL SELECT *, 'large confirms' FROM c2 UNION ALL SELECT *, 'large' FROM c3)
+  SELECT {K}, {', '.join(f"coalesce(si.{p}, 'NA') AS {p}" for p in S)}, {', '.join(f"coalesce(co.{p}, 'NA') AS {p}" for p in C)}, coalesce(co.reasoning, 'Complex extraction failed') AS reasoning, coalesce(simple_stage, 'failed') AS simple_stage, coalesce(complex_stage, 'failed') AS complex_stage
+  FROM ck LEFT JOIN si USING ({K}) LEFT JOIN co USING ({K})"""
+
+
+def fallback() -> str:
+    """Who answers a task first, and that record with what the rules read."""
+    rx = section_rules().split(", bl AS (", 1)[1]
+    cols = ", ".join(P)
+    text_rules = ("step_therapy_requirements", "reauth_requirements")
+    final = ", ".join(f"coalesce(r.{p}, f.{p}) AS {p}" if p not in text_rules else f"CASE WHEN f.{p} IS NULL OR f.{p} IN ('', 'NA', 'N/A') THEN coalesce(r.{p}, f.{p}) ELSE f.{p} END AS {p}" for p in P)
+    defaults = ", ".join(f"CASE WHEN upper(brand) = 'STELARA' THEN '>=6' ELSE {lit(packs.DEFAULTS[p])} END AS {p}" if p == "age" else f"{lit(packs.DEFAULTS[p])} AS {p}" for p in P)
+    stages = [
+        ("rules", f"SELECT filename, brand, {cols} FROM rx WHERE {' AND '.join(f'{p} IS NOT NULL' for p in P)}"),
+        ("chunked", f"SELECT filename, brand, {cols} FROM ma SEMI JOIN (SELECT filename, brand FROM ck WHERE chunked) USING (filename, brand)"),
+        ("small", f"SELECT filename, brand, {cols} FROM sm SEMI JOIN (SELECT filename, brand FROM ck WHERE NOT chunked) USING (filename, brand)"),
+        ("large", f"SELECT filename, brand, {model_says('text', True, None)} FROM ck WHERE NOT chunked AND {LARGE_READS}"),
+        ("simplified", f"SELECT filename, brand, {model_says('text', True, None)} FROM (SELECT filename, brand, substring(text, 1, 800) AS text FROM cx) WHERE {LARGE_READS}"),
+        ("defaults", f"SELECT filename, brand, {defaults} FROM cx"),
+    ]
+    every = " UNION ALL ".join(f"SELECT filename, brand, {cols}, {i} AS turn, '{n}' AS stage FROM ({q})" for i, (n, q) in enumerate(stages))
+    return f"""WITH RECURSIVE {chunks()}, {chunk_answers()}, rx AS (SELECT * FROM (WITH bl AS ({rx}) SEMI JOIN cx USING (filename, brand)), st AS ({every}),
+  f AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY filename, brand ORDER BY turn) = 1) SELECT f.filename, f.brand, {final}, stage FROM f LEFT JOIN rx r USING (filename, brand)"""
 
 
 def sanity() -> str:
@@ -444,14 +550,74 @@ def steps_found(src: str) -> str:
   FROM {src} LEFT JOIN ct USING (filename, brand) LEFT JOIN dm USING (filename, brand) LEFT JOIN pq USING (filename, brand) LEFT JOIN re USING (filename, brand)"""
 
 
+def unfolded(src: str, key: str, l: str, no: str, value: str) -> str:
+    """A row for each element of the list ``l``."""
+    return f"SELECT {key}, (j - 1)::INT AS {no}, l[j] AS {value} FROM (SELECT {key}, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT {key}, {l} AS l FROM {src}))"
+
+
+SENTENCE_LIST = "string_split(replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))"
+
+
+def within(f: str, budget: int) -> str:
+    """Pieces of the list ``f`` until their length reaches the budget, stripped and joined; else the text's head."""
+    return f"CASE WHEN len({f}) > 0 THEN array_to_string(list_transform(list_filter(range(1, len({f}) + 1), lambda i: coalesce(list_sum(list_transform({f}[1:i - 1], lambda y: length(y))), 0) < {budget}), lambda i: trim({f}[i])), chr(10)) ELSE substring(text, 1, {budget}) END"
+
+
+def snippets_of() -> str:
+    lists = {p: f"list_filter(s, lambda x: {has('lower(x)', packs.PARAM_KEYWORDS[packs.SNIPPET_KEYWORDS[p]])} OR contains(lower(x), lower(brand)))" for p in packs.SIMPLE_PARAMS}
+    return f"WITH {sections()}, sl AS (SELECT *, {SENTENCE_LIST} AS s FROM sec), fl AS (SELECT filename, brand, text, {', '.join(f'{f} AS f_{p}' for p, f in lists.items())} FROM sl) SELECT filename, brand, {', '.join(f'{within(f'f_{p}', 400)} AS {p}' for p in lists)} FROM fl"
+
+
+def focused_text() -> str:
+    hits = " + ".join(f"contains(lower(c[k + 1]), '{w}')::INT" for w in ("license", "token", "mail"))
+    return f"""WITH c AS (SELECT doc_id, text, list_transform(range(CASE WHEN length(text) <= 3000 THEN 1 ELSE ceil((length(text) - 250) / 2750.0)::INT END), lambda k: substring(text, (k * 2750 + 1)::INT, 3000)) AS c FROM documents),
+  r AS (SELECT doc_id, k, -({hits}) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY -({hits}), k) AS turn FROM (SELECT *, unnest(range(len(c))) AS k FROM c) WHERE {hits} > 0),
+  n AS (SELECT DISTINCT doc_id, k + unnest([-1, 0, 1]) AS k FROM r WHERE turn <= 8), m AS (SELECT doc_id, k FROM n UNION SELECT doc_id, unnest([0, 1, 2]) FROM c ANTI JOIN n USING (doc_id)),
+  t AS (SELECT doc_id, string_agg(c[k + 1], chr(10) || chr(10) ORDER BY k) AS t FROM m JOIN c USING (doc_id) WHERE k BETWEEN 0 AND len(c) - 1 GROUP BY 1),
+  f AS (SELECT doc_id, CASE WHEN length(text) <= 7000 THEN text ELSE substring(t, 1, 7000) END AS t FROM c JOIN t USING (doc_id)) SELECT doc_id, length(t)::INT AS chars, md5(t) AS text_md5 FROM f"""
+
+
+def analysis_blocks() -> str:
+    """The block of each page's step analysis, from its rows."""
+    nl = "chr(10)"
+    found = steps_found("wq").replace("SELECT filename, brand, CASE WHEN coalesce(ba", "SELECT filename, brand, CASE WHEN coalesce(ba", 1)
+    head, tail = found.rsplit("\n  SELECT filename, brand, CASE WHEN coalesce(ba", 1)
+    first_five = "string_split(drugs, ',')"
+    line = f"(no + 1) || '. ' || count || ' ' || drug_type || ' [' || connector || ']: ' || CASE WHEN drugs = '' THEN '' ELSE array_to_string({first_five}[1:5], ', ') || CASE WHEN len({first_five}) > 5 THEN ' (+' || (len({first_five}) - 5) || ' more)' ELSE '' END END || {nl} || '   \"' || replace(substring(source_text, 1, 200), {nl}, ' ') || '\"'"
+    counted = lambda kind: f"string_agg(count::VARCHAR, ', ' ORDER BY no) FILTER (WHERE drug_type = '{kind}' AND connector = 'OR')"
+    return worded() + f""", wq AS (SELECT filename, page_num::VARCHAR AS brand, text FROM wp), {head}, fs AS (SELECT filename, brand, CASE WHEN coalesce(ba{tail}),
+    ln AS (SELECT filename, brand, string_agg({line}, {nl} ORDER BY no) AS lines, string_agg(connector || ': ' || count || ' ' || drug_type || ' from ' || substring(source_text, 1, 80), ' | ' ORDER BY no) AS why,
+      min(count) FILTER (WHERE drug_type = 'generic' AND connector = 'OR') AS g, min(count) FILTER (WHERE drug_type = 'branded' AND connector = 'OR') AS b, {counted('generic')} AS gs, {counted('branded')} AS bs FROM rq GROUP BY 1, 2),
+    al AS (SELECT fs.*, lines, array_to_string([x FOR x IN [why, CASE WHEN g IS NOT NULL AND b IS NOT NULL THEN 'least of OR: brands [' || bs || '], generics [' || gs || ']: ' || g || ' generic' WHEN b IS NOT NULL THEN 'least of OR: ' || b || ' branded of [' || bs || ']' WHEN g IS NOT NULL THEN 'least of OR: ' || g || ' generic of [' || gs || ']' END,
+      CASE WHEN n_requirements = 0 AND n_mentions > 0 THEN 'no pattern, drug mentions: ' || n_mentions WHEN n_requirements = 0 THEN 'no pattern, no drug mention' END] IF x IS NOT NULL], ' | ') AS why FROM fs LEFT JOIN ln USING (filename, brand)),
+    bk AS (SELECT filename, brand, CASE WHEN n_requirements > 0 THEN 'STEP REQUIREMENTS: ' || n_requirements || {nl} || lines ELSE 'STEP REQUIREMENTS: none' END || {nl} || 'phototherapy: ' || CASE WHEN phototherapy_mandatory THEN 'mandatory' WHEN phototherapy_in_or THEN 'one of several options' WHEN phototherapy_mandatory IS NOT NULL THEN 'not required' ELSE 'not mentioned' END
+      || {nl} || {nl} || 'steps_through_brands: ' || branded_steps || {nl} || 'steps_through_generic: ' || generic_steps || {nl} || 'step_through_phototherapy: ' || CASE WHEN phototherapy_mandatory THEN 'Yes' WHEN phototherapy_mandatory IS NOT NULL OR phototherapy_in_or THEN 'No' ELSE 'N/A' END || {nl} || 'confidence: ' || confidence || CASE WHEN why <> '' THEN {nl} || 'reasoning: ' || why ELSE '' END AS analysis FROM al)
+  SELECT filename, brand, length(analysis)::INT AS chars, analysis FROM bk"""
+
+
+def paragraph_list() -> str:
+    """The three ways in which a text is cut into paragraphs."""
+    blank = "trim({}, ' ' || chr(9) || chr(10) || chr(13))".format
+    solid = lambda e: f"list_filter(list_transform({e}, lambda p: {blank('p')}), lambda p: p <> '')"
+    marks = "text"
+    for m in ("([0-9]+[.)]\\s)", "([a-zA-Z][.)]\\s)", "(•\\s)", "([-–]\\s)"):
+        marks = f"regexp_replace({marks}, '\\n{m}', chr(1) || '\\1', 'g')"
+    flat = "replace(p, chr(10), ' ')"
+    sents = f"[y FOR y IN [trim(regexp_replace(x, '^\\s*[0-9]+[.)]\\s+', '')) FOR x IN string_split(regexp_replace({flat}, '([.;])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))] IF length(y) >= 20]"
+    last = "string_split(acc, chr(1))[-1]"
+    joined = f"acc || CASE WHEN {last} = '' THEN '' ELSE chr(2) END || x"
+    grouped = f"list_reduce([''] || {sents}, lambda acc, x: CASE WHEN length(replace({last}, chr(2), '')) + length(x) >= 500 THEN {joined} || chr(1) ELSE {joined} END)"
+    return f"""SELECT doc_id, CASE WHEN len(b) > 1 THEN {solid('b')} WHEN len(m) = 1 AND length(m[1]) > 1000 THEN list_filter(string_split(replace({grouped.replace(flat, "replace(m[1], chr(10), ' ')")}, chr(2), ' '), chr(1)), lambda p: p <> '') ELSE m END AS l
+      FROM (SELECT doc_id, text, string_split(regexp_replace(text, '\\n\\s*\\n', chr(1), 'g'), chr(1)) AS b, {solid(f"string_split({marks}, chr(1))")} AS m FROM documents)"""
+
+
 def more_sql() -> dict[str, str]:
     """Context tiers, document types, small reports and text shaping."""
     W, n_real = worded(), " + ".join(f"(coalesce({p}, '') NOT IN ('NA', 'N/A', '', 'None', 'No'))::INT" for p in P)
     late = " OR ".join(f"regexp_matches(lower(text), {lit(p)})" for p in [*packs.UNIVERSAL_PATTERNS, *packs.TIER_PATTERNS])
     disease, renew = has("low", packs.PAGE_KEYWORDS["disease"][0]), has("low", packs.REAUTH_WORDS)
-    na = lambda c: f"(lower(trim({c})) IN {among(packs.MERGE_NA_FORMS)})"
+    na = lambda c: f"(lower(trim({c})) IN {among(packs.GAP_FORMS)})"
     conf = SCORED + ", k AS (SELECT s.filename, s.brand, CASE WHEN estimated_access_score IS NOT NULL THEN least(100, greatest(0, estimated_access_score)) END AS llm_estimate, access_score AS deterministic FROM scored s JOIN raw USING (filename, brand)), v AS (SELECT *, abs(llm_estimate - deterministic) AS diff, CASE WHEN llm_estimate IS NULL THEN 'N/A' WHEN abs(llm_estimate - deterministic) <= 15 THEN 'High' WHEN abs(llm_estimate - deterministic) <= 30 THEN 'Medium' ELSE 'Low' END AS level FROM k)"
-    room = lambda over, tokens, out: f"greatest(500, trunc(({tokens - out}::DOUBLE - ({over}) / 1.4::DOUBLE) * 0.95::DOUBLE * 1.4::DOUBLE)::INT)"
     parts = "string_split(regexp_replace(replace(text, chr(10), ' '), '([.;])\\s+([A-Z0-9(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
     sents = f"[y FOR y IN [trim(regexp_replace(x, '^\\s*[0-9]+[.)]\\s+', '')) FOR x IN {parts}] IF length(y) >= 20]"
     hit = "SELECT *, 0 AS o, 'license' AS param FROM se WHERE contains(lower(s), 'license') OR contains(lower(s), 'mail') UNION ALL SELECT *, 1, 'token' FROM se WHERE contains(lower(s), 'token') OR contains(lower(s), 'the')"
@@ -493,22 +659,35 @@ def more_sql() -> dict[str, str]:
         "stale_records": f"WITH {RECORDS}, t AS (SELECT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand FROM orders) SELECT filename, brand, pass_name, provider FROM records r WHERE NOT (pass_name = 'validate' AND EXISTS (SELECT 1 FROM t WHERE t.brand < 'Brand#2' AND t.filename = r.filename AND t.brand = r.brand))",
         "record_hits": f"WITH {RECORDS} SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand FROM orders WHERE (o_custkey::VARCHAR, 'Brand#' || (1 + o_orderkey % 40)) IN (SELECT (filename, brand) FROM records)",
         "two_groups": f"WITH {raw()}, {raw(1, 'm')} SELECT filename, brand, " + ", ".join(f"{'a' if p in packs.SIMPLE_PARAMS else 'b'}.{p}" for p in P) + " FROM raw a JOIN m b USING (filename, brand)",
-        "low_yield_retry": f"WITH {raw()}, {raw(1, 'm')}, n AS (SELECT *, {n_real} AS k FROM raw) SELECT filename, brand, " + ", ".join(f"CASE WHEN k < 9 AND {na('a.' + p)} AND NOT {na('b.' + p)} THEN b.{p} ELSE a.{p} END AS {p}" for p in P) + " FROM n a LEFT JOIN m b USING (filename, brand)",
+        "low_yield_retry": f"WITH {raw()}, {raw(1, 'm')}, n AS (SELECT *, {n_real} AS k, length({' || '.join(P)}) AS chars FROM raw) SELECT filename, brand, " + ", ".join(f"CASE WHEN k < 9 AND chars <= 150 AND chars % 3 <> 0 AND chars <> 9 AND {na('a.' + p)} AND NOT {na('b.' + p)} THEN b.{p} ELSE a.{p} END AS {p}" for p in P) + " FROM n a LEFT JOIN m b USING (filename, brand)",
         "few_shot": f"WITH {raw()} SELECT filename, brand, CASE brand WHEN 'Brand#1' THEN '1,4' WHEN 'Brand#2' THEN '1,5' ELSE '1,2,3' END AS examples FROM raw",
-        "prompts": f"""WITH {raw()}, e AS (SELECT filename, brand, 'EXAMPLES:' || chr(10) || '{{"age":"' || age || '","step_therapy_requirements":"' || step_therapy_requirements || '","reauth_requirements":"' || reauth_requirements || '"}}' || chr(10) || chr(10) || 'Extract the parameters.' || chr(10) || chr(10) || 'POLICY TEXT:' || chr(10) || specialist_types || '; ' || initial_auth_duration AS prompt FROM raw) SELECT filename, brand, length(prompt)::INT AS chars, md5(prompt) AS prompt_md5 FROM e""",
+        "prompts": f"""WITH {raw()}, e AS (SELECT filename, brand, 'EXAMPLES:' || chr(10) || chr(10) || 'Example 1: own record' || chr(10) || '{{"age":"' || age || '","step_therapy_requirements":"' || step_therapy_requirements || '","reauth_requirements":"' || reauth_requirements || '"}}' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Extract the parameters.' || chr(10) || chr(10) || 'DOCUMENT INFO:' || chr(10) || '- Filename: ' || filename || chr(10) || '- Target Brand: ' || brand || chr(10) || '- Document Type: ' || CASE WHEN tb_test_required = 'Y' THEN 'decision-tree' ELSE 'multi-drug' END
+  || CASE WHEN quantity_limits NOT IN ('No', '') THEN chr(10) || chr(10) || 'UNIVERSAL CRITERIA:' || chr(10) || quantity_limits ELSE '' END || chr(10) || chr(10) || 'POLICY TEXT:' || chr(10) || specialist_types || '; ' || initial_auth_duration || CASE WHEN tb_test_required = 'Y' THEN chr(10) || chr(10) || 'DECISION TREE:' || chr(10) || 'Follow the tree.' ELSE '' END || chr(10) || chr(10) || 'Return JSON only.' AS prompt FROM raw)
+  SELECT filename, brand, length(prompt)::INT AS chars, md5(prompt) AS prompt_md5 FROM e""",
         "chunk_budgets": f"SELECT doc_id, {room('3000 + length(text)', 12000, 2000)} AS with_universal, {room('3000', 12000, 2000)} AS without FROM documents",
         "routes": f"SELECT CASE WHEN length(text) <= {room('3000', 6000, 500)} THEN 'small' WHEN length(text) <= {room('3000', 12000, 2000)} THEN 'large' ELSE 'chunked' END AS route, count(*) AS n FROM documents GROUP BY 1",
         "section_span": f"WITH {TASKS}, {PAGES}, x AS (SELECT t.filename, t.brand, page_num, lower(text) AS low FROM (SELECT DISTINCT filename, brand FROM tasks) t JOIN pages_ USING (filename)), y AS (SELECT *, min(CASE WHEN contains(low, 'the') THEN page_num END) OVER w AS b FROM x WINDOW w AS (PARTITION BY filename, brand)), z AS (SELECT *, min(CASE WHEN contains(low, 'license') AND NOT contains(low, 'the') AND page_num > b THEN page_num END) OVER (PARTITION BY filename, brand) AS e FROM y) SELECT filename, brand, page_num FROM z WHERE page_num >= b AND (e IS NULL OR page_num < e)",
         "sentences": f"SELECT doc_id, (unnest(range(len(s))))::INT AS ord, unnest(s) AS sentence FROM (SELECT doc_id, {sents} AS s FROM documents)",
         "context_sentence": f"WITH {TASKS}, {PAGES}, se AS (SELECT filename, brand, page_num, j::INT - 1 AS sent, a[j] AS s, array_to_string(a[greatest(1, j - 1):j + 1], ' ') AS around FROM (SELECT *, unnest(range(1, len(a) + 1)) AS j FROM (SELECT t.filename, t.brand, page_num, {sents} AS a FROM (SELECT DISTINCT filename, brand FROM tasks) t JOIN pages_ USING (filename)))), hi AS ({hit}), h1 AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY filename, brand, substring(around, 1, 100) ORDER BY page_num, o, sent) = 1) SELECT filename, brand, param, page_num, sent, around FROM h1 QUALIFY row_number() OVER (PARTITION BY filename, brand, param ORDER BY page_num, sent) <= 5",
         "step_burden_melt": burden + " SELECT brand, 'branded' AS kind, branded AS steps FROM s UNION ALL SELECT brand, 'generic', generic FROM s",
-        "light_validation": f"WITH {raw()}, f AS (SELECT *, reauth_duration NOT IN ('NA', 'N/A', '', 'No', 'Unspecified') AND reauth_required <> 'Yes' AS a, reauth_required = 'Yes' AND reauth_duration IN ('NA', 'N/A', '') AS b FROM raw) SELECT filename, brand, CASE WHEN a THEN 'Yes' ELSE reauth_required END AS reauth_required, CASE WHEN b THEN 'Unspecified' ELSE reauth_duration END AS reauth_duration, CASE WHEN a THEN 'reauth_required' WHEN b THEN 'reauth_duration' ELSE '' END AS corrections FROM f",
+        "light_validation": f"WITH {raw()}, f AS (SELECT *, (reauth_duration NOT IN ('NA', 'N/A', '') OR reauth_requirements NOT IN ('NA', 'N/A', '')) AND reauth_required <> 'Yes' AS a, reauth_required = 'Yes' AND reauth_duration IN ('NA', 'N/A', '') AS b FROM raw) SELECT filename, brand, CASE WHEN a THEN 'Yes' ELSE reauth_required END AS reauth_required, CASE WHEN b THEN 'Unspecified' ELSE reauth_duration END AS reauth_duration, CASE WHEN a THEN 'reauth_required' WHEN b THEN 'reauth_duration' ELSE '' END AS corrections FROM f",
         "run_totals": sanity().replace("WITH ", "WITH findings AS (WITH ", 1) + f"), tot AS (WITH {raw()}, {norm()}, {scored()}, {ruled()} SELECT sum(CASE WHEN violations = '' THEN 0 ELSE len(string_split(violations, ',')) END)::BIGINT AS n_fixes, count(*) FILTER (WHERE access_score IS NULL) AS n_unscored FROM ruled) SELECT n_fixes, n_unscored, (SELECT count(*) FROM findings) AS n_findings FROM tot",
         "page_profile": f"WITH {SCORED_PAGES} SELECT filename, brand, page_num + 1 AS page, relevance, {cats} AS categories, length(text)::INT AS chars, substring(text, 1, 80) AS preview FROM sp",
         "clean_text": f"SELECT doc_id, trim({clean}) AS text FROM documents",
         "safe_keys": "SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand, o_custkey || '_Brand_' || (1 + o_orderkey % 40) AS key FROM orders",
-        "split_failed": "WITH m AS (SELECT *, length(text) // 2 AS mid FROM documents), c AS (SELECT *, strpos(substring(text, mid, length(text)::INT), chr(10)) AS p FROM m), h AS (SELECT *, CASE WHEN p > 0 THEN mid - 1 + p ELSE mid END AS pos FROM c), r AS (SELECT doc_id, 0 AS depth, text FROM h WHERE length(text) <= 2000 UNION ALL SELECT doc_id, 1, substring(text, 1, pos::INT) FROM h WHERE length(text) > 2000 UNION ALL SELECT doc_id, 1, substring(text, pos::INT + 1) FROM h WHERE length(text) > 2000) SELECT doc_id, depth, length(text)::INT AS chars, md5(text) AS text_md5 FROM r",
-        "fallback_chain": layout_rules().replace("WITH ", "WITH rx AS (WITH ", 1) + f") SELECT o.* FROM (SELECT filename, brand, {len(['readable'])} AS stage, " + ", ".join(f"'{packs.DEFAULTS[p]}' AS {p}" for p in P) + " FROM rx) o",
+        "split_failed": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars, md5(text) AS text_md5 FROM hv WHERE length(text) <= 700",
+        "split_given_up": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars FROM hv WHERE length(text) > 700 AND depth = 3",
+        "marked_sections": unfolded("documents", "doc_id", pieces("text", "2000", "\\n[A-Z]"), "ord", "section"),
+        "packed_chunks": unfolded("documents", "doc_id", "string_split(list_reduce(string_split(text, chr(10)), lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= 2000 THEN acc || chr(10) || x ELSE acc || chr(1) || x END), chr(1))", "chunk_no", "chunk"),
+        "param_snippet": f"WITH fl AS (SELECT doc_id, text, list_filter({SENTENCE_LIST}, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'token') OR contains(lower(x), 'mail')) AS f FROM documents) SELECT doc_id, {within('f', 500)} AS text FROM fl",
+        "param_snippet_of": snippets_of(),
+        "focused_text": focused_text(),
+        "analysis_blocks": analysis_blocks(),
+        "paragraphs": f"SELECT doc_id, (j - 1)::INT AS ord, l[j] AS para FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS j FROM ({paragraph_list()}))",
+        "chunk_rows": f"WITH {chunks()} SELECT filename, brand, chunk_no, chunked, route, length(u)::INT AS universal_chars, length(text)::INT AS chars, md5(text) AS text_md5 FROM ck",
+        "chunk_answers": f"WITH RECURSIVE {chunks()}, {chunk_answers()} SELECT * FROM ma",
+        "two_group_answers": two_group_answers(),
+        "fallback_chain": fallback(),
     }
 
 
@@ -521,7 +700,7 @@ def base_sql() -> dict[str, str]:
     study = " + ".join(f"len(regexp_extract_all({lowered}, {lit(p)}))" for p in packs.STUDY_PATTERNS)
     policy = " + ".join(f"len(regexp_extract_all({lowered}, {lit(p)}))" for p in packs.POLICY_PATTERNS)
     diff = " UNION ALL ".join(f"SELECT filename, brand, '{p}' AS param, o.{p} AS old_value, n.{p} AS new_value FROM old_ o JOIN raw n USING (filename, brand) WHERE o.{p} IS DISTINCT FROM n.{p}" for p in P)
-    na = lambda c: f"(lower(trim({c})) IN {among(packs.MERGE_NA_FORMS)})"
+    na = lambda c: f"(lower(trim({c})) IN {among(packs.GAP_FORMS)})"
     return {
         "raw_params": f"WITH {raw()} SELECT * FROM raw",
         "normalized": f"WITH {raw()}, {norm()} SELECT * FROM norm",

@@ -102,10 +102,62 @@ def _calls(s, d):
 
 
 def _prompts(s, d):
-    """Each task's prompt, with a compact example of its own record."""
-    shown = {p: F.col(p) for p in ("age", "step_therapy_requirements", "reauth_requirements")}
+    """Each task's prompt, with a compact example of its own record and what is known of its document."""
+    shown = {p: F.col(p) for p in ("age", "step_therapy_requirements", "reauth_requirements")} | {"age_reasoning": F.lit("left out")}
     text = F.concat_ws("; ", "specialist_types", "initial_auth_duration")
-    return _raw(s, d).select(*KEYS, infer.full_prompt("Extract the parameters.", infer.example_text(shown, True), text).alias("prompt"))
+    kind = F.when(F.col("tb_test_required") == "Y", "decision-tree").otherwise("multi-drug")
+    tree = F.when(kind == "decision-tree", "Follow the tree.")
+    task = infer.prompt("Extract the parameters.", text, F.nullif(F.col("quantity_limits"), F.lit("No")), tree, {"Filename": F.col("filename"), "Target Brand": F.col("brand"), "Document Type": kind}, "Return JSON only.")
+    examples = infer.examples_text([("own record", "none", shown)], compact=True)
+    return _raw(s, d).select(*KEYS, infer.full_prompt(examples, task).alias("prompt"))
+
+
+def _chunks(s, d):
+    return infer.chunk_rows(fixtures.contexts(s, d), 3500)
+
+
+def _small_prompt(rows):
+    return rows.withColumn("prompt", infer.small_prompt(infer.field_hints({"age": "the age that is required"}), F.col("text"), F.col("universal_text"), F.col("brand")))
+
+
+def _large_prompt(rows):
+    return rows.withColumn("prompt", infer.prompt("Extract the parameters.", F.col("text"), F.col("universal_text")))
+
+
+def _chunk_answers(s, d):
+    return infer.extract_chunks(_chunks(s, d), fixtures.small_model, fixtures.large_model, _small_prompt, _large_prompt)
+
+
+def _two_group_answers(s, d):
+    simple = lambda rows: rows.withColumn("prompt", F.concat(F.lit("Policy text:\n"), "text", F.lit("\n\nPOLICY TEXT:\n"), "text"))
+    confirm = lambda rows: rows.withColumn("prompt", F.concat("analysis", F.lit("\n\nPolicy text:\n"), "text", F.lit("\n\nPOLICY TEXT:\n"), "text"))
+    direct = lambda rows: rows.withColumn("prompt", infer.prompt("Extract.", F.col("text")))
+    return infer.extract_two_groups(_chunks(s, d).drop("universal_text"), fixtures.small_model, fixtures.large_model, simple, confirm, direct)
+
+
+def _fallback(s, d):
+    """Rules, chunks, small, large and simplified prompts, then defaults, each for what is left."""
+    contexts = fixtures.contexts(s, d)
+    chunks = infer.chunk_rows(contexts, 3500)
+    own = lambda left: chunks.join(left.select(*KEYS), KEYS, "left_semi")
+    whole = lambda left: own(left).where("not chunked")
+    head = lambda left: contexts.join(left.select(*KEYS), KEYS, "left_semi").withColumn("text", F.substring("text", 1, 800))
+    stages = {
+        "chunked": lambda left: infer.extract_chunks(own(left).where("chunked"), fixtures.small_model, fixtures.large_model, _small_prompt, _large_prompt),
+        "small": lambda left: infer.answered(_small_prompt(whole(left)), fixtures.small_model, KEYS),
+        "large": lambda left: infer.answered(_large_prompt(whole(left)), fixtures.large_model, KEYS),
+        "simplified": lambda left: infer.answered(_large_prompt(head(left)), fixtures.large_model, KEYS),
+    }
+    rules_of = context.rules_of_sections(contexts.select(*KEYS), fixtures.section_pages(s, d))
+    return infer.with_fallback(contexts.select(*KEYS), stages, rules_of)[0]
+
+
+def _low_yield(s, d):
+    """Records filled from a second pass where few parameters are real, the text fits and the first pass read a part of it."""
+    record = _raw(s, d)
+    n = F.length(F.concat_ws("", *P))
+    texts = record.select(*KEYS, F.repeat(F.lit("x"), n).alias("text"), F.repeat(F.lit("x"), F.when(n % 3 == 0, n).otherwise(F.lit(9))).alias("focused"))
+    return infer.retry_low_yield(record, texts, lambda left: _raw(s, d, 1).join(left.select(*KEYS), KEYS, "left_semi"), most=150, least=9)
 
 
 def _budget_prefix(s, d):
@@ -153,7 +205,12 @@ def queries() -> dict[str, Query]:
         "merge_records": lambda s, d: records.merge_chunks(fixtures.chunk_records(s, d)),
         "fill_gaps": lambda s, d: records.fill_gaps(_raw(s, d), _raw(s, d, 1)),
         "rule_priority_merge": lambda s, d: records.rules_over_model(na_to_null(_raw(s, d)), _raw(s, d, 1)),
-        "fallback_chain": lambda s, d: infer.with_fallback(_layout(s, d), infer.readable(context.rule_extract(_layout(s, d)), P)),
+        "fallback_chain": lambda s, d: _fallback(s, d),
+        "chunk_rows": lambda s, d: _chunks(s, d).select(*infer.CHUNK, "chunked", "route", F.length("universal_text").alias("universal_chars"), F.length("text").alias("chars"), F.md5("text").alias("text_md5")),
+        "chunk_answers": _chunk_answers,
+        "two_group_answers": _two_group_answers,
+        "focused_text": lambda s, d: _docs(s, d).select("doc_id", T.focused(F.col("text"), F.array(*[F.lit(w) for w in ("license", "token", "mail")]), 7000).alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5")),
+        "analysis_blocks": lambda s, d: infer.with_analysis(_page_sections(s, d), KEYS).select(*KEYS, F.length("analysis").alias("chars"), "analysis"),
         "first_n_tasks": lambda s, d: tables.first_tasks(fixtures.submissions(s, d), n=50),
         "page_relevance": lambda s, d: _scored_pages(s, d).select(*KEYS, "page_num", "relevance"),
         "page_profile": lambda s, d: report.page_profile(_scored_pages(s, d)),
@@ -179,7 +236,8 @@ def queries() -> dict[str, Query]:
         "packed_chunks": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.packed(F.split("text", "\n"), 2000, "\n")).alias("chunk_no", "chunk")),
         "clean_text": lambda s, d: _docs(s, d).select("doc_id", T.clean(F.col("text")).alias("text")),
         "brand_window": lambda s, d: _docs(s, d).select("doc_id", T.window_around(F.col("text"), [F.lit("license")], 2000, 1000).alias("text")),
-        "param_snippet": lambda s, d: _docs(s, d).select("doc_id", T.snippet(F.col("text"), ["license", "token"], 500).alias("text")),
+        "param_snippet": lambda s, d: _docs(s, d).select("doc_id", T.snippet(F.col("text"), ["license", "token"], 500, F.lit("mail")).alias("text")),
+        "param_snippet_of": lambda s, d: context.section_texts(*_sections(s, d)).select(*KEYS, *[T.param_snippet(F.col("text"), p, 400, F.col("brand")).alias(p) for p in packs.SIMPLE_PARAMS]),
         "routes": lambda s, d: context.routes(_docs(s, d)).groupBy("route").agg(F.count("*").alias("n")),
         "rule_extract": lambda s, d: context.rule_extract(_layout(s, d)),
         "step_analysis": lambda s, d: _steps(context.step_analysis(_page_sections(s, d))),
@@ -218,8 +276,9 @@ def queries() -> dict[str, Query]:
         "stale_records": lambda s, d: records.drop_stale_validated(fixtures.records(s, d), _tasks_of_orders(s, d).where("brand < 'Brand#2'")).select(*KEYS, "pass_name", "provider"),
         "record_hits": lambda s, d: records.hits(_tasks_of_orders(s, d).distinct(), fixtures.records(s, d)),
         "two_groups": lambda s, d: infer.two_groups(_raw(s, d), _raw(s, d, 1), packs.SIMPLE_PARAMS),
-        "low_yield_retry": lambda s, d: infer.retry_low_yield(_raw(s, d), _raw(s, d, 1), 9),
-        "split_failed": lambda s, d: infer.split_failed(_docs(s, d).select("doc_id", "text", F.lit(0).alias("depth")), F.length("text") > 2000).select("doc_id", "depth", F.length("text").alias("chars"), F.md5("text").alias("text_md5")),
+        "low_yield_retry": _low_yield,
+        "split_failed": lambda s, d: infer.split_failed(_docs(s, d).select("doc_id", "text"), lambda rows: rows.where(F.length("text") > 700), ["doc_id"])[0].select("doc_id", "path", F.length("text").alias("chars"), F.md5("text").alias("text_md5")),
+        "split_given_up": lambda s, d: infer.split_failed(_docs(s, d).select("doc_id", "text"), lambda rows: rows.where(F.length("text") > 700), ["doc_id"])[1].select("doc_id", "path", F.length("text").alias("chars")),
         "few_shot": lambda s, d: _raw(s, d).select(*KEYS, F.array_join(infer.few_shot_ids(F.col("brand"), 1, {"BRAND#1": 4, "BRAND#2": 5}, [2, 3]), ",").alias("examples")),
         "prompts": lambda s, d: _prompts(s, d).select(*KEYS, F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5")),
         "chunk_budgets": lambda s, d: _docs(s, d).select("doc_id", *[c.alias(n) for c, n in zip(infer.chunk_budgets(F.lit(3000), F.col("text")), ("with_universal", "without"))]),

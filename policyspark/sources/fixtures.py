@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ SECTION_WORDING = {
     "head": (1, ["Products Affected\n{}\nPrior Authorization Criteria", "Continued from the page before.", "Products Affected: {}\nCriteria Details", "Drug names: {}\nThe list of the plan.", "Index of drugs: {} and others.", "Prior Authorization Group\n{}"]),
     "drug": (7, ["STELARA", "Tremfya", "risankizumab", "SORIATANE", "Humira", "OTEZLA"]),
     "info": (5, ["Trial and failure of two biologic drugs", "Trial and failure of one TNF blocker such as Humira", "Biologic as first-line therapy", "• Body surface area of 10 percent", "At least 2 conventional therapies", "Trial of TWO preferred products, Enbrel and Cimzia"]),
-    "other": (11, ["Phototherapy or methotrexate.", "PUVA has failed", "Topical corticosteroids were tried", "Nothing else", "Phototherapy was ineffective."]),
+    "other": (11, ["Phototherapy or methotrexate.", "PUVA has failed after acitretin.", "Topical corticosteroids were tried", "Nothing else", "Phototherapy was ineffective."]),
     "age": (3, ["18 years of age or older", "at least 6 years of age", "Women of childbearing age", "12 years and older", "-", "adults"]),
     "who": (13, ["Dermatologist or rheumatologist", "Any prescriber", "Immunologist", "—"]),
     "cover": (17, ["Initial: 6 months, Renewal: 12 months", "Initial: 26 weeks", "Reauthorization: 24 weeks", "Plan year", "Initial: 3 months. Reauthorization: 6 months"]),
     "renew": (19, ["Renewal Criteria: documented response", "-", "Chart notes are needed", "Continued approval needs a note."]),
-    "tail": (23, ["A negative tuberculin test is needed.", "A quantity limit applies.", "Nothing else."]),
+    "tail": (23, ["A negative tuberculin test is needed.", "A negative tuberculin test is needed. A quantity limit applies.", "A quantity limit applies.", "Nothing else."]),
 }
 SECTION_BRANDS = ["STELARA", "TREMFYA", "SKYRIZI", "Acitretin", "OTEZLA"]
 
@@ -133,3 +135,65 @@ def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 300).cast("string")).alias("filename")).distinct()
     return files.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in SECTION_BRANDS])))
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of two tasks a document: its first pages under their marks, fewer or more by document, and a universal text for every third."""
+    k = F.substring("filename", 2, 9).cast("int")
+    kept = section_pages(spark, sf_dir).withColumn("k", k).where("page_num <= k % 45")
+    said = F.array_sort(F.collect_list(F.struct("page_num", "text")))
+    page = lambda x: F.concat(F.lit("[Page "), (x["page_num"] + 1).cast("string"), F.lit("]\n"), x["text"])
+    texts = kept.groupBy("filename", "k").agg(F.array_join(F.transform(said, page), "\n\n").alias("text"))
+    shared = F.when(F.col("k") % 3 == 0, F.expr("repeat('All requests need a diagnosis. ', 1 + k % 7)")).otherwise("")
+    return texts.select("filename", F.explode(F.array(F.lit("STELARA"), F.lit("Acitretin"))).alias("brand"), shared.alias("universal_text"), "text")
+
+
+# What a stand-in for a model reads from a text: parameter, words and answer of the small and of the large one; the first words found count.
+MODEL_RULES = [
+    ("age", "18 years of age", ">=18", ">=18"),
+    ("age", "at least 6 years", ">=6", ">=6"),
+    ("steps_through_brands", "two biologic", "2", "2"),
+    ("steps_through_brands", "one TNF", "1", "1"),
+    ("steps_through_generic", "2 conventional", "2", "2"),
+    ("step_through_phototherapy", "PUVA has failed", "Yes", "Yes"),
+    ("tb_test_required", "tuberculin", "required", "Y"),
+    ("quantity_limits", "quantity limit", "Yes", "Yes"),
+    ("specialist_types", "Immunologist", "Immunologist", "Immunologist"),
+    ("initial_auth_duration", "Initial: 3 months", "3 months", "3"),
+    ("initial_auth_duration", "Initial: 6 months", "6 months", "6"),
+    ("reauth_duration", "Renewal: 12 months", "12 months", "12"),
+    ("reauth_required", "Chart notes", "Yes", "Yes"),
+]
+#: Words with which the small one doesn't answer, omits a required parameter; with which the large one's answer can't be read, and where it omits it if it is to confirm.
+SMALL_FAILS, SMALL_OMITS, LARGE_UNREADABLE, LARGE_OMITS = "Index of drugs", "Biologic as first-line", "—", "PUVA has failed"
+#: Texts with these words and more than so many characters are too large for the large one.
+TOO_LARGE_WORDS, TOO_LARGE_CHARS = "Plan year", 900
+
+
+def _answer(text: str, large: bool, omit: bool) -> str:
+    out = {p: "NA" for p in WORDING}
+    for param, words, small_value, large_value in reversed(MODEL_RULES):
+        if words in text:
+            out[param] = large_value if large else small_value
+    out["step_therapy_requirements"] = f"{len(text)} characters of policy text"
+    if omit:
+        del out["steps_through_brands"]
+    return json.dumps(out | {"reasoning": f"read {len(text)}"})
+
+
+def small_model(prompts: list[str]) -> list[str | None]:
+    """Stands in for a small model: reads the text behind ``Policy text``."""
+    texts = [p.split("Policy text:\n", 1)[1].split("\n\nPOLICY TEXT:\n")[0] for p in prompts]
+    return [None if SMALL_FAILS in t else _answer(t, False, SMALL_OMITS in t) for t in texts]
+
+
+def large_model(prompts: list[str]) -> list[str | None]:
+    """Stands in for a large model: reads the text behind ``POLICY TEXT``."""
+    from policyspark.operators.infer import TOO_LARGE
+
+    out: list[str | None] = []
+    for p in prompts:
+        t = p.split("POLICY TEXT:\n", 1)[1]
+        confirms = "STEP REQUIREMENTS" in p
+        out.append(TOO_LARGE if TOO_LARGE_WORDS in t and len(t) > TOO_LARGE_CHARS else "not readable" if LARGE_UNREADABLE in t else _answer(t, True, confirms and LARGE_OMITS in t))
+    return out
