@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,8 +128,3 @@ def with_defaults(tasks: DataFrame) -> DataFrame:
         return F.coalesce(*own, F.lit(packs.DEFAULTS[p])).alias(p)
 
     return tasks.select("filename", "brand", *[value(p) for p in packs.PARAMS])
-
-
-def union_findings(*parts: DataFrame) -> DataFrame:
-    """findings of several checks one under the other."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -115,9 +115,9 @@ def score_records(df: DataFrame) -> DataFrame:
 def results(records: DataFrame) -> DataFrame:
     """Normalised records to scored, rule-checked output rows in one narrow projection.
 
-    The score is that of the record as it was before the rules.
+    The score, and what contradicts it (``findings``), are those of the record as it was before the rules.
     """
-    scored = score_records(normalize_records(records))
+    scored = with_sanity(score_records(normalize_records(records)))
     return enforce_rules(output_values(scored).withColumn("access_score", F.col("access_score").cast("string"))).withColumn("access_score", F.col("access_score").cast("int"))
 
 
@@ -135,8 +135,8 @@ def breakdown(rows: DataFrame) -> DataFrame:
     return rows.select("filename", "brand", F.explode(F.array(*parts)).alias("c")).select("filename", "brand", "c.*")
 
 
-def sanity(rows: DataFrame) -> DataFrame:
-    """A row for each warning about a score that its parameters contradict."""
+def _warned(rows: DataFrame):
+    """``rows`` with facts, and the array of warnings about a score that its parameters contradict."""
     rows, t, f = with_facts(rows)
     b, g = F.coalesce(f["_b"], F.lit(0)), F.coalesce(f["_g0"], F.lit(0))
     s, total = F.col("access_score"), b + g
@@ -153,4 +153,16 @@ def sanity(rows: DataFrame) -> DataFrame:
         "reauth_empty": (t["reauth_required"] == "Yes") & t["reauth_duration"].isin("NA", "N/A", "") & t["reauth_requirements"].isin("NA", "N/A", ""),
     }
     found = F.when(s.isNull(), F.array(F.lit("no_score"))).otherwise(F.array_compact(F.array(*[F.when(c, n) for n, c in checks.items()])))
+    return rows, found
+
+
+def with_sanity(rows: DataFrame) -> DataFrame:
+    """``findings``, the warnings about each row."""
+    rows, found = _warned(rows)
+    return _clean(rows.withColumn("findings", found))
+
+
+def sanity(rows: DataFrame) -> DataFrame:
+    """A row for each warning. The array is exploded where it is made: as a column, its test for emptiness would be pushed down with the whole chain of scores."""
+    rows, found = _warned(rows)
     return rows.select("filename", "brand", "access_score", F.explode(found).alias("finding"))

@@ -550,6 +550,21 @@ def steps_found(src: str) -> str:
   FROM {src} LEFT JOIN ct USING (filename, brand) LEFT JOIN dm USING (filename, brand) LEFT JOIN pq USING (filename, brand) LEFT JOIN re USING (filename, brand)"""
 
 
+def found_of_all() -> str:
+    """What every check finds, in one shape."""
+    base = base_sql()
+    quoted = lambda **d: "'{' || " + " || ',' || ".join(f"'\"{k}\":' || coalesce('\"' || ({v})::VARCHAR || '\"', 'null')" for k, v in sorted(d.items())) + " || '}'"
+    parts = [
+        ("inconsistent", "filename", "NULL", '"column"', quoted(n_values="n_values", spread="spread"), "\"column\" || ' differs between the brands of the file'", base["cross_row_consistency"]),
+        ("drift", "NULL", "brand", '"column"', quoted(value="value", pct="pct", actual_pct="actual_pct"), "\"column\" || ' = ' || value || ' is as common as it shouldn''t be'", base["distribution_drift"]),
+        ("incomplete", "filename", "brand", '"column"', quoted(gap="kind"), "\"column\" || ' is ' || kind", base["completeness"]),
+        ("pair", "filename", "brand", "NULL", quoted(pair="kind"), "'pair is ' || kind", base["expected_vs_actual"]),
+        ("score", "filename", "upper(brand)", "'access_score'", quoted(finding="finding", access_score="access_score"), "finding", base["score_sanity"]),
+        ("rule", "filename", "brand", "NULL", quoted(rule="r"), "'corrected by ' || r", f"SELECT filename, brand, unnest(string_split(violations, ',')) AS r FROM ({base['business_rules']}) WHERE violations <> ''"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{k}' AS kind, {f}::VARCHAR AS filename, {b}::VARCHAR AS brand, {c}::VARCHAR AS \"column\", {d} AS detail, {m} AS message FROM ({q})" for k, f, b, c, d, m, q in parts)
+
+
 def unfolded(src: str, key: str, l: str, no: str, value: str) -> str:
     """A row for each element of the list ``l``."""
     return f"SELECT {key}, (j - 1)::INT AS {no}, l[j] AS {value} FROM (SELECT {key}, l, unnest(range(1, len(l) + 1)) AS j FROM (SELECT {key}, {l} AS l FROM {src}))"
@@ -677,6 +692,9 @@ def more_sql() -> dict[str, str]:
         "safe_keys": "SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand, o_custkey || '_Brand_' || (1 + o_orderkey % 40) AS key FROM orders",
         "split_failed": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars, md5(text) AS text_md5 FROM hv WHERE length(text) <= 700",
         "split_given_up": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars FROM hv WHERE length(text) > 700 AND depth = 3",
+        "findings": found_of_all(),
+        "finding_counts": f"SELECT kind, \"column\", count(*) AS n FROM ({found_of_all()}) GROUP BY 1, 2",
+        "low_confidence": conf + " SELECT filename, brand, llm_estimate, deterministic, level FROM v WHERE level <> 'High'",
         "marked_sections": unfolded("documents", "doc_id", pieces("text", "2000", "\\n[A-Z]"), "ord", "section"),
         "packed_chunks": unfolded("documents", "doc_id", "string_split(list_reduce(string_split(text, chr(10)), lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= 2000 THEN acc || chr(10) || x ELSE acc || chr(1) || x END), chr(1))", "chunk_no", "chunk"),
         "param_snippet": f"WITH fl AS (SELECT doc_id, text, list_filter({SENTENCE_LIST}, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'token') OR contains(lower(x), 'mail')) AS f FROM documents) SELECT doc_id, {within('f', 500)} AS text FROM fl",

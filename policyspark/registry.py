@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from policyspark import packs
 from policyspark.functions import extract, score
 from policyspark.functions import text as T
-from policyspark.operators import context, dictionary, infer, quality, records, report, rules, tiers
+from policyspark.operators import context, dictionary, findings, infer, quality, records, report, rules, tiers
 from policyspark.plans import oracle
 from policyspark.sources import fixtures, tables
 
@@ -35,6 +35,15 @@ def _results(s, d):
     return rules.results(_raw(s, d)).select(*KEYS, "access_score", *P, "violations")
 
 
+def _findings(s, d):
+    """Findings of every check of a run."""
+    rows = rules.results(_raw(s, d))
+    warned = rules.sanity(_scored(s, d)).withColumn("brand", F.upper("brand"))
+    gaps = quality.completeness(_raw(s, d), P)
+    pairs = quality.pair_gaps(_expected_pairs(s, d), fixtures.submissions(s, d))
+    return findings.together(findings.of_consistency(quality.consistency(rows)), findings.of_drift(quality.drift(rows, _expected(s))), findings.of_completeness(gaps), findings.of_pairs(pairs), findings.of_sanity(warned), findings.of_rules(rows))
+
+
 def _tasks_of_orders(s, d, name="Brand#"):
     return fixtures.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("filename"), F.concat(F.lit(name), (1 + F.col("o_orderkey") % 40).cast("string")).alias("brand"))
 
@@ -196,7 +205,10 @@ def queries() -> dict[str, Query]:
         "distribution_drift": lambda s, d: quality.drift(_results(s, d), _expected(s)),
         "completeness": lambda s, d: quality.completeness(_raw(s, d), P),
         "expected_vs_actual": lambda s, d: quality.pair_gaps(_expected_pairs(s, d), fixtures.submissions(s, d)),
-        "run_totals": lambda s, d: report.run_totals(_results(s, d), rules.sanity(_scored(s, d))),
+        "run_totals": lambda s, d: report.run_totals(rules.results(_raw(s, d))),
+        "findings": lambda s, d: _findings(s, d).withColumn("detail", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("detail"))))),
+        "finding_counts": lambda s, d: findings.counts(_findings(s, d)),
+        "low_confidence": lambda s, d: report.not_high(_confidence(s, d)).select(*KEYS, "llm_estimate", "deterministic", "level"),
         "completion_by_file": lambda s, d: report.completion(_tasks_of_orders(s, d), fixtures.records(s, d)),
         "provider_counts": lambda s, d: report.provider_counts(fixtures.records(s, d)),
         "best_record": lambda s, d: records.best_records(fixtures.records(s, d).select(*KEYS).distinct(), fixtures.records(s, d)).select(*KEYS, "pass_name", "provider", *P),

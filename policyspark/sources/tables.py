@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from policyspark import packs
 from policyspark.functions.normalize import strip
 from policyspark.operators import rules
+from policyspark.operators.stages import settle
 
 RECORD = ", ".join(f"{p} string" for p in packs.PARAMS) + ", reasoning string, estimated_access_score string, corrections array<string>"
 
@@ -37,6 +38,44 @@ def stored_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("provider", F.coalesce(F.col("provider").cast("string"), F.lit("")))
 
 
+def _partition_folders(spark: SparkSession, path: str) -> dict[str, tuple]:
+    """Folder of each partition that has rows, and its pass and provider; partitions are few."""
+    read = stored_records(spark, path).select("pass_name", "provider", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder"))
+    return {r["folder"]: (r["pass_name"], r["provider"]) for r in read.distinct().collect()}
+
+
+def _drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def keep_provider(spark: SparkSession, path: str, provider: str) -> list[str]:
+    """A10: drops the partitions of other providers from a store of :func:`write_records`; returns their folders. Other files stay as they are."""
+    gone = [f for f, (_, p) in _partition_folders(spark, path).items() if p != provider]
+    _drop_folders(spark, gone)
+    return gone
+
+
+def drop_stale_validated(spark: SparkSession, path: str, revised: DataFrame) -> list[str]:
+    """A10: drops the validated records of ``revised`` tasks; returns the folders that were written anew or dropped.
+
+    Only partitions that have such records are rewritten, by dynamic overwrite, from a settled copy of what stays.
+    """
+    stale = revised.select("filename", "brand").distinct()
+    old = stored_records(spark, path).where("pass_name = 'validate'")
+    hit = [r[0] for r in old.join(stale, ["filename", "brand"], "left_semi").select("provider").distinct().collect()]
+    if not hit:
+        return []
+    touched = {f: p for f, (n, p) in _partition_folders(spark, path).items() if n == "validate" and p in hit}
+    kept = settle(old.where(F.col("provider").isin(hit)).join(stale, ["filename", "brand"], "left_anti"))
+    left = {r[0] for r in kept.select("provider").distinct().collect()}
+    if left:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pass_name", "provider").parquet(path)
+    _drop_folders(spark, [f for f, p in touched.items() if p not in left])
+    return list(touched)
+
+
 def output_table(rows: DataFrame) -> DataFrame:
     """A5: exact columns in order, stripped, null as ''."""
     named = rows.withColumnsRenamed({"filename": "Filename", "brand": "Brand", "access_score": "Access Score", **packs.PARAM_COLUMNS})
