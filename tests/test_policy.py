@@ -1,5 +1,8 @@
 """Normalisers, rules, scores and merges against expected values written by hand."""
 
+import json
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from policyspark import packs, registry
 from policyspark.functions import extract
 from policyspark.functions import text as T
-from policyspark.operators import context, infer, records, rules, tiers
+from policyspark.operators import context, dictionary, findings, infer, records, rules, tiers
 from policyspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -83,7 +86,7 @@ def test_json_salvage(spark):
     assert got == ["3", "4", "5", None]
 
 
-@pytest.mark.parametrize("name", ["normalized", "best_record", "pending_tasks", "record_diff", "merge_records", "fill_gaps", "page_relevance", "context_pages_adjacent", "sliding_chunks", "topk_chunks", "literature_flag", "connector", "rule_priority_merge", "document_types", "preferred_status", "universal_pages", "section_paragraphs", "param_snippets", "page_tags", "drug_mentions", "rule_extract", "context_sentence", "split_failed", "fallback_chain", "file_brands"])
+@pytest.mark.parametrize("name", ["normalized", "best_record", "pending_tasks", "record_diff", "merge_records", "fill_gaps", "page_relevance", "context_pages_adjacent", "sliding_chunks", "topk_chunks", "literature_flag", "connector", "rule_priority_merge", "document_types", "preferred_status", "universal_pages", "section_paragraphs", "param_snippets", "page_tags", "drug_mentions", "rule_extract", "context_sentence", "split_failed", "file_brands", "section_ranges", "section_rules", "section_requirements", "section_steps", "layout_gate", "step_patterns", "step_analysis", "chunk_rows", "chunk_answers", "two_group_answers", "fallback_chain", "low_yield_retry", "light_validation", "prompts", "param_snippet", "param_snippet_of", "marked_sections", "packed_chunks", "paragraphs", "focused_text", "analysis_blocks", "split_given_up", "findings", "run_totals", "low_confidence"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("orders", "lineitem", "documents"):
@@ -106,12 +109,201 @@ def test_rules_win_for_their_fields_only(spark):
 def test_mentions_and_steps(spark):
     """Every place, and classes by brand; P2: ALL counts two, source and connector reach from the match's ends."""
     text = "Stelara or STELARA, ustekinumab-kfce, amjevita. " + "x" * 40 + " require trial and failure of ALL preferred agents, then nothing. " + "y" * 150
-    r = spark.createDataFrame([(text,)], "t string").select(extract.mentions(F.col("t")).alias("m"), extract.requirements(F.col("t")).alias("q")).first()
-    found = sorted((m["name"], m["classification"]) for m in r["m"])
-    assert found == [("amjevita", "generic"), ("stelara", "branded"), ("stelara", "branded"), ("ustekinumab", "branded"), ("ustekinumab-kfce", "generic")]
-    hit = next(q for q in r["q"] if q["count"] == 2)
+    rows = spark.createDataFrame([("f", "b", text)], "filename string, brand string, text string")
+    found = dictionary.places(rows, dictionary.drug_dim(spark), ["filename"]).collect()
+    assert sorted((m["phrase"], m["classification"]) for m in found) == [("amjevita", "generic"), ("stelara", "branded"), ("stelara", "branded"), ("ustekinumab", "branded"), ("ustekinumab-kfce", "generic")]
+    assert all(text[m["start"] : m["end"]].lower() == m["phrase"] and m["context"] == text[max(0, m["start"] - 100) : m["end"] + 100].strip() for m in found)
+    hit = next(q for q in rows.select(extract.requirements(F.col("text")).alias("q")).first()["q"] if q["count"] == 2)
     at, end = text.index("require trial"), text.index("ALL preferred agents") + len("ALL preferred agents")
-    assert hit["drug_type"] == "branded" and hit["source_text"] == text[at - 50 : end + 100]
+    assert hit["drug_type"] == "branded" and hit["source_text"] == text[at - 50 : end + 100] == text[hit["start"] : hit["end"]]
+
+
+PHRASES = ["pso", "tb test", ">=18", "et al", "coal tar", "adalimumab", "adalimumab-atto", "été", "a", "no such phrase", "n=", "tier 1"]
+PHRASE_TEXTS = ["Psoriasis; TB testing at >=18", "charcoal tar, coal tar and COAL TAR.", "adalimumab-atto xadalimumab", "Smith et al., n=3, ÉTÉ", "", None, "tb  test", "z" * 5000 + " pso " + "tier 12"]
+
+
+@pytest.mark.parametrize("small", [20_000, 3])
+@pytest.mark.parametrize("whole", [False, True])
+def test_phrase_join_equals_brute_force(spark, monkeypatch, small, whole):
+    """Every phrase is tried on every text, for dictionaries that are sent and that are shuffled; entries that share a phrase are found each."""
+    monkeypatch.setattr(dictionary, "SMALL", small)
+    texts = spark.createDataFrame(list(enumerate(PHRASE_TEXTS)), "k int, text string")
+    entries = dictionary.values(spark, "phrase, kind", [(p, k) for p in PHRASES for k in ("x", "y")])
+    got = sorted((r["k"], r["phrase"], r["kind"]) for r in dictionary.phrases_in(texts, entries, ["k"], whole).collect())
+    inside = lambda p, t: re.search(rf"\b{re.escape(p)}\b", t) if whole else p in t
+    assert got == sorted((k, p, kind) for k, t in enumerate(PHRASE_TEXTS) if t for p in PHRASES if inside(p, t.lower()) for kind in "xy")
+
+
+def test_drugs_of_requirements_lie_inside_their_source(spark):
+    """A name outside the interval doesn't count, nor one that the interval's end cuts; a section without steps has a row in the analysis."""
+    near = "humira, enbrel " + "trial of two preferred products with cimzia" + " and" + " word" * 18 + " stelara"
+    rows = spark.createDataFrame([("f", "b", near), ("g", "b", "enbrel only"), ("h", "b", ""), ("i", "b", None)], "filename string, brand string, text string")
+    got = context.requirement_rows(rows).collect()
+    assert [(r["filename"], r["count"], r["drugs"], r["source_text"] == near[r["start"] : r["end"]]) for r in got] == [("f", 2, ["cimzia", "enbrel", "humira"], True)] * 2  # two patterns have these words
+    all_ = {r["filename"]: r for r in context.step_analysis(rows).collect()}
+    assert [(k, all_[k]["confidence"], len(all_[k]["requirements"]), len(all_[k]["drug_mentions"])) for k in "fghi"] == [("f", "high", 2, 4), ("g", "medium", 0, 1), ("h", "low", 0, 0), ("i", "low", 0, 0)]
+    assert "2 branded from humira, enbrel" in all_["f"]["reasoning"] and all_["g"]["reasoning"] == "no pattern, drug mentions: 1"
+
+
+def test_steps_behind_the_universal_text(spark):
+    """Steps of the universal text aren't the section's; positions stay those of the whole text."""
+    shared = "All drugs: trial of three preferred agents is needed. " * 3
+    own = "Inadequate response to one preferred biologic product and methotrexate."
+    rows = spark.createDataFrame([("f", "b", shared + own, shared)], "filename string, brand string, text string, universal_text string")
+    got = context.requirement_rows(rows).collect()
+    assert {r["count"] for r in got} == {1} and all(r["drugs"] == ["methotrexate"] for r in got)
+    assert "universal text apart" in context.step_analysis(rows).first()["reasoning"]
+
+
+def test_sections_of_several_drugs(spark):
+    """Aliases name a section; it ends at the next opener without the name; pages without text count as empty."""
+    pages = ["Index: soriatane", "Products Affected\nSORIATANE\nPrior Authorization Criteria\nAge Restrictions adults", None, "Criteria for acitretin, continued", "Products Affected\nHumira\nCriteria Details", "Drug names: Stelara"]
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(pages)], "filename string, page_num int, text string")
+    tasks = spark.createDataFrame([("f", "Acitretin"), ("f", "STELARA"), ("f", "OTEZLA"), ("g", "STELARA"), ("f", "Acitretin")], "filename string, brand string")
+    got = {r["brand"]: (r["first"], r["last"]) for r in context.section_pages(tasks, rows).collect()}
+    assert got == {"Acitretin": (1, 4), "STELARA": (5, None)}
+    found = context.rules_of_sections(tasks, rows).collect()  # the other section hasn't the layout
+    assert [(r["brand"], r["age"], r["quantity_limits"]) for r in found] == [("Acitretin", "adults Criteria for acitretin, continued", None)]
+
+
+MARKED = ["[Page 1]\nabc" + "x" * 30 + "\n\n[PsO Section | Page 2] d" + "y" * 90 + "\n\n" + "z" * 20 + "\n[Tier 1] e", "no marks\n\nat all\n\n\n" + "w" * 95, "short", "", " \n ", "v" * 130, "[Page 1] a\n\n [Page 2] b"]
+
+
+def test_splitter_loses_nothing(spark):
+    """Pieces fit, and put together they are the text, but for line ends between paragraphs that were taken apart."""
+    got = [r["p"] for r in spark.createDataFrame([(t,) for t in MARKED], "t string").select(T.marked_sections(F.col("t"), packs.CONTEXT_MARK, 40).alias("p")).collect()]
+    for text, pieces in zip(MARKED, got):
+        assert all(len(p) <= 40 for p in pieces)
+        assert re.sub(r"\n{2,}", "", "".join(pieces)).strip() == re.sub(r"\n{2,}", "", text).strip()
+    assert got[-1] == [MARKED[-1]] and got[5] == ["v" * 40] * 3 + ["v" * 10]
+
+
+def test_pieces_of_failed_chunks(spark):
+    """Halves at the last line end near the middle; under 500 characters or after three passes a failure is given up; only failures are asked again."""
+    line = "a" * 301 + "\n" + "b" * 299  # the only line end is near the middle
+    text = "q" * 599 + "\n"  # the only line end is last, out of reach
+    long = "c" * 9000
+    rows = spark.createDataFrame([("f", "b", 0, line), ("g", "b", 0, text + "q"), ("h", "b", 0, long), ("i", "b", 0, "fine")], "filename string, brand string, chunk_no int, text string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(prompts):
+        asked.add(len(prompts))
+        return [infer.TOO_LARGE if len(p) > 400 else json.dumps({"age": str(len(p))}) for p in prompts]
+
+    good, lost = infer.ask_in_pieces(rows, lambda c: c.withColumn("prompt", F.col("text")), call)
+    got = sorted((r["filename"], r["path"], r["age"]) for r in good.collect())
+    assert got == [("f", "a", "301"), ("f", "b", "300"), ("g", "a", "300"), ("g", "b", "301"), ("i", "", "4")]
+    assert sorted((r["filename"], r["path"], r["chars"]) for r in lost.collect()) == [("h", f"{a}{b}{c}", 1125) for a in "ab" for b in "ab" for c in "ab"]
+    assert asked.value == 4 + 6 + 4 + 8  # only the halves of what failed are asked about again
+
+
+def test_stages_get_what_is_left(spark):
+    """U4: each stage is called once, with the tasks that no earlier one answered, and not at all when none are left."""
+    tasks = spark.createDataFrame([(str(i), "STELARA") for i in range(6)], "filename string, brand string")
+    seen = []
+
+    def stage(name, keep):
+        def run(rows):
+            seen.append((name, rows.count()))
+            return rows.where(F.col("filename").cast("int") < keep).select("filename", "brand", *[F.lit(name).alias(p) for p in packs.PARAMS])
+
+        return run
+
+    partly = frame(spark, *[record(filename="5", brand="STELARA", age=">=4")]).replace("NA", None)
+    got, flagged = infer.with_fallback(tasks, {"one": stage("one", 2), "two": stage("two", 4)}, partly)
+    rows = {r["filename"]: r for r in got.collect()}
+    assert seen == [("one", 6), ("two", 4)]
+    assert [rows[str(i)]["stage"] for i in range(6)] == ["one", "one", "two", "two", "defaults", "defaults"]
+    assert (rows["4"]["age"], rows["5"]["age"], rows["5"]["steps_through_generic"]) == (">=6", ">=4", "1")
+    assert sorted(r["filename"] for r in flagged.collect()) == ["4", "5"]
+    seen.clear()
+    infer.with_fallback(tasks, {"one": stage("one", 9), "two": stage("two", 9)})
+    assert [n for n, _ in seen] == ["one"]
+
+
+def test_low_yield_conditions(spark):
+    """Few real parameters, a text that fits, and another text than was read; spellings that only a merge takes for missing stay."""
+    rows = frame(spark, record(filename="a"), record(filename="b"), record(filename="c"), record(filename="d", age="not specified"))
+    texts = spark.createDataFrame([("a", "TREMFYA", "whole", "part"), ("b", "TREMFYA", "whole", "whole"), ("c", "TREMFYA", "w" * 99, "part"), ("d", "TREMFYA", "whole", "part")], "filename string, brand string, text string, focused string")
+    again = lambda left: left.select("filename", "brand", *[F.lit("new").alias(p) for p in packs.PARAMS])
+    got = {r["filename"]: r for r in infer.retry_low_yield(rows, texts, again, most=50).collect()}
+    assert [got[k]["age"] for k in "abcd"] == ["new", "NA", "NA", "not specified"] and got["d"]["tb_test_required"] == "new"
+
+
+def test_light_validation_reads_requirements(spark):
+    """A stated requirement sets the flag, and No or Unspecified are stated durations."""
+    rows = frame(spark, record(filename="a", reauth_requirements="Chart notes"), record(filename="b", reauth_duration="No"), record(filename="c", reauth_required="Yes"), record(filename="d"))
+    got = {r["filename"]: (r["reauth_required"], r["reauth_duration"], r["corrections"]) for r in rules.light_validation(rows).collect()}
+    assert got == {"a": ("Yes", "NA", ["reauth_required"]), "b": ("Yes", "No", ["reauth_required"]), "c": ("Yes", "Unspecified", ["reauth_duration"]), "d": ("NA", "NA", [])}
+
+
+def test_reauthorisation_sentences_and_snippets(spark):
+    """Lines and sentences of any length; S10: the brand alone counts."""
+    text = "Continued approval needs a note. Other.\nRenewal: yes\nNothing about BRANDX here. tail"
+    r = spark.createDataFrame([(text,)], "t string").select(context.reauth_sentences(F.col("t")).alias("a"), T.param_snippet(F.col("t"), "tb_test_required", 500, F.lit("brandx")).alias("b"), T.param_snippet(F.col("t"), "reauth_requirements", 10, F.lit("brandx")).alias("c")).first()
+    assert r["a"] == "Continued approval needs a note.\nRenewal: yes"
+    assert r["b"] == "Nothing about BRANDX here." and r["c"] == text[:10]
+
+
+def test_examples_and_hints(spark):
+    """Reasoning always goes, and only three fields are cut, in compact prompts only."""
+    long = "v" * 100
+    out = {"age": F.lit(long), "quantity_limits": F.lit(long), "age_reasoning": F.lit("why")}
+    r = spark.range(1).select(infer.example_text(out, True).alias("a"), infer.example_text(out).alias("b"), infer.examples_text([("d", "s", out)]).alias("c"), infer.field_hints({"age": "how old", "tb": "a test"}, F.array(F.lit("tb"))).alias("h")).first()
+    assert json.loads(r["a"]) == {"age": long, "quantity_limits": "v" * 77 + "..."} and json.loads(r["b"]) == {"age": long, "quantity_limits": long}
+    assert "Context: s" in r["c"] and r["h"] == "- tb: a test"
+
+
+def test_retention_touches_only_its_partitions(spark, tmp_path):
+    """A10: dropping a provider, or stale validated records, leaves the files of other partitions as they are."""
+    path = str(tmp_path / "store")
+    rows = None
+    for name, provider in (("extract", "a"), ("extract", "b"), ("validate", "a"), ("validate", "b"), ("validate", "")):
+        part = frame(spark, record(filename="f"), record(filename="g")).selectExpr("*", f"'{name}' AS pass_name", f"'{provider}' AS provider")
+        rows = part if rows is None else rows.unionByName(part)
+    tables.write_records(rows, path)
+    files = lambda: {(f.parent.parent.name, f.parent.name, f.name) for f in (tmp_path / "store").glob("*/*/*.parquet")}
+    before = files()
+    revised = spark.createDataFrame([("f", "TREMFYA")], "filename string, brand string").withColumn("n", F.lit(1))
+    assert len(tables.drop_stale_validated(spark, path, revised)) == 3
+    after = files()
+    assert {x for x in before if x[0] == "pass_name=extract"} == {x for x in after if x[0] == "pass_name=extract"}
+    left = tables.stored_records(spark, path)
+    assert sorted(r["filename"] for r in left.where("pass_name = 'validate'").collect()) == ["g"] * 3 and left.count() == 7
+    assert tables.drop_stale_validated(spark, path, revised) == []
+    assert len(tables.drop_stale_validated(spark, path, revised.withColumn("filename", F.lit("g")))) == 3
+    assert {x[0] for x in files()} == {"pass_name=extract"}
+    assert len(tables.keep_provider(spark, path, "b")) == 1
+    assert files() == {x for x in before if x[:2] == ("pass_name=extract", "provider=b")}
+
+
+def test_tasks_records_and_prompts_as_files(spark, tmp_path):
+    """A1: blank rows go, repeats stay in order; A3: broken records are missing; A9: prompts come back."""
+    (tmp_path / "t.csv").write_text("filename,brand\n a ,B\n,B\nc,\na,B\n")
+    got = tables.read_tasks(spark, str(tmp_path / "t.csv")).orderBy("row_no").collect()
+    assert [(r["filename"], r["brand"]) for r in got] == [("a", "B"), ("a", "B")]
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('{"age": 6, "corrections": ["x"]}')
+    (tmp_path / "json" / "b.json").write_text('{"age": ')
+    read = tables.read_records(spark, str(tmp_path / "json")).collect()
+    assert [(r["age"], r["corrections"], r["file"]) for r in read] == [("6", ["x"], "a.json")]
+    prompts = spark.createDataFrame([("f", "b", "p")], "filename string, brand string, prompt string")
+    tables.write_prompts(prompts, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).collect() == prompts.collect()
+
+
+def test_results_are_counted_while_written(spark, tmp_path):
+    rows = rules.results(frame(spark, record(reauth_requirements="Chart notes"), record(filename="g")))
+    totals = findings.write_results_counted(rows, str(tmp_path / "o"))
+    assert totals == {"n_rows": 2, "n_fixes": sum(len(r["violations"]) for r in rows.collect()), "n_unscored": 0, "n_findings": sum(len(r["findings"]) for r in rows.collect())}
+    assert tables.read_results(spark, str(tmp_path / "o")).count() == 2
+
+
+def test_packing_of_lines(spark):
+    """E7 on empty lists, one long part and empty parts."""
+    rows = [([],), (["a" * 9],), (["", "", "b"],), (["aa", "bb", "cc"],)]
+    got = [r["p"] for r in spark.createDataFrame(rows, "p array<string>").select(T.packed(F.col("p"), 5, "\n").alias("p")).collect()]
+    assert got == [[], ["a" * 9], ["\n\nb"], ["aa\nbb", "cc"]]
 
 
 def test_findings_of_an_empty_run_clear_it(spark, tmp_path):
