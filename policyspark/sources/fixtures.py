@@ -62,10 +62,15 @@ def brand(key: str):
     return F.concat(F.lit("Brand#"), F.expr(f"cast(1 + {key} % 25 as string)"))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by task. The number of partitions is given, since the rows are few bytes but much work each: by size alone they would come together in one or two tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "filename", "brand")
+
+
 def raw_params(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """One record for each (filename, brand): that of the lowest order key."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("filename"), brand("o_orderkey").alias("brand"), "o_orderkey")
-    low = orders.groupBy("filename", "brand").agg(F.min("o_orderkey").alias("k"))
+    low = keyed(orders).groupBy("filename", "brand").agg(F.min("o_orderkey").alias("k"))
     return low.select("filename", "brand", (F.col("k") % 120 - 5).alias("e"), "k", (F.col("k") + shift).alias("w")).select(
         "filename", "brand", F.when(F.col("k") % 11 != 0, F.col("e").cast("int")).alias("estimated_access_score"), *picked("w"))
 
@@ -76,7 +81,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("filename"), brand("o_orderkey").alias("brand"), "o_orderkey",
         F.when(F.col("o_orderkey") % 4 == 0, "validate").otherwise("extract").alias("pass_name"),
         F.when(F.col("o_orderkey") % 3 == 0, "groq").when(F.col("o_orderkey") % 3 == 1, "groq-optimized").otherwise("").alias("provider"))
-    low = o.groupBy("filename", "brand", "pass_name", "provider").agg(F.min("o_orderkey").alias("w"))
+    low = keyed(o).groupBy("filename", "brand", "pass_name", "provider").agg(F.min("o_orderkey").alias("w"))
     return low.select("filename", "brand", "pass_name", "provider", *picked("w"))
 
 
@@ -88,7 +93,7 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     no = F.row_number().over(Window.partitionBy("filename", "brand").orderBy("o_orderkey", "l_linenumber")) - 1
-    return rows.select("filename", "brand", no.alias("chunk_no"), F.concat(F.lit("r"), F.col("w").cast("string")).alias("reasoning"), *picked("w"))
+    return keyed(rows).select("filename", "brand", no.alias("chunk_no"), F.concat(F.lit("r"), F.col("w").cast("string")).alias("reasoning"), *picked("w"))
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
