@@ -550,6 +550,41 @@ def steps_found(src: str) -> str:
   FROM {src} LEFT JOIN ct USING (filename, brand) LEFT JOIN dm USING (filename, brand) LEFT JOIN pq USING (filename, brand) LEFT JOIN re USING (filename, brand)"""
 
 
+def packages(level: str, clean: str) -> str:
+    """Contexts of tasks put together from the rows of their level; ``clean`` cleans ``text``."""
+    nl, rule = "chr(10)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
+    two = f"{nl} || {nl}"
+    bare = "trim({}, ' ' || chr(9) || chr(10) || chr(13))".format
+    late = " OR ".join(f"regexp_matches(lower(text), {lit(p)})" for p in [*packs.UNIVERSAL_PATTERNS, *packs.TIER_PATTERNS])
+    shared = f"""{boundary()}, up AS (SELECT filename, page_num, {bare('text')} AS t FROM wp JOIN bd USING (filename) JOIN dt USING (filename) WHERE document_type = 'multi-drug' AND ((page_num < boundary AND {bare('text')} <> '') OR (page_num >= boundary AND ({late})))),
+  ut AS (SELECT filename, string_agg('[Universal | Page ' || (page_num + 1) || ']' || {nl} || t, {two} ORDER BY page_num) AS universal_text FROM up GROUP BY 1), ps AS (WITH {preferred()})"""
+    if level == "page":
+        renew, disease = has("low", packs.REAUTH_WORDS), has("low", packs.PAGE_KEYWORDS["disease"][0])
+        own = lambda name, where, order: f"{name} AS (SELECT filename, brand, string_agg('[Page ' || (page_num + 1) || ']' || {nl} || {bare('text')}, {two} ORDER BY {order}) AS v FROM ti WHERE {where} GROUP BY 1, 2)"
+        body = f"""{tags()}, {own('se', "included AND tag IN ('relevant', 'context')", 'page_num')}, {own('re', f'{renew} AND (included OR {disease})', '(NOT included)::INT, page_num')}, {own('li', f"included AND {has('low', packs.LIMIT_PHRASES)}", 'page_num')},
+  fu AS (SELECT filename, brand, string_agg('[Page ' || (page_num + 1) || ' | Tag: ' || tag || ']' || {nl} || {bare('text')}, {rule} ORDER BY page_num) AS v, count(*) AS used FROM ti WHERE included GROUP BY 1, 2),
+  pk_ AS (SELECT wt.filename, wt.brand, coalesce(universal_text, '') AS universal_text, coalesce(se.v, '') AS section_text, coalesce(re.v, '') AS reauthorization_text, coalesce(li.v, '') AS quantity_limit_text, coalesce(fu.v, '') AS text, coalesce(used, 0) AS pages_used FROM wt LEFT JOIN ut USING (filename) LEFT JOIN se USING (filename, brand) LEFT JOIN re USING (filename, brand) LEFT JOIN li USING (filename, brand) LEFT JOIN fu USING (filename, brand))"""
+    elif level == "paragraph":
+        body = f"""{paras()}, se AS (SELECT filename, brand, string_agg('[Page ' || (page_num + 1) || ']' || {nl} || para, {two} ORDER BY page_num, ord) AS v, count(DISTINCT page_num) AS used FROM pk WHERE good GROUP BY 1, 2),
+  pk_ AS (SELECT filename, brand, coalesce(universal_text, '') AS universal_text, coalesce(v, '') AS section_text, '' AS reauthorization_text, '' AS quantity_limit_text, array_to_string([x FOR x IN [coalesce(universal_text, ''), coalesce(v, '')] IF x <> ''], {rule}) AS text, coalesce(used, 0) AS pages_used FROM wt LEFT JOIN ut USING (filename) LEFT JOIN se USING (filename, brand))"""
+    else:
+        order = "CASE param " + " ".join(f"WHEN '{p}' THEN {k}" for k, p in enumerate(packs.PARAM_KEYWORDS)) + " END"
+        body = f"""{paras()}, q AS (SELECT pk.*, {signal('pl')} AS sig, bool_or(good) OVER (PARTITION BY pk.filename, pk.brand) AS found FROM pk JOIN dt USING (filename) WHERE document_type <> 'single-drug'),
+  sr AS (SELECT filename, brand, page_num, ord, para FROM q WHERE CASE WHEN found THEN good ELSE sig END UNION ALL SELECT filename, brand, page_num, 0, {bare('text')} FROM tp JOIN dt USING (filename) WHERE document_type = 'single-drug' AND {bare('text')} <> ''),
+  sn AS (WITH kp0 AS (SELECT 1), {snippets().replace('ANTI JOIN (SELECT * FROM pk WHERE good) k', 'ANTI JOIN sr k')}),
+  se AS (SELECT filename, brand, string_agg('[PsO Section | Page ' || (page_num + 1) || ']' || {nl} || para, {two} ORDER BY page_num, ord) AS v FROM sr GROUP BY 1, 2),
+  l1 AS (SELECT filename, brand, param, string_agg('  - ' || snippet, {nl} ORDER BY page_num, sent) AS lines FROM sn GROUP BY 1, 2, 3),
+  l2 AS (SELECT filename, brand, '[PARAMETER-SPECIFIC SNIPPETS]' || {nl} || string_agg('[' || upper(replace(param, '_', ' ')) || ']' || {nl} || lines, {two} ORDER BY {order}) AS shown FROM l1 GROUP BY 1, 2),
+  us AS (SELECT filename, brand, count(*) AS used FROM (SELECT filename, brand, page_num FROM sr UNION SELECT filename, brand, page_num FROM wt JOIN up USING (filename) JOIN dt USING (filename) WHERE document_type <> 'single-drug' AND n_pages > 10) GROUP BY 1, 2),
+  pk_ AS (SELECT wt.filename, wt.brand, coalesce(universal_text, '') AS universal_text, coalesce(v, '') AS section_text, '' AS reauthorization_text, '' AS quantity_limit_text, array_to_string([x FOR x IN [coalesce(universal_text, ''), coalesce(v, ''), coalesce(shown, '')] IF x <> ''], {rule}) AS text,
+    CASE WHEN used IS NULL AND (document_type = 'single-drug' OR n_pages <= 10) THEN n_pages ELSE coalesce(used, 0) END AS pages_used FROM wt JOIN dt USING (filename) LEFT JOIN ut USING (filename) LEFT JOIN se USING (filename, brand) LEFT JOIN l2 USING (filename, brand) LEFT JOIN us USING (filename, brand))"""
+    return worded() + f""", {shared}, {body} SELECT pk_.filename, pk_.brand, document_type, preferred_status, n_pages AS total_pages, pages_used, universal_text, section_text, reauthorization_text, quantity_limit_text, {clean} AS full_text FROM pk_ JOIN dt USING (filename) JOIN ps USING (filename, brand)"""
+
+
+def study_texts() -> str:
+    return "sx AS (SELECT 'd' || o_orderkey AS filename, CASE WHEN o_orderkey % 5 = 0 THEN 'STELARA' ELSE 'OTEZLA' END AS brand, CASE WHEN o_orderkey % 5 = 0 THEN 'stelara' ELSE 'otezla' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'ustekinumab' ELSE 'apremilast' END AS g, repeat('A randomized study. ', (o_orderkey % 9)::INT) || repeat('The criteria hold. ', (o_orderkey % 4)::INT) || CASE WHEN o_orderkey % 7 = 0 THEN 'Apremilast, et al (2019)' ELSE 'A cohort.' END AS text FROM orders)"
+
+
 def found_of_all() -> str:
     """What every check finds, in one shape."""
     base = base_sql()
@@ -692,6 +727,11 @@ def more_sql() -> dict[str, str]:
         "safe_keys": "SELECT DISTINCT o_custkey::VARCHAR AS filename, 'Brand#' || (1 + o_orderkey % 40) AS brand, o_custkey || '_Brand_' || (1 + o_orderkey % 40) AS key FROM orders",
         "split_failed": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars, md5(text) AS text_md5 FROM hv WHERE length(text) <= 700",
         "split_given_up": f"WITH RECURSIVE hv AS {halved('documents', 'doc_id', 'length(text) > 700')} SELECT doc_id, path, length(text)::INT AS chars FROM hv WHERE length(text) > 700 AND depth = 3",
+        "context_package_page": packages("page", clean),
+        "context_package_paragraph": packages("paragraph", clean),
+        "context_package_sentence": packages("sentence", clean),
+        "dry_run_by_type": f"SELECT document_type, preferred_status, count(*) AS n_tasks, sum(length(full_text))::BIGINT AS chars, (sum(length(full_text)) // 4)::BIGINT AS tokens FROM ({packages('paragraph', clean)}) GROUP BY 1, 2",
+        "studies": f"WITH {study_texts()} SELECT filename, brand, {study('text')} AS study FROM sx",
         "findings": found_of_all(),
         "finding_counts": f"SELECT kind, \"column\", count(*) AS n FROM ({found_of_all()}) GROUP BY 1, 2",
         "low_confidence": conf + " SELECT filename, brand, llm_estimate, deterministic, level FROM v WHERE level <> 'High'",

@@ -237,6 +237,7 @@ def queries() -> dict[str, Query]:
         "universal_boundary": lambda s, d: context.universal_boundary(fixtures.worded_pages(s, d)),
         "section_span": lambda s, d: context.section_span(context.task_pages(fixtures.submissions(s, d), fixtures.policy_pages(s, d)), F.contains("low", F.lit("the")), F.contains("low", F.lit("license"))).select(*KEYS, "page_num"),
         "literature_flag": lambda s, d: _docs(s, d).select("doc_id", T.count_all(F.lower("text"), packs.STUDY_PATTERNS).cast("long").alias("n_study"), T.count_all(F.lower("text"), packs.POLICY_PATTERNS).cast("long").alias("n_policy")),
+        "studies": lambda s, d: fixtures.study_texts(s, d).select(*KEYS, T.is_literature(F.col("text"), F.col("brand"), context.generic_of(F.col("brand"))).alias("study")),
         "connector": lambda s, d: _docs(s, d).select("doc_id", T.connector(F.col("text")).alias("connector")),
         "token_budget": lambda s, d: _docs(s, d).select("doc_id", T.context_chars(F.length("text"), 6000, 2000).alias("chars")),
         "sliding_chunks": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(T.sliding_chunks(F.col("text"))).alias("chunk_no", "chunk")),

@@ -142,6 +142,13 @@ def section_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in SECTION_BRANDS])))
 
 
+def study_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each order with more or fewer words of studies and of policies, some naming the task's drug."""
+    key = F.col("o_orderkey")
+    text = F.concat(F.expr("repeat('A randomized study. ', cast(o_orderkey % 9 as int))"), F.expr("repeat('The criteria hold. ', cast(o_orderkey % 4 as int))"), F.when(key % 7 == 0, "Apremilast, et al (2019)").otherwise("A cohort."))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("d"), key.cast("string")).alias("filename"), F.when(key % 5 == 0, "STELARA").otherwise("OTEZLA").alias("brand"), text.alias("text"))
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of two tasks a document: its first pages under their marks, fewer or more by document, and a universal text for every third."""
     k = F.substring("filename", 2, 9).cast("int")
