@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from policyspark.llm.common import materialize, shuffle_partitions, text_or_empty
+from policyspark.llm.common import discard, materialize, shuffle_partitions, text_or_empty
 
 #: Chance (one in ...) with which a subset holds a term, and how many subsets have it.
 RATES = ((8, 8), (32, 12), (128, 12))
@@ -38,11 +38,13 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """One row with ``terms``: the sorted hashes of all terms in the band, counted over distinct texts."""
     text = text_or_empty()
     docs = docs.select(text.alias("text")).groupBy(F.sha2(text.cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text"))
-    docs = materialize(docs.select(term_hashes(F.col("text")).alias("own")), "distinct")
-    n = docs.count()
-    terms = docs.select(F.explode("own").alias("term"))
+    distinct = materialize(docs.select(term_hashes(F.col("text")).alias("own")), "distinct")
+    n = distinct.count()
+    terms = distinct.select(F.explode("own").alias("term"))
     band = terms.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= max(2, low * n)) & (F.col("df") <= high * n))
-    return band.agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    found = materialize(band.agg(F.array_sort(F.collect_list("term")).alias("terms")), "lexicon")
+    discard(distinct)
+    return found
 
 
 def within(text: Column, terms: Column) -> Column:
@@ -116,7 +118,7 @@ def imatch(docs: DataFrame) -> DataFrame:
     table gives an empty result; other columns are ignored.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("key"), text_or_empty().alias("text"))
-    terms = materialize(lexicon(docs), "lexicon").scalar()
+    terms = lexicon(docs).scalar()
     order = following(base)
     starts = base.join(order.select(F.col("next_key").alias("key"), F.col("key").alias("for_key"), "need"), "key")
     starts = starts.select("for_key", F.substring("text", F.lit(1), F.col("need")).alias("start")).groupBy("for_key").agg(F.min("start").alias("start"))
