@@ -16,6 +16,7 @@ from policyspark import packs
 from policyspark.functions import text as T
 from policyspark.functions.normalize import any_in, strip
 from policyspark.operators.context import TASK, document_types, generic_of, preferred_status, scored_pages, task_pages, universal_boundary
+from policyspark.operators.stages import settle
 
 PLACE = [*TASK, "page_num"]
 RULE = "\n\n---\n\n"
@@ -41,14 +42,19 @@ def _joined(mark: str, text: str, order: list[str], glue: str = "\n\n") -> Colum
     return F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["piece"]), glue)
 
 
-def universal_pages(pages: DataFrame) -> DataFrame:
+def _kinds(pages: DataFrame, kinds: DataFrame | None) -> DataFrame:
+    """The types of the documents, unless the caller has them already: they take a scan of all texts."""
+    return document_types(pages) if kinds is None else kinds
+
+
+def universal_pages(pages: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """S13k: filename, page_num, text of the pages that hold for all drugs of a multi-drug document.
 
     The pages before the first drug's section, and later ones under a universal
     header or a rule for non-preferred drugs. Documents of other types have none.
     """
-    kinds = document_types(pages).where("document_type = 'multi-drug'").select("filename")
-    rows = pages.join(kinds, "filename", "left_semi").join(universal_boundary(pages), "filename")
+    multi = _kinds(pages, kinds).where("document_type = 'multi-drug'").select("filename")
+    rows = pages.join(multi, "filename", "left_semi").join(universal_boundary(pages), "filename")
     low = F.lower("text")
     early = (F.col("page_num") < F.col("boundary")) & (strip(F.col("text")) != "")
     late = (F.col("page_num") >= F.col("boundary")) & _any_like(low, [*packs.UNIVERSAL_PATTERNS, *packs.TIER_PATTERNS])
@@ -70,12 +76,12 @@ def paragraph_rows(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     return _paragraphs(task_pages(tasks, pages)).where("good").select(*PLACE, "ord", "para")
 
 
-def section_rows(tasks: DataFrame, pages: DataFrame) -> DataFrame:
+def section_rows(tasks: DataFrame, pages: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """S13l: the paragraphs of :func:`paragraph_rows`, or where a task has none, those with the signal.
 
     Single-drug documents keep all their pages, as one paragraph each.
     """
-    rows = task_pages(tasks, pages).join(document_types(pages).select("filename", "document_type"), "filename")
+    rows = task_pages(tasks, pages).join(_kinds(pages, kinds).select("filename", "document_type"), "filename")
     own = rows.where("document_type = 'single-drug'").select(*PLACE, F.lit(0).alias("ord"), strip(F.col("text")).alias("para")).where("para <> ''")
     paras = _paragraphs(rows.where("document_type <> 'single-drug'"))
     some = F.max("good").over(Window.partitionBy(*TASK))
@@ -83,15 +89,15 @@ def section_rows(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     return own.unionByName(kept.select(*PLACE, "ord", "para"))
 
 
-def snippet_rows(tasks: DataFrame, pages: DataFrame, section: DataFrame, per_param: int = 5) -> DataFrame:
+def snippet_rows(tasks: DataFrame, pages: DataFrame, section: DataFrame, per_param: int = 5, kinds: DataFrame | None = None) -> DataFrame:
     """S13m, E3, E6, F6: sentences with a parameter's words from pages outside the section, with their neighbours.
 
     Single-drug documents and those of at most ten pages have none. Of snippets
     that begin with the same 100 characters the first in the order of page,
     parameter and sentence counts; then each parameter keeps its first five.
     """
-    kinds = document_types(pages).where("document_type <> 'single-drug' and n_pages > 10").select("filename")
-    rows = task_pages(tasks, pages).join(kinds, "filename", "left_semi").join(section.select(*PLACE), PLACE, "left_anti")
+    long = _kinds(pages, kinds).where("document_type <> 'single-drug' and n_pages > 10").select("filename")
+    rows = task_pages(tasks, pages).join(long, "filename", "left_semi").join(section.select(*PLACE), PLACE, "left_anti")
     rows = rows.where((_named(F.col("low")) | T.has_signal(F.col("low"))) & ~_study(F.col("text")))
     sents = rows.select(*PLACE, T.sentences(F.col("text")).alias("all")).select(*PLACE, "all", F.posexplode("all").alias("sent", "s"))
     low = F.lower("s")
@@ -105,7 +111,7 @@ def snippet_rows(tasks: DataFrame, pages: DataFrame, section: DataFrame, per_par
     return found.withColumn("n", place).where(F.col("n") <= per_param).select(*PLACE, "param", "sent", "snippet", "ord", "n")
 
 
-def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0) -> DataFrame:
+def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0, kinds: DataFrame | None = None) -> DataFrame:
     """S13h: each page's tag, score and whether it is part of the context.
 
     Relevant pages; pages with universal words; pages right beside a relevant
@@ -116,7 +122,7 @@ def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0) -> DataFra
     """
     whole = Window.partitionBy(*TASK)
     near = whole.orderBy("page_num")
-    rows = scored_pages(tasks, pages).join(document_types(pages).select("filename", "document_type", "n_pages"), "filename")
+    rows = scored_pages(tasks, pages).join(_kinds(pages, kinds).select("filename", "document_type", "n_pages"), "filename")
     firm = (F.col("n_pages") <= 50) | F.array_contains("categories", "disease") | F.array_contains("categories", "target_brand")
     rows = rows.withColumn("hit", F.col("relevance") >= least).withColumn("kept", F.col("hit") & firm)
     rows = rows.withColumn("universal", ~F.col("hit") & F.array_contains("categories", "universal"))
@@ -158,14 +164,17 @@ def context_package(tasks: DataFrame, pages: DataFrame, level: str = "sentence")
     filename, brand, document_type, preferred_status, total_pages, pages_used,
     universal_text, section_text, reauthorization_text, quantity_limit_text,
     full_text (cleaned).
+
+    What several parts are made of (the documents' types, universal pages, tags or section) is settled once, as short rows.
     """
-    universal = universal_pages(pages)
+    kinds = settle(document_types(pages))
+    universal = settle(universal_pages(pages, kinds))
     by_file = universal.groupBy("filename").agg(_joined("concat('[Universal | Page ', page_num + 1, ']')", "text", ["page_num"]).alias("universal_text"))
-    about = document_types(pages).select("filename", "document_type", F.col("n_pages").alias("total_pages"))
+    about = kinds.select("filename", "document_type", F.col("n_pages").alias("total_pages"))
     tasks = tasks.select(*TASK).distinct().join(about.select("filename"), "filename", "left_semi")
     empty = {"reauthorization_text": F.lit(""), "quantity_limit_text": F.lit("")}
     if level == "page":
-        tags = page_tags(tasks, pages)
+        tags = settle(page_tags(tasks, pages, kinds=kinds))
         own, mark = tags.where("included").withColumn("text", strip(F.col("text"))), "concat('[Page ', page_num + 1, ']')"
         parts = {
             "universal_text": by_file,
@@ -176,14 +185,14 @@ def context_package(tasks: DataFrame, pages: DataFrame, level: str = "sentence")
         }
         rows, used = _texts(tasks, parts), own.select(*PLACE)
     elif level == "paragraph":
-        section = paragraph_rows(tasks, pages)
+        section = settle(paragraph_rows(tasks, pages))
         mark = "concat('[Page ', page_num + 1, ']')"
         parts = {"universal_text": by_file, "section_text": section.groupBy(*TASK).agg(_joined(mark, "para", ["page_num", "ord"]).alias("section_text"))}
         rows = _texts(tasks, parts).withColumns(empty).withColumn("full_text", F.array_join(F.filter(F.array("universal_text", "section_text"), lambda x: x != ""), RULE))
         used = section.select(*PLACE).distinct()
     elif level == "sentence":
-        section = section_rows(tasks, pages)
-        snippets = snippet_rows(tasks, pages, section)
+        section = settle(section_rows(tasks, pages, kinds))
+        snippets = snippet_rows(tasks, pages, section, kinds=kinds)
         line = snippets.groupBy(*TASK, "param", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "snippet"))), lambda x: F.concat(F.lit("  - "), x["snippet"])), "\n").alias("lines"))
         third = line.groupBy(*TASK).agg(_joined("concat('[', upper(replace(param, '_', ' ')), ']')", "lines", ["ord"]).alias("snippet_text"))
         parts = {"universal_text": by_file, "section_text": section.groupBy(*TASK).agg(_joined("concat('[PsO Section | Page ', page_num + 1, ']')", "para", ["page_num", "ord"]).alias("section_text")), "snippet_text": third}
