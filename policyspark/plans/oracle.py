@@ -585,6 +585,18 @@ def study_texts() -> str:
     return "sx AS (SELECT 'd' || o_orderkey AS filename, CASE WHEN o_orderkey % 5 = 0 THEN 'STELARA' ELSE 'OTEZLA' END AS brand, CASE WHEN o_orderkey % 5 = 0 THEN 'stelara' ELSE 'otezla' END AS b, CASE WHEN o_orderkey % 5 = 0 THEN 'ustekinumab' ELSE 'apremilast' END AS g, repeat('A randomized study. ', (o_orderkey % 9)::INT) || repeat('The criteria hold. ', (o_orderkey % 4)::INT) || CASE WHEN o_orderkey % 7 = 0 THEN 'Apremilast, et al (2019)' ELSE 'A cohort.' END AS text FROM orders)"
 
 
+def brand_sections(name: str = "license", size: int = 2400, small: int = 1000) -> str:
+    """The part of each document that is about a name, by the first way that finds one."""
+    places = lambda w: f"list_transform(range(1, len(string_split(low, {lit(w)}))), lambda j: list_sum(list_transform(string_split(low, {lit(w)})[1:j], lambda x: length(x))) + (j - 1) * {len(w)})"
+    said = ", ".join(f"nullif(strpos(low, {lit(p.format(name))}), 0) - 1" for p in packs.APPROVAL_PHRASES)
+    near = f"lambda x: contains(substring(low, (greatest(x - 3000, 0) + 1)::INT, least(x, 3000)::INT), {lit(name)}) OR contains(substring(low, (x + 1)::INT, 3000), {lit(name)})"
+    marks = ", ".join(f"list_filter({places(m)}, {near})[1]" for m in packs.CRITERIA_MARKS)
+    around = f"substring(low, (greatest(x - 1000, 0) + 1)::INT, (x - greatest(x - 1000, 0) + {len(name)} + 1000)::INT)"
+    named = f"list_filter({places(name)}, lambda x: {has(around, packs.NEAR_WORDS)})[1]"
+    return f"""WITH a AS (SELECT doc_id, text, lower(text) AS low FROM documents), b AS (SELECT doc_id, text, coalesce(greatest(coalesce({said}) - 500, 0), greatest(coalesce({marks}) - 500, 0), greatest({named} - 1000, 0), nullif(strpos(low, '[pso section'), 0) - 1, 0) AS start FROM a WHERE length(text) > {small})
+  SELECT doc_id, substring(text, (start + 1)::INT, {size}) AS section FROM b UNION ALL SELECT doc_id, text FROM documents WHERE length(text) <= {small}"""
+
+
 def found_of_all() -> str:
     """What every check finds, in one shape."""
     base = base_sql()
@@ -731,6 +743,9 @@ def more_sql() -> dict[str, str]:
         "context_package_paragraph": packages("paragraph", clean),
         "context_package_sentence": packages("sentence", clean),
         "dry_run_by_type": f"SELECT document_type, preferred_status, count(*) AS n_tasks, sum(length(full_text))::BIGINT AS chars, (sum(length(full_text)) // 4)::BIGINT AS tokens FROM ({packages('paragraph', clean)}) GROUP BY 1, 2",
+        "brand_section": brand_sections(),
+        "brand_window": "WITH a AS (SELECT doc_id, text, lower(text) AS low FROM documents) SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE substring(text, (CASE WHEN regexp_matches(low, '(?m)^\\s*license') THEN length(regexp_extract(low, '(?ms)\\A(.*?)^\\s*license', 1)) + 1 ELSE greatest(strpos(low, 'license'), 1) END)::INT, 2000) END AS text FROM a",
+        "context_page": base_sql()["context_pages_adjacent"].replace("SELECT filename, brand, page_num, CASE WHEN ok", "SELECT filename, brand, page_num, text AS t, CASE WHEN ok").replace("WITH ", "WITH tg0 AS (WITH ", 1) + f"), jo AS (SELECT filename, brand, count(*) AS total_pages, count(*) FILTER (WHERE tag <> 'irrelevant') AS pages_used, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page_num) FILTER (WHERE tag <> 'irrelevant'), '') AS text FROM tg0 GROUP BY 1, 2) SELECT filename, brand, total_pages, pages_used, {clean} AS text FROM jo",
         "studies": f"WITH {study_texts()} SELECT filename, brand, {study('text')} AS study FROM sx",
         "findings": found_of_all(),
         "finding_counts": f"SELECT kind, \"column\", count(*) AS n FROM ({found_of_all()}) GROUP BY 1, 2",
