@@ -20,6 +20,8 @@ from policyspark.functions.normalize import strip
 
 #: Phrases of a dictionary up to which it is sent to every task; larger ones are shuffled by anchor.
 SMALL = 20_000
+#: Phrases that are looked for one by one: so few cost less than a text's cutting into letters, with the same result.
+FEW = 200
 GRAM = 3
 
 
@@ -88,7 +90,12 @@ def phrases_in(texts: DataFrame, dictionary: DataFrame, keys: list[str], whole:
     entries = dictionary.where("phrase is not null and phrase <> ''").withColumn("_anchor", F.coalesce(word if whole else F.substring(word, 1, GRAM), F.lit("")))
     found = stands_as_word(low, F.col("phrase")) if whole else F.contains(low, F.col("phrase"))
     cut = texts.where("text is not null").withColumn("_anchor", F.explode(F.concat(anchors, F.array(F.lit("")))))
-    if dictionary.count() <= SMALL:
+    size = dictionary.count()
+    if size <= FEW and not whole:
+        known = F.array(*[F.lit(r[0]) for r in entries.select("phrase").distinct().collect()]).cast("array<string>")
+        inside = F.element_at(F.transform(F.array(low), lambda t: F.filter(known, lambda p: F.contains(t, p))), 1)  # lower case once a text
+        return texts.where("text is not null").withColumn("phrase", F.explode(inside)).join(F.broadcast(entries), "phrase").drop("_anchor")
+    if size <= SMALL:
         met = cut.join(F.broadcast(entries), "_anchor")
     else:  # texts stay behind until it is known which phrases they could have
         pairs = cut.select(*keys, "_anchor").join(entries, "_anchor")

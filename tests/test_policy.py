@@ -122,10 +122,11 @@ PHRASES = ["pso", "tb test", ">=18", "et al", "coal tar", "adalimumab", "adalimu
 PHRASE_TEXTS = ["Psoriasis; TB testing at >=18", "charcoal tar, coal tar and COAL TAR.", "adalimumab-atto xadalimumab", "Smith et al., n=3, ÉTÉ", "", None, "tb  test", "z" * 5000 + " pso " + "tier 12"]
 
 
-@pytest.mark.parametrize("small", [20_000, 3])
+@pytest.mark.parametrize("few,small", [(200, 20_000), (0, 20_000), (0, 3)])
 @pytest.mark.parametrize("whole", [False, True])
-def test_phrase_join_equals_brute_force(spark, monkeypatch, small, whole):
-    """Every phrase is tried on every text, for dictionaries that are sent and that are shuffled; entries that share a phrase are found each."""
+def test_phrase_join_equals_brute_force(spark, monkeypatch, few, small, whole):
+    """Every phrase is tried on every text, for dictionaries of few phrases, that are sent and that are shuffled; entries that share a phrase are found each."""
+    monkeypatch.setattr(dictionary, "FEW", few)
     monkeypatch.setattr(dictionary, "SMALL", small)
     texts = spark.createDataFrame(list(enumerate(PHRASE_TEXTS)), "k int, text string")
     entries = dictionary.values(spark, "phrase, kind", [(p, k) for p in PHRASES for k in ("x", "y")])
