@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, materialize
+from policyspark.llm.common import bound_batches, discard, materialize
 
 WORDS, META = 1 << 16, 1 << 11
 #: Buckets of the text view: words, then layout.
@@ -278,6 +278,7 @@ def labelled_sample(feats: DataFrame, labels: DataFrame, targets: tuple[str, ...
     order = np.argsort([place[i] for i in table.column("doc_id").to_pylist()]).tolist()
     x = {v: _buckets(table.column(v).combine_chunks() if table.num_rows else pa.array([], pa.binary())).pick(np.array(order, np.int64)) for v in VIEWS}
     y = {t: np.array([-1 if (k := table.column(t)[i].as_py()) is None else k for i in order], np.int64) for t in targets}
+    discard(chosen, found)
     return x, y, set(place)
 
 
@@ -296,6 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
         if all(np.array_equal(before[t][v], more[t][v]) for t in targets for v in VIEWS):
             break
         models = {t: fit_views(x, y[t], more[t]) for t in targets}
+    discard(feats)
     return models
 
 

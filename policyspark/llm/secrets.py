@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policyspark.llm.common import materialize, text_or_empty
+from policyspark.llm.common import discard, join_hot, materialize, text_or_empty
 
 #: A run of token characters with a digit in it.
 RUN = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{15,}[A-Za-z0-9_+/=\-]"
@@ -24,6 +24,8 @@ GIVEN = r"(?i)(?:password|passwd|pwd|secret|token|credential|api[_\-]?key|access
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
 BEFORE, AFTER = 48, 24
 MARK = "[SECRET]"
+#: Elements of an array that are folded, or places of a text that are cut, together.
+BLOCK = 512
 #: Rows in which a run of letters stands as a word before it counts as one of the dictionary's.
 LEAST_ROWS = 3
 #: Words from which made-up findings take their prose.
@@ -31,28 +33,70 @@ PROSE = 400
 _PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|AIza|eyJ|-----BEGIN)"
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, as a lambda's argument is."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, merge) -> Column:
+    """Totals of an array of integers from 0 on: before each element, and after the last.
+
+    Folded block by block, since an array that grows by one is copied each time.
+    """
+
+    def fold(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.array(start), lambda a, v: F.array_append(a, merge(F.element_at(a, -1), v)))
+
+    def of(blocks: Column) -> Column:
+        heads = fold(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), merge)), F.lit(0))
+        return _bind(heads, lambda h: F.array_append(F.flatten(F.transform(blocks, lambda b, k: F.slice(fold(b, F.get(h, k)), 1, F.size(b)))), F.element_at(h, -1)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+    return _bind(values, lambda v: F.when(F.size(v) == 0, F.array(F.lit(0))).otherwise(_bind(cut(v), of)))
+
+
 def _places(pattern: str, group: int = 0) -> Column:
-    """(start, candidate) of every match in ``text``; a group must end one character before its match does.
+    """(start, candidate, before, after) of every match in ``text``; a group must end one character before its match does.
 
-    The text is parted at its matches, and the lengths of parts and matches add up to the places.
+    The text is parted at its matches. The lengths of parts and matches add up
+    to the places, and what stands around a match is put together from the parts
+    and matches next to it, so work is linear in the text.
     """
-    whole, value = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    matches = F.zip_with(whole, value, lambda w, c: F.struct(F.length(w).alias("n"), c.alias("c"))) if group else F.transform(whole, lambda w: F.struct(F.length(w).alias("n"), w.alias("c")))
-    parts = F.zip_with(F.split("text", pattern, -1), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,candidate:string>>").alias("found"))
+    whole = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else whole
+    close = 1 if group else 0
+
+    def found(x: Column) -> Column:
+        parts, wholes, values = x["parts"], x["wholes"], x["values"]
+        ends = _running(F.transform(wholes, lambda w, i: F.length(F.get(parts, i)) + F.length(w)), lambda a, n: a + n)
+
+        def place(at: Column):
+            def of(c: Column, i: Column) -> Column:
+                w = F.get(wholes, i)
+                # a match has eight characters or more, so these reach BEFORE and AFTER wherever the text does
+                left = [y for k in range(-(-BEFORE // 8), 0, -1) for y in (F.right(F.get(parts, i - k), F.lit(BEFORE)), F.right(F.get(wholes, i - k), F.lit(BEFORE)))]
+                left += [F.right(F.get(parts, i), F.lit(BEFORE)), F.substring(w, F.lit(1), F.length(w) - F.length(c) - close)]
+                right = [F.right(w, F.lit(close))] if close else []
+                right += [y for k in range(1, -(-AFTER // 8) + 1) for y in (F.left(F.get(parts, i + k), F.lit(AFTER)), F.left(F.get(wholes, i + k), F.lit(AFTER)))]
+                return F.struct(
+                    (F.get(at, i + 1) - F.length(c) - close).alias("start"),
+                    c.alias("candidate"),
+                    F.right(F.concat_ws("", *left), F.lit(BEFORE)).alias("before"),
+                    F.left(F.concat_ws("", *right), F.lit(AFTER)).alias("after"),
+                )
+
+            return F.transform(values, of)
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + x["gap"] + F.coalesce(x["m"]["n"], F.lit(0))
-        start = end - F.length(x["m"]["c"]) - (1 if group else 0)
-        place = F.struct(start.alias("start"), x["m"]["c"].alias("candidate"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), a["found"]).otherwise(F.array_append(a["found"], place)).alias("found"))
+        return _bind(ends, place)
 
-    return F.aggregate(parts, none, step, lambda a: a["found"])
+    return _bind(F.struct(F.split("text", pattern, -1).alias("parts"), whole.alias("wholes"), value.alias("values")), found)
 
 
 def places(text: Column) -> Column:
-    """(start, candidate) of every candidate of the column ``text``, or null where there is none; patterns run once."""
-    return F.when(has_candidate(text), F.array_distinct(F.concat(_places(PEM), _places(RUN), _places(GIVEN, 1))))
+    """Every candidate of the column ``text`` once a place, by place, or null where there is none; patterns run once."""
+    every = F.sort_array(F.concat(_places(PEM), _places(RUN), _places(GIVEN, 1)))
+    other = lambda f, g: g.isNull() | (f["start"] != g["start"]) | (f["candidate"] != g["candidate"])
+    return F.when(has_candidate(text), _bind(every, lambda e: F.filter(e, lambda f, i: other(f, F.get(e, i - 1)))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -62,23 +106,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     ``text_key`` a hash that tells apart texts of rows that repeat a doc_id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
-    return _around(rows.withColumn("found", places(F.col("text"))))
+    return _each(rows.withColumn("found", places(F.col("text"))))
 
 
-def _around(rows: DataFrame) -> DataFrame:
-    """Candidates of rows with doc_id, path, text and ``found``, each with what stands around it."""
-
-    def around(f: Column) -> Column:
-        at, c = f["start"], f["candidate"]
-        return F.struct(
-            c.alias("candidate"),
-            at.cast("long").alias("start"),
-            F.substring("text", F.greatest(at + 1 - BEFORE, F.lit(1)), F.least(at, F.lit(BEFORE))).alias("before"),
-            F.substring("text", at + 1 + F.length(c), F.lit(AFTER)).alias("after"),
-        )
-
-    rows = rows.where("found is not null").select("doc_id", "path", F.xxhash64("text").alias("text_key"), F.explode(F.transform("found", around)).alias("f"))
-    return rows.select("doc_id", "text_key", "path", "f.*")
+def _each(rows: DataFrame) -> DataFrame:
+    """Candidates of rows with doc_id, path, text and ``found``; a text is hashed before its candidates become rows."""
+    rows = rows.select("doc_id", "path", F.xxhash64("text").alias("text_key"), "found")
+    # a test of ``found`` itself would be pushed below and search every text twice
+    rows = rows.select("doc_id", "text_key", "path", F.explode_outer("found").alias("f")).where("f is not null")
+    return rows.select("doc_id", "text_key", "path", "f.candidate", F.col("f.start").cast("long").alias("start"), "f.before", "f.after")
 
 
 def has_candidate(text: Column) -> Column:
@@ -95,11 +131,15 @@ def covered(found: DataFrame, words: DataFrame) -> DataFrame:
     """``found`` with ``cover``, the letters of each candidate that lie in runs which are words of the dictionary.
 
     Runs of letters don't overlap, so no letter counts twice. Distinct
-    candidates meet the dictionary by a shuffle, whatever its size.
+    candidates meet the dictionary by a shuffle, whatever its size, and a
+    candidate that very many rows hold doesn't burden one task.
     """
-    runs = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w"))
+    each = materialize(found.groupBy("candidate").agg(F.count("*").alias("n")), "strings")
+    runs = each.select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w"))
     known = runs.join(words.select("w"), "w").groupBy("candidate").agg(F.sum(F.length("w")).alias("cover"))
-    return found.join(known, "candidate", "left").withColumn("cover", F.coalesce("cover", F.lit(0)))
+    covers = materialize(each.join(known, "candidate", "left").select("candidate", "n", F.coalesce("cover", F.lit(0)).alias("cover")), "covers")
+    discard(each)
+    return join_hot(found, covers, ["candidate"], "n")
 
 
 def features() -> Column:
@@ -208,9 +248,11 @@ def labelled_findings(spark: SparkSession, words: list[str], n: int = 6000) -> D
 
 def train(findings: DataFrame, words: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
     rows = findings.where(F.col("candidate").isNotNull() & F.col("label").isNotNull())
-    rows = materialize(covered(rows, words).select(features().alias("x"), F.col("label").cast("double").alias("y")), "training")
-    rows = rows.select(array_to_vector("x").alias("x"), "y").repartition(1).sortWithinPartitions("y", vector_to_array("x"))  # a bounded table, in an order of its own
-    return RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=64).fit(rows)
+    taught = materialize(covered(rows, words).select(features().alias("x"), F.col("label").cast("double").alias("y")), "training")
+    rows = taught.select(array_to_vector("x").alias("x"), "y").repartition(1).sortWithinPartitions("y", vector_to_array("x"))  # a bounded table, in an order of its own
+    model = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=42, maxMemoryInMB=64).fit(rows)
+    discard(taught)
+    return model
 
 
 def judge(found: DataFrame, model: RandomForestClassificationModel, words: DataFrame, least: float = 0.5) -> DataFrame:
@@ -222,10 +264,13 @@ def judge(found: DataFrame, model: RandomForestClassificationModel, words: DataF
 
 def _taught(docs: DataFrame, findings: DataFrame | None) -> tuple[DataFrame, RandomForestClassificationModel]:
     words = dictionary(docs)
-    if findings is None:
-        prose = [r["w"] for r in words.where("length(w) <= 12").orderBy(F.desc("n"), "w").limit(PROSE).collect()]
-        findings = labelled_findings(docs.sparkSession, prose)
-    return words, train(findings, words)
+    if findings is not None:
+        return words, train(findings, words)
+    prose = [r["w"] for r in words.where("length(w) <= 12").orderBy(F.desc("n"), "w").limit(PROSE).collect()]
+    made = labelled_findings(docs.sparkSession, prose)
+    model = train(made, words)
+    discard(made)
+    return words, model
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
@@ -242,6 +287,30 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5)
     return judge(materialize(candidates(docs), "candidates"), model, words, least).select("doc_id", "start", F.length("candidate").cast("long").alias("length"), kind.alias("kind"), "candidate", "score", "is_secret")
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with ``MARK`` for each of its sorted spans; spans that overlap share one.
+
+    A block of spans is cut out of the text first and its pieces out of that, as
+    finding a place takes time that grows with what stands before it.
+    """
+
+    def pieces(ends: Column, of: Column) -> Column:
+        def block(k: Column) -> Column:
+            at = F.get(ends, k * BLOCK)
+
+            def cut(part: Column) -> Column:
+                gap = lambda f, end: F.when(f["start"] >= end, F.concat(F.substring(part, end - at + 1, f["start"] - end), F.lit(MARK))).otherwise("")
+                return F.array_join(F.zip_with(F.slice(of, k * BLOCK + 1, BLOCK), F.slice(ends, k * BLOCK + 1, F.least(F.lit(BLOCK), F.size(of) - k * BLOCK)), gap), "")
+
+            last = F.get(of, F.least((k + 1) * BLOCK, F.size(of)) - 1)["start"]
+            return _bind(F.substring(text, at + 1, F.greatest(last - at, F.lit(0))), cut)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / BLOCK).cast("int")), block), "")
+
+    whole = lambda ends: F.concat(pieces(ends, spans), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+    return _bind(_running(F.transform(spans, lambda f: f["end"]), lambda a, n: F.greatest(a, n)), whole)
+
+
 def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by ``MARK``; rows, columns and order of columns stay.
 
@@ -256,22 +325,16 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), text_or_empty().alias("text"))
     rows = materialize(rows.withColumn("found", places(F.col("text"))).drop("text").withColumn("text", F.col(own["text"])), "located")
     words, model = _taught(docs, findings)
-    judged = judge(materialize(_around(rows), "candidates"), model, words, least)
+    judged = judge(materialize(_each(rows), "candidates"), model, words, least)
     key = ["doc_id", "text_key"]
-    strings = judged.where("is_secret").groupBy(*key).agg(F.collect_set("candidate").alias("secrets"))
-    strings = strings.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "secrets")
-    some = rows.where("found is not null").withColumn("text_key", F.xxhash64("text"))
-    some = some.join(strings, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    spans = F.array_sort(F.filter("found", lambda f: F.array_contains("secrets", f["candidate"])))
-
-    def step(a: Column, f: Column) -> Column:
-        end = f["start"] + F.length(f["candidate"])
-        before = F.when(f["start"] >= a["at"], F.concat(F.substring("text", a["at"] + 1, f["start"] - a["at"]), F.lit(MARK))).otherwise("")
-        return F.struct(F.greatest(a["at"], end).alias("at"), F.concat(a["out"], before).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    hit = F.col("secrets").isNotNull()
+    strings = judged.groupBy(*key, "candidate").agg(F.max("is_secret").alias("hit"), F.collect_set(F.col("start").cast("int")).alias("starts")).where("hit")
+    strings = strings.select(*key, F.explode("starts").alias("start"), F.length("candidate").alias("n"))
+    spans = strings.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
+    some = rows.where("found is not null").drop("found").withColumn("text_key", F.xxhash64("text"))
+    some = some.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    clean = _without(F.col("text"), F.col("spans"))
+    hit = F.col("spans").isNotNull()
     some = some.withColumn(own["text"], F.when(hit, clean).otherwise(F.col("text")))
     if "n_chars" in own:
         size = own["n_chars"]

@@ -342,6 +342,26 @@ def test_secrets_at_every_place(spark):
     assert secrets.redact(docs).where("doc_id = 0").where(F.col("text").contains(s)).count() == 0
 
 
+def test_secrets_of_a_log(spark):
+    """One text of very many candidates, more than fit a block: places, surroundings and redaction hold, against plain Python."""
+    import hashlib
+    import re
+
+    lines = [f'{"token" if i % 3 else "commit"} = "{hashlib.sha1(str(i % 700).encode()).hexdigest()}" é{i}' for i in range(1800)]
+    text = "\n".join(lines) + "=" * 20
+    docs = spark.createDataFrame([(5, text, "en", "s", len(text))] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {(r["start"], r["candidate"]): r for r in secrets.candidates(docs.limit(1)).collect()}
+    assert set(rows) == {(m.start(g), m[g]) for q, g in ((secrets.RUN, 0), (secrets.GIVEN, 1)) for m in re.finditer(q, text)}
+    for (a, c), r in rows.items():
+        assert (r["before"], r["after"]) == (text[max(0, a - secrets.BEFORE) : a], text[a + len(c) : a + len(c) + secrets.AFTER])
+    bad = {r["candidate"] for r in secrets.scan(docs).where("is_secret").collect()}
+    assert len(bad) >= 400
+    want = text
+    for c in bad:
+        want = want.replace(c, secrets.MARK)
+    assert [(r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()] == [(want, len(want))] * 2
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
