@@ -17,19 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from policyspark.llm.common import CHUNK, OUT_BYTES, bound_batches
+from policyspark.llm.memo import byte_letters
 
 MEMO = 600_000
 _NONE = np.int64(2**62)
 _models: dict[str, "BytePairs"] = {}
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class BytePairs:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

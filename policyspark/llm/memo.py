@@ -7,27 +7,41 @@ tokenizer itself always cuts, which keeps ids equal to those of whole texts.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from functools import cached_property
+from itertools import filterfalse
 
 import numpy as np
 import regex
 
 from policyspark.llm.common import CHUNK, WHITE
 
-#: Pieces, and their characters, that a worker's memo holds; then it starts anew.
-MEMO, MEMO_CHARS = 1_200_000, 1 << 25
+#: Pieces, and their characters, that a worker's memo takes before it becomes the old one, which is asked before the library.
+MEMO, MEMO_CHARS = 300_000, 1 << 23
 #: Characters that Python's split() takes for white space, unlike tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Where it is absent, every blank begins a piece of its own.
 _BLANK_AFTER_WHITE = re.compile(f"[{WHITE}] ")
-#: A word, after one blank at most.
-_PLAIN = re.compile(f" ?[^{WHITE}\x1c-\x1f]+").fullmatch
 _WORDS = re.compile(f"[^{WHITE}]+")
+#: Characters whose new pieces are learned at once.
+LEARN = 1 << 20
 _workers: dict[str, "MemoEncoder"] = {}
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+#: Bytes as letters; 255, which UTF-8 never has, parts words.
+_LETTERS = {b: c for c, b in byte_letters().items()} | {255: "\n"}
+
+
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -43,12 +57,12 @@ class MemoEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_padding()
-        self.lib.no_truncation()
+        self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-        self.kind, self.memo, self.after_blank, self.held = "whole", {}, {}, 0
+        self.kind = "whole"
+        # pieces after the start of a text or white space, and those after one blank
+        self.memo, self.after_blank, self.old, self.old_after, self.held = {}, {}, {}, {}, 0
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind = "byte"
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
@@ -57,33 +71,40 @@ class MemoEncoder:
             if pattern["behavior"] == "Removed" and pattern["invert"]:
                 self.kind = "word"
                 self.split = regex.compile(pattern["pattern"]["Regex"]).findall
-        vocab = self.lib.get_vocab()
-        self.between, self.ends = "\n" if self.kind == "byte" else " ", np.zeros(max(vocab.values()) + 1, bool)
-        suffix = spec["model"].get("end_of_word_suffix")
-        if self.kind == "byte":
-            self.ends[self.lib.encode("\n", add_special_tokens=False).ids] = True
-        elif suffix:
-            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        # words are cut and written as letters here, so the library's model gets them as they are
+        self.model = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "truncation": None, "padding": None}))
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for w, i in vocab.items():
+            self.size[i] = len(w.removesuffix(suffix))
+
+    @cached_property
+    def lib(self):
+        """The library's own tokenizer, for texts that go to it whole."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def _library_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens: in one text, parted so that the ids of each can be told."""
-        plain = [w for w in words if _PLAIN(w)]
-        if len(plain) < 4:
+        """Ids of pre-tokens by the library's model, all in one text; the bytes that each token stands for tell where a word ends."""
+        if not words:
+            return []
+        raw = b"\xff".join(map(str.encode, words)) + b"\xff"
+        ids = np.array(self.model.encode_batch_fast([raw.decode("latin-1").translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(np.frombuffer(raw, np.uint8) == 255)
+        stops -= np.arange(len(stops))
+        upto = np.cumsum(self.size[ids])
+        last = np.searchsorted(upto, stops)
+        if not len(ids) or upto[-1] != stops[-1] or (upto[last] != stops).any():
             return self._library(words)
-        ids = np.array(self.lib.encode_batch_fast([self.between.join(plain) + self.between], add_special_tokens=False)[0].ids, "<u4")
-        last = np.flatnonzero(self.ends[ids])
-        if len(last) != len(plain):
-            return self._library(words)
-        raw, stops = ids.tobytes(), (4 * last).tolist()
-        gap = 4 if self.kind == "byte" else 0  # the parting line feed's own id goes
-        stops = stops if gap else [s + 4 for s in stops]
-        found = {w: raw[a:b] for w, a, b in zip(plain, [0, *[s + gap for s in stops[:-1]]], stops)}
-        others = [w for w in words if w not in found]
-        found.update(zip(others, self._library(others) if others else []))
-        return [found[w] for w in words]
+        raw, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
     def _cut(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
@@ -97,43 +118,73 @@ class MemoEncoder:
         text = text.lower()
         return _WORDS.findall(text) if _ODD.search(text) else text.split()
 
-    def _learn(self, memo: dict[str, bytes], pieces: list[str], before: str) -> None:
-        """Puts the ids of ``before`` plus each piece into ``memo``."""
-        new = {c for c in pieces if c not in memo}
-        parts = {c: [before + c] if c.isalpha() else self.split(before + c) for c in new}
-        fresh = list({p for ps in parts.values() for p in ps})
-        ids = dict(zip(fresh, self._library_words(fresh)))
-        memo.update((c, b"".join([ids[p] for p in ps])) for c, ps in parts.items())
+    def _learn(self, new: set[str], before: str) -> None:
+        """Puts the ids of ``before`` plus each piece into the memo of such pieces."""
+        memo, old = (self.after_blank, self.old_after) if before else (self.memo, self.old)
         self.held += sum(map(len, new))
-
-    def _joined(self, memo: dict[str, bytes], pieces: list[str], before: str = "") -> bytes:
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            self._learn(memo, pieces, before)
-            return b"".join(map(memo.__getitem__, pieces))
-
-    def _one(self, text: str) -> bytes | None:
+        memo.update([(c, old[c]) for c in new & old.keys()])
+        new = new.difference(memo)
+        words = set(filter(str.isalpha, new))
+        mixed = list(new - words)
+        cuts = [self.split(before + c) for c in mixed]
+        parts = set().union(*cuts)
+        # a part is a piece too, and is kept as one
+        blank = {p for p in parts if p[0] == " " and len(p) > 1}
+        plain = parts - blank
+        fresh = []
+        for found, known, older, own in (({p[1:] for p in blank}, self.after_blank, self.old_after, before), (plain, self.memo, self.old, not before)):
+            found = found.difference(known)
+            known.update([(c, older[c]) for c in found & older.keys()])
+            fresh.append(list(found.difference(known) | (words if own else set())))
+        after, first = fresh
+        ids = self._library_words([" " + c for c in after] + first)
+        self.after_blank.update(zip(after, ids))
+        self.memo.update(zip(first, ids[len(after) :]))
+        of = {p: self.after_blank[p[1:]] for p in blank} | {p: self.memo[p] for p in plain}
+        memo.update(zip(mixed, [b"".join(map(of.__getitem__, ps)) for ps in cuts]))
+
+    def _pieces(self, text: str) -> tuple[list[str], list[str]] | None:
+        """Pieces that nothing or white space of their own comes before, then those after a blank."""
         if self.kind == "byte" and not _BLANK_AFTER_WHITE.search(text) and not any(s in text for s in self.special):
             first, *rest = text.split(" ")
-            return self._joined(self.memo, [first]) + self._joined(self.after_blank, rest, " ")
+            return [first], rest
         pieces = self._cut(text)
-        return None if pieces is None else self._joined(self.memo, pieces)
+        return None if pieces is None else (pieces, [])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._library(texts)
-        out: list[bytes | None] = []
-        for t in texts:
-            if len(self.memo) + len(self.after_blank) > MEMO or self.held > MEMO_CHARS:
-                self.memo.clear(), self.after_blank.clear()
-                self.held = 0
-            out.append(self._one(t))
-        whole = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
+        out: list[bytes] = []
+        start = size = 0
+        collects = gc.isenabled()
+        gc.disable()  # hundreds of thousands of short-lived lists, none in a cycle
+        try:
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= LEARN or i + 1 == len(texts):
+                    out += self._some(texts[start : i + 1])
+                    start, size = i + 1, 0
+        finally:
+            if collects:
+                gc.enable()
         return out
 
+    def _some(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) + len(self.after_blank) > MEMO or self.held > MEMO_CHARS:
+            self.old, self.old_after, self.memo, self.after_blank, self.held = self.memo, self.after_blank, {}, {}, 0
+        plans = [self._pieces(t) for t in texts]
+        for k, (memo, before) in enumerate(((self.memo, ""), (self.after_blank, " "))):
+            new: set[str] = set()
+            for plan in plans:
+                if plan:
+                    new.update(filterfalse(memo.__contains__, plan[k]))
+            if new:
+                self._learn(new, before)
+        whole = [i for i, plan in enumerate(plans) if plan is None]
+        of_whole = dict(zip(whole, self._library([texts[i] for i in whole]) if whole else []))
+        get, get_after = self.memo.__getitem__, self.after_blank.__getitem__
+        return [of_whole[i] if plan is None else b"".join(map(get, plan[0])) + b"".join(map(get_after, plan[1])) for i, plan in enumerate(plans)]
+
 
 def encoder(path: str) -> MemoEncoder:
     """This Python worker's encoder; tasks that share the worker share the memo."""

@@ -28,3 +28,27 @@ def test_memo_starts_anew(monkeypatch):
     enc = memo.MemoEncoder(queries.vocabulary(NAMES[0]))
     texts = ["some words here and there", "words again here", "", " x"] * 3
     assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_parts_are_asked_once(monkeypatch):
+    asked = []
+    enc = memo.MemoEncoder(queries.vocabulary(NAMES[0]))
+    real = enc._library_words
+    monkeypatch.setattr(enc, "_library_words", lambda words: asked.extend(words) or real(words))
+    texts = ["lorem ipsum, ipsum. (ipsum", "ipsum! lorem, x", "ipsum? lorem,"]
+    assert [np.frombuffer(enc.encode([t])[0], "<u4").tolist() for t in texts] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count(" ipsum") == 1 and len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_memo_is_bounded_and_keeps_what_recurs(name, monkeypatch):
+    monkeypatch.setattr(memo, "MEMO", 60)
+    enc = memo.MemoEncoder(queries.vocabulary(name))
+    asked = []
+    real = enc._library_words
+    monkeypatch.setattr(enc, "_library_words", lambda words: asked.extend(words) or real(words))
+    for i in range(40):
+        text = "always here, " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}{chr(97 + i // 26)}" for k in range(10))
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+        assert sum(map(len, (enc.memo, enc.after_blank, enc.old, enc.old_after))) <= 2 * (60 + 16)
+    assert sum(w.strip() == "here" for w in asked) == 1
