@@ -1,33 +1,31 @@
 """Token ids by the tokenizers library, asked once per distinct word.
 
 Words repeat, and the library takes over ten microseconds a word, so the ids of
-each distinct piece are kept in a bounded memo. Pieces are cut only where the
-tokenizer itself always cuts, which keeps ids equal to those of whole texts.
+each distinct word are kept in a bounded memo. Many texts are cut at once, by
+the classes of their code points, where the tokenizer's own pattern cuts; Arrow
+finds the distinct words and numpy puts the ids together, so that Python looks
+at distinct words only.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-import re
-from functools import cached_property
-from itertools import filterfalse
+from functools import cache, cached_property
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-from policyspark.llm.common import CHUNK, WHITE
-
-#: Pieces, and their characters, that a worker's memo takes before it becomes the old one, which is asked before the library.
-MEMO, MEMO_CHARS = 300_000, 1 << 23
-#: Characters that Python's split() takes for white space, unlike tokenizers.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Where it is absent, every blank begins a piece of its own.
-_BLANK_AFTER_WHITE = re.compile(f"[{WHITE}] ")
-_WORDS = re.compile(f"[^{WHITE}]+")
-#: Characters whose new pieces are learned at once.
-LEARN = 1 << 20
+from policyspark.llm.common import WHITE
+
+#: Words, and their characters, that a worker's memo takes before it becomes the old one, which is asked before the library.
+MEMO, MEMO_CHARS = 200_000, 1 << 23
+#: Characters of texts that are cut at once.
+LEARN = 1 << 21
+#: The pattern of lower-casing tokenizers that are known here.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WHITE, _LETTER, _NUMBER, _OTHER = range(4)
 _workers: dict[str, "MemoEncoder"] = {}
 
 
@@ -38,14 +36,59 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Bytes as letters; 255, which UTF-8 never has, parts words.
-_LETTERS = {b: c for c, b in byte_letters().items()} | {255: "\n"}
+#: Code points of bytes as letters; 255, which UTF-8 never has, parts words.
+_LETTERS = np.array([ord(c) for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])], "<u4")
+_LETTERS[255] = ord("\n")
+
+
+@cache
+def kinds() -> np.ndarray:
+    """White space, letter, number or other of every code point."""
+    every, found = "".join(map(chr, range(0x110000))), np.full(0x110000, _OTHER, np.uint8)
+    for kind, pattern in ((_WHITE, f"[{WHITE}]+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(pattern, every):
+            found[m.start() : m.end()] = kind
+    return found
+
+
+def _contractions(code: np.ndarray, kind: np.ndarray, first: np.ndarray, new: np.ndarray) -> None:
+    """Cuts 's, 't, 're, 've, 'm, 'll and 'd where a word begins with an apostrophe."""
+    at = np.flatnonzero(code[:-1] == 39)
+    at = at[new[at] & (kind[at + 1] == _LETTER) & ~first[at + 1]]
+    a, after = code[at + 1], np.minimum(at + 2, len(code) - 1)
+    b = np.where((at + 2 < len(code)) & ~first[after], code[after], 0)
+    two = (b == ord("e")) & ((a == ord("r")) | (a == ord("v"))) | (a == ord("l")) & (b == ord("l"))
+    for own, size in ((np.isin(a, [ord(c) for c in "stmd"]), 2), (two, 3)):
+        new[at[own] + 1] = False
+        ends = at[own] + size
+        new[ends[ends < len(code)]] = True
+
+
+def byte_words(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the byte-level pattern begins a word; ``first`` has where texts begin."""
+    new = first.copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    white = kind == _WHITE
+    # the last white space before something else is a word, or a blank begins the next one
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1:])
+    new[last] = True
+    new[last[code[last] == 32] + 1] = False
+    _contractions(code, kind, first, new)
+    return new
+
+
+def lower_words(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the lower-casing pattern begins a word or white space."""
+    new = first | (kind == _NUMBER)
+    new[1:] |= kind[1:] != kind[:-1]
+    _contractions(code, kind, first, new)
+    return new
 
 
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    Two shapes of tokenizer.json are cut into pieces: byte-level ones with
+    Two shapes of tokenizer.json are cut into words here: byte-level ones with
     their own pattern, and lower-casing ones that drop white space. Texts with
     a special token, or (lower-casing) with characters beyond Latin-1, and all
     other tokenizers go to the library whole.
@@ -61,16 +104,15 @@ class MemoEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.kind = "whole"
-        # pieces after the start of a text or white space, and those after one blank
-        self.memo, self.after_blank, self.old, self.old_after, self.held = {}, {}, {}, {}, 0
+        self.memo, self.old, self.held = {}, {}, 0
+        # words after a blank are kept with the others
+        self.after_blank, self.old_after = {}, {}
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
             self.kind = "byte"
-            self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         elif norm and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             pattern = pre["pretokenizers"][0]
-            if pattern["behavior"] == "Removed" and pattern["invert"]:
+            if pattern["behavior"] == "Removed" and pattern["invert"] and pattern["pattern"].get("Regex") == WORDS:
                 self.kind = "word"
-                self.split = regex.compile(pattern["pattern"]["Regex"]).findall
         # words are cut and written as letters here, so the library's model gets them as they are
         self.model = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "truncation": None, "padding": None}))
         vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
@@ -92,12 +134,12 @@ class MemoEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def _library_words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens by the library's model, all in one text; the bytes that each token stands for tell where a word ends."""
+        """Ids of words by the library's model, all in one text; the bytes that each token stands for tell where a word ends."""
         if not words:
             return []
-        raw = b"\xff".join(map(str.encode, words)) + b"\xff"
-        ids = np.array(self.model.encode_batch_fast([raw.decode("latin-1").translate(_LETTERS)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(np.frombuffer(raw, np.uint8) == 255)
+        raw = np.frombuffer(b"\xff".join(map(str.encode, words)) + b"\xff", np.uint8)
+        ids = np.array(self.model.encode_batch_fast([_LETTERS.take(raw).tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(raw == 255)
         stops -= np.arange(len(stops))
         upto = np.cumsum(self.size[ids])
         last = np.searchsorted(upto, stops)
@@ -106,84 +148,80 @@ class MemoEncoder:
         raw, stops = ids.tobytes(), (4 * (last + 1)).tolist()
         return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def _cut(self, text: str) -> list[str] | None:
+    def _learn(self, new: list[str]) -> None:
+        """Puts the ids of ``new`` words into the memo, from the old one or the library."""
+        self.held += sum(map(len, new))
+        self.memo.update([(w, self.old[w]) for w in new if w in self.old])
+        if self.kind == "word":
+            self.memo.update([(w, b"") for w in new if kinds()[ord(w[0])] == _WHITE])
+        fresh = [w for w in new if w not in self.memo]
+        self.memo.update(zip(fresh, self._library_words(fresh)))
+
+    def _cut(self, text: str) -> str | None:
+        """The text as it is cut into words here; None: the library gets it whole."""
         if any(s in text for s in self.special):
             return None
         if self.kind == "byte":
-            return CHUNK.findall(text)
+            return text
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return None
-        text = text.lower()
-        return _WORDS.findall(text) if _ODD.search(text) else text.split()
-
-    def _learn(self, new: set[str], before: str) -> None:
-        """Puts the ids of ``before`` plus each piece into the memo of such pieces."""
-        memo, old = (self.after_blank, self.old_after) if before else (self.memo, self.old)
-        self.held += sum(map(len, new))
-        memo.update([(c, old[c]) for c in new & old.keys()])
-        new = new.difference(memo)
-        words = set(filter(str.isalpha, new))
-        mixed = list(new - words)
-        cuts = [self.split(before + c) for c in mixed]
-        parts = set().union(*cuts)
-        # a part is a piece too, and is kept as one
-        blank = {p for p in parts if p[0] == " " and len(p) > 1}
-        plain = parts - blank
-        fresh = []
-        for found, known, older, own in (({p[1:] for p in blank}, self.after_blank, self.old_after, before), (plain, self.memo, self.old, not before)):
-            found = found.difference(known)
-            known.update([(c, older[c]) for c in found & older.keys()])
-            fresh.append(list(found.difference(known) | (words if own else set())))
-        after, first = fresh
-        ids = self._library_words([" " + c for c in after] + first)
-        self.after_blank.update(zip(after, ids))
-        self.memo.update(zip(first, ids[len(after) :]))
-        of = {p: self.after_blank[p[1:]] for p in blank} | {p: self.memo[p] for p in plain}
-        memo.update(zip(mixed, [b"".join(map(of.__getitem__, ps)) for ps in cuts]))
-
-    def _pieces(self, text: str) -> tuple[list[str], list[str]] | None:
-        """Pieces that nothing or white space of their own comes before, then those after a blank."""
-        if self.kind == "byte" and not _BLANK_AFTER_WHITE.search(text) and not any(s in text for s in self.special):
-            first, *rest = text.split(" ")
-            return [first], rest
-        pieces = self._cut(text)
-        return None if pieces is None else (pieces, [])
+        return text.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._library(texts)
         out: list[bytes] = []
         start = size = 0
-        collects = gc.isenabled()
-        gc.disable()  # hundreds of thousands of short-lived lists, none in a cycle
-        try:
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= LEARN or i + 1 == len(texts):
-                    out += self._some(texts[start : i + 1])
-                    start, size = i + 1, 0
-        finally:
-            if collects:
-                gc.enable()
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= LEARN or i + 1 == len(texts):
+                out += self._some(texts[start : i + 1])
+                start, size = i + 1, 0
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) + len(self.after_blank) > MEMO or self.held > MEMO_CHARS:
-            self.old, self.old_after, self.memo, self.after_blank, self.held = self.memo, self.after_blank, {}, {}, 0
-        plans = [self._pieces(t) for t in texts]
-        for k, (memo, before) in enumerate(((self.memo, ""), (self.after_blank, " "))):
-            new: set[str] = set()
-            for plan in plans:
-                if plan:
-                    new.update(filterfalse(memo.__contains__, plan[k]))
-            if new:
-                self._learn(new, before)
-        whole = [i for i, plan in enumerate(plans) if plan is None]
-        of_whole = dict(zip(whole, self._library([texts[i] for i in whole]) if whole else []))
-        get, get_after = self.memo.__getitem__, self.after_blank.__getitem__
-        return [of_whole[i] if plan is None else b"".join(map(get, plan[0])) + b"".join(map(get_after, plan[1])) for i, plan in enumerate(plans)]
+        cut = [self._cut(t) for t in texts]
+        own = iter(self._words([t for t in cut if t is not None]))
+        whole = iter(self._library([t for t, c in zip(texts, cut) if c is None]) if None in cut else [])
+        return [next(whole if c is None else own) for c in cut]
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
+            self.old, self.memo, self.held = self.memo, {}, 0
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        try:
+            code = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            code = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        begins = np.cumsum([0, *map(len, texts)])
+        first = np.zeros(len(code) + 1, bool)
+        first[begins] = True
+        at = np.flatnonzero((byte_words if self.kind == "byte" else lower_words)(code, kinds().take(code), first[:-1]))
+        raw, stops = joined.encode(), np.append(at, len(code))
+        if len(raw) > len(code):  # from code points to bytes
+            width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+            stops = np.append(0, np.cumsum(width, dtype=np.int64))[stops]
+        wide = len(raw) >> 31
+        words = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(at), pa.py_buffer(stops.astype(np.int64 if wide else np.int32)), pa.py_buffer(raw)).dictionary_encode()
+        which, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.memo.get, distinct))
+        if new := [i for i, ids in enumerate(found) if ids is None]:
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                found[i] = self.memo[distinct[i]]
+        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        size = lens.take(which)
+        upto = np.append(0, np.cumsum(size))
+        # each word's ids, from where all distinct words' ids lie side by side
+        take = np.repeat((np.cumsum(lens) - lens).take(which) - upto[:-1], size)
+        take += np.arange(len(take))
+        ids = np.frombuffer(b"".join(found), "<u4").take(take).tobytes()
+        bounds = (4 * upto[np.searchsorted(at, begins)]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def encoder(path: str) -> MemoEncoder:

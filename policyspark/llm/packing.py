@@ -12,6 +12,8 @@ Nothing is shuffled: a document's neighbours are sought in its own shard.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,6 +27,8 @@ SHARD = 1 << 20
 K1, B = 1.2, 0.75
 #: A term of more than one in so many of a shard's documents has a row of weights.
 DENSE = 8
+#: Documents of a shard up to which all their scores are computed at once, and pairs of documents of rare terms that one pass adds up.
+WHOLE, PAIRS = 1448, 1 << 20
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,7 +62,24 @@ class InvertedIndex:
         own = of >= 0
         self.rows[of[own], self.doc[own]] = self.weight[own]
 
+    @cached_property
+    def every(self) -> np.ndarray:
+        """Scores of all documents for each as a seed; a term of one document counts for no other."""
+        found = ((self.rows > 0).T.astype(np.float32) @ self.rows).astype(np.float64)
+        df = np.diff(self.first)
+        rare = np.flatnonzero((self.row < 0) & (df > 1))
+        squares = np.cumsum(df[rare] ** 2)
+        for some in np.split(rare, np.flatnonzero(np.diff(squares // PAIRS)) + 1):
+            size = df[some]
+            post = np.repeat(self.first[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            size = np.repeat(size, size)  # each posting meets its term's postings
+            other = np.repeat(np.repeat(self.first[some], df[some]) - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found += np.bincount(np.repeat(self.doc[post], size) * self.n + self.doc[other], self.weight[other], self.n**2).reshape(found.shape)
+        return found
+
     def scores(self, seed: int) -> np.ndarray:
+        if self.n <= WHOLE:
+            return self.every[seed].copy()
         terms = np.searchsorted(self.terms, np.unique(self.docs[seed]).astype(np.uint64))
         row = self.row[terms]
         rare = terms[row < 0]

@@ -52,3 +52,43 @@ def test_memo_is_bounded_and_keeps_what_recurs(name, monkeypatch):
         assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.lib.encode(text, add_special_tokens=False).ids
         assert sum(map(len, (enc.memo, enc.after_blank, enc.old, enc.old_after))) <= 2 * (60 + 16)
     assert sum(w.strip() == "here" for w in asked) == 1
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_only_distinct_words_are_looked_up(name):
+    """However often words repeat, and whatever stands next to them, a call asks the memo once for each."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    enc = memo.MemoEncoder(queries.vocabulary(name))
+    enc.memo, enc.after_blank = Counted(), Counted()
+    texts = ["the cat, the dog. The\ncat's dog!", "dog cat the, dog"] * 400
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.asked < 100
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_texts_cut_together(name):
+    """Ends of texts, contractions, marks and all widths of characters, many texts in one call."""
+    enc = memo.MemoEncoder(queries.vocabulary(name))
+    bits = [*BITS, "'", "'s", "'re", "'v", "'LL", "'ll", "s", "²", "Ⅷ", "é", "é", "𝔸", "😀", "‍", "ß", "İ"]
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(bits), max_size=8).map("".join), max_size=6))
+    def same(texts):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
+
+    same()
