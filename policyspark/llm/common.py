@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,38 @@ ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 #: Bytes of results after which a Python stage hands a batch back.
 OUT_BYTES = 8 << 20
 
+#: What a Python worker keeps from task to task, by name. A worker outlives a query, so tasks of other stages clear it.
+CACHES: dict[str, dict] = {}
+
+
+def cache_of_worker(name: str) -> dict:
+    return CACHES.setdefault(name, {})
+
+
+def clear_others(name: str) -> None:
+    for own, held in CACHES.items():
+        if own != name:
+            held.clear()
+
+
+def give_back() -> None:
+    """Hand memory that was freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(stage: Callable[[Iterator], Iterator], cache: str = "") -> Callable[[Iterator], Iterator]:
+    """``stage`` for mapInArrow, in a worker that holds no other cache than ``cache`` and, after the task, no freed memory."""
+
+    def run(batches):
+        clear_others(cache)
+        yield from stage(batches)
+        give_back()
+
+    return run
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

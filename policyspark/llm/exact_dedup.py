@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, materialize, shuffle_partitions, text_or_empty
+from policyspark.llm.common import bound_batches, lean, materialize, shuffle_partitions, text_or_empty
 
 #: Runs of these characters count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -72,7 +72,7 @@ def _local(docs: DataFrame, wins: list[str]) -> DataFrame:
                 row += len(groups)
                 yield pa.RecordBatch.from_arrays([*first.columns, digests, copies, numbers], [*batch.schema.names, "_digest", "_ids", "_row"])
 
-    return materialize(rows.mapInArrow(stage, schema), "local")
+    return materialize(rows.mapInArrow(lean(stage), schema), "local")
 
 
 def _salted(local: DataFrame) -> DataFrame:

@@ -17,16 +17,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from policyspark.llm.common import WHITE
+from policyspark.llm.common import WHITE, cache_of_worker
 
 #: Words, and their characters, that a worker's memo takes before it becomes the old one, which is asked before the library.
-MEMO, MEMO_CHARS = 200_000, 1 << 23
+MEMO, MEMO_CHARS = 100_000, 1 << 23
 #: Characters of texts that are cut at once.
-LEARN = 1 << 21
+LEARN = 1 << 19
 #: The pattern of lower-casing tokenizers that are known here.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WHITE, _LETTER, _NUMBER, _OTHER = range(4)
-_workers: dict[str, "MemoEncoder"] = {}
+#: The name of the encoders among what a worker keeps.
+ENCODERS = "encoders"
+_workers: dict[str, "MemoEncoder"] = cache_of_worker(ENCODERS)
 
 
 def byte_letters() -> dict[str, int]:

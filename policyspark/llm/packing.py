@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 
 from policyspark.llm import memo
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import OUT_BYTES, bound_batches
+from policyspark.llm.common import OUT_BYTES, bound_batches, lean
 
 SHARD = 1 << 20
 K1, B = 1.2, 0.75
 #: A term of more than one in so many of a shard's documents has a row of weights.
 DENSE = 8
 #: Documents of a shard up to which all their scores are computed at once, and pairs of documents of rare terms that one pass adds up.
-WHOLE, PAIRS = 1448, 1 << 20
+WHOLE, PAIRS = 1448, 1 << 18
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -194,4 +194,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
                         keys, held, total = [], [], 0
         yield from emit()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(stage, PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(stage, memo.ENCODERS), PIECES)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, discard, materialize
+from policyspark.llm.common import bound_batches, discard, lean, materialize
 
 WORDS, META = 1 << 16, 1 << 11
 #: Buckets of the text view: words, then layout.
@@ -218,7 +218,7 @@ def _featured(docs: DataFrame) -> DataFrame:
                 meta = [meta_features(*m).tobytes() for m in zip(sources[a:b], langs[a:b], sizes[a:b])]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "text", "meta"])
 
-    return docs.select(*_inputs(docs)).mapInArrow(stage, "doc_id long, text binary, meta binary")
+    return docs.select(*_inputs(docs)).mapInArrow(lean(stage), "doc_id long, text binary, meta binary")
 
 
 def _inputs(docs: DataFrame) -> list:
@@ -249,7 +249,7 @@ def exchange(feats: DataFrame, models: dict[str, CoTrained], sample: set[int]) -
             c, at = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.string()), pa.array([v] * len(at), pa.string()), pa.array(c.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(n[c, at])], ["target", "view", "class", "bucket", "n"])
 
-    rows = feats.mapInArrow(stage, "target string, view string, class int, bucket int, n long").groupBy("target", "view", "class", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = feats.mapInArrow(lean(stage), "target string, view string, class int, bucket int, n long").groupBy("target", "view", "class", "bucket").agg(F.sum("n").alias("n")).toArrow()
     out = {t: {v: np.zeros((2, size)) for v, size in VIEWS.items()} for t in models}
     target, view = (np.array(rows.column(c).to_pylist(), object) for c in ("target", "view"))
     number, bucket, n = (rows.column(c).to_numpy() for c in ("class", "bucket", "n"))
@@ -323,7 +323,7 @@ def _scored(docs: DataFrame, models: dict[str, CoTrained], names: list[str]) ->
     schema = StructType([*rows.select(*own).schema.fields])
     for i in range(len(models)):
         schema = schema.add(f"s{i}", DoubleType())
-    return rows.mapInArrow(stage, schema).toDF(*docs.columns, *names)
+    return rows.mapInArrow(lean(stage), schema).toDF(*docs.columns, *names)
 
 
 def score(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:

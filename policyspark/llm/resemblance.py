@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, contract, discard, join_hot, materialize
+from policyspark.llm.common import bound_batches, contract, discard, join_hot, lean, materialize
 
 BANDS, ROWS = 20, 5
 SALTS = 64
@@ -106,7 +106,7 @@ def hashed(docs: DataFrame, size: int = 5) -> DataFrame:
                     marks.append(blank if low is None else sketch(low))
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["doc_id", "keys", "sketch"])
 
-    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(stage, "doc_id long, keys array<long>, sketch binary")
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null").mapInArrow(lean(stage), "doc_id long, keys array<long>, sketch binary")
     return materialize(found, "keys")
 
 
@@ -219,7 +219,7 @@ def _may_link(dealt: DataFrame) -> DataFrame:
                 marks.append(mark)
         yield from close()
 
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(stage, "key long, doc_id long").distinct()
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(lean(stage), "key long, doc_id long").distinct()
 
 
 def _picked(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _rest(rows: DataFrame, marks: DataFrame, texts: DataFrame, roots: DataFrame,
                 held.append(row)
         yield from close()
 
-    links = materialize(dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(stage, "u long, v long"), "links")
+    links = materialize(dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(lean(stage), "u long, v long"), "links")
     discard(placed, groups, near, some)
     return links
 
@@ -275,7 +275,7 @@ def _sketched(pairs: DataFrame, marks: DataFrame) -> DataFrame:
             same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(axis=1) >= LEAST * BANDS * ROWS
             yield batch.select([0, 1]).filter(pa.array(same))
 
-    return materialize(both.mapInArrow(stage, "u long, v long"), "pairs")
+    return materialize(both.mapInArrow(lean(stage), "u long, v long"), "pairs")
 
 
 def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, groups: DataFrame | None = None) -> DataFrame:
@@ -312,7 +312,7 @@ def similar_pairs(docs: DataFrame, size: int = 5, similarity: float = 0.8, group
             mask = pa.array(kept, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
-    roots = contract(both.mapInArrow(stage, "u long, v long"))
+    roots = contract(both.mapInArrow(lean(stage), "u long, v long"))
     links = _rest(rows, marks, texts, roots, size, similarity)
     discard(prints, pairs, wanted, *([rows] if groups is not None else []))
     return roots if links.isEmpty() else roots.union(links)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from policyspark.llm import resemblance
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, contract, discard, materialize, shuffle_partitions
+from policyspark.llm.common import bound_batches, contract, discard, lean, materialize, shuffle_partitions
 
 #: Distinct fingerprints of a shard, on average, and its local tree's leaves.
 SHARD, LEAF = 8192, 128
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             for a, b in slices(texts):
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(simhash_texts(texts[a:b], size))], ["doc_id", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(stage, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(stage), "doc_id long, fp long")
 
 
 def _apart(a: np.ndarray, b) -> np.ndarray:
@@ -263,7 +263,7 @@ def _deeper(dealt: DataFrame, levels: int, bits: int) -> DataFrame:
                     yield _entries((int(now) << levels) + below, asks, part[where])
 
     parts = shuffle_partitions(dealt.sparkSession)
-    return rows.repartition(parts, "leaf").sortWithinPartitions("leaf", "turn").mapInArrow(deal, "leaf long, role long, fp long")
+    return rows.repartition(parts, "leaf").sortWithinPartitions("leaf", "turn").mapInArrow(lean(deal), "leaf long, role long, fp long")
 
 
 def links(classes: DataFrame, bits: int = 3) -> DataFrame:
@@ -305,11 +305,11 @@ def links(classes: DataFrame, bits: int = 3) -> DataFrame:
                 queries.append(fp[a:b][role[a:b] == 1])
         yield from close()
 
-    dealt = classes.select("fp").mapInArrow(deal, "leaf long, role long, fp long")
+    dealt = classes.select("fp").mapInArrow(lean(deal), "leaf long, role long, fp long")
     if levels > top:
         dealt = _deeper(dealt, levels - top, bits)
     parts = max(1 << levels, shuffle_partitions(spark))
-    return dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(search, "u long, v long")
+    return dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(lean(search), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, bits: int = 3, size: int = 3) -> DataFrame:

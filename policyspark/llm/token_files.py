@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from policyspark.llm import codec, memo
-from policyspark.llm.common import bound_batches, materialize, shared_dir, shuffle_partitions
+from policyspark.llm.common import bound_batches, lean, materialize, shared_dir, shuffle_partitions
 
 #: Ids after which a frame closes; a longer document makes a longer frame.
 FRAME = 1 << 22
@@ -86,7 +86,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     n = shuffle_partitions(spark)
     ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(stage, FRAMES).write.option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(lean(stage, memo.ENCODERS), FRAMES).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +110,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 256], pa.int64()), pa.array(at[i : i + 256], pa.int64()), pa.array(n[i : i + 256], pa.int64()), pa.array(ids[i : i + 256], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     placed = frames.select("part", "frame", "body").join(few, ["part", "frame"]).select("base", "body")
-    return placed.mapInArrow(stage, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(lean(stage), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def new_path(spark: SparkSession) -> str:
