@@ -120,7 +120,12 @@ def join_hot(rows: DataFrame, by_key: DataFrame, keys: list[str], size: str, sha
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """Alternating large and small stars: (u, root) for every u that isn't a root."""
+    """Alternating large and small stars: (u, root) for every u that isn't a root.
+
+    Both joins of a round merge what is shuffled by u anyway: as broadcasts, a
+    round's two tables would go through the driver, which holds them on until
+    it collects its garbage.
+    """
 
     def lowest(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
@@ -133,10 +138,10 @@ def contract(edges: DataFrame) -> DataFrame:
             return edges
         before, last = state, edges
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(lowest(both).select("u", F.least("u", "m").alias("m")), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(lowest(both).select("u", F.least("u", "m").alias("m")).hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = lowest(down)
-        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = down.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "edges")
         discard(last)
 

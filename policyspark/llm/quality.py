@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from policyspark.llm.bpe import slices
-from policyspark.llm.common import bound_batches, discard, lean, materialize
+from policyspark.llm.common import bound_batches, discard, give_back, lean, materialize
 
 WORDS, META = 1 << 16, 1 << 11
 #: Buckets of the text view: words, then layout.
@@ -298,6 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality
             break
         models = {t: fit_views(x, y[t], more[t]) for t in targets}
     discard(feats)
+    x.clear()
+    give_back()  # the sample was the driver's; other stages follow in its process
     return models
 
 

@@ -37,3 +37,16 @@ def test_common_names_are_taken_from_the_module():
     common.cache_of_worker("own")["y"] = 2
     assert list(run(iter([3]))) == [3]
     assert common.CACHES["other"] == {} and common.CACHES.pop("own") == {"y": 2}
+
+
+def test_contraction_broadcasts_nothing(spark):
+    """No round's tables go through the driver, and roots are as they were."""
+    from policyspark.llm.common import contract
+
+    plans = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    before = plans().size()
+    edges = [(i + 1, i) for i in range(0, 40)] + [(i, 100) for i in range(101, 140)] + [(7, 7), (300, 200)]
+    got = {(r["u"], r["v"]) for r in contract(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 0) for i in range(1, 41)} | {(i, 100) for i in range(101, 140)} | {(300, 200)}
+    own = [plans().apply(i).physicalPlanDescription() for i in range(before, plans().size())]
+    assert any("SortMergeJoin" in p for p in own) and not any("BroadcastExchange" in p for p in own)
