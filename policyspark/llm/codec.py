@@ -167,6 +167,17 @@ def _stretch(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and the place of each id among them."""
+    if (top := int(ids.max())) >> 20:
+        return np.unique(ids, return_inverse=True)
+    place = np.zeros(top + 1, np.int32)
+    place[ids] = 1
+    distinct = np.flatnonzero(place)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place.take(ids)
+
+
 def _checksum(says: tuple[int, ...], body: bytes) -> int:
     return zlib.crc32(body, zlib.crc32(struct.pack("<IIII", *says)))
 
@@ -187,7 +198,7 @@ def _encode_lanes(ids: np.ndarray, block: int) -> list[bytes]:
     steps = np.array([_steps(len(c)) for c in cuts])
     known, grid = [], np.zeros((len(cuts) * STREAMS, int(steps[0])), np.int32)
     for i, c in enumerate(cuts):
-        distinct, own = np.unique(c, return_inverse=True)
+        distinct, own = _alphabet(c)
         known.append(distinct)
         filled = np.zeros(STREAMS * int(steps[i]), np.int32)
         filled[: len(c)] = own

@@ -28,7 +28,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WHITE, _LETTER, _NUMBER, _OTHER = range(4)
 #: The name of the encoders among what a worker keeps.
 ENCODERS = "encoders"
-_workers: dict[str, "MemoEncoder"] = cache_of_worker(ENCODERS)
+_workers: dict[tuple[str, int], "MemoEncoder"] = cache_of_worker(ENCODERS)
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,6 +53,10 @@ def kinds() -> np.ndarray:
     return found
 
 
+#: White space within Latin-1, beyond which no lower-casing tokenizer's text is cut here.
+_BLANKS = frozenset(c for c in map(chr, range(256)) if regex.fullmatch(f"[{WHITE}]", c))
+
+
 def _contractions(code: np.ndarray, kind: np.ndarray, first: np.ndarray, new: np.ndarray) -> None:
     """Cuts 's, 't, 're, 've, 'm, 'll and 'd where a word begins with an apostrophe."""
     at = np.flatnonzero(code[:-1] == 39)
@@ -93,16 +97,17 @@ class MemoEncoder:
     Two shapes of tokenizer.json are cut into words here: byte-level ones with
     their own pattern, and lower-casing ones that drop white space. Texts with
     a special token, or (lower-casing) with characters beyond Latin-1, and all
-    other tokenizers go to the library whole.
+    other tokenizers go to the library whole. ``room`` multiplies what the memo
+    and a cut take.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 1):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path = path
+        self.path, self.room = path, room
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.kind = "whole"
@@ -155,7 +160,7 @@ class MemoEncoder:
         self.held += sum(map(len, new))
         self.memo.update([(w, self.old[w]) for w in new if w in self.old])
         if self.kind == "word":
-            self.memo.update([(w, b"") for w in new if kinds()[ord(w[0])] == _WHITE])
+            self.memo.update([(w, b"") for w in new if w[0] in _BLANKS])
         fresh = [w for w in new if w not in self.memo]
         self.memo.update(zip(fresh, self._library_words(fresh)))
 
@@ -178,7 +183,7 @@ class MemoEncoder:
         start = size = 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size >= LEARN or i + 1 == len(texts):
+            if size >= self.room * LEARN or i + 1 == len(texts):
                 out += self._some(texts[start : i + 1])
                 start, size = i + 1, 0
         return out
@@ -190,7 +195,7 @@ class MemoEncoder:
         return [next(whole if c is None else own) for c in cut]
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
+        if len(self.memo) > self.room * MEMO or self.held > self.room * MEMO_CHARS:
             self.old, self.memo, self.held = self.memo, {}, 0
         joined = "".join(texts)
         if not joined:
@@ -226,8 +231,8 @@ class MemoEncoder:
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-def encoder(path: str) -> MemoEncoder:
+def encoder(path: str, room: int = 1) -> MemoEncoder:
     """This Python worker's encoder; tasks that share the worker share the memo."""
-    if path not in _workers:
-        _workers[path] = MemoEncoder(path)
-    return _workers[path]
+    if (path, room) not in _workers:
+        _workers[path, room] = MemoEncoder(path, room)
+    return _workers[path, room]

@@ -24,6 +24,8 @@ from policyspark.llm.common import bound_batches, lean, materialize, shared_dir,
 #: Ids after which a frame closes; a longer document makes a longer frame.
 FRAME = 1 << 22
 _SIZES = struct.Struct("<III")
+#: Times the encoder's usual memo and cuts, since nothing else of size is held here but a frame's ids.
+ROOM = 4
 #: Frames up to which their first positions are broadcast; more meet them by a shuffle.
 STARTS = 1 << 20
 FRAMES = "part long, frame long, n_ids long, body binary"
@@ -66,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def stage(batches):
-        enc, part, frame = memo.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, frame = memo.encoder(tokenizer, ROOM), TaskContext.get().partitionId(), 0
         keys, held, total = [], [], 0
 
         def row():

@@ -92,3 +92,15 @@ def test_texts_cut_together(name):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [e.ids for e in enc.lib.encode_batch(texts, add_special_tokens=False)]
 
     same()
+
+
+def test_room_of_an_encoder(monkeypatch):
+    """A larger memo gives the same ids, and keeps what a smaller one has to ask for again; encoders of both sizes live side by side."""
+    monkeypatch.setattr(memo, "MEMO", 40)
+    monkeypatch.setattr(memo, "LEARN", 50)
+    texts = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}  x\xa0y\x85z's ß" for i in range(100)] * 2
+    small, large = (memo.encoder(queries.vocabulary(NAMES[0]), room) for room in (1, 50))
+    asked = []
+    monkeypatch.setattr(memo.MemoEncoder, "_library_words", lambda self, words, own=memo.MemoEncoder._library_words: asked.extend([self.room] * len(words)) or own(self, words))
+    assert small.encode(texts) == large.encode(texts) == small._library(texts)
+    assert 0 < asked.count(50) < asked.count(1) and small is memo.encoder(queries.vocabulary(NAMES[0]))
