@@ -1,10 +1,11 @@
 """Token ids by the tokenizers library, asked once per distinct word.
 
-Words repeat, and the library takes over ten microseconds a word, so the ids of
+Words repeat, and the library takes some microseconds a word, so the ids of
 each distinct word are kept in a bounded memo. Many texts are cut at once, by
-the classes of their code points, where the tokenizer's own pattern cuts; Arrow
-finds the distinct words and numpy puts the ids together, so that Python looks
-at distinct words only.
+the classes of their code points, where the tokenizer's own pattern cuts. Words
+of up to 15 bytes, nearly all, are looked up in numpy arrays, by all of their
+bytes; Arrow finds the distinct ones of the rest, and numpy puts the ids
+together, so that Python looks at new and long words only, once for each.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import regex
 from policyspark.llm.common import WHITE, cache_of_worker
 
 #: Words, and their characters, that a worker's memo takes before it becomes the old one, which is asked before the library.
-MEMO, MEMO_CHARS = 100_000, 1 << 23
+MEMO, MEMO_CHARS = 250_000, 1 << 23
 #: Characters of texts that are cut at once.
 LEARN = 1 << 19
 #: The pattern of lower-casing tokenizers that are known here.
@@ -53,10 +54,6 @@ def kinds() -> np.ndarray:
     return found
 
 
-#: White space within Latin-1, beyond which no lower-casing tokenizer's text is cut here.
-_BLANKS = frozenset(c for c in map(chr, range(256)) if regex.fullmatch(f"[{WHITE}]", c))
-
-
 def _contractions(code: np.ndarray, kind: np.ndarray, first: np.ndarray, new: np.ndarray) -> None:
     """Cuts 's, 't, 're, 've, 'm, 'll and 'd where a word begins with an apostrophe."""
     at = np.flatnonzero(code[:-1] == 39)
@@ -91,6 +88,95 @@ def lower_words(code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.nda
     return new
 
 
+#: By a word's length: the bits of its first and its next eight bytes that are its own. A longer word has none.
+_OWN = np.array([[(1 << 8 * min(n, 8)) - 1, (1 << 8 * max(n - 8, 0)) - 1] if n < 16 else [0, 0] for n in range(17)], np.uint64).T.copy()
+#: By a word's length: what its key has above its bytes.
+_LENGTH = np.array([n << 56 if n < 16 else 0 for n in range(17)], np.uint64)
+
+
+def word_keys(raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two whole numbers for each word of up to 15 bytes, which hold its bytes and its length; zeros for a longer one."""
+    eight = np.ndarray(len(raw) + 9, "<u8", raw + bytes(16), strides=(1,))
+    size = np.minimum(size, 16)
+    low = eight[start]
+    low &= _OWN[0].take(size)
+    high = eight[start + 8]
+    high &= _OWN[1].take(size)
+    high |= _LENGTH.take(size)
+    return low, high
+
+
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+class Known:
+    """Ids of words by their number, and a hash table from the keys of :func:`word_keys` to numbers."""
+
+    def __init__(self):
+        self.n = self.keyed = 0
+        # the ids of word i lie from begin[i] to begin[i + 1]
+        self.begin, self.ids = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+        self._empty(1 << 12)
+
+    def _empty(self, slots: int) -> None:
+        self.low, self.high, self.number = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        found = low * np.uint64(0x9E3779B97F4A7C15)
+        found ^= high * np.uint64(0xC2B2AE3D27D4EB4F)
+        found ^= found >> np.uint64(32)
+        found *= np.uint64(0xD6E8FEB86659FD93)
+        found >>= np.uint64(65 - len(self.number).bit_length())
+        return found.view(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each key; -1: unknown, or no key."""
+        at = self._slot(low, high)
+        found = self.number.take(at)
+        other = np.flatnonzero((self.low.take(at) != low) | (self.high.take(at) != high))
+        while (other := other[found.take(other) >= 0]).size:  # the next slot, until the key or an empty one comes
+            here = at[other] = at.take(other) + 1 & len(self.number) - 1
+            found[other] = self.number.take(here)
+            other = other[(self.low.take(here) != low.take(other)) | (self.high.take(here) != high.take(other))]
+        found[high == 0] = -1
+        return found
+
+    def _put(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Keys that are new and distinct; at most half of the slots are taken."""
+        self.keyed += len(low)
+        if 2 * self.keyed > len(self.number):
+            own = np.flatnonzero(self.number >= 0)
+            low, high, number = (np.concatenate([x[own], y]) for x, y in ((self.low, low), (self.high, high), (self.number, number)))
+            self._empty(1 << (2 * self.keyed - 1).bit_length())
+        at, todo = self._slot(low, high), np.arange(len(low))
+        while todo.size:
+            here, mine = at.take(todo), number.take(todo)
+            free = self.number.take(here) < 0
+            self.number[here[free]] = mine[free]  # one of those that meet at a free slot gets it
+            got = self.number.take(here) == mine
+            self.low[here[got]], self.high[here[got]] = low[todo[got]], high[todo[got]]
+            todo = todo[~got]
+            at[todo] = at.take(todo) + 1 & len(self.number) - 1
+
+    def add(self, low: np.ndarray, high: np.ndarray, found: list[bytes]) -> np.ndarray:
+        """Numbers for distinct words that are new, with their ids; words without a key are the caller's to find again."""
+        number = np.arange(self.n, self.n + len(found), dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4")
+        ends = self.begin[self.n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)
+        self.ids = _with_room(self.ids, int(self.begin[self.n]) + len(ids))
+        self.ids[self.begin[self.n] : self.begin[self.n] + len(ids)] = ids
+        self.begin = _with_room(self.begin, self.n + len(found) + 1)
+        self.begin[self.n + 1 : self.n + len(found) + 1] = ends
+        self.n += len(found)
+        keyed = high > 0
+        self._put(low[keyed], high[keyed], number[keyed])
+        return number
+
+    def ids_of(self, number: np.ndarray) -> list[bytes]:
+        return [self.ids[a:b].tobytes() for a, b in zip(self.begin.take(number).tolist(), self.begin.take(number + 1).tolist())]
+
+
 class MemoEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -111,6 +197,8 @@ class MemoEncoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         self.kind = "whole"
+        # words of up to 15 bytes are found by the keys of these, the numbers of longer ones by the memo
+        self.known, self.known_old = Known(), Known()
         self.memo, self.old, self.held = {}, {}, 0
         # words after a blank are kept with the others
         self.after_blank, self.old_after = {}, {}
@@ -155,14 +243,23 @@ class MemoEncoder:
         raw, stops = ids.tobytes(), (4 * (last + 1)).tolist()
         return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Puts the ids of ``new`` words into the memo, from the old one or the library."""
-        self.held += sum(map(len, new))
-        self.memo.update([(w, self.old[w]) for w in new if w in self.old])
-        if self.kind == "word":
-            self.memo.update([(w, b"") for w in new if w[0] in _BLANKS])
-        fresh = [w for w in new if w not in self.memo]
-        self.memo.update(zip(fresh, self._library_words(fresh)))
+    def _numbers(self, words: list[str], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words, long ones or new; new ones' ids are taken over from the old memo or asked of the library."""
+        found = np.full(len(words), -1, np.int32)
+        for i in np.flatnonzero(high == 0).tolist():
+            found[i] = self.memo.get(words[i], -1)
+        new = np.flatnonzero(found < 0)
+        before = self.known_old.find(low[new], high[new])
+        for i in np.flatnonzero(high[new] == 0).tolist():
+            before[i] = self.old.get(words[new[i]], -1)
+        kept, fresh = new[before >= 0], new[before < 0]
+        asked = [words[i] for i in fresh.tolist()]
+        new = np.concatenate([kept, fresh])
+        found[new] = self.known.add(low[new], high[new], self.known_old.ids_of(before[before >= 0]) + self._library_words(asked))
+        for i in new[high[new] == 0].tolist():
+            self.memo[words[i]] = int(found[i])
+        self.held += sum(map(len, asked)) + sum([len(words[i]) for i in kept.tolist()])
+        return found
 
     def _cut(self, text: str) -> str | None:
         """The text as it is cut into words here; None: the library gets it whole."""
@@ -195,7 +292,8 @@ class MemoEncoder:
         return [next(whole if c is None else own) for c in cut]
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.room * MEMO or self.held > self.room * MEMO_CHARS:
+        if self.known.n > self.room * MEMO or self.held > self.room * MEMO_CHARS:
+            self.known_old, self.known = self.known, Known()
             self.old, self.memo, self.held = self.memo, {}, 0
         joined = "".join(texts)
         if not joined:
@@ -207,26 +305,36 @@ class MemoEncoder:
         begins = np.cumsum([0, *map(len, texts)])
         first = np.zeros(len(code) + 1, bool)
         first[begins] = True
-        at = np.flatnonzero((byte_words if self.kind == "byte" else lower_words)(code, kinds().take(code), first[:-1]))
+        kind = kinds().take(code)
+        at = np.flatnonzero((byte_words if self.kind == "byte" else lower_words)(code, kind, first[:-1]))
         raw, stops = joined.encode(), np.append(at, len(code))
         if len(raw) > len(code):  # from code points to bytes
             width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
             stops = np.append(0, np.cumsum(width, dtype=np.int64))[stops]
-        wide = len(raw) >> 31
-        words = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(at), pa.py_buffer(stops.astype(np.int64 if wide else np.int32)), pa.py_buffer(raw)).dictionary_encode()
-        which, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.memo.get, distinct))
-        if new := [i for i, ids in enumerate(found) if ids is None]:
-            self._learn([distinct[i] for i in new])
-            for i in new:
-                found[i] = self.memo[distinct[i]]
-        lens = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        size = lens.take(which)
+        start, size = stops[:-1], np.diff(stops)
+        if self.kind == "word":  # white space has no ids
+            own = np.flatnonzero(kind.take(at) != _WHITE)
+            at, start, size = at[own], start[own], size[own]
+        low, high = word_keys(raw, start, size)
+        number = self.known.find(low, high)
+        if (rest := np.flatnonzero(number < 0)).size:
+            bounds = np.append(0, np.cumsum(size[rest]))
+            take = np.repeat(start[rest] - bounds[:-1], size[rest])
+            take += np.arange(len(take))
+            wide = bounds[-1] >> 31
+            words = np.frombuffer(raw, np.uint8).take(take)
+            words = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(rest), pa.py_buffer(bounds.astype(np.int64 if wide else np.int32)), pa.py_buffer(words)).dictionary_encode()
+            which, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+            one = np.zeros(len(distinct), np.int64)
+            one[which] = rest
+            number[rest] = self._numbers(distinct, low[one], high[one]).take(which)
+        begin = self.known.begin.take(number)
+        size = self.known.begin.take(number + 1) - begin
         upto = np.append(0, np.cumsum(size))
-        # each word's ids, from where all distinct words' ids lie side by side
-        take = np.repeat((np.cumsum(lens) - lens).take(which) - upto[:-1], size)
+        # each word's ids, from where all words' ids lie side by side
+        take = np.repeat(begin - upto[:-1], size)
         take += np.arange(len(take))
-        ids = np.frombuffer(b"".join(found), "<u4").take(take).tobytes()
+        ids = self.known.ids.take(take).tobytes()
         bounds = (4 * upto[np.searchsorted(at, begins)]).tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 

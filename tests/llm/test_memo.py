@@ -104,3 +104,45 @@ def test_room_of_an_encoder(monkeypatch):
     monkeypatch.setattr(memo.MemoEncoder, "_library_words", lambda self, words, own=memo.MemoEncoder._library_words: asked.extend([self.room] * len(words)) or own(self, words))
     assert small.encode(texts) == large.encode(texts) == small._library(texts)
     assert 0 < asked.count(50) < asked.count(1) and small is memo.encoder(queries.vocabulary(NAMES[0]))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_known_words_are_found_without_python(name):
+    """Texts of short words that are known ask the memo's dictionary for none of them."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    enc = memo.MemoEncoder(queries.vocabulary(name))
+    texts = ["the cat, the dog. The\ncat's dog!", "été 12 fifteenletters", ""]
+    want = [enc.encode(texts), enc.encode(texts)]
+    enc.memo, enc.old = Counted(enc.memo), Counted(enc.old)
+    assert enc.encode(texts) == want[0] == want[1] == enc._library(texts) and Counted.asked == 0
+    texts = ["antidisestablishmentarianism"] * 3
+    assert enc.encode(texts) == enc._library(texts) and 0 < Counted.asked <= 2 and len(enc.memo) == 1
+
+
+@pytest.mark.parametrize("same_slot", [False, True])
+def test_words_keep_apart(same_slot, monkeypatch):
+    """Words of all lengths, with NULs at their ends, whose bytes begin alike, also where all meet at one slot."""
+    if same_slot:
+        monkeypatch.setattr(memo.Known, "_slot", lambda self, low, high: np.full(len(low), len(self.number) - 2))
+    enc = memo.MemoEncoder(queries.vocabulary(NAMES[0]))
+    words = [c * n + e for n in range(18) for c in "aé中" for e in ("", "b", "bc")] + ["\0" * n for n in range(1, 18)] + ["!" + "\0" * n for n in range(17)] + ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(300)]
+    for texts in (words, [" ".join(words)], words[::-1]):
+        assert enc.encode(texts) == enc._library(texts)
+
+
+def test_tables_grow_and_are_bounded(monkeypatch):
+    monkeypatch.setattr(memo, "MEMO", 5000)
+    enc = memo.MemoEncoder(queries.vocabulary(NAMES[0]))
+    for i in range(10):
+        texts = [" ".join(f"w{chr(97 + i)}{k:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(j, j + 100)) for j in range(0, 3000, 100)]
+        assert enc.encode(texts) == enc._library(texts)
+        assert max(enc.known.n, enc.known_old.n) <= 5000 + 3200
+        assert 2 * enc.known.keyed <= len(enc.known.number)
+    assert enc.known_old.n > 5000
