@@ -105,10 +105,9 @@ class _Model:
         n = prev.shape[-1]
         return prev + self.symbols[:n], (prev * 40503 + before & _SLOTS - 1) + self.hashes[:n]
 
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """From a round's ids, step after step, and the places of their contexts."""
+    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, *saw: np.ndarray) -> None:
+        """From a round's ids, step after step, the places of their contexts and what the two said there."""
         n, k = ids.shape[1], ids.shape[1] // self.streams
-        saw = self.one.take(one), self.two.take(two)
         right = [s >> 4 == ids for s in saw]
         event = np.where(right[1], 0, np.where(right[0], 1, 2))
         pair = ((saw[0] | saw[1]) & 15) + self.pairs[:n]
@@ -236,7 +235,7 @@ def _encode_lanes(ids: np.ndarray, block: int) -> list[bytes]:
             coder.put(add, left)
         if b < steps[0]:
             m = STREAMS * int((steps > b).sum())
-            model.learn(x[:, :m], one[:, :m], two[:, :m])
+            model.learn(x[:, :m], one[:, :m], two[:, :m], p[:, :m], q[:, :m])
     streams, blocks = coder.finish(), []
     for i, c in enumerate(cuts):
         own = streams[i * STREAMS : (i + 1) * STREAMS]
@@ -286,13 +285,16 @@ def _decode_lanes(blocks: list[bytes]) -> list[np.ndarray]:
     prev, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for a, b in _rounds(int(steps[0])):
         n = STREAMS * int((steps > a).sum())
-        slot = model.lookup()
+        slot, both = model.lookup(), model.low << _WORD | model.wide
+        places = [np.zeros((b - a, n), np.int64) for _ in range(2)]
+        saw = [np.zeros((b - a, n), np.int32) for _ in range(2)]
         for t in range(a, b):
             m = n if t < steps[-1] else STREAMS * int((steps > t).sum())
             if m < len(prev):
                 prev, before, code, rng, pos = prev[:m], before[:m], code[:m], rng[:m], pos[:m]
             one, two = model.places(prev, before)
             p, q = model.one.take(one), model.two.take(two)
+            places[0][t - a, :m], places[1][t - a, :m], saw[0][t - a, :m], saw[1][t - a, :m] = one, two, p, q
             pair = ((p | q) & 15) + model.pairs[:m]
             r = rng >> _U(16)
             second = model.second.take(pair) * r
@@ -300,9 +302,10 @@ def _decode_lanes(blocks: list[bytes]) -> list[np.ndarray]:
             own = left >> model.bits[:m]
             place = np.minimum(rest // own, model.top[:m]).view(np.int64)
             x = slot.take(place + model.slots[:m]).astype(np.int64)
-            at = x + model.symbols[:m]
-            rest -= model.low.take(at) * own
-            left = model.wide.take(at) * own
+            left = both.take(x + model.symbols[:m])
+            rest -= (left >> _WORD) * own
+            left &= _LOW - _U(1)
+            left *= own
             if (hits := np.flatnonzero(code < second)).size:
                 head, c = model.first.take(pair[hits]) * r[hits], code[hits]
                 is2 = c < head
@@ -318,7 +321,7 @@ def _decode_lanes(blocks: list[bytes]) -> list[np.ndarray]:
             code, rng, before, prev = rest, left, prev, x
         if b < steps[0]:
             m = STREAMS * int((steps > b).sum())
-            model.learn(grid[a + 2 : b + 2, :m], *model.places(grid[a + 1 : b + 1, :m].astype(np.int64), grid[a:b, :m]))
+            model.learn(grid[a + 2 : b + 2, :m], *(y[:, :m] for y in places + saw))
     out = [np.zeros(0, np.int64)] * len(blocks)
     for k, i in enumerate(order):
         own = grid[2 : steps[k] + 2, k * STREAMS : (k + 1) * STREAMS].T.ravel()[: heads[i][1]]

@@ -309,8 +309,7 @@ class MemoEncoder:
         at = np.flatnonzero((byte_words if self.kind == "byte" else lower_words)(code, kind, first[:-1]))
         raw, stops = joined.encode(), np.append(at, len(code))
         if len(raw) > len(code):  # from code points to bytes
-            width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
-            stops = np.append(0, np.cumsum(width, dtype=np.int64))[stops]
+            stops = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80), len(raw)).take(stops)
         start, size = stops[:-1], np.diff(stops)
         if self.kind == "word":  # white space has no ids
             own = np.flatnonzero(kind.take(at) != _WHITE)
@@ -324,7 +323,7 @@ class MemoEncoder:
             wide = bounds[-1] >> 31
             words = np.frombuffer(raw, np.uint8).take(take)
             words = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(rest), pa.py_buffer(bounds.astype(np.int64 if wide else np.int32)), pa.py_buffer(words)).dictionary_encode()
-            which, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+            which, distinct = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
             one = np.zeros(len(distinct), np.int64)
             one[which] = rest
             number[rest] = self._numbers(distinct, low[one], high[one]).take(which)
