@@ -12,6 +12,8 @@ from policyspark.functions import extract
 from policyspark.functions import text as T
 from policyspark.functions.normalize import any_in, strip
 from policyspark.operators import dictionary
+from policyspark.operators.repeats import Texts, sent
+from policyspark.operators.stages import settle
 
 TASK = ["filename", "brand"]
 
@@ -29,6 +31,11 @@ def task_pages(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     return tasks.select(*TASK).distinct().join(own, "filename")
 
 
+def settled_tasks(tasks: DataFrame) -> DataFrame:
+    """The distinct tasks, settled and sent to every task of Spark's if they are few."""
+    return sent(settle(tasks.select(*TASK).distinct()))
+
+
 def scored_pages(tasks: DataFrame, pages: DataFrame, keywords: DataFrame | dict | None = None) -> DataFrame:
     """S13d over all task pages: relevance and categories.
 
@@ -99,18 +106,23 @@ def sentence_context(pages: DataFrame, words: dict[str, list[str]], per_param: i
     return rows.withColumn("n", place).where(F.col("n") <= per_param).select(*TASK, "param", "page_num", "sent", "around")
 
 
-def document_types(pages: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+def document_types(pages: DataFrame, names: dict[str, str] | None = None, texts: Texts | None = None) -> DataFrame:
     """S13e, D14, D15: filename, n_pages, n_brands, catalog, jumps and the type of each document.
 
     ``names``: what a page can call a brand, and the brand that each name stands
     for. Catalog pages are counted among the first ten pages, pages with a jump
     among the first 30.
     """
+    texts = texts or Texts(pages)
     low = F.lower("text")
-    catalog = F.contains(low, F.lit(packs.CATALOG_MARKS[0])) & F.contains(low, F.lit(packs.CATALOG_MARKS[1])) & (F.col("page_num") < 10)
-    jump = low.rlike(packs.JUMP_PATTERN) & (F.col("page_num") < 30)
-    pieces = pages.groupBy("filename").agg(F.count("*").alias("n_pages"), F.count(F.when(catalog, 1)).alias("catalog"), F.count(F.when(jump, 1)).alias("jumps"))
-    hits = dictionary.phrases_in(pages.select("filename", "text"), dictionary.canonical_dim(pages.sparkSession, names), ["filename"])
+    catalog = (F.col("page_num") < 10) & F.contains(low, F.lit(packs.CATALOG_MARKS[0])) & F.contains(low, F.lit(packs.CATALOG_MARKS[1]))
+    jump = (F.col("page_num") < 30) & low.rlike(packs.JUMP_PATTERN)
+    marks = pages.where("page_num < 30").groupBy("filename").agg(F.count(F.when(catalog, 1)).alias("catalog"), F.count(F.when(jump, 1)).alias("jumps"))
+    none = F.lit(0).cast("long")
+    pieces = pages.groupBy("filename").agg(F.count("*").alias("n_pages")).join(marks.withColumnRenamed("filename", "_f"), F.col("filename").eqNullSafe(F.col("_f")), "left")
+    pieces = pieces.select("filename", "n_pages", *[F.coalesce(c, none).alias(c) for c in ("catalog", "jumps")])
+    dim = dictionary.canonical_dim(pages.sparkSession, names)
+    hits = texts.seen(texts.rows.select("filename", texts.key), lambda rows: dictionary.phrases_in(rows, dim, [c for c in rows.columns if c != "text"]))
     brands = hits.groupBy("filename").agg(F.count_distinct("stands_for").cast("int").alias("n_brands"))
     counts = pieces.join(brands, "filename", "left").select("filename", "n_pages", F.coalesce("n_brands", F.lit(0)).alias("n_brands"), "catalog", "jumps")
     kind = F.when((F.col("n_brands") <= 1) | (F.col("n_pages") <= 10), "single-drug").when((F.col("catalog") >= 3) & (F.col("n_pages") > 50), "flat-catalog").when(F.col("jumps") >= 5, "decision-tree").otherwise("multi-drug")
@@ -133,8 +145,10 @@ def preferred_status(pages: DataFrame) -> DataFrame:
         before = F.substring(low, F.greatest(at - 15, F.lit(1)), F.least(at - 1, F.lit(15)))
         good = good | (known & (at > 0) & ~F.contains(before, F.lit("non-preferred")))
     status = F.when((F.contains(low, F.lit("non-preferred")) | F.contains(low, F.lit("non preferred"))) & out, "non-preferred").when(good, "preferred")
-    stated = pages.withColumn("status", F.when(F.col("page_num") < 15, status))
-    return stated.groupBy(*TASK).agg(F.coalesce(F.min_by("status", F.when(F.col("status").isNotNull(), F.col("page_num"))), F.lit("unknown")).alias("preferred_status"))
+    stated = pages.where("page_num < 15").withColumn("status", status).where("status is not null")
+    first = stated.groupBy(*[F.col(k).alias(f"_{k}") for k in TASK]).agg(F.min_by("status", "page_num").alias("status"))
+    same = F.col("filename").eqNullSafe(F.col("_filename")) & F.col("brand").eqNullSafe(F.col("_brand"))
+    return pages.select(*TASK).distinct().join(first, same, "left").select(*TASK, F.coalesce("status", F.lit("unknown")).alias("preferred_status"))
 
 
 def section_span(pages: DataFrame, start: Column, opens: Column) -> DataFrame:
