@@ -1,6 +1,7 @@
 
 
 
-def test_section_of_a_text_once(monkeypatch, tables):
-    few, many, plan = both_ways(monkeypatch, lambda: tiers.section_rows(*tables))
-    assert few == many and few and "regexp" not in plan and "RLIKE" not in plan and "Window" not in plan
+def test_snippets_of_a_text_once(monkeypatch, tables):
+    tasks, pages = tables
+    few, many, plan = both_ways(monkeypatch, lambda: tiers.snippet_rows(tasks, pages, tiers.paragraph_rows(tasks, pages)))
+    assert few == many and few and "regexp" not in plan and "RLIKE" not in plan
