@@ -271,9 +271,18 @@ def reauth_sentences(text: Column, budget: int = 1500) -> Column:
 def step_analysis(sections: DataFrame, drugs: DataFrame | None = None, keys: list[str] = TASK) -> DataFrame:
     """P: requirements, mentions, phototherapy, reauthorisation sentences and the combined counts of each section.
 
-    sections: filename, brand, text and, if apart, universal_text. One row a task.
+    sections: filename, brand, text and, if apart, universal_text. One row a task. Sections without a
+    universal text apart that share their text share its analysis.
     """
     table = drugs if drugs is not None else dictionary.drug_dim(sections.sparkSession)
+    if "universal_text" in sections.columns:
+        return steps_of(sections, table, keys)
+    texts = Texts(sections.select(*keys, "text"))
+    return texts.seen(texts.rows, lambda rows: steps_of(rows, table, [c for c in rows.columns if c != "text"])).drop("text_no")
+
+
+def steps_of(sections: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`step_analysis` of each section by itself."""
     need = requirement_rows(sections, table, keys)
     shape = F.struct("no", "count", "drug_type", "drugs", "connector", "source_text")
     needs = need.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(shape)), lambda x: x.dropFields("no")).alias("requirements"))

@@ -1,7 +1,54 @@
+"""Texts that repeat are looked at once; the rows are those of a look at every page."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from policyspark.operators import context, repeats, tiers
+
+HEAD = "Products Affected: STELARA and TREMFYA. PA Criteria.\n\n"
+GOOD = "Plaque psoriasis is covered. STELARA may be approved after trial of methotrexate.\n\nPhototherapy or puva was ineffective for this member. Reauthorization is granted for 12 months."
+TEXTS = [HEAD + GOOD, "Table of contents.", None, "", " \n 12 \n", GOOD, "Non-preferred products require trial of TREMFYA first.\n\nCrohn disease – another policy.", "General criteria apply to all requests.\n\n\n\nPage 3 of 9\nPreferred:  COSENTYX - any drug of the class.", "Go to #3. ENBREL is a preferred agent of this plan. Inadequate response to one preferred biologic product of the plan.\n\n7"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def tables(spark):
+    """A short document, one of 60 pages that name several drugs, and one that names none."""
+    pages = [(f, n, TEXTS[(n * k) % len(TEXTS)]) for f, k, m in (("a", 1, 9), ("b", 2, 60), ("d", 4, 30)) for n in range(m)] + [("c", n, "Nothing is said here, but the disease psoriasis.") for n in range(12)]
+    tasks = [("a", "STELARA"), ("b", "STELARA"), ("b", "TREMFYA"), ("b", "TREMFYA"), ("c", "COSENTYX"), ("d", None), ("d", "Unknown")]
+    return spark.createDataFrame(tasks, "filename string, brand string"), spark.createDataFrame(pages, "filename string, page_num int, text string")
+
+
+def both_ways(monkeypatch, rows_of):
+    """The rows with few texts and with many, and the plan with few."""
+    df = rows_of()
+    few = sorted(map(str, df.collect()))
+    monkeypatch.setattr(repeats, "FEW", -1)
+    many = sorted(map(str, rows_of().select(*df.columns).collect()))
+    monkeypatch.undo()
+    return few, many, plan_of(df)
+
+
+def test_paragraphs_of_a_text_once(monkeypatch, tables):
+    few, many, plan = both_ways(monkeypatch, lambda: tiers.paragraph_rows(*tables))
+    assert few == many and few and "regexp" not in plan and "RLIKE" not in plan
+
+
+def test_section_of_a_text_once(monkeypatch, tables):
+    few, many, plan = both_ways(monkeypatch, lambda: tiers.section_rows(*tables))
+    assert few == many and few and "regexp" not in plan and "RLIKE" not in plan and "Window" not in plan
 
 
 def test_snippets_of_a_text_once(monkeypatch, tables):
     tasks, pages = tables
     few, many, plan = both_ways(monkeypatch, lambda: tiers.snippet_rows(tasks, pages, tiers.paragraph_rows(tasks, pages)))
     assert few == many and few and "regexp" not in plan and "RLIKE" not in plan
+
+
+def test_steps_of_a_text_once(monkeypatch, tables):
+    sections = tables[1].select("filename", F.col("page_num").cast("string").alias("brand"), "text")
+    few, many, plan = both_ways(monkeypatch, lambda: context.step_analysis(sections))
+    assert few == many and len(few) == 111 and "regexp" not in plan and "RLIKE" not in plan
