@@ -18,7 +18,8 @@ from policyspark import packs
 from policyspark.functions import extract
 from policyspark.functions import text as T
 from policyspark.functions.score import real_params, text_of
-from policyspark.operators import context, records
+from policyspark.operators import context, dictionary, records
+from policyspark.operators.repeats import Texts
 from policyspark.operators.stages import first_that_answers, settle
 
 Call = Callable[[list[str]], list[str | None]]
@@ -117,9 +118,18 @@ def analysis_block(requirements: Column, branded: Column, generic: Column, manda
 
 def with_analysis(chunks: DataFrame, keys: list[str] = CHUNK) -> DataFrame:
     """B13, P: ``chunks`` (text) with ``analysis``, the block of each one's step analysis."""
-    found = context.step_analysis(chunks, keys=keys)
-    block = analysis_block(*[F.col(c) for c in ("requirements", "branded_steps", "generic_steps", "phototherapy_mandatory", "phototherapy_in_or", "confidence", "reasoning")])
-    return chunks.join(found.select(*keys, block.alias("analysis")), keys)
+    table = dictionary.drug_dim(chunks.sparkSession)
+
+    def look(rows: DataFrame) -> DataFrame:
+        own = ["text_no"] if "text_no" in rows.columns else keys
+        found = context.steps_of(rows, table, own)
+        block = analysis_block(*[F.col(c) for c in ("requirements", "branded_steps", "generic_steps", "phototherapy_mandatory", "phototherapy_in_or", "confidence", "reasoning")])
+        return rows.join(found.select(*own, block.alias("analysis")), own)
+
+    if "universal_text" in chunks.columns:
+        return look(chunks)
+    texts = Texts(chunks)
+    return texts.seen(texts.rows, look).select(*keys, *[c for c in chunks.columns if c not in keys], "analysis")
 
 
 def chunk_budgets(overhead: Column, universal: Column, tokens: int = 12000, out: int = 2000) -> tuple[Column, Column]:

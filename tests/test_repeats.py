@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from policyspark.operators import context, repeats, tiers
+from policyspark.operators import context, infer, repeats, tiers
+from policyspark.operators.context import TASK
 
 HEAD = "Products Affected: STELARA and TREMFYA. PA Criteria.\n\n"
 GOOD = "Plaque psoriasis is covered. STELARA may be approved after trial of methotrexate.\n\nPhototherapy or puva was ineffective for this member. Reauthorization is granted for 12 months."
@@ -52,3 +53,9 @@ def test_steps_of_a_text_once(monkeypatch, tables):
     sections = tables[1].select("filename", F.col("page_num").cast("string").alias("brand"), "text")
     few, many, plan = both_ways(monkeypatch, lambda: context.step_analysis(sections))
     assert few == many and len(few) == 111 and "regexp" not in plan and "RLIKE" not in plan
+
+
+def test_analysis_of_a_text_once(monkeypatch, tables):
+    sections = tables[1].select(F.col("page_num").alias("n"), "filename", F.col("page_num").cast("string").alias("brand"), "text")
+    few, many, plan = both_ways(monkeypatch, lambda: infer.with_analysis(sections, TASK))
+    assert few == many and len(few) == 111 and "regexp" not in plan and "RLIKE" not in plan
