@@ -15,9 +15,22 @@ BLANKS = r"\n\s*\n(\s*\n)+"
 
 def clean(c: Column) -> Column:
     """Strip lines, squeeze blanks, drop footers and page numbers, close spaced hyphens."""
+    return strip(_cleaned(c))
+
+
+def _cleaned(c: Column) -> Column:
     lines = F.array_join(F.transform(F.split(c, "\n"), strip), "\n")
     steps = [(BLANKS, "\n\n"), (r"[ \t]{2,}", " "), (r"(?m)^(Last Update:.*|Effective:.*Page.*|Page\s*\d+\s*of\s*\d+.*)$", ""), (r"(?m)^\s*\d{1,3}\s*$", ""), (r"(\w) - (\w)", "$1-$2"), (r"(\w)- (\w)", "$1-$2"), (r"(\w) -(\w)", "$1-$2"), (BLANKS, "\n\n")]
-    return strip(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, lines))
+    return reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, lines)
+
+
+def clean_piece(c: Column) -> Column:
+    """What :func:`clean` makes of a piece between a line with a mark in brackets and an empty line with the next mark or rule behind it, with the line ends on both sides.
+
+    No pattern reaches over a mark, so a text of marked pieces can be cleaned piece by piece.
+    """
+    out = _cleaned(F.concat(F.lit("[]\n"), c, F.lit("\n\n[")))
+    return F.substring(out, F.lit(3), F.length(out) - 3)
 
 
 def _nonblank(parts: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from policyspark.operators.stages import settle
 
 Look = Callable[[DataFrame], DataFrame]
-#: Distinct texts (times brands), and their characters, up to which what was found in them is sent to every task.
+#: Distinct texts, and their characters, up to which what was found in them is sent to every task; with brands, five times as many pairs.
 FEW, FEW_CHARS = 20_000, 8_000_000
 #: Rows up to which a table without texts is sent to every task; characters up to which one with texts is.
 SHORT, SHORT_CHARS = 20_000, 64_000_000
@@ -38,8 +38,9 @@ class Texts:
     ``rows`` are the pages with ``text`` or, if the distinct texts are few, with the number of it, ``text_no``, from 0.
     """
 
-    def __init__(self, pages: DataFrame):
-        self.pages = pages
+    def __init__(self, pages: DataFrame, tasks: DataFrame | None = None):
+        """``tasks``: those whose brands the texts are looked at with."""
+        self.pages, self.tasks = pages, tasks
 
     @cached_property
     def few(self) -> DataFrame | None:
@@ -49,7 +50,8 @@ class Texts:
             return None
         texts = settle(self.pages.select("text").distinct())
         n, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-        if n > FEW or chars > FEW_CHARS:
+        brands = 1 if self.tasks is None else self.tasks.select("brand").distinct().count()
+        if n > FEW or chars > FEW_CHARS or n * brands > 5 * FEW:
             return None
         order = F.array_sort(F.collect_list(F.struct("text")))
         return settle(texts.agg(order.alias("t")).select(F.posexplode("t").alias("text_no", "t")).select("text_no", "t.text").repartition(parts, "text_no"))
@@ -76,7 +78,5 @@ class Texts:
         if brands is None:
             found = settle(look(self.few)).withColumnRenamed("text_no", "_no")
             return rows.join(_sent_found(found), F.col("text_no") == F.col("_no")).drop("_no")
-        if self.few.count() * brands.count() > 5 * FEW:
-            return look(rows.join(F.broadcast(self.few), "text_no"))
         found = settle(look(self.few.crossJoin(F.broadcast(brands)))).withColumnsRenamed({"text_no": "_no", "brand": "_brand"})
         return rows.join(_sent_found(found), (F.col("text_no") == F.col("_no")) & F.col("brand").eqNullSafe(F.col("_brand"))).drop("_no", "_brand")

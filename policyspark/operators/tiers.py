@@ -7,6 +7,7 @@ texts are put together once, at the end, one document's pieces at a time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,6 @@ from policyspark.operators.repeats import Texts, sent
 from policyspark.operators.stages import settle
 
 PLACE = [*TASK, "page_num"]
-RULE = "\n\n---\n\n"
 
 
 def _any_like(c: Column, patterns: list[str]) -> Column:
@@ -85,9 +85,12 @@ def _paragraphs(rows: DataFrame) -> DataFrame:
 
 def paragraph_rows(tasks: DataFrame, pages: DataFrame, texts: Texts | None = None) -> DataFrame:
     """S13i: paragraphs with two of signal, brand and parameter words that aren't about another indication."""
-    texts, tasks = texts or Texts(pages), settled_tasks(tasks)
-    rows = tasks.join(texts.rows, "filename")
-    return texts.seen(rows, _paragraphs, _brands(tasks)).where("good").select(*PLACE, "ord", "para")
+    return _good_paragraphs(tasks, pages, texts or Texts(pages, tasks)).select(*PLACE, "ord", "para")
+
+
+def _good_paragraphs(tasks: DataFrame, pages: DataFrame, texts: Texts) -> DataFrame:
+    tasks = settled_tasks(tasks)
+    return texts.seen(tasks.join(texts.rows, "filename"), _paragraphs, _brands(tasks)).where("good")
 
 
 def _section(tasks: DataFrame, pages: DataFrame, kinds: DataFrame | None, texts: Texts) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +110,7 @@ def section_rows(tasks: DataFrame, pages: DataFrame, kinds: DataFrame | None = N
 
     Single-drug documents keep all their pages, as one paragraph each.
     """
-    own, kept = _section(tasks, pages, kinds, texts or Texts(pages))
+    own, kept = _section(tasks, pages, kinds, texts or Texts(pages, tasks))
     return own.select(*PLACE, "ord", "para").unionByName(kept.select(*PLACE, "ord", "para"))
 
 
@@ -129,7 +132,7 @@ def snippet_rows(tasks: DataFrame, pages: DataFrame, section: DataFrame, per_par
     that begin with the same 100 characters the first in the order of page,
     parameter and sentence counts; then each parameter keeps its first five.
     """
-    texts, tasks = texts or Texts(pages), settled_tasks(tasks)
+    texts, tasks = texts or Texts(pages, tasks), settled_tasks(tasks)
     long = _kinds(pages, kinds, texts).where("document_type <> 'single-drug' and n_pages > 10").select("filename")
     rows = tasks.join(texts.rows, "filename").join(long, "filename", "left_semi").join(section.select(*PLACE), PLACE, "left_anti")
     found = texts.seen(rows, _snippets, _brands(tasks))
@@ -140,7 +143,7 @@ def snippet_rows(tasks: DataFrame, pages: DataFrame, section: DataFrame, per_par
     return found.withColumn("n", place).where(F.col("n") <= per_param).select(*PLACE, "param", "sent", "snippet", "ord", "n")
 
 
-def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0, kinds: DataFrame | None = None) -> DataFrame:
+def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0, kinds: DataFrame | None = None, texts: Texts | None = None) -> DataFrame:
     """S13h: each page's tag, score and whether it is part of the context.
 
     Relevant pages; pages with universal words; pages right beside a relevant
@@ -149,28 +152,55 @@ def page_tags(tasks: DataFrame, pages: DataFrame, least: float = 3.0, kinds: Dat
     single-drug documents are taken whole; where under two relevant pages
     remain, every page with a score is.
     """
+    texts = texts or Texts(pages, tasks)
+    rows = _tags(tasks, pages, least, kinds, texts)
+    return texts.seen(rows, lambda r: r.select("*")).select(*PLACE, "text", "document_type", "n_pages", "tag", "score", "included")
+
+
+def _scored(tasks: DataFrame, pages: DataFrame, texts: Texts) -> DataFrame:
+    """Each task's pages with ``relevance`` and the categories that their tags depend on; a text is scored once for each brand."""
+    marks = [F.col("relevance"), *[F.array_contains("categories", c).alias(c) for c in ("disease", "target_brand", "universal")]]
+    brands = _brands(tasks)
+    if texts.few is None:
+        return scored_pages(tasks, pages).select(*PLACE, "text", *marks)
+
+    def look(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.col("text_no").cast("string").alias("filename"), F.lit(0).alias("page_num"), "brand", "text")
+        return scored_pages(named, named.drop("brand").distinct()).select(F.col("filename").cast("int").alias("text_no"), "brand", *marks)
+
+    return texts.seen(tasks.join(texts.rows, "filename"), look, brands).select(*PLACE, "text_no", "relevance", "disease", "target_brand", "universal")
+
+
+def _tags(tasks: DataFrame, pages: DataFrame, least: float, kinds: DataFrame | None, texts: Texts) -> DataFrame:
+    """:func:`page_tags` with each page's text or number, which the windows carry along."""
     whole = Window.partitionBy(*TASK)
     near = whole.orderBy("page_num")
-    rows = scored_pages(tasks, pages).join(_kinds(pages, kinds).select("filename", "document_type", "n_pages"), "filename")
-    firm = (F.col("n_pages") <= 50) | F.array_contains("categories", "disease") | F.array_contains("categories", "target_brand")
+    rows = _scored(settled_tasks(tasks), pages, texts)
+    own = "text" if "text" in rows.columns else "text_no"
+    rows = rows.join(_kinds(pages, kinds, texts).select("filename", "document_type", "n_pages"), "filename")
+    firm = (F.col("n_pages") <= 50) | F.col("disease") | F.col("target_brand")
     rows = rows.withColumn("hit", F.col("relevance") >= least).withColumn("kept", F.col("hit") & firm)
-    rows = rows.withColumn("universal", ~F.col("hit") & F.array_contains("categories", "universal"))
+    rows = rows.withColumn("universal", ~F.col("hit") & F.col("universal")).drop("disease", "target_brand")
     beside = lambda c: F.coalesce(F.lag(c).over(near), F.lit(False)) | F.coalesce(F.lead(c).over(near), F.lit(False))
     plain = ~F.col("hit") & ~F.col("universal")
     rows = rows.withColumn("was_beside", plain & beside("hit")).withColumn("beside", F.col("was_beside") & beside("kept"))
     tag = F.when(F.col("kept"), "relevant").when(F.col("universal"), "universal").when(F.col("beside"), "context").when(plain & ~F.col("was_beside") & (F.col("document_type") == "multi-drug") & (F.col("page_num") < 5), "preamble").otherwise("irrelevant")
     score = F.when(F.col("hit") & ~F.col("kept"), 0.0).otherwise(F.col("relevance"))
-    rows = rows.select(*PLACE, "text", "document_type", "n_pages", tag.alias("tag"), score.alias("score"))
+    rows = rows.select(*PLACE, own, "document_type", "n_pages", tag.alias("tag"), score.alias("score"))
     rows = rows.withColumn("few", F.count(F.when(F.col("tag") == "relevant", 1)).over(whole) < 2)
     taken = F.when((F.col("document_type") == "single-drug") | (F.col("n_pages") <= 15), True).when(F.col("few"), (F.col("score") > 0) | F.col("tag").isin("preamble", "universal")).otherwise(F.col("tag") != "irrelevant")
     return rows.withColumn("included", taken).drop("few")
 
 
+def _renewing(low: Column) -> tuple[Column, Column]:
+    """Whether a page is about reauthorisation, and whether it names the disease."""
+    return any_in(low, packs.REAUTH_WORDS), any_in(low, packs.PAGE_KEYWORDS["disease"][0])
+
+
 def renewal_rows(tags: DataFrame) -> DataFrame:
     """S13n: pages about reauthorisation, of the context or that name the disease, the context's first."""
-    low = F.lower("text")
-    rows = tags.where(any_in(low, packs.REAUTH_WORDS) & (F.col("included") | any_in(low, packs.PAGE_KEYWORDS["disease"][0])))
-    return rows.select(*PLACE, (~F.col("included")).cast("int").alias("turn"), strip(F.col("text")).alias("text"))
+    again, disease = _renewing(F.lower("text"))
+    return tags.where(again & (F.col("included") | disease)).select(*PLACE, (~F.col("included")).cast("int").alias("turn"), strip(F.col("text")).alias("text"))
 
 
 def limit_rows(tags: DataFrame) -> DataFrame:
@@ -178,13 +208,38 @@ def limit_rows(tags: DataFrame) -> DataFrame:
     return tags.where(F.col("included") & any_in(F.lower("text"), packs.LIMIT_PHRASES)).select(*PLACE, strip(F.col("text")).alias("text"))
 
 
-def _texts(tasks: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """Tasks with a text column for each part, '' where a task has none."""
-    out = tasks.select(*TASK).distinct()
-    for name, part in parts.items():
-        keys = [k for k in TASK if k in part.columns]
-        out = out.join(part, keys, "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return out
+#: Pieces from which a task's context is put together in a task of Spark's of its own: its text is some MB, and files are written from many rows at once.
+PIECES = 20_000
+
+
+def _library(texts: Texts) -> DataFrame:
+    """One row: of each distinct text, by number, the whole page and its paragraphs, as they are and as :func:`T.clean_piece` leaves them."""
+    page, paras = strip(F.col("text")), T.paragraphs(F.col("text"))
+    own = texts.few.select("text_no", page.alias("page"), T.clean_piece(page).alias("clean_page"), paras.alias("paras")).withColumn("clean_paras", F.transform("paras", T.clean_piece))
+    return settle(own.agg(F.array_sort(F.collect_list(F.struct("text_no", "page", "clean_page", "paras", "clean_paras"))).alias("library")))
+
+
+def _held(rows: DataFrame, keys: list[str], name: str, *parts: str | Column) -> DataFrame:
+    """A row for each of ``keys`` with its pieces as one array, in order."""
+    return settle(rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*parts))).alias(name)))
+
+
+def _marked(pieces: Column, mark: Callable[[Column], Column], said: Callable[[Column], Column], glue: str = "") -> Column:
+    """Each piece behind its mark; pieces without a text are left out."""
+    return F.array_compact(F.transform(pieces, lambda x: F.concat(mark(x), F.lit(glue), said(x))))
+
+
+def _whole(pieces: Column, glue: str = "") -> Column:
+    """Cleaned pieces as one text; only the last can end in blanks."""
+    said = lambda a: F.concat(F.array_join(F.slice(a, F.lit(1), F.size(a) - 1), glue), F.when(F.size(a) > 1, glue).otherwise(""), strip(F.get(a, F.size(a) - 1)))
+    return F.get(F.transform(F.array(pieces), lambda a: F.when(F.size(a) > 0, said(a)).otherwise("")), F.lit(0))
+
+
+def _apart(rows: DataFrame, n_pieces: Column) -> DataFrame:
+    """Settled ``rows`` dealt out one by one, the more tasks the more pieces they have."""
+    n, pieces = rows.agg(F.count("*"), F.coalesce(F.sum(n_pieces.cast("long")), F.lit(0))).first()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(n, max(parts, pieces // PIECES))))
 
 
 def context_package(tasks: DataFrame, pages: DataFrame, level: str = "sentence") -> DataFrame:
@@ -194,49 +249,74 @@ def context_package(tasks: DataFrame, pages: DataFrame, level: str = "sentence")
     universal_text, section_text, reauthorization_text, quantity_limit_text,
     full_text (cleaned).
 
-    What several parts are made of (the documents' types, universal pages, tags or section) is settled once, as short rows.
+    A task's pieces are gathered as places, with their text's number if the distinct texts are few; then the library
+    of those goes to every task and texts are put together row by row, at the end. They are cleaned piece by piece.
     """
-    kinds = settle(document_types(pages))
-    universal = settle(universal_pages(pages, kinds))
-    by_file = universal.groupBy("filename").agg(_joined("concat('[Universal | Page ', page_num + 1, ']')", "text", ["page_num"]).alias("universal_text"))
+    if level not in ("page", "paragraph", "sentence"):
+        raise ValueError(f"level {level!r}: page, paragraph or sentence are known")
+    texts = Texts(pages, tasks)
+    few = texts.few is not None
+    ref = lambda name: F.col("text_no" if few else name).alias("p")  # noqa: E731  what a piece's text is found by
+    found = lambda x, name: F.element_at("library", x["p"] + 1)[name]
+    page, clean_page = ((lambda x: found(x, "page")), (lambda x: found(x, "clean_page"))) if few else ((lambda x: x["p"]), (lambda x: T.clean_piece(x["p"])))
+    para, clean_para = ((lambda x: F.get(found(x, "paras"), x["ord"])), (lambda x: F.get(found(x, "clean_paras"), x["ord"]))) if few else (page, clean_page)
+    number = lambda x: (x["page_num"] + 1).cast("string")
+    mark = lambda head: lambda x: F.concat(F.lit(head), number(x), F.lit("]"))
+    text_of = lambda pieces, head, said: F.array_join(_marked(pieces, mark(head), said, "\n"), "\n\n")
+    nothing = F.array().cast("array<string>")
+
+    kinds = _kinds(pages, None, texts)
     about = kinds.select("filename", "document_type", F.col("n_pages").alias("total_pages"))
-    tasks = tasks.select(*TASK).distinct().join(about.select("filename"), "filename", "left_semi")
-    empty = {"reauthorization_text": F.lit(""), "quantity_limit_text": F.lit("")}
+    tasks = settle(tasks.select(*TASK).distinct().join(about.select("filename"), "filename", "left_semi"))
+    status = preferred_status(sent(tasks).join(pages.select("filename", "page_num", "text"), "filename"))
+    universal = _held(_universal_places(pages, kinds, texts).select("filename", "page_num", ref("own")), ["filename"], "shared", "page_num", "p")
+    rows = tasks.join(about, "filename").join(status, TASK).join(universal, "filename", "left")
+    columns = {"universal_text": text_of(F.col("shared"), "[Universal | Page ", page), "reauthorization_text": F.lit(""), "quantity_limit_text": F.lit("")}
+    clean_shared, some_shared = _marked(F.col("shared"), mark("[Universal | Page "), clean_page), F.size("shared") > 0
+    pages_of = lambda pieces: F.array_distinct(F.transform(pieces, lambda x: x["page_num"]))
     if level == "page":
-        tags = settle(page_tags(tasks, pages, kinds=kinds))
-        own, mark = tags.where("included").withColumn("text", strip(F.col("text"))), "concat('[Page ', page_num + 1, ']')"
-        parts = {
-            "universal_text": by_file,
-            "section_text": own.where("tag in ('relevant', 'context')").groupBy(*TASK).agg(_joined(mark, "text", ["page_num"]).alias("section_text")),
-            "reauthorization_text": renewal_rows(tags).groupBy(*TASK).agg(_joined(mark, "text", ["turn", "page_num"]).alias("reauthorization_text")),
-            "quantity_limit_text": limit_rows(tags).groupBy(*TASK).agg(_joined(mark, "text", ["page_num"]).alias("quantity_limit_text")),
-            "full_text": own.groupBy(*TASK).agg(_joined("concat('[Page ', page_num + 1, ' | Tag: ', tag, ']')", "text", ["page_num"], RULE).alias("full_text")),
+        again, disease = _renewing(F.lower("text"))
+        flags = {"own": strip(F.col("text")), "again": again, "disease": disease, "limit": any_in(F.lower("text"), packs.LIMIT_PHRASES)}
+        tags = texts.seen(_tags(tasks, pages, 3.0, kinds, texts), lambda r: r.withColumns(flags))
+        tags = tags.withColumns({"again": F.coalesce(F.col("again") & (F.col("included") | F.col("disease")), F.lit(False)), "limit": F.coalesce("limit", F.lit(False))}).where("included or again")
+        own = _held(tags.select(*PLACE, ref("own"), "tag", "included", "again", "limit"), TASK, "own", "page_num", "p", "tag", "included", "again", "limit")
+        some = lambda test: F.filter("own", test)
+        taken = some(lambda x: x["included"])
+        renewing = F.concat(some(lambda x: x["again"] & x["included"]), some(lambda x: x["again"] & ~x["included"]))
+        columns |= {
+            "section_text": text_of(some(lambda x: x["included"] & x["tag"].isin("relevant", "context")), "[Page ", page),
+            "reauthorization_text": text_of(renewing, "[Page ", page),
+            "quantity_limit_text": text_of(some(lambda x: x["included"] & x["limit"]), "[Page ", page),
+            "full_text": _whole(_marked(taken, lambda x: F.concat(F.lit("[Page "), number(x), F.lit(" | Tag: "), x["tag"], F.lit("]")), clean_page), "---\n\n"),
         }
-        rows, used = _texts(tasks, parts), own.select(*PLACE)
-    elif level == "paragraph":
-        section = settle(paragraph_rows(tasks, pages))
-        mark = "concat('[Page ', page_num + 1, ']')"
-        parts = {"universal_text": by_file, "section_text": section.groupBy(*TASK).agg(_joined(mark, "para", ["page_num", "ord"]).alias("section_text"))}
-        rows = _texts(tasks, parts).withColumns(empty).withColumn("full_text", F.array_join(F.filter(F.array("universal_text", "section_text"), lambda x: x != ""), RULE))
-        used = section.select(*PLACE).distinct()
-    elif level == "sentence":
-        section = settle(section_rows(tasks, pages, kinds))
-        snippets = snippet_rows(tasks, pages, section, kinds=kinds)
-        line = snippets.groupBy(*TASK, "param", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "snippet"))), lambda x: F.concat(F.lit("  - "), x["snippet"])), "\n").alias("lines"))
-        third = line.groupBy(*TASK).agg(_joined("concat('[', upper(replace(param, '_', ' ')), ']')", "lines", ["ord"]).alias("snippet_text"))
-        parts = {"universal_text": by_file, "section_text": section.groupBy(*TASK).agg(_joined("concat('[PsO Section | Page ', page_num + 1, ']')", "para", ["page_num", "ord"]).alias("section_text")), "snippet_text": third}
-        rows = _texts(tasks, parts).withColumns(empty)
-        shown = F.when(F.col("snippet_text") != "", F.concat(F.lit("[PARAMETER-SPECIFIC SNIPPETS]\n"), F.col("snippet_text"))).otherwise("")
-        rows = rows.withColumn("full_text", F.array_join(F.filter(F.array("universal_text", "section_text", shown), lambda x: x != ""), RULE))
-        long = about.where("document_type <> 'single-drug' and total_pages > 10").select("filename")
-        shared = tasks.join(long, "filename", "left_semi").join(universal.select("filename", "page_num"), "filename").select(*PLACE)
-        used = section.select(*PLACE).union(shared).distinct()
+        n_used, rows = F.size(taken), rows.join(own, TASK, "left")
     else:
-        raise ValueError(f"level {level!r}: page, paragraph or sentence are known")
-    n = used.groupBy(*TASK).agg(F.count("*").alias("pages_used"))
-    status = preferred_status(task_pages(tasks, pages))
-    rows = rows.join(about, "filename").join(status, TASK).join(n, TASK, "left")
-    n_used = F.coalesce("pages_used", F.lit(0).cast("long"))
-    if level == "sentence":  # small documents without a section count as read whole
-        n_used = F.when(F.col("pages_used").isNull() & ((F.col("document_type") == "single-drug") | (F.col("total_pages") <= 10)), F.col("total_pages")).otherwise(n_used)
-    return rows.select(*TASK, "document_type", "preferred_status", "total_pages", n_used.alias("pages_used"), "universal_text", "section_text", "reauthorization_text", "quantity_limit_text", T.clean(F.col("full_text")).alias("full_text"))
+        if level == "paragraph":
+            head, section = "[Page ", _good_paragraphs(tasks, pages, texts).select(*PLACE, "ord", ref("para"))
+        else:
+            head, (whole, parts) = "[PsO Section | Page ", _section(tasks, pages, kinds, texts)
+            section = settle(whole.select(*PLACE, "ord", ref("para")).unionByName(parts.select(*PLACE, "ord", ref("para"))))
+            single = F.col("document_type") == "single-drug"
+            para, clean_para = [lambda x, a=a, b=b: F.when(single, a(x)).otherwise(b(x)) for a, b in ((page, para), (clean_page, clean_para))]
+        rows = rows.join(_held(section, TASK, "own", "page_num", "ord", "p"), TASK, "left")
+        n_used, shown, third = F.size(pages_of("own")), F.lit(False), F.lit("")
+        if level == "sentence":
+            snippets = snippet_rows(tasks, pages, section, kinds=kinds, texts=texts)
+            line = snippets.groupBy(*TASK, "param", "ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "snippet"))), lambda x: F.concat(F.lit("  - "), x["snippet"])), "\n").alias("lines"))
+            rows = rows.join(line.groupBy(*TASK).agg(_joined("concat('[', upper(replace(param, '_', ' ')), ']')", "lines", ["ord"]).alias("snippet_text")), TASK, "left")
+            shown = F.coalesce("snippet_text", F.lit("")) != ""
+            third = T.clean(F.concat(F.lit("[PARAMETER-SPECIFIC SNIPPETS]\n"), F.col("snippet_text")))
+            small = single | (F.col("total_pages") <= 10)
+            n_used = F.size(F.array_union(pages_of("own"), F.when(small, F.array().cast("array<int>")).otherwise(pages_of("shared"))))
+            n_used = F.when((n_used == 0) & small, F.col("total_pages")).otherwise(n_used)  # small documents without a section count as read whole
+        between = lambda test: F.when(test, F.array(F.lit("---\n\n"))).otherwise(nothing)
+        some_own = F.size("own") > 0
+        whole_text = F.concat(clean_shared, between(some_shared & some_own), _marked(F.col("own"), mark(head), clean_para), between((some_shared | some_own) & shown), F.when(shown, F.array(third)).otherwise(nothing))
+        columns |= {"section_text": text_of(F.col("own"), head, para), "full_text": _whole(whole_text)}
+
+    none = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("shared", "own")}
+    rows = _apart(settle(rows.withColumns(none)), F.size("shared") + F.size("own"))
+    if few:
+        rows = rows.crossJoin(F.broadcast(_library(texts)))
+    order = ["universal_text", "section_text", "reauthorization_text", "quantity_limit_text", "full_text"]
+    return rows.select(*TASK, "document_type", "preferred_status", "total_pages", n_used.cast("long").alias("pages_used"), *[columns[c].alias(c) for c in order])

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from policyspark.functions import text as T
 from policyspark.operators import context, infer, repeats, tiers
 from policyspark.operators.context import TASK
 
@@ -59,3 +60,27 @@ def test_analysis_of_a_text_once(monkeypatch, tables):
     sections = tables[1].select(F.col("page_num").alias("n"), "filename", F.col("page_num").cast("string").alias("brand"), "text")
     few, many, plan = both_ways(monkeypatch, lambda: infer.with_analysis(sections, TASK))
     assert few == many and len(few) == 111 and "regexp" not in plan and "RLIKE" not in plan
+
+
+def rebuilt(pieces, rule):
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", pieces.alias("x")))), lambda x: x["x"]), rule)
+
+
+@pytest.mark.parametrize("level", ["sentence"])
+def test_package_is_cleaned_as_a_whole(monkeypatch, tables, level):
+    few, many, plan = both_ways(monkeypatch, lambda: tiers.context_package(*tables, level).withColumn("n", F.length("full_text")))
+    assert few == many and len(few) == 5 and "library" in plan
+    rows = tiers.context_package(*tables, level).where("section_text <> ''")
+    if level == "sentence":
+        rows = rows.withColumn("full_text", F.regexp_extract("full_text", r"(?s)^(.*?)(\n\n---\n\n\[PARAMETER.*)?$", 1))
+    whole = T.clean(F.concat_ws("\n\n---\n\n", F.nullif("universal_text", F.lit("")), "section_text"))
+    for r in rows.select("full_text", whole.alias("want")).collect():
+        assert r["full_text"] == r["want"] != ""
+
+
+def test_pieces_are_cleaned_as_in_the_whole(spark):
+    rows = [(" a  b ",), ("12",), ("x\n\n 7 \n\n",), ("Page 3\nof 4 x",), ("Last Update: y",), ("w - v\n \n \n\nz -",), ("Page 1 of 2\n\n\n3",), (" q\u0085\n9",), ("",), ("- 5\r\n6 -",)]
+    df = spark.createDataFrame([(i * 10 + j, *a, *b) for i, a in enumerate(rows) for j, b in enumerate(rows)], "k int, a string, b string")
+    whole = T.clean(F.concat(F.lit("[A 1]\n"), "a", F.lit("\n\n[B]\n"), "b", F.lit("\n\n---\n\n[C]\nend")))
+    pieces = F.concat(F.lit("[A 1]"), T.clean_piece(F.col("a")), F.lit("[B]"), T.clean_piece(F.col("b")), F.lit("---\n\n[C]\nend"))
+    assert df.where(~whole.eqNullSafe(pieces)).count() == 0
