@@ -66,7 +66,7 @@ def rebuilt(pieces, rule):
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", pieces.alias("x")))), lambda x: x["x"]), rule)
 
 
-@pytest.mark.parametrize("level", ["sentence"])
+@pytest.mark.parametrize("level", ["paragraph", "sentence"])
 def test_package_is_cleaned_as_a_whole(monkeypatch, tables, level):
     few, many, plan = both_ways(monkeypatch, lambda: tiers.context_package(*tables, level).withColumn("n", F.length("full_text")))
     assert few == many and len(few) == 5 and "library" in plan
