@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from policyspark.functions import text as T
-from policyspark.operators import context, infer, repeats, tiers
+from policyspark.operators import context, infer, repeats, report, tiers
 from policyspark.operators.context import TASK
 
 HEAD = "Products Affected: STELARA and TREMFYA. PA Criteria.\n\n"
@@ -78,6 +78,11 @@ def test_package_is_cleaned_as_a_whole(monkeypatch, tables, level):
         assert r["full_text"] == r["want"] != ""
 
 
+def test_totals_need_no_texts_of_sections(tables):
+    plan = plan_of(report.dry_run_by_type(tiers.context_package(*tables, "paragraph")))
+    assert "Last Update" not in plan and "collect_list" not in plan
+
+
 def test_pieces_are_cleaned_as_in_the_whole(spark):
     rows = [(" a  b ",), ("12",), ("x\n\n 7 \n\n",), ("Page 3\nof 4 x",), ("Last Update: y",), ("w - v\n \n \n\nz -",), ("Page 1 of 2\n\n\n3",), (" q\u0085\n9",), ("",), ("- 5\r\n6 -",)]
     df = spark.createDataFrame([(i * 10 + j, *a, *b) for i, a in enumerate(rows) for j, b in enumerate(rows)], "k int, a string, b string")
