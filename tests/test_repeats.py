@@ -78,6 +78,15 @@ def test_package_is_cleaned_as_a_whole(monkeypatch, tables, level):
         assert r["full_text"] == r["want"] != ""
 
 
+def test_page_package_is_cleaned_as_a_whole(monkeypatch, tables):
+    few, many, plan = both_ways(monkeypatch, lambda: tiers.context_package(*tables, "page"))
+    assert few == many and "library" in plan
+    said = F.concat(F.lit("[Page "), (F.col("page_num") + 1).cast("string"), F.lit(" | Tag: "), F.col("tag"), F.lit("]\n"), T.strip(F.col("text")))
+    want = tiers.page_tags(*tables).where("included").groupBy(*TASK).agg(T.clean(rebuilt(said, "\n\n---\n\n")).alias("want"))
+    rows = tiers.context_package(*tables, "page").join(want, TASK).collect()
+    assert len(rows) == 5 and all(r["full_text"] == r["want"] for r in rows)
+
+
 def test_totals_need_no_texts_of_sections(tables):
     plan = plan_of(report.dry_run_by_type(tiers.context_package(*tables, "paragraph")))
     assert "Last Update" not in plan and "collect_list" not in plan
